@@ -30,11 +30,15 @@ FENCE_OPEN = "```json"
 FENCE = "```"
 # ---------------------------------------------------------------------------
 
-# Python's str.strip()/\s cover Unicode white space plus U+001C..U+001F; Java's
-# (?U)\s covers the Unicode White_Space property, so the four separators are
-# added explicitly.
-WS_CLASS = r"[\s\x{1c}-\x{1f}]"
-_LEADING_TRAILING_WS = r"(?U)^" + WS_CLASS + r"+|" + WS_CLASS + r"+$"
+# White space as Python's str.strip() / str.isspace() see it (fixed values):
+# TAB LF VT FF CR, U+001C..U+001F, SPACE, U+0085, U+00A0, U+1680,
+# U+2000..U+200A, U+2028, U+2029, U+202F, U+205F, U+3000.
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
+WS_CLASS = ("[\\t\\n\\x{0b}\\x{0c}\\r\\x{1c}-\\x{1f} \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}"
+            "\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]")
+_LEADING_TRAILING_WS = "^" + WS_CLASS + "+|" + WS_CLASS + "+$"
+_WS_LIST = list(WS_CHARS)
 
 
 def col_of(c) -> Column:
@@ -42,8 +46,13 @@ def col_of(c) -> Column:
 
 
 def trim_ws(c) -> Column:
-    """Strip leading and trailing Unicode white space (Python ``str.strip()``)."""
-    return F.regexp_replace(col_of(c), _LEADING_TRAILING_WS, "")
+    """Strip leading and trailing white space (Python ``str.strip()``).
+
+    The regular expression only runs when the first or last character is
+    white space, which keeps the common case to two substring tests."""
+    x = col_of(c)
+    edge = F.substring(x, 1, 1).isin(*_WS_LIST) | F.substring(x, -1, 1).isin(*_WS_LIST)
+    return F.when(edge, F.regexp_replace(x, _LEADING_TRAILING_WS, "")).otherwise(x)
 
 
 def parse_probability(c) -> Column:
@@ -105,7 +114,7 @@ def clean_ascii(c) -> Column:
     """The JVM part of clean_value, for text that is already ASCII-folded."""
     v = trim_ws(F.lower(col_of(c)))
     v = F.regexp_replace(v, r"[_\-]", " ")
-    return F.regexp_replace(v, r"[\s\x{1c}-\x{1f}]+", " ")
+    return F.regexp_replace(v, WS_CLASS + "+", " ")
 
 
 def clean_value(c) -> Column:
@@ -135,7 +144,7 @@ def clean_value_sql(c) -> Column:
     v = F.regexp_replace(v, r"[^\x{00}-\x{7f}]", "")
     v = trim_ws(F.lower(v))
     v = F.regexp_replace(v, r"[_\-]", " ")
-    return F.regexp_replace(v, r"[\s\x{1c}-\x{1f}]+", " ")
+    return F.regexp_replace(v, WS_CLASS + "+", " ")
 
 
 def _fold_table():
@@ -171,7 +180,7 @@ def normalize_title(c) -> Column:
 def token_sort(c) -> Column:
     """Whitespace tokens sorted and joined by one space (Python ``sorted(s.split())``)."""
     stripped = trim_ws(col_of(c))
-    toks = F.split(stripped, r"(?U)" + WS_CLASS + "+", -1)
+    toks = F.split(stripped, WS_CLASS + "+", -1)
     return F.when(stripped == "", F.lit("")).otherwise(F.array_join(F.array_sort(toks), " "))
 
 

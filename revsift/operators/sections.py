@@ -30,29 +30,43 @@ DEFAULT_KEEP = ["introduction", "background", "methods", "methodology", "materia
                 "results", "findings", "discussion", "conclusion", "summary"]
 # ---------------------------------------------------------------------------
 
-_U = "(?U)"
+def header_of_stripped(s: Column) -> Column:
+    """header_text for a line that is already stripped (cheap tests first)."""
+    md = F.nullif(F.regexp_extract(s, r"^#+" + WS_CLASS + r"+(.*)$", 1), F.lit(""))
+    bold = F.nullif(F.regexp_extract(s, r"^\*\*(.+?)\*\*$", 1), F.lit(""))
+    alpha = F.when((F.length(s) < 40) & s.rlike(r"^\p{L}{1,39}$"), s)
+    h = (F.when(F.startswith(s, F.lit("#")), F.coalesce(md, bold, alpha))
+         .when(F.startswith(s, F.lit("**")), F.coalesce(bold, alpha))
+         .otherwise(alpha))
+    return F.lower(h)
 
 
 def header_text(line) -> Column:
     """Drop-list header rule: ``#+ text``, ``**text**`` or a letters-only line of
     fewer than 40 characters, on the stripped line; lower-cased text or NULL."""
-    s = trim_ws(line)
-    md = F.nullif(F.regexp_extract(s, _U + r"^#+" + WS_CLASS + r"+(.*)$", 1), F.lit(""))
-    bold = F.nullif(F.regexp_extract(s, r"^\*\*(.+?)\*\*$", 1), F.lit(""))
-    alpha = F.when(s.rlike(r"^\p{L}{1,39}$"), s)
-    return F.lower(F.coalesce(md, bold, alpha))
+    return header_of_stripped(trim_ws(line))
+
+
+def keep_header_of(s: Column, core: Column, keywords: Sequence[str] = DEFAULT_KEEP) -> Column:
+    """Keep-list rule on a stripped line ``s`` and its ``*``-stripped core (lazy CASE: cheap tests first)."""
+    words = F.when(core == "", F.lit(0)).otherwise(F.size(F.split(core, WS_CLASS + "+", -1)))
+    upper = (F.upper(core) == core) & (F.lower(core) != core)
+    keyword = F.lower(core).isin(*keywords) if keywords else F.lit(False)
+    return (F.when(F.startswith(s, F.lit("#")), F.lit(True))
+            .when(core.rlike(r"[.:,;]"), F.lit(False))
+            .when(words > 5, F.lit(False))
+            .otherwise(upper | keyword))
 
 
 def is_keep_header(line, keywords: Sequence[str] = DEFAULT_KEEP) -> Column:
     """Keep-list header rule: starts with ``#``; else, with ``*`` stripped, at most
     five words, none of ``.:,;``, and upper case or exactly a keyword."""
     s = trim_ws(line)
-    core = trim_ws(F.regexp_replace(s, r"^\*+|\*+$", ""))
-    words = F.when(core == "", F.lit(0)).otherwise(F.size(F.split(core, _U + WS_CLASS + "+", -1)))
-    upper = (F.upper(core) == core) & (F.lower(core) != core)
-    keyword = F.lower(core).isin(*keywords) if keywords else F.lit(False)
-    return (F.startswith(s, F.lit("#"))
-            | ((words <= 5) & ~core.rlike(r"[.:,;]") & (upper | keyword)))
+    return keep_header_of(s, _core(s), keywords)
+
+
+def _core(s: Column) -> Column:
+    return trim_ws(F.regexp_replace(s, r"^\*+|\*+$", ""))
 
 
 def _header_positions(flags: Column) -> Column:
@@ -69,8 +83,9 @@ def drop_sections(df: DataFrame, text: str, out: str, drop: Sequence[str] = DEFA
     per row (an array referenced inside a lambda would otherwise be re-derived
     for every element)."""
     staged = df.withColumn("_lines", split_lines(F.col(text)))
-    staged = staged.withColumn("_hdrs", F.transform("_lines", header_text))
-    staged = staged.withColumn("_pos", _header_positions(F.transform("_hdrs", lambda h: h.isNotNull())))
+    staged = staged.withColumn("_hdrs", F.transform(F.transform("_lines", trim_ws), header_of_stripped))
+    staged = staged.withColumn("_flags", F.transform("_hdrs", lambda h: h.isNotNull()))
+    staged = staged.withColumn("_pos", _header_positions(F.col("_flags")))
     lines, hdrs, pos = F.col("_lines"), F.col("_hdrs"), F.col("_pos")
     n = F.size(lines)
 
@@ -87,7 +102,7 @@ def drop_sections(df: DataFrame, text: str, out: str, drop: Sequence[str] = DEFA
     words = F.array(*[F.lit(w) for w in drop])
     kept = F.filter(live, lambda x: ~F.exists(words, lambda w: F.instr(x["h"], w) > 0))
     all_lines = F.concat(preamble, F.flatten(F.transform(kept, lambda x: x["ls"])))
-    return staged.withColumn(out, F.array_join(all_lines, "\n")).drop("_lines", "_hdrs", "_pos", "_secs")
+    return staged.withColumn(out, F.array_join(all_lines, "\n")).drop("_lines", "_hdrs", "_flags", "_pos", "_secs")
 
 
 def build_sections(df: DataFrame, text: str, out: str, keywords: Sequence[str] = DEFAULT_KEEP) -> DataFrame:
@@ -96,7 +111,10 @@ def build_sections(df: DataFrame, text: str, out: str, keywords: Sequence[str] =
     Text before the first header is discarded; a header whose stripped text is
     empty discards its lines; the last header is dropped when no line follows."""
     staged = df.withColumn("_lines", split_lines(F.col(text)))
-    staged = staged.withColumn("_pos", _header_positions(F.transform("_lines", lambda l: is_keep_header(l, keywords))))
+    staged = staged.withColumn("_s", F.transform("_lines", trim_ws))
+    staged = staged.withColumn("_core", F.transform("_s", _core))
+    staged = staged.withColumn("_flags", F.zip_with("_s", "_core", lambda a, b: keep_header_of(a, b, keywords)))
+    staged = staged.withColumn("_pos", _header_positions(F.col("_flags")))
     lines, pos = F.col("_lines"), F.col("_pos")
     n = F.size(lines)
     k = F.size(pos)
@@ -112,7 +130,7 @@ def build_sections(df: DataFrame, text: str, out: str, keywords: Sequence[str] =
     staged = staged.withColumn("_secs", F.transform(pos, section))
     kept = F.filter("_secs", lambda x: x["_keep"])
     res = F.transform(kept, lambda x: F.struct(x["header"].alias("header"), x["body"].alias("body")))
-    return staged.withColumn(out, res).drop("_lines", "_pos", "_secs")
+    return staged.withColumn(out, res).drop("_lines", "_s", "_core", "_flags", "_pos", "_secs")
 
 
 def keep_sections(df: DataFrame, text: str, out: str, keywords: Sequence[str] = DEFAULT_KEEP) -> DataFrame:
