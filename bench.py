@@ -42,6 +42,8 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
     spark = build_session(f"local[{cpus}]", shuffle_partitions=max(8, cpus * 2), app_name="revsift-bench")
+    # JVM warm-up (class loading, first code generation) on a small query, untimed
+    QUERIES["confusion_counts"](spark, sf_dir).collect()
     times: dict[str, float] = {}
     for name in names:
         t0 = time.perf_counter()

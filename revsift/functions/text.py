@@ -39,6 +39,7 @@ WS_CLASS = ("[\\t\\n\\x{0b}\\x{0c}\\r\\x{1c}-\\x{1f} \\x{85}\\x{a0}\\x{1680}\\x{
             "\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]")
 _LEADING_TRAILING_WS = "^" + WS_CLASS + "+|" + WS_CLASS + "+$"
 _WS_LIST = list(WS_CHARS)
+_NON_ASCII = r"[^\x{00}-\x{7f}]"
 
 
 def col_of(c) -> Column:
@@ -124,12 +125,17 @@ def clean_value(c) -> Column:
     white-space runs. The strip happens before the replacement, so ``_a``
     becomes ``" a"``.
     """
-    return clean_ascii(fold_ascii(col_of(c)))
+    x = col_of(c)
+    # only non-ASCII values travel to the Python worker; the rest pass as NULL
+    folded = F.coalesce(fold_ascii(F.when(x.rlike(_NON_ASCII), x)), x)
+    return clean_ascii(folded)
 
 
 def clean_array(c) -> Column:
     """clean_value of every element of an ARRAY<STRING> (order kept)."""
-    return F.transform(fold_ascii_array(col_of(c)), clean_ascii)
+    a = col_of(c)
+    needs = F.exists(a, lambda e: e.rlike(_NON_ASCII))
+    return F.transform(F.coalesce(fold_ascii_array(F.when(needs, a)), a), clean_ascii)
 
 
 def clean_value_sql(c) -> Column:

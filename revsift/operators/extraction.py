@@ -54,9 +54,19 @@ def _tokens(c: Column) -> Column:
     return F.filter(F.split(body, " ", -1), lambda t: t != "")
 
 
+def _correct(hv: Column, av: Column, field: Column, comparators: Mapping[str, str] | None) -> Column:
+    correct = hv == av
+    lenient = [f for f, kind in (comparators or {}).items() if kind == TOKEN_SUBSET]
+    if lenient:
+        th, ta = _tokens(hv), _tokens(av)
+        contained = (F.size(F.array_except(th, ta)) == 0) | (F.size(F.array_except(ta, th)) == 0)
+        correct = F.when(field.isin(*lenient), correct | contained).otherwise(correct)
+    return correct
+
+
 def compare_cells(human: DataFrame, ai: DataFrame,
                   comparators: Mapping[str, str] | None = None) -> DataFrame:
-    """Cell table ``(record, field, human, ai, correct)`` from two cell tables.
+    """Cell table ``(record, field, human, ai, correct)`` from two long cell tables.
 
     ``comparators`` maps a field to ``token_subset`` (equal, or one side's token
     set contained in the other's, an empty side counting as contained); every
@@ -67,16 +77,46 @@ def compare_cells(human: DataFrame, ai: DataFrame,
     j = h.join(a, ["record_id", "field"], "full_outer")
     hv = F.coalesce(F.col("h"), F.lit("s:"))
     av = F.coalesce(F.col("a"), F.lit("s:"))
-    correct = hv == av
-    lenient = [f for f, kind in (comparators or {}).items() if kind == TOKEN_SUBSET]
-    if lenient:
-        th, ta = _tokens(hv), _tokens(av)
-        contained = (F.size(F.array_except(th, ta)) == 0) | (F.size(F.array_except(ta, th)) == 0)
-        correct = F.when(F.col("field").isin(*lenient), correct | contained).otherwise(correct)
     return j.select(F.col("record_id").alias("record"), "field",
                     F.substring(hv, 3, 1 << 30).alias("human"),
                     F.substring(av, 3, 1 << 30).alias("ai"),
-                    correct.alias("correct"))
+                    _correct(hv, av, F.col("field"), comparators).alias("correct"))
+
+
+def latest_records(records: DataFrame, key_fields: Sequence[str], pos: str = "rec_pos",
+                   rec: str = "record") -> DataFrame:
+    """(record_id, fields MAP<STRING, VARIANT>): keyed records, last one per key.
+
+    The output is hash-partitioned by ``record_id`` (the last-wins aggregate),
+    which the record join below reuses."""
+    keyed = records.select(record_key(F.col(rec), key_fields).alias("record_id"),
+                           F.col(pos).alias("_pos"),
+                           F.try_variant_get(F.col(rec), "$", "map<string,variant>").alias("fields"))
+    return last_wins(keyed, "record_id", "_pos").select("record_id", "fields")
+
+
+def compare_records(human: DataFrame, ai: DataFrame, skip: Sequence[str] = (),
+                    comparators: Mapping[str, str] | None = None) -> DataFrame:
+    """Cell table from two ``latest_records`` tables.
+
+    One full outer join on ``record_id`` (both sides already partitioned by
+    it, so no further exchange); each joined row is exploded over the union of
+    its two field sets, and the values are canonicalised after the explode.
+    """
+    h = human.select("record_id", F.col("fields").alias("hf"))
+    a = ai.select("record_id", F.col("fields").alias("af"))
+    j = h.join(a, "record_id", "full_outer")
+    empty = F.array().cast("array<string>")
+    names = F.array_union(F.coalesce(F.map_keys("hf"), empty), F.coalesce(F.map_keys("af"), empty))
+    if skip:
+        names = F.array_except(names, F.array(*[F.lit(x) for x in skip]))
+    cells = j.select("record_id", "hf", "af", F.explode(names).alias("field"))
+    hv = canonical_value(F.try_element_at(F.col("hf"), F.col("field")))
+    av = canonical_value(F.try_element_at(F.col("af"), F.col("field")))
+    cells = cells.select(F.col("record_id").alias("record"), "field", hv.alias("_h"), av.alias("_a"))
+    return cells.select("record", "field", F.substring("_h", 3, 1 << 30).alias("human"),
+                        F.substring("_a", 3, 1 << 30).alias("ai"),
+                        _correct(F.col("_h"), F.col("_a"), F.col("field"), comparators).alias("correct"))
 
 
 def extraction_metrics(cells: DataFrame) -> DataFrame:

@@ -257,14 +257,10 @@ def q_normalize_list(spark, d):
 KEY = ["p_partkey"]
 
 
-def _cells_side(records: DataFrame) -> DataFrame:
-    return X.record_cells(records, KEY)
-
-
 def _cells(spark, d, comparators=None):
-    h = _cells_side(I.golden_records(spark, d))
-    a = _cells_side(I.ai_records(spark, d))
-    return X.compare_cells(h, a, comparators)
+    h = X.latest_records(I.golden_records(spark, d), KEY)
+    a = X.latest_records(I.ai_records(spark, d), KEY)
+    return X.compare_records(h, a, KEY, comparators)
 
 
 def _keys(records: DataFrame) -> DataFrame:

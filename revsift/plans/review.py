@@ -109,9 +109,9 @@ def evaluate_extraction(golden: DataFrame, ai: DataFrame, key_fields: Sequence[s
     materialised once (reliable checkpoint in the shared checkpoint folder)."""
     from ..operators.records import record_key
 
-    h = X.record_cells(golden, key_fields, ignore=ignore)
-    a = X.record_cells(ai, key_fields, ignore=ignore)
-    cells = X.compare_cells(h, a, comparators)
+    h = X.latest_records(golden, key_fields)
+    a = X.latest_records(ai, key_fields)
+    cells = X.compare_records(h, a, list(key_fields) + list(ignore), comparators)
     if persist:
         cells = cells.checkpoint(eager=True)
     hk = golden.select(record_key(F.col("record"), key_fields).alias("record_id"))
