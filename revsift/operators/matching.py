@@ -28,7 +28,7 @@ that runs first.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
@@ -72,13 +72,17 @@ def _min_partner_len(n: Column, threshold: int) -> Column:
 
 
 def _bigram_tokens(strings: DataFrame) -> DataFrame:
-    """(s, n, bigram, k): every bigram occurrence of each string, numbered per bigram."""
+    """(s, n, bigram, k): every bigram occurrence of each string, the k-th of its kind.
+
+    Numbering is done inside the row on the sorted bigram array (no shuffle);
+    titles are short, so the per-row cost is small."""
     n = F.length("s")
     grams = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(F.col("s"), i, 2))) \
         .otherwise(F.array().cast("array<string>"))
-    per = (strings.select("s", n.alias("n"), F.explode(grams).alias("bigram"))
-           .groupBy("s", "n", "bigram").agg(F.count(F.lit(1)).alias("c")))
-    return per.select("s", "n", "bigram", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("k"))
+    staged = strings.select("s", n.alias("n"), F.array_sort(grams).alias("_g"))
+    toks = F.transform("_g", lambda x, i: F.struct(x.alias("bigram"),
+                                                   (i - F.array_position(F.col("_g"), x) + 2).cast("int").alias("k")))
+    return staged.select("s", "n", F.inline(toks))
 
 
 def _prefixes(tokens: DataFrame, freq: DataFrame, threshold: int) -> DataFrame:
@@ -87,9 +91,10 @@ def _prefixes(tokens: DataFrame, freq: DataFrame, threshold: int) -> DataFrame:
     # overlap lower bound 3*LCS - S - 1 with LCS >= t*S/200, at the smallest S
     tau = F.ceil((F.lit(3 * threshold) * s_min - F.lit(200) * s_min - F.lit(200)) / F.lit(200))
     prefix_len = (n - F.lit(1)) - F.greatest(tau, F.lit(1)) + F.lit(1)
-    w = Window.partitionBy("s").orderBy("df", "bigram", "k")
-    ranked = tokens.join(freq, ["bigram", "k"]).withColumn("_r", F.row_number().over(w))
-    return ranked.filter(F.col("_r") <= prefix_len).select("s", "n", "bigram", "k")
+    ranked = tokens.join(freq, ["bigram", "k"]).groupBy("s", "n").agg(
+        F.array_sort(F.collect_list(F.struct("df", "bigram", "k"))).alias("_t"))
+    kept = F.slice(F.col("_t"), F.lit(1), F.greatest(prefix_len, F.lit(0)).cast("int"))
+    return ranked.select("s", "n", F.inline(kept)).select("s", "n", "bigram", "k")
 
 
 def fuzzy_semi_join(left: DataFrame, right: DataFrame, threshold: int = 90) -> DataFrame:

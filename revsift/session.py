@@ -23,7 +23,7 @@ SCALE_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "16MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",  # full-text prompts: keep Arrow batches small
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
