@@ -31,8 +31,13 @@ def pair_by_position(human: DataFrame, ai: DataFrame, human_order: Sequence,
     Positions come from ``row_index`` (distributed), then an equi-join on the
     position. Rows without a partner are dropped by the inner join; call
     ``length_parity`` first to reject unequal inputs as the scripts do."""
-    h = row_index(human, human_order, "pos")
-    a = row_index(ai, ai_order, "pos")
+    def cols(order, extra):
+        names = [c for c in order if isinstance(c, str)]
+        return list(dict.fromkeys(names + list(extra)))
+
+    # only the ordering, label and kept columns are sorted and checkpointed
+    h = row_index(human.select(*cols(human_order, [truth, *keep_human])), human_order, "pos")
+    a = row_index(ai.select(*cols(ai_order, [pred, *keep_ai])), ai_order, "pos")
     h = h.select("pos", F.col(truth).cast("int").alias("y_true"),
                  *[F.col(c).alias("human_" + c) for c in keep_human])
     a = a.select("pos", F.col(pred).cast("int").alias("y_pred"),

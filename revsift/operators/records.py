@@ -38,13 +38,28 @@ def flatten_records(parsed: DataFrame, id_cols: Sequence[str], v: str = "parsed"
     return parsed.select(*id_cols, F.posexplode(items).alias("rec_pos", "record"))
 
 
-def records_wide(records: DataFrame, fields: Sequence[tuple[str, str]], id_cols: Sequence[str] = (),
-                 rec: str = "record") -> DataFrame:
-    """Records to a wide table: one typed column per (field, type); missing keys are NULL."""
-    return records.select(*id_cols, *[F.try_variant_get(F.col(rec), f"$.{name}", typ).alias(name)
+def records_wide(records: DataFrame, fields: Sequence[tuple[str, str]] | None = None,
+                 id_cols: Sequence[str] = (), rec: str = "record") -> DataFrame:
+    """Records to a wide table: one column per field; missing keys are NULL.
+
+    Without ``fields``, the field names are the distinct keys of all records
+    (one small aggregate; its size is the schema width, not the data size) and
+    every column is a VARIANT."""
+    if fields is None:
+        keys = (records.select(F.explode(F.map_keys(F.try_variant_get(F.col(rec), "$", "map<string,variant>")))
+                               .alias("k")).distinct().orderBy("k").collect())
+        fields = [(r.k, "variant") for r in keys]
+    return records.select(*id_cols, *[F.try_variant_get(F.col(rec), f"$.{_path_key(name)}", typ).alias(name)
                                       for name, typ in fields])
 
 
+def _path_key(name: str) -> str:
+    # JSON path member: plain names as is, others bracket-quoted
+    if name.replace("_", "a").isalnum():
+        return name
+    return "[\'" + name.replace("\'", "\\\'") + "\']"
+
+
 def response_audit(df: DataFrame, id_col: str, text: str = "output_text") -> DataFrame:
     """Non-empty answers: id, length and a 200-character preview."""
     t = F.col(text)
@@ -63,7 +78,7 @@ def variant_text(v: Column) -> Column:
 
 def record_key(rec: Column, key_fields: Sequence[str], sep: str = "||") -> Column:
     """Cleaned key field(s) of a VARIANT record; missing or null key → ``""``."""
-    parts = [clean_value(F.coalesce(variant_text(F.try_variant_get(rec, f"$.{k}", "variant")), F.lit("")))
+    parts = [clean_value(F.coalesce(variant_text(F.try_variant_get(rec, f"$.{_path_key(k)}", "variant")), F.lit("")))
              for k in key_fields]
     return parts[0] if len(parts) == 1 else F.concat_ws(sep, *parts)
 

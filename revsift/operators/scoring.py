@@ -96,9 +96,12 @@ def assign_shards(df: DataFrame, order_by: Sequence, k: int, name: str = "shard"
 
 
 def running_tokens(scored: DataFrame, order_by: Sequence, block_size: int = 1 << 20) -> DataFrame:
-    """Cumulative token totals in row order (``completed`` = 1-based position)."""
-    idx = row_index(scored, order_by, "_idx")
+    """Cumulative token totals in row order (``completed`` = 1-based position).
+
+    Only the ordering columns and the token counts are sorted and checkpointed."""
     cols = ["input_tokens", "output_tokens", "total_tokens"]
+    keys = [c for c in order_by if isinstance(c, str)]
+    idx = row_index(scored.select(*dict.fromkeys(keys + cols)), order_by, "_idx")
     out = running_sum(idx, "_idx", cols, ["cum_" + c for c in cols], block_size)
     return out.withColumn("completed", F.col("_idx") + 1).drop("_idx")
 
