@@ -34,6 +34,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
 
 from ..functions.text import normalize_doi, normalize_title, token_sort
+from .skew import DEFAULT_BUCKETS, salted_lookup
 
 
 def _lcs_len(a: str, b: str) -> int:
@@ -125,12 +126,15 @@ def fuzzy_semi_join(left: DataFrame, right: DataFrame, threshold: int = 90) -> D
 
 def match_cascade(ai: DataFrame, golden: DataFrame, ai_id: str, ai_title: str, ai_pred: str,
                   golden_title: str, golden_doi: str | None = None, ai_doi: str | None = None,
-                  threshold: int = 90) -> DataFrame:
+                  threshold: int = 90, salt_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Per model row: ``match_kind`` (id / exact / fuzzy / none) and ``y_true``.
 
     The model identifier defaults to the title column (file stems are DOIs).
     Every golden row counts as relevant; the golden side is reduced to distinct
-    normalised values before any join, so duplicated golden rows cannot skew it.
+    normalised values before any join, so duplicated golden rows cannot skew
+    it. Model rows are attached to those distinct values with salted lookups,
+    so a title shared by a large share of the model rows is spread over
+    ``salt_buckets`` tasks.
     """
     a = ai.select(F.col(ai_id).alias("ai_id"), F.col(ai_title).alias("title"),
                   F.col(ai_pred).cast("int").alias("y_pred"),
@@ -140,18 +144,18 @@ def match_cascade(ai: DataFrame, golden: DataFrame, ai_id: str, ai_title: str, a
     if golden_doi is not None:
         g_doi = (golden.select(normalize_doi(F.col(golden_doi)).alias("doi_norm"))
                  .where(F.col("doi_norm").isNotNull()).distinct().withColumn("_id_hit", F.lit(True)))
-        a = a.join(g_doi, "doi_norm", "left")
+        a = salted_lookup(a, g_doi, "doi_norm", salt_buckets, ["ai_id"])
         id_hit = F.coalesce(F.col("_id_hit"), F.lit(False)) & (F.length("doi_norm") > 0)
     else:
         id_hit = F.lit(False)
     a = a.withColumn("_id", id_hit)
-    a = a.join(g_title.withColumn("_exact", F.lit(True)), "title_norm", "left") \
+    a = salted_lookup(a, g_title.withColumn("_exact", F.lit(True)), "title_norm", salt_buckets, ["ai_id"]) \
         .withColumn("_exact", F.coalesce(F.col("_exact"), F.lit(False)))
     a = a.withColumn("_sorted", token_sort(F.col("title_norm")))
     todo = a.where(~F.col("_id") & ~F.col("_exact")).select(F.col("_sorted").alias("s"))
     g_sorted = g_title.select(token_sort(F.col("title_norm")).alias("s"))
     hits = fuzzy_semi_join(todo, g_sorted, threshold).withColumn("_fuzzy", F.lit(True))
-    a = a.join(hits.withColumnRenamed("s", "_sorted"), "_sorted", "left")
+    a = salted_lookup(a, hits.withColumnRenamed("s", "_sorted"), "_sorted", salt_buckets, ["ai_id"])
     kind = (F.when(F.col("_id"), F.lit("id"))
             .when(F.col("_exact"), F.lit("exact"))
             .when(F.col("_fuzzy").isNotNull(), F.lit("fuzzy"))

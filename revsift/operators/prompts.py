@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_PARAM_ROWS = 10_000  # parameter tables above this are joined without a broadcast hint
+MAX_PARAM_ROWS = 10_000        # parameter tables above these bounds are joined without a broadcast hint
+MAX_PARAM_CHARS = 8 * 1024 * 1024
 
 SCREENING_TASK = ("You are screening a study for a systematic literature review. Decide if the study is "
                   "potentially relevant, using the inclusion and exclusion criteria below.")
@@ -23,9 +24,11 @@ EXTRACTION_TASK = ("Extract the following fields from the study below and answer
                    "objects, one per reported result.")
 
 
-def _bounded_broadcast(df: DataFrame) -> DataFrame:
-    n = df.count()
-    return F.broadcast(df) if n <= MAX_PARAM_ROWS else df
+def _bounded_broadcast(df: DataFrame, text_col: str) -> DataFrame:
+    """Broadcast hint only after checking the table's row count and text size."""
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(text_col)).alias("chars")).first()
+    ok = size.n <= MAX_PARAM_ROWS and (size.chars or 0) <= MAX_PARAM_CHARS
+    return F.broadcast(df) if ok else df
 
 
 def criteria_blocks(criteria: DataFrame) -> DataFrame:
@@ -48,7 +51,7 @@ def _nan(c: Column) -> Column:
 def screening_prompt(df: DataFrame, criteria: DataFrame, title: str = "title", abstract: str = "abstract",
                      review_id: str = "review_id", out: str = "prompt") -> DataFrame:
     """Title/abstract prompt per row."""
-    blocks = _bounded_broadcast(criteria_blocks(criteria).withColumnRenamed("review_id", review_id))
+    blocks = _bounded_broadcast(criteria_blocks(criteria).withColumnRenamed("review_id", review_id), "criteria_block")
     j = df.join(blocks, review_id, "left")
     prompt = F.concat(F.lit(SCREENING_TASK + "\n\n"), F.coalesce(F.col("criteria_block"), F.lit("")),
                       F.lit("\n\nInstructions:\n" + SCREENING_ANSWER + "\n\nTitle:\n"), _nan(F.col(title)),
@@ -59,7 +62,7 @@ def screening_prompt(df: DataFrame, criteria: DataFrame, title: str = "title", a
 def fulltext_prompt(df: DataFrame, criteria: DataFrame, full_text: str = "full_text",
                     review_id: str = "review_id", max_chars: int = 120_000, out: str = "prompt") -> DataFrame:
     """Full-text prompt; the text is cut to ``max_chars`` characters before it is embedded."""
-    blocks = _bounded_broadcast(criteria_blocks(criteria).withColumnRenamed("review_id", review_id))
+    blocks = _bounded_broadcast(criteria_blocks(criteria).withColumnRenamed("review_id", review_id), "criteria_block")
     j = df.join(blocks, review_id, "left")
     prompt = F.concat(F.lit(SCREENING_TASK + "\n\n"), F.coalesce(F.col("criteria_block"), F.lit("")),
                       F.lit("\n\nInstructions:\n" + SCREENING_ANSWER + "\n\nFull text:\n"),
@@ -78,7 +81,7 @@ def field_blocks(fields: DataFrame) -> DataFrame:
 def extraction_prompt(df: DataFrame, fields: DataFrame, example: str, full_text: str = "full_text",
                       review_id: str = "review_id", out: str = "prompt") -> DataFrame:
     """Extraction prompt: field list, one example answer, then the study text (not truncated)."""
-    blocks = _bounded_broadcast(field_blocks(fields).withColumnRenamed("review_id", review_id))
+    blocks = _bounded_broadcast(field_blocks(fields).withColumnRenamed("review_id", review_id), "field_block")
     j = df.join(blocks, review_id, "left")
     prompt = F.concat(F.lit(EXTRACTION_TASK + "\n\nFields:\n"), F.coalesce(F.col("field_block"), F.lit("")),
                       F.lit("\n\nExample:\n" + example + "\n\nStudy:\n"), _nan(F.col(full_text)), F.lit("\n"))

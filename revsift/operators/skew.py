@@ -1,0 +1,32 @@
+"""Joins that stay balanced when one key holds a large share of the rows.
+
+``salted_lookup`` attaches columns of a lookup table with unique keys to a big
+table. The big side gets a salt in ``[0, buckets)`` from a hash of its own row
+(so a hot key is spread over ``buckets`` tasks instead of one); the lookup side
+is replicated once per salt. The result equals the plain left join because the
+lookup keys are unique.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_BUCKETS = 16
+
+
+def salted_lookup(big: DataFrame, lookup: DataFrame, keys: str | Sequence[str], buckets: int = DEFAULT_BUCKETS,
+                  salt_from: Sequence[str] | None = None) -> DataFrame:
+    """``big LEFT JOIN lookup USING (keys)`` with the big side salted.
+
+    ``lookup`` must have unique ``keys``; ``salt_from`` (default: every column
+    of ``big``) feeds the hash that picks the salt."""
+    ks = [keys] if isinstance(keys, str) else list(keys)
+    if buckets <= 1:
+        return big.join(lookup, ks, "left")
+    src = [F.col(c) for c in (salt_from or big.columns)]
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*src), F.lit(buckets)).cast("int"))
+    fanned = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    return salted.join(fanned, ks + ["_salt"], "left").drop("_salt")
