@@ -183,6 +183,38 @@ def q_render_prompt(spark, d):
     return p.select("row_id", F.length("prompt").alias("prompt_chars"), F.md5("prompt").alias("digest"))
 
 
+# Extraction fields of the demo review (parameter table of the extraction prompt).
+FIELDS = [
+    ("demo", 1, "ref", "string", "identifier of the study"),
+    ("demo", 2, "design", "string", "study design, one of rct / quasi_experiment"),
+    ("demo", 3, "outcomes", "list of strings", "outcomes reported"),
+]
+EXAMPLE = '[{"ref": "Smith 2020", "design": "rct", "outcomes": ["safety"]}]'
+
+
+def fields_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(FIELDS, "review_id string, pos int, field string, type string, description string")
+
+
+def field_block_text() -> str:
+    return "\n".join(f"- {f} ({t}): {desc}" for _, _, f, t, desc in sorted(FIELDS, key=lambda r: r[1]))
+
+
+def _docs(spark, d):
+    return I.table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("full_text"),
+                                                 F.lit("demo").alias("review_id"))
+
+
+def q_render_fulltext_prompt(spark, d):
+    p = PR.fulltext_prompt(_docs(spark, d), criteria_table(spark), max_chars=120_000)
+    return p.select("row_id", F.length("prompt").alias("prompt_chars"), F.md5("prompt").alias("digest"))
+
+
+def q_render_extraction_prompt(spark, d):
+    p = PR.extraction_prompt(_docs(spark, d), fields_table(spark), EXAMPLE)
+    return p.select("row_id", F.length("prompt").alias("prompt_chars"), F.md5("prompt").alias("digest"))
+
+
 def _scored(spark, d):
     return SC.score_rows(_prompts(spark, d), I.demo_scorer, "row_id", "prompt")
 
@@ -412,6 +444,8 @@ QUERIES: dict[str, QueryFn] = {
     "truncate_text": q_truncate_text,
     "length_stats": q_length_stats,
     "render_prompt": q_render_prompt,
+    "render_fulltext_prompt": q_render_fulltext_prompt,
+    "render_extraction_prompt": q_render_extraction_prompt,
     "score_batch": q_score_batch,
     "error_classes": q_error_classes,
     "dead_letter": q_dead_letter,

@@ -254,6 +254,25 @@ prompts AS (SELECT row_id, {_prompt_sql()} AS prompt FROM cand)"""
 
 SQL["render_prompt"] = f"WITH {PROMPTS}\nSELECT row_id, length(prompt) AS prompt_chars, md5(prompt) AS digest FROM prompts"
 
+def _fulltext_prompt_sql() -> str:
+    pr = C.PR
+    head = pr.SCREENING_TASK + "\n\n" + C.criteria_block_text() + "\n\nInstructions:\n" + pr.SCREENING_ANSWER \
+        + "\n\nFull text:\n"
+    return f"{lit(head)} || substr(COALESCE(text, 'nan'), 1, 120000) || chr(10)"
+
+
+def _extraction_prompt_sql() -> str:
+    pr = C.PR
+    head = pr.EXTRACTION_TASK + "\n\nFields:\n" + C.field_block_text() + "\n\nExample:\n" + C.EXAMPLE \
+        + "\n\nStudy:\n"
+    return f"{lit(head)} || COALESCE(text, 'nan') || chr(10)"
+
+
+SQL["render_fulltext_prompt"] = (f"WITH p AS (SELECT doc_id AS row_id, {_fulltext_prompt_sql()} AS prompt FROM documents)\n"
+                                 "SELECT row_id, length(prompt) AS prompt_chars, md5(prompt) AS digest FROM p")
+SQL["render_extraction_prompt"] = (f"WITH p AS (SELECT doc_id AS row_id, {_extraction_prompt_sql()} AS prompt FROM documents)\n"
+                                   "SELECT row_id, length(prompt) AS prompt_chars, md5(prompt) AS digest FROM p")
+
 SCORES = PROMPTS + """,
 s0 AS (SELECT row_id, length(prompt) AS L,
   CASE row_id % 50 WHEN 7 THEN 'Error code: 429 - rate_limit_exceeded'
