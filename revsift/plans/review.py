@@ -105,14 +105,18 @@ class ExtractionReport:
 
 def evaluate_extraction(golden: DataFrame, ai: DataFrame, key_fields: Sequence[str],
                         ignore: Sequence[str] = (), comparators: Mapping[str, str] | None = None,
-                        persist: bool = True) -> ExtractionReport:
+                        persist: bool = True, skip_fields: Sequence[str] | None = None) -> ExtractionReport:
     """golden/ai: (rec_pos, record VARIANT) tables. The cell table feeds five outputs, so it is
-    materialised once (reliable checkpoint in the shared checkpoint folder)."""
+    materialised once (reliable checkpoint in the shared checkpoint folder).
+
+    Fields not compared default to the key fields plus ``ignore``; ``skip_fields``
+    replaces that list (a key field can then still be scored as a field)."""
     from ..operators.records import record_key
 
     h = X.latest_records(golden, key_fields)
     a = X.latest_records(ai, key_fields)
-    cells = X.compare_records(h, a, list(key_fields) + list(ignore), comparators)
+    skip = list(skip_fields) if skip_fields is not None else list(key_fields) + list(ignore)
+    cells = X.compare_records(h, a, skip, comparators)
     if persist:
         cells = cells.checkpoint(eager=True)
     hk = golden.select(record_key(F.col("record"), key_fields).alias("record_id"))

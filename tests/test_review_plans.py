@@ -87,3 +87,16 @@ def test_extraction_evaluation_and_wide_table(spark, tmp_dir):
     assert spark.read.option("header", True).option("sep", ";").csv(f"{tmp_dir}/errors").count() == 2
     assert sinks.extraction_status(ai).first().status == "ok"
     assert sinks.extraction_status(ai.where(F.lit(False))).first().status == "no records extracted"
+
+
+def test_key_field_can_still_be_scored(spark):
+    """Composite key, one key part still compared as a field, another field ignored."""
+    def recs(objs):
+        df = spark.createDataFrame([(1, json.dumps(objs))], "id int, output_text string")
+        return flatten_records(parse_json_response(df), ["id"]).select("rec_pos", "record")
+
+    golden = recs([{"n": 1, "crit": "a", "ref": "x", "v": "1"}, {"n": 2, "crit": "b", "ref": "y", "v": "2"}])
+    ai = recs([{"n": 1, "crit": "A", "ref": "other", "v": "1"}])
+    rep = review.evaluate_extraction(golden, ai, ["n", "crit"], skip_fields=["crit", "ref"])
+    cells = {(r.record, r.field): r.correct for r in rep.cells.collect()}
+    assert cells == {("1||a", "n"): True, ("1||a", "v"): True, ("2||b", "n"): False, ("2||b", "v"): False}
