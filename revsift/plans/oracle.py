@@ -549,3 +549,32 @@ FROM convmd m LEFT JOIN out o ON m.conv_id = o.id"""
 
 SQL["keep_sections"] = _keep(C.KEEP_ROLES)
 SQL["stream_confusion"] = f"WITH {PAIRS}\nSELECT {COUNTS} FROM pairs"
+
+
+def _int_lengths(sql: str, names=("raw_length", "abstract_chars", "chars", "prompt_chars")) -> str:
+    """``length(...) AS name`` → ``CAST(length(...) AS INTEGER) AS name`` (Spark's length is INT)."""
+    for name in names:
+        marker = f") AS {name}"
+        start = 0
+        while True:
+            i = sql.find(marker, start)
+            if i < 0:
+                break
+            depth, j = 0, i
+            while j >= 0:
+                if sql[j] == ")":
+                    depth += 1
+                elif sql[j] == "(":
+                    depth -= 1
+                    if depth == 0:
+                        break
+                j -= 1
+            if sql[j - 6:j] == "length":
+                sql = sql[:j - 6] + "CAST(" + sql[j - 6:i + 1] + " AS INTEGER)" + sql[i + 1:]
+                i += len("CAST(") + len(" AS INTEGER)")
+            start = i + len(marker)
+    return sql
+
+
+SQL = {k: _int_lengths(v) for k, v in SQL.items()}
+SQL["normalize_list"] = SQL["normalize_list"].replace(") AS tokens FROM part", ")::VARCHAR AS tokens FROM part")
