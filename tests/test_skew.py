@@ -1,0 +1,28 @@
+from pyspark.sql import functions as F
+
+from revsift.operators import matching as M
+from revsift.operators.skew import salted_lookup
+
+
+def test_salted_lookup_equals_left_join(spark):
+    big = spark.range(0, 3000).select(F.col("id").alias("row"),
+                                      F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(
+                                          (F.col("id") % 50).cast("string")).alias("k"))
+    lookup = spark.createDataFrame([("hot", 1), ("7", 2), ("none", 3)], "k string, v int")
+    plain = sorted(tuple(r) for r in big.join(lookup, "k", "left").select("row", "k", "v").collect())
+    salted = sorted(tuple(r) for r in salted_lookup(big, lookup, "k", 8, ["row"]).select("row", "k", "v").collect())
+    assert plain == salted
+
+
+def test_cascade_with_a_hot_title(spark):
+    """A third of the model rows share one title; results equal the unsalted cascade."""
+    rows = [(i, "Walk to Work" if i % 3 == 0 else f"paper number {i}", i % 2) for i in range(300)]
+    ai = spark.createDataFrame(rows, "row_id int, title string, relevance int")
+    golden = spark.createDataFrame([("walk to work",), ("paper number 10",), ("paper numbr 11",)], "title string")
+    a = {r.ai_id: r.match_kind for r in M.match_cascade(ai, golden, "row_id", "title", "relevance", "title",
+                                                        salt_buckets=8).collect()}
+    b = {r.ai_id: r.match_kind for r in M.match_cascade(ai, golden, "row_id", "title", "relevance", "title",
+                                                        salt_buckets=1).collect()}
+    assert a == b
+    assert sum(1 for v in a.values() if v == "exact") == 101
+    assert a[11] == "fuzzy" and a[0] == "exact"
