@@ -1,7 +1,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from revsift.operators.metrics import metrics_from_counts, metrics_long, screening_metrics, threshold_label, \
     threshold_sweep

@@ -1,6 +1,5 @@
 import math
 
-from pyspark.sql import functions as F
 
 from revsift.functions.text import clean_list, clean_value, normalize_doi, normalize_title, parse_binary, \
     parse_probability, split_lines, strip_fences, token_sort
