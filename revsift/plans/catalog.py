@@ -250,6 +250,19 @@ def q_checkpoint_rows(spark, d):
     return SC.checkpoint_rows(run, CHECKPOINT_EVERY).select("row_id", "completed", "cum_total_tokens")
 
 
+def q_csv_candidates(spark, d):
+    """Candidates written as CSV (quotes, embedded newlines) and read back by position."""
+    from ..session import scratch_path
+    from ..sources import readers, sinks
+    path = scratch_path(spark, "csv-candidates")
+    docs = I.table(spark, d, "documents").select(F.substring_index("text", "\n", 1).alias("Title"),
+                                                  F.col("text").alias("Abstract"), "doc_id")
+    sinks.write_csv(docs.orderBy("doc_id").select("Title", "Abstract"), path)
+    c = readers.read_candidates(spark, path)
+    return c.select("row_id", F.length("title").alias("title_chars"), F.length("abstract").alias("abstract_chars"),
+                    F.md5("abstract").alias("digest"))
+
+
 def q_skip_existing(spark, d):
     inputs = I.table(spark, d, "documents").select("doc_id")
     done = I.table(spark, d, "labels").select("doc_id")
@@ -453,6 +466,7 @@ QUERIES: dict[str, QueryFn] = {
     "token_totals": q_token_totals,
     "token_running": q_token_running,
     "checkpoint_rows": q_checkpoint_rows,
+    "csv_candidates": q_csv_candidates,
     "skip_existing": q_skip_existing,
     "clean_values": q_clean_values,
     "normalize_doi": q_normalize_doi,

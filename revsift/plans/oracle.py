@@ -308,6 +308,9 @@ SQL["token_running"] = (f"WITH {RUNNING}\nSELECT row_id, completed, cum_input_to
                         "FROM running")
 SQL["checkpoint_rows"] = (f"WITH {RUNNING}\nSELECT row_id, completed, cum_total_tokens::BIGINT AS cum_total_tokens "
                           f"FROM running WHERE completed % {C.CHECKPOINT_EVERY} = 0")
+SQL["csv_candidates"] = ("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, "
+                         "length(split_part(text, chr(10), 1)) AS title_chars, length(text) AS abstract_chars, "
+                         "md5(text) AS digest FROM documents")
 SQL["skip_existing"] = "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
 
 SQL["clean_values"] = (f"SELECT doc_id, length({clean('text')}) AS chars, md5({clean('text')}) AS digest "
@@ -551,7 +554,7 @@ SQL["keep_sections"] = _keep(C.KEEP_ROLES)
 SQL["stream_confusion"] = f"WITH {PAIRS}\nSELECT {COUNTS} FROM pairs"
 
 
-def _int_lengths(sql: str, names=("raw_length", "abstract_chars", "chars", "prompt_chars")) -> str:
+def _int_lengths(sql: str, names=("raw_length", "abstract_chars", "title_chars", "chars", "prompt_chars")) -> str:
     """``length(...) AS name`` → ``CAST(length(...) AS INTEGER) AS name`` (Spark's length is INT)."""
     for name in names:
         marker = f") AS {name}"

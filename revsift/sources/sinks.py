@@ -30,7 +30,8 @@ def _csv_ready(df: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite") -> None:
     """Header CSV, quotes doubled, no index column."""
     (_csv_ready(df).write.mode(mode).option("header", True).option("sep", sep).option("quote", '"')
-     .option("escape", '"').option("encoding", "UTF-8").csv(path))
+     .option("escape", '"').option("encoding", "UTF-8")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_semicolon_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
