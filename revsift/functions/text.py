@@ -7,6 +7,7 @@ an Arrow-batched pandas UDF that returns pure-ASCII input unchanged.
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -20,9 +21,9 @@ from pyspark.sql.types import ArrayType, StringType
 # ---------------------------------------------------------------------------
 # Probability pattern used on model answers, exactly as written (the
 # alternation is not grouped, so "10" parses as 0 and "11" as 1).
-PROB_PATTERN = r"\b0\.\d+|1\.0|0|1\b"
-# Binary relevance pattern.
-BINARY_PATTERN = r"\b([01])\b"
+PROB_PATTERN_AS_WRITTEN = r"\b0\.\d+|1\.0|0|1\b"
+# Binary relevance pattern, as written.
+BINARY_PATTERN_AS_WRITTEN = r"\b([01])\b"
 # Line terminators recognised by Python's str.splitlines().
 LINE_BREAK_PATTERN = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 # Code-fence markers removed before JSON parsing.
@@ -30,6 +31,15 @@ FENCE_OPEN = "```json"
 FENCE = "```"
 # ---------------------------------------------------------------------------
 
+# Python's \b separates [\p{L}\p{N}_] from the rest (str.isalnum() counts "²"
+# and "½"); Java's \b only counts letters and decimal digits. Each \b of the
+# patterns above sits next to a digit, so it is written as a look-behind /
+# look-ahead on Python's word class to give the same matches in Java.
+_PY_WORD = r"[\p{L}\p{N}_]"
+# Python's \d is any decimal digit (Unicode Nd), and float() reads them all.
+PROB_PATTERN = rf"(?<!{_PY_WORD})0\.\p{{Nd}}+|1\.0|0|1(?!{_PY_WORD})"
+BINARY_PATTERN = rf"(?<!{_PY_WORD})([01])(?!{_PY_WORD})"
+
 # White space as Python's str.strip() / str.isspace() see it (fixed values):
 # TAB LF VT FF CR, U+001C..U+001F, SPACE, U+0085, U+00A0, U+1680,
 # U+2000..U+200A, U+2028, U+2029, U+202F, U+205F, U+3000.
@@ -56,10 +66,24 @@ def trim_ws(c) -> Column:
     return F.when(edge, F.regexp_replace(x, _LEADING_TRAILING_WS, "")).otherwise(x)
 
 
+@functools.lru_cache(maxsize=1)
+def _decimal_digit_table():
+    """Non-ASCII decimal digits (Unicode Nd) and their ASCII values, from unicodedata."""
+    src, dst = [], []
+    for cp in range(0x80, 0x110000):
+        ch = chr(cp)
+        if unicodedata.category(ch) == "Nd":
+            src.append(ch)
+            dst.append(str(unicodedata.digit(ch)))
+    return "".join(src), "".join(dst)
+
+
+
 def parse_probability(c) -> Column:
     """First match of PROB_PATTERN in the stripped text as a double, else NULL."""
     hit = F.regexp_extract(trim_ws(c), PROB_PATTERN, 0)
-    return F.nullif(hit, F.lit("")).try_cast("double")
+    nd_from, nd_to = _decimal_digit_table()  # built on first use (driver side only)
+    return F.nullif(F.translate(hit, nd_from, nd_to), F.lit("")).try_cast("double")
 
 
 def parse_binary(c) -> Column:
