@@ -17,9 +17,6 @@ from ..operators.metrics import threshold_label
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
-EXTRA_KEY_OFFSET = 1_000_000
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -84,25 +81,30 @@ def golden_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ai_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(rec_pos, record): model records with missing, altered, duplicated and extra rows."""
+    """(rec_pos, record): model records for every part, with altered values, keys the
+    golden set does not know (missing and extra records) and stale earlier duplicates.
+
+    Each part row yields an array of record versions that is exploded in place;
+    no input row is filtered out. Unknown keys are negative, so they never
+    collide with real part keys at any scale."""
     p = table(spark, sf_dir, "part")
     key = F.col("p_partkey")
-    base = p.where(key % 11 != 0)
+    key_ai = F.when(key % 11 == 0, -2 * key - 2).otherwise(key)
     name = F.when(key % 5 == 0, F.upper(F.regexp_replace("p_name", " ", "_"))).otherwise(F.col("p_name"))
     brand = F.when(key % 4 == 0, F.regexp_replace("p_brand", "#", "-")).otherwise(F.col("p_brand"))
     size = F.when(key % 7 == 0, F.lit(None).cast("int")).otherwise(F.col("p_size"))
     words = F.when(key % 9 == 0, F.array().cast("array<string>")).otherwise(F.reverse(F.split("p_name", " ")))
     typ = F.when(key % 8 == 3, F.concat(F.col("p_type"), F.lit(" GRADE"))).otherwise(F.col("p_type"))
-    good = base.select((key * 2 + 1).alias("rec_pos"),
-                       _record(key, name, brand, typ, size, words).alias("record"))
-    stale = base.where(key % 13 == 0).select(
-        (key * 2).alias("rec_pos"),
-        _record(key, name, brand, F.lit("WRONG"), size, words).alias("record"))
-    extra = p.where(key % 17 == 0).select(
-        (key * 2 + 1 + EXTRA_KEY_OFFSET * 2).alias("rec_pos"),
-        _record(key + EXTRA_KEY_OFFSET, F.col("p_name"), F.col("p_brand"), F.col("p_type"),
-                F.col("p_size"), F.split("p_name", " ")).alias("record"))
-    return good.unionByName(stale).unionByName(extra)
+
+    def version(pos, rec):
+        return F.struct(pos.alias("rec_pos"), rec.alias("record"))
+
+    good = version(key * 4 + 1, _record(key_ai, name, brand, typ, size, words))
+    stale = F.when(key % 13 == 0, version(key * 4, _record(key_ai, name, brand, F.lit("WRONG"), size, words)))
+    extra = F.when(key % 17 == 0, version(key * 4 + 2, _record(-2 * key - 1, F.col("p_name"), F.col("p_brand"),
+                                                                F.col("p_type"), F.col("p_size"),
+                                                                F.split("p_name", " "))))
+    return p.select(F.inline(F.filter(F.array(good, stale, extra), lambda v: v.isNotNull())))
 
 
 # ---------------------------------------------------------------------------
@@ -110,8 +112,8 @@ def ai_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def golden_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Golden (all relevant) papers: even part keys, title = name + type, DOI from the key."""
-    p = table(spark, sf_dir, "part").where(F.col("p_partkey") % 2 == 0)
+    """Golden (all relevant) papers, one per part: title = name + type, DOI from the key."""
+    p = table(spark, sf_dir, "part")
     return p.select(F.col("p_partkey").alias("paper_id"),
                     F.concat_ws(" ", "p_name", "p_type").alias("title"),
                     F.concat(F.lit("10."), F.col("p_partkey").cast("string"), F.lit("/x")).alias("doi"))

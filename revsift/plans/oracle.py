@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from ..functions import stats
 from . import catalog as C
-from .inputs import EXTRA_KEY_OFFSET
 
 Z = "CAST(1.96 AS DOUBLE)"
 Z2 = f"CAST('{repr(stats.Z95 * stats.Z95)}' AS DOUBLE)"
@@ -332,15 +331,16 @@ _TYPE_AI = "CASE WHEN p_partkey % 8 = 3 THEN p_type || ' GRADE' ELSE p_type END"
 RECORDS = f"""g_rec AS (
   SELECT CAST(p_partkey AS VARCHAR) AS record_id, p_partkey AS pos, p_name AS name, p_brand AS brand,
          p_type AS type, p_size AS size, string_split(p_name, ' ') AS words FROM part),
+a_key AS (SELECT *, CASE WHEN p_partkey % 11 = 0 THEN -2 * p_partkey - 2 ELSE p_partkey END AS key_ai FROM part),
 a_all AS (
-  SELECT CAST(p_partkey AS VARCHAR) AS record_id, p_partkey * 2 + 1 AS pos, {_NAME_AI} AS name, {_BRAND_AI} AS brand,
-         {_TYPE_AI} AS type, {_SIZE_AI} AS size, {_WORDS_AI} AS words FROM part WHERE p_partkey % 11 <> 0
+  SELECT {clean('CAST(key_ai AS VARCHAR)')} AS record_id, p_partkey * 4 + 1 AS pos, {_NAME_AI} AS name, {_BRAND_AI} AS brand,
+         {_TYPE_AI} AS type, {_SIZE_AI} AS size, {_WORDS_AI} AS words FROM a_key
   UNION ALL
-  SELECT CAST(p_partkey AS VARCHAR), p_partkey * 2, {_NAME_AI}, {_BRAND_AI}, 'WRONG', {_SIZE_AI}, {_WORDS_AI}
-  FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 13 = 0
+  SELECT {clean('CAST(key_ai AS VARCHAR)')}, p_partkey * 4, {_NAME_AI}, {_BRAND_AI}, 'WRONG', {_SIZE_AI}, {_WORDS_AI}
+  FROM a_key WHERE p_partkey % 13 = 0
   UNION ALL
-  SELECT CAST(p_partkey + {EXTRA_KEY_OFFSET} AS VARCHAR), p_partkey * 2 + 1 + {EXTRA_KEY_OFFSET * 2}, p_name, p_brand,
-         p_type, p_size, string_split(p_name, ' ') FROM part WHERE p_partkey % 17 = 0),
+  SELECT {clean('CAST(-2 * p_partkey - 1 AS VARCHAR)')}, p_partkey * 4 + 2, p_name, p_brand, p_type, p_size,
+         string_split(p_name, ' ') FROM part WHERE p_partkey % 17 = 0),
 a_rec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY pos DESC) AS rn FROM a_all)
           WHERE rn = 1)"""
 
@@ -436,7 +436,7 @@ def _fuzzy_hits(left: str, right: str, name: str) -> str:
 
 
 CASCADE = f"""g AS (SELECT p_partkey AS paper_id, p_name || ' ' || p_type AS title, '10.' || CAST(p_partkey AS VARCHAR) || '/x' AS doi
-      FROM part WHERE p_partkey % 2 = 0),
+      FROM part),
 a AS (SELECT p_partkey AS ai_id, CASE p_partkey % 4
         WHEN 0 THEN '  ' || upper(p_name || ' ' || p_type) || ' '
         WHEN 1 THEN p_type || ' ' || substr(p_name, 2)
