@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
+from .. import defaults as D
+
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the behaviour being evaluated)
 # ---------------------------------------------------------------------------
@@ -216,8 +218,15 @@ def token_sort(c) -> Column:
 
 def error_class(c) -> Column:
     """Classify a failure message: rate_limit / network / other (NULL when no error)."""
-    e = F.lower(col_of(c))
-    return (F.when(col_of(c).isNull(), F.lit(None).cast("string"))
-            .when(col_of(c).contains("429") | e.contains("rate_limit"), F.lit("rate_limit"))
-            .when(e.contains("timeout") | e.contains("connection"), F.lit("network"))
+    raw = col_of(c)
+    e = F.lower(raw)
+    rate = F.lit(False)
+    for i, m in enumerate(D.RATE_LIMIT_MARKERS):
+        rate = rate | (raw.contains(m) if i == 0 else e.contains(m))
+    net = F.lit(False)
+    for m in D.NETWORK_MARKERS:
+        net = net | e.contains(m)
+    return (F.when(raw.isNull(), F.lit(None).cast("string"))
+            .when(rate, F.lit("rate_limit"))
+            .when(net, F.lit("network"))
             .otherwise(F.lit("other")))

@@ -34,6 +34,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
 
 from ..functions.text import normalize_doi, normalize_title, token_sort
+from .. import defaults as D
 from .skew import DEFAULT_BUCKETS, salted_lookup
 
 
@@ -98,7 +99,7 @@ def _prefixes(tokens: DataFrame, freq: DataFrame, threshold: int) -> DataFrame:
     return ranked.select("s", "n", F.inline(kept)).select("s", "n", "bigram", "k")
 
 
-def fuzzy_semi_join(left: DataFrame, right: DataFrame, threshold: int = 90) -> DataFrame:
+def fuzzy_semi_join(left: DataFrame, right: DataFrame, threshold: int = D.FUZZY_THRESHOLD) -> DataFrame:
     """Distinct strings ``s`` of ``left`` having a ``right`` string with ratio >= threshold.
 
     Both inputs hold one string column ``s`` (already token-sorted). Returns
@@ -126,7 +127,7 @@ def fuzzy_semi_join(left: DataFrame, right: DataFrame, threshold: int = 90) -> D
 
 def match_cascade(ai: DataFrame, golden: DataFrame, ai_id: str, ai_title: str, ai_pred: str,
                   golden_title: str, golden_doi: str | None = None, ai_doi: str | None = None,
-                  threshold: int = 90, salt_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                  threshold: int = D.FUZZY_THRESHOLD, salt_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Per model row: ``match_kind`` (id / exact / fuzzy / none) and ``y_true``.
 
     The model identifier defaults to the title column (file stems are DOIs).
@@ -199,7 +200,7 @@ def cascade_counts(matched: DataFrame, golden: DataFrame, unmatched: DataFrame |
 
 
 def unmatched_golden(matched: DataFrame, golden: DataFrame, golden_title: str,
-                     golden_doi: str | None = None, threshold: int = 90) -> DataFrame:
+                     golden_doi: str | None = None, threshold: int = D.FUZZY_THRESHOLD) -> DataFrame:
     """Golden rows that no model row matched by identifier, exact or fuzzy title."""
     g = golden.select("*", normalize_title(F.col(golden_title)).alias("_tn"),
                       (normalize_doi(F.col(golden_doi)) if golden_doi else F.lit(None).cast("string")).alias("_dn"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from .. import defaults as D
 from ..functions.text import col_of
 
 # Metric columns of the bundle, in report order.
@@ -23,7 +24,7 @@ INTERVALS = ["recall_ci", "precision_ci", "specificity_ci", "accuracy_ci",
              "specificity_ac_ci", "accuracy_ac_ci", "balanced_accuracy_ac_ci"]
 
 
-def threshold_label(p, threshold: float = 0.5) -> Column:
+def threshold_label(p, threshold: float = D.THRESHOLD) -> Column:
     """1 when p >= threshold, else 0. NULL and NaN give 0 (pandas semantics)."""
     pc = col_of(p)
     return F.when(pc.isNotNull() & ~F.isnan(pc) & (pc >= F.lit(float(threshold))), F.lit(1)).otherwise(F.lit(0))

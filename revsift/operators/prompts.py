@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import defaults as D
+
 MAX_PARAM_ROWS = 10_000        # parameter tables above these bounds are joined without a broadcast hint
 MAX_PARAM_CHARS = 8 * 1024 * 1024
 
@@ -60,7 +62,8 @@ def screening_prompt(df: DataFrame, criteria: DataFrame, title: str = "title", a
 
 
 def fulltext_prompt(df: DataFrame, criteria: DataFrame, full_text: str = "full_text",
-                    review_id: str = "review_id", max_chars: int = 120_000, out: str = "prompt") -> DataFrame:
+                    review_id: str = "review_id", max_chars: int = D.MAX_FULLTEXT_CHARS,
+                    out: str = "prompt") -> DataFrame:
     """Full-text prompt; the text is cut to ``max_chars`` characters before it is embedded."""
     blocks = _bounded_broadcast(criteria_blocks(criteria).withColumnRenamed("review_id", review_id), "criteria_block")
     j = df.join(blocks, review_id, "left")
@@ -88,7 +91,7 @@ def extraction_prompt(df: DataFrame, fields: DataFrame, example: str, full_text:
     return j.withColumn(out, prompt).drop("field_block")
 
 
-def truncate_text(c, max_chars: int = 120_000) -> Column:
+def truncate_text(c, max_chars: int = D.MAX_FULLTEXT_CHARS) -> Column:
     """First ``max_chars`` characters (code points, like Python slicing)."""
     return F.substring(c if isinstance(c, Column) else F.col(c), 1, max_chars)
 

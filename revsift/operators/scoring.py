@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import error_class
+from .. import defaults as D
 from .ordering import row_index, running_sum
 
 SCORED_FIELDS = [("output_text", "string"), ("input_tokens", "bigint"), ("output_tokens", "bigint"),
@@ -69,7 +70,7 @@ def with_error_class(scored: DataFrame, error: str = "error") -> DataFrame:
 
 
 def retry_failed(scored: DataFrame, inputs: DataFrame, scorer: Scorer, id_col: str = "row_id",
-                 prompt: str = "prompt", retryable: Sequence[str] = ("rate_limit", "network")) -> DataFrame:
+                 prompt: str = "prompt", retryable: Sequence[str] = D.RETRYABLE_CLASSES) -> DataFrame:
     """Re-submit rows whose error class is retryable; keep every other row as it was."""
     classed = with_error_class(scored)
     again_ids = classed.where(F.col("error_class").isin(*retryable)).select(id_col)

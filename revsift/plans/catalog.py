@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .. import defaults as D
 from ..operators import extraction as X
 from ..operators import matching as M
 from ..operators import metrics as MT
@@ -29,8 +30,8 @@ METRIC_COLS = (["tp", "fp", "tn", "fn"] + MT.POINT_METRICS
                + [f"{n}_{e}" for n in MT.INTERVALS for e in ("low", "high")])
 THRESHOLDS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
 SHARDS = 4
-CHECKPOINT_EVERY = 100
-FUZZY_THRESHOLD = 90
+CHECKPOINT_EVERY = D.CHECKPOINT_EVERY_TITLE_ABSTRACT
+FUZZY_THRESHOLD = D.FUZZY_THRESHOLD
 LENIENT = {"type": X.TOKEN_SUBSET}
 KEEP_ROLES = ["assistant", "system"]
 
@@ -163,7 +164,7 @@ def q_first_n_candidates(spark, d):
 
 def q_truncate_text(spark, d):
     docs = I.table(spark, d, "documents")
-    t = PR.truncate_text("text", 120_000)
+    t = PR.truncate_text("text", D.MAX_FULLTEXT_CHARS)
     return docs.select("doc_id", F.length(t).alias("chars"), F.md5(t).alias("digest"))
 
 
@@ -206,7 +207,7 @@ def _docs(spark, d):
 
 
 def q_render_fulltext_prompt(spark, d):
-    p = PR.fulltext_prompt(_docs(spark, d), criteria_table(spark), max_chars=120_000)
+    p = PR.fulltext_prompt(_docs(spark, d), criteria_table(spark), max_chars=D.MAX_FULLTEXT_CHARS)
     return p.select("row_id", F.length("prompt").alias("prompt_chars"), F.md5("prompt").alias("digest"))
 
 

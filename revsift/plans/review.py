@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_probability
+from .. import defaults as D
 from ..operators import extraction as X
 from ..operators import matching as M
 from ..operators import metrics as MT
@@ -39,15 +40,15 @@ def _score_and_label(prompts: DataFrame, scorer, threshold: float, raw_path: str
     return scored.withColumn("probability", p).withColumn("relevance", MT.threshold_label(p, threshold))
 
 
-def screen_title_abstract(candidates: DataFrame, criteria: DataFrame, scorer, threshold: float = 0.5,
+def screen_title_abstract(candidates: DataFrame, criteria: DataFrame, scorer, threshold: float = D.THRESHOLD,
                           raw_path: str | None = None, partitions: int | None = None) -> DataFrame:
     """candidates(row_id, title, abstract, review_id) → scored rows with probability and relevance."""
     prompts = PR.screening_prompt(candidates, criteria)
     return _score_and_label(prompts, scorer, threshold, raw_path, partitions, ["title"])
 
 
-def screen_full_text(docs: DataFrame, criteria: DataFrame, scorer, threshold: float = 0.5,
-                     drop: Sequence[str] = SE.DEFAULT_DROP, max_chars: int = 120_000,
+def screen_full_text(docs: DataFrame, criteria: DataFrame, scorer, threshold: float = D.THRESHOLD,
+                     drop: Sequence[str] = SE.DEFAULT_DROP, max_chars: int = D.MAX_FULLTEXT_CHARS,
                      raw_path: str | None = None, partitions: int | None = None) -> DataFrame:
     """docs(row_id, title, full_text, review_id) → cleaned, truncated, scored, labelled rows."""
     cleaned = SE.drop_sections(docs, "full_text", "_clean", drop).drop("full_text") \
@@ -84,7 +85,7 @@ def evaluate_by_position(ai: DataFrame, golden: DataFrame, ai_order: Sequence, g
 
 def evaluate_with_cascade(ai: DataFrame, golden: DataFrame, ai_id: str = "row_id", ai_title: str = "title",
                           ai_pred: str = "relevance", golden_title: str = "title",
-                          golden_doi: str | None = None, threshold: int = 90) -> ScreeningReport:
+                          golden_doi: str | None = None, threshold: int = D.FUZZY_THRESHOLD) -> ScreeningReport:
     """Full-text evaluation against an all-relevant golden list (id → exact → fuzzy title)."""
     matched = M.match_cascade(ai, golden, ai_id, ai_title, ai_pred, golden_title, golden_doi, threshold=threshold)
     matched = matched.checkpoint(eager=True)  # read by three outputs: materialise once
