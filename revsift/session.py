@@ -19,6 +19,12 @@ SCALE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # AQE sizes reducers from measured shuffle output: start with many shuffle
+    # partitions on a cluster and let it coalesce towards this size.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
+    # text-heavy rows (whole documents, prompts): smaller scan splits keep a task's
+    # Python batches and line arrays well inside executor memory
+    "spark.sql.files.maxPartitionBytes": "64MB",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.autoBroadcastJoinThreshold": "16MB",
     "spark.sql.session.timeZone": "UTC",

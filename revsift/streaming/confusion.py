@@ -45,6 +45,19 @@ def run_available(stream: DataFrame, out_path: str, checkpoint: str) -> None:
     q.awaitTermination()
 
 
+def update_confusion_counts(spark: SparkSession, incoming: str, golden: DataFrame, out_path: str,
+                            checkpoint: str, key: str = "doc_id", truth: str = "quality",
+                            threshold: float = 0.5) -> DataFrame:
+    """Process the answer files that arrived in ``incoming`` since the last call.
+
+    Call it again after new files land: the checkpoint remembers which files
+    were read and the running counts, so each file is counted exactly once and
+    the table at ``out_path`` always holds the totals so far."""
+    answers = spark.readStream.schema(ANSWER_SCHEMA).option("maxFilesPerTrigger", 1).parquet(incoming)
+    run_available(confusion_stream(answers, golden, key, truth, threshold), out_path, checkpoint)
+    return spark.read.parquet(out_path)
+
+
 def stream_confusion_counts(spark: SparkSession, sf_dir: str, files: int = 4) -> DataFrame:
     """Stage the derived answers as ``files`` files, stream them, return the final counts."""
     from ..plans.inputs import screening_responses, table
@@ -53,8 +66,5 @@ def stream_confusion_counts(spark: SparkSession, sf_dir: str, files: int = 4) ->
     incoming = f"{base}/incoming"
     (screening_responses(spark, sf_dir).select("doc_id", "response")
      .repartition(files, F.col("doc_id") % files).write.parquet(incoming))
-    answers = spark.readStream.schema(ANSWER_SCHEMA).option("maxFilesPerTrigger", 1).parquet(incoming)
-    golden = table(spark, sf_dir, "labels")
-    out = f"{base}/counts"
-    run_available(confusion_stream(answers, golden), out, f"{base}/checkpoint")
-    return spark.read.parquet(out)
+    return update_confusion_counts(spark, incoming, table(spark, sf_dir, "labels"), f"{base}/counts",
+                                   f"{base}/checkpoint")

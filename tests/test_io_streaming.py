@@ -54,3 +54,19 @@ def test_stream_equals_batch(spark):
     streamed = stream_confusion_counts(spark, SF).first()
     batch = QUERIES["screening_metrics"](spark, SF).first()
     assert (streamed.tp, streamed.fp, streamed.tn, streamed.fn) == (batch.tp, batch.fp, batch.tn, batch.fn)
+
+
+def test_stream_resumes_with_new_files(spark, tmp_dir):
+    from revsift.plans.inputs import screening_responses, table
+    from revsift.streaming.confusion import update_confusion_counts
+
+    answers = screening_responses(spark, SF).select("doc_id", "response")
+    golden = table(spark, SF, "labels")
+    incoming, out, ckpt = f"{tmp_dir}/in", f"{tmp_dir}/out", f"{tmp_dir}/ckpt"
+    answers.where("doc_id < 100").write.parquet(f"{incoming}/batch1")
+    first = update_confusion_counts(spark, f"{incoming}/*", golden, out, ckpt).first()
+    answers.where("doc_id >= 100").write.parquet(f"{incoming}/batch2")
+    second = update_confusion_counts(spark, f"{incoming}/*", golden, out, ckpt).first()
+    batch = QUERIES["screening_metrics"](spark, SF).first()
+    assert (second.tp, second.fp, second.tn, second.fn) == (batch.tp, batch.fp, batch.tn, batch.fn)
+    assert first.tp + first.fp + first.tn + first.fn < second.tp + second.fp + second.tn + second.fn
