@@ -22,7 +22,9 @@ ratio >= t"), done without a cartesian product:
 * candidates are verified with an exact bit-parallel LCS (Arrow pandas UDF).
 
 Pairs with S < 3 (one-character strings) are found by the exact-equality join
-that runs first.
+that runs first. The overlap bound is positive for every S >= 3 only when
+t >= 89, so other thresholds are rejected rather than answered approximately
+(the evaluated workflow uses 90).
 """
 
 from __future__ import annotations
@@ -105,8 +107,10 @@ def fuzzy_semi_join(left: DataFrame, right: DataFrame, threshold: int = D.FUZZY_
     Both inputs hold one string column ``s`` (already token-sorted). Returns
     the matching ``s`` values — only existence matters.
     """
-    if not 50 < threshold <= 100:
-        raise ValueError("threshold must be in (50, 100]")
+    # The overlap bound ((3t - 200) * S - 200) / 200 must be positive for every
+    # pair that equality does not cover (S >= 3): that holds for t >= 89.
+    if not 89 <= threshold <= 100:
+        raise ValueError("bigram prefix blocking is lossless for thresholds 89..100 only")
     L = left.select("s").where(F.col("s").isNotNull()).distinct()
     R = right.select("s").where(F.col("s").isNotNull()).distinct()
     exact = L.join(R, "s", "left_semi")
