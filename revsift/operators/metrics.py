@@ -48,7 +48,9 @@ def metrics_from_counts(counts: DataFrame, extra_fn: Column | None = None) -> Da
     """Add every metric of the bundle to a table holding tp, fp, tn, fn.
 
     ``extra_fn`` adds to FN before the metrics are taken (unmatched golden rows
-    counted as missed, without materialising padding rows).
+    counted as missed, without materialising padding rows). All metrics are
+    one projection (a single analysis pass; Catalyst would inline stacked
+    projections anyway).
     """
     c = counts
     if extra_fn is not None:
@@ -59,15 +61,12 @@ def metrics_from_counts(counts: DataFrame, extra_fn: Column | None = None) -> Da
     prec = S.precision(tp, fp)
     spec = S.specificity(tn, fp)
     acc = S.accuracy(tp, fp, tn, fn)
-    c = c.select("*", rec.alias("recall"), prec.alias("precision"), spec.alias("specificity"),
-                 acc.alias("accuracy"), total.alias("total"))
-    rec, prec, spec, acc = (F.col(x) for x in ("recall", "precision", "specificity", "accuracy"))
     bal = S.balanced_accuracy(rec, spec)
     f1 = S.f1(prec, rec)
-    ws = S.work_saved(tn, fn, F.col("total"))
-    c = c.select("*", bal.alias("balanced_accuracy"), f1.alias("f1"), ws.alias("work_saved"))
-    bal, ws = F.col("balanced_accuracy"), F.col("work_saved")
-    cols = [S.wss(rec, ws).alias("wss")]
+    ws = S.work_saved(tn, fn, total)
+    cols = [total.alias("total"), rec.alias("recall"), prec.alias("precision"), spec.alias("specificity"),
+            acc.alias("accuracy"), bal.alias("balanced_accuracy"), f1.alias("f1"), ws.alias("work_saved"),
+            S.wss(rec, ws).alias("wss")]
 
     def add(name, pair):
         cols.extend([pair[0].alias(name + "_low"), pair[1].alias(name + "_high")])
@@ -75,17 +74,16 @@ def metrics_from_counts(counts: DataFrame, extra_fn: Column | None = None) -> Da
     add("recall_ci", S.wald_interval(rec, tp + fn))
     add("precision_ci", S.wald_interval(prec, tp + fp))
     add("specificity_ci", S.wald_interval(spec, tn + fp))
-    add("accuracy_ci", S.wald_interval(acc, F.col("total")))
-    add("balanced_accuracy_ci", S.wald_interval(bal, F.col("total")))
-    add("recall_ac_ci", S.agresti_coull_interval(tp, tp + fn))
+    add("accuracy_ci", S.wald_interval(acc, total))
+    add("balanced_accuracy_ci", S.wald_interval(bal, total))
+    rec_ac = S.agresti_coull_interval(tp, tp + fn)
+    spec_ac = S.agresti_coull_interval(tn, tn + fp)
+    add("recall_ac_ci", rec_ac)
     add("precision_ac_ci", S.agresti_coull_interval(tp, tp + fp))
-    add("specificity_ac_ci", S.agresti_coull_interval(tn, tn + fp))
-    add("accuracy_ac_ci", S.agresti_coull_interval(tp + tn, F.col("total")))
-    c = c.select("*", *cols)
-    bal_lo = (F.col("recall_ac_ci_low") + F.col("specificity_ac_ci_low")) / F.lit(2.0)
-    bal_hi = (F.col("recall_ac_ci_high") + F.col("specificity_ac_ci_high")) / F.lit(2.0)
-    return c.select("*", bal_lo.alias("balanced_accuracy_ac_ci_low"),
-                    bal_hi.alias("balanced_accuracy_ac_ci_high"))
+    add("specificity_ac_ci", spec_ac)
+    add("accuracy_ac_ci", S.agresti_coull_interval(tp + tn, total))
+    add("balanced_accuracy_ac_ci", ((rec_ac[0] + spec_ac[0]) / F.lit(2.0), (rec_ac[1] + spec_ac[1]) / F.lit(2.0)))
+    return c.select("*", *cols)
 
 
 def screening_metrics(df: DataFrame, y_true="y_true", y_pred="y_pred",
