@@ -154,6 +154,27 @@ def coverage(human_keys: DataFrame, ai_keys: DataFrame, key: str = "record_id")
                                              F.col("human_records").cast("double")))
 
 
+def extraction_counts(human_keys: DataFrame, ai_keys: DataFrame, cells: DataFrame,
+                      key: str = "record_id") -> DataFrame:
+    """The run's row counts in one row, from one aggregate over the tagged union of
+    the inputs (no join): records loaded per side (one key row per loaded
+    record), distinct entries, union, matched, compared cells and errors."""
+    k = F.col(key).cast("string")
+    tagged = (human_keys.select(F.lit(0).alias("_s"), k.alias("_k"), F.lit(None).cast("boolean").alias("_c"))
+              .unionAll(ai_keys.select(F.lit(1).alias("_s"), k.alias("_k"), F.lit(None).cast("boolean").alias("_c")))
+              .unionAll(cells.select(F.lit(2).alias("_s"), F.lit(None).cast("string").alias("_k"),
+                                     F.col("correct").alias("_c"))))
+    s, kk = F.col("_s"), F.col("_k")
+    counts = tagged.agg(
+        F.count_if(s == 0).alias("human_loaded"), F.count_if(s == 1).alias("ai_loaded"),
+        F.count_distinct(F.when(s == 0, kk)).alias("human_records"),
+        F.count_distinct(F.when(s == 1, kk)).alias("ai_records"),
+        F.count_distinct(F.when(s < 2, kk)).alias("union_records"),
+        F.count_if(s == 2).alias("cells"), F.count_if((s == 2) & ~F.col("_c")).alias("errors"))
+    return counts.withColumn("matched_records",
+                             F.col("human_records") + F.col("ai_records") - F.col("union_records"))
+
+
 def extraction_errors(cells: DataFrame) -> DataFrame:
     return cells.filter(~F.col("correct"))
 

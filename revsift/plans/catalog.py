@@ -356,6 +356,10 @@ def q_extraction_coverage(spark, d):
     return X.coverage(_keys(I.golden_records(spark, d)), _keys(I.ai_records(spark, d)))
 
 
+def q_extraction_counts(spark, d):
+    return X.extraction_counts(_keys(I.golden_records(spark, d)), _keys(I.ai_records(spark, d)), _cells(spark, d))
+
+
 def q_extraction_lenient(spark, d):
     return X.field_accuracy(_cells(spark, d, LENIENT))
 
@@ -483,6 +487,7 @@ QUERIES: dict[str, QueryFn] = {
     "field_accuracy": q_field_accuracy,
     "study_accuracy": q_study_accuracy,
     "extraction_coverage": q_extraction_coverage,
+    "extraction_counts": q_extraction_counts,
     "extraction_lenient": q_extraction_lenient,
     "doi_match": q_doi_match,
     "title_match": q_title_match,

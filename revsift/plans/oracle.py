@@ -394,6 +394,13 @@ SELECT COUNT(h) AS human_records, COUNT(a) AS ai_records, COUNT(*) AS union_reco
   COUNT(*) FILTER (WHERE h IS NOT NULL AND a IS NOT NULL) AS matched_records,
   CAST(COUNT(*) FILTER (WHERE h IS NOT NULL AND a IS NOT NULL) AS DOUBLE) / CAST(COUNT(h) AS DOUBLE) AS coverage
 FROM j"""
+SQL["extraction_counts"] = f"""WITH {_cells()},
+hk AS (SELECT DISTINCT record_id FROM g_rec), ak AS (SELECT DISTINCT record_id FROM a_all)
+SELECT (SELECT COUNT(*) FROM g_rec) AS human_loaded, (SELECT COUNT(*) FROM a_all) AS ai_loaded,
+  (SELECT COUNT(*) FROM hk) AS human_records, (SELECT COUNT(*) FROM ak) AS ai_records,
+  (SELECT COUNT(*) FROM (SELECT record_id FROM hk UNION SELECT record_id FROM ak)) AS union_records,
+  (SELECT COUNT(*) FROM cells) AS cells, (SELECT COUNT(*) FROM cells WHERE NOT correct) AS errors,
+  (SELECT COUNT(*) FROM hk WHERE record_id IN (SELECT record_id FROM ak)) AS matched_records"""
 SQL["extraction_lenient"] = (f"WITH {_cells(True)}\nSELECT field, avg(CAST(correct AS INTEGER)) AS accuracy FROM cells "
                              "GROUP BY field")
 
