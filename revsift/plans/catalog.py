@@ -217,7 +217,10 @@ def q_render_extraction_prompt(spark, d):
 
 
 def _scored(spark, d):
-    return SC.score_rows(_prompts(spark, d), I.demo_scorer, "row_id", "prompt")
+    # model calls dominate the cost of a scoring row, so the prompts are spread
+    # over all task slots (round robin) rather than following the scan layout
+    slots = spark.sparkContext.defaultParallelism
+    return SC.score_rows(_prompts(spark, d), I.demo_scorer, "row_id", "prompt", partitions=slots)
 
 
 def q_score_batch(spark, d):
