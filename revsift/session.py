@@ -30,6 +30,8 @@ SCALE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",  # full-text prompts: keep Arrow batches small
+    # JSON objects with a repeated key keep the last value, as Python's json.loads does
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -72,6 +74,14 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def configure_semantics(spark: SparkSession) -> None:
+    """Session settings the parsing semantics depend on (safe to call repeatedly)."""
+    try:
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    except Exception:  # a locked-down session keeps Spark's default (duplicate keys → NULL)
+        pass
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 

@@ -87,3 +87,9 @@ def test_flatten_rules(spark):
 def test_last_wins_generic(spark):
     df = spark.createDataFrame([("a", 1, "old"), ("a", 3, "new"), ("b", 2, "only")], "k string, pos int, v string")
     assert sorted(tuple(r) for r in last_wins(df, "k", "pos").collect()) == [("a", 3, "new"), ("b", 2, "only")]
+
+
+def test_duplicate_json_keys_keep_the_last_value(spark):
+    df = spark.createDataFrame([(1, '{"ref": "a", "x": "1", "x": "2"}')], "id int, output_text string")
+    rec = flatten_records(parse_json_response(df), ["id"]).first().record
+    assert json.loads(rec.toJson()) == {"ref": "a", "x": "2"}
