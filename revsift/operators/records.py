@@ -72,8 +72,19 @@ def response_audit(df: DataFrame, id_col: str, text: str = "output_text") -> Dat
 # ---------------------------------------------------------------------------
 
 def variant_text(v: Column) -> Column:
-    """Scalar variant as text (strings unquoted, numbers and booleans printed)."""
-    return F.try_variant_get(v, "$", _STR)
+    """Scalar variant as the text Python's ``str()`` gives the parsed JSON value.
+
+    Strings come unquoted, and booleans print as in JSON (value cleaning lower-cases
+    Python's ``True`` anyway). A JSON number with a fraction or exponent is a
+    float in Python, so ``86.0`` prints as ``86.0``, not ``86``: decimals keep
+    at least one fractional digit and drop trailing zeros. This holds within
+    the usual positional range; Spark stores such numbers as DECIMAL."""
+    t = F.try_variant_get(v, "$", _STR)
+    is_decimal = F.startswith(F.schema_of_variant(v), F.lit("DECIMAL"))
+    trimmed = F.regexp_replace(t, r"0+$", "")
+    as_float = F.when(~t.contains("."), F.concat(t, F.lit(".0"))) \
+        .when(trimmed.endswith("."), F.concat(trimmed, F.lit("0"))).otherwise(trimmed)
+    return F.when(is_decimal, as_float).otherwise(t)
 
 
 def record_key(rec: Column, key_fields: Sequence[str], sep: str = "||") -> Column:

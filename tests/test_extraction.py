@@ -93,3 +93,13 @@ def test_duplicate_json_keys_keep_the_last_value(spark):
     df = spark.createDataFrame([(1, '{"ref": "a", "x": "1", "x": "2"}')], "id int, output_text string")
     rec = flatten_records(parse_json_response(df), ["id"]).first().record
     assert json.loads(rec.toJson()) == {"ref": "a", "x": "2"}
+
+
+def test_json_numbers_print_like_python(spark):
+    human = [{"ref": "1", "v": 86.0, "w": 72.50, "n": 5, "b": True, "z": 0.10}]
+    ai = [{"ref": "1", "v": "86.0", "w": "72.5", "n": "5", "b": "true", "z": "0.1"}]
+    cells = X.compare_records(X.latest_records(records(spark, human), ["ref"]),
+                              X.latest_records(records(spark, ai), ["ref"]), ["ref"])
+    got = {r.field: (r.human, r.correct) for r in cells.collect()}
+    assert got == {"v": ("86.0", True), "w": ("72.5", True), "n": ("5", True), "b": ("true", True),
+                   "z": ("0.1", True)}
