@@ -28,14 +28,23 @@ Scorer = Callable[[object, str], dict]
 
 
 def score_rows(df: DataFrame, scorer: Scorer, id_col: str = "row_id", prompt: str = "prompt",
-               partitions: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """One output row per input row: id, kept columns, answer text, token counts, error."""
+               partitions: int | None = None, keep: Sequence[str] = (),
+               shard_col: str | None = None) -> DataFrame:
+    """One output row per input row: id, kept columns, answer text, token counts, error.
+
+    With ``shard_col`` (see ``assign_shards``), rows are hash-partitioned by
+    shard into ``partitions`` tasks and the scorer is called as
+    ``scorer(row_id, prompt, shard)``, so each task serves its own keys."""
     id_type = dict(df.dtypes)[id_col]
+    if shard_col and shard_col not in keep:
+        keep = [*keep, shard_col]
     keep_types = [(c, dict(df.dtypes)[c]) for c in keep]
     schema = ", ".join([f"{id_col} {id_type}"] + [f"`{c}` {t}" for c, t in keep_types]
                        + [f"{n} {t}" for n, t in SCORED_FIELDS])
     src = df.select(id_col, *keep, prompt)
-    if partitions:
+    if shard_col:
+        src = src.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism, shard_col)
+    elif partitions:
         src = src.repartition(partitions)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -44,9 +53,10 @@ def score_rows(df: DataFrame, scorer: Scorer, id_col: str = "row_id", prompt: st
             for c in keep:
                 out[c] = b[c].tolist()
             texts, ins, outs, tots, errs = [], [], [], [], []
-            for rid, p in zip(b[id_col], b[prompt]):
+            shards = b[shard_col] if shard_col else [None] * len(b)
+            for rid, p, sh in zip(b[id_col], b[prompt], shards):
                 try:
-                    r = scorer(rid, p)
+                    r = scorer(rid, p, sh) if shard_col else scorer(rid, p)
                     texts.append(r.get("output_text"))
                     ins.append(int(r.get("input_tokens", 0) or 0))
                     outs.append(int(r.get("output_tokens", 0) or 0))

@@ -60,3 +60,16 @@ def test_shards_round_robin(spark):
     df = spark.createDataFrame([(i,) for i in (5, 1, 9, 3)], "row_id int")
     got = {r.row_id: r.shard for r in SC.assign_shards(df, ["row_id"], 2).collect()}
     assert got == {1: 0, 3: 1, 5: 0, 9: 1}
+
+
+def test_scoring_by_shard(spark):
+    df = spark.createDataFrame([(i, "abc") for i in range(40)], "row_id bigint, prompt string")
+    sharded = SC.assign_shards(df, ["row_id"], 4)
+
+    def scorer(rid, prompt, shard):
+        assert shard == rid % 4  # round robin by position; positions equal ids here
+        return {"output_text": f"key{shard}", "input_tokens": 1, "output_tokens": 1, "total_tokens": 2}
+
+    out = SC.score_rows(sharded, scorer, partitions=4, shard_col="shard")
+    rows = out.collect()
+    assert len(rows) == 40 and all(r.error is None and r.output_text == f"key{r.shard}" for r in rows)
