@@ -11,14 +11,16 @@ from .ordering import row_index
 
 
 def pair_by_key(human: DataFrame, ai: DataFrame, key: str | Sequence[str],
-                truth: str = "relevance", pred: str = "relevance") -> DataFrame:
+                truth: str = "relevance", pred: str = "relevance", keep_human: Sequence[str] = (),
+                keep_ai: Sequence[str] = ()) -> DataFrame:
     """Inner equi-join of golden and predicted labels on an explicit key.
 
     The preferred form of pairing: a plain shuffle (or AQE broadcast) join,
-    ``y_true``/``y_pred`` as the label columns."""
+    ``y_true``/``y_pred`` as the label columns; kept columns are prefixed
+    ``human_`` / ``ai_`` (the false-negative list shows the golden ones)."""
     keys = [key] if isinstance(key, str) else list(key)
-    h = human.select(*keys, F.col(truth).alias("y_true"))
-    a = ai.select(*keys, F.col(pred).alias("y_pred"))
+    h = human.select(*keys, F.col(truth).alias("y_true"), *[F.col(c).alias("human_" + c) for c in keep_human])
+    a = ai.select(*keys, F.col(pred).alias("y_pred"), *[F.col(c).alias("ai_" + c) for c in keep_ai])
     return h.join(a, keys, "inner")
 
 

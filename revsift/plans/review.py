@@ -66,7 +66,9 @@ class ScreeningReport:
 
 def evaluate_by_key(ai: DataFrame, golden: DataFrame, key: str | Sequence[str],
                     truth: str = "relevance", pred: str = "relevance") -> ScreeningReport:
-    paired = P.pair_by_key(golden, ai, key, truth, pred)
+    keys = [key] if isinstance(key, str) else list(key)
+    keep = [c for c in golden.columns if c not in keys and c != truth]
+    paired = P.pair_by_key(golden, ai, key, truth, pred, keep_human=keep)
     return ScreeningReport(paired, MT.screening_metrics(paired), P.false_negatives(paired))
 
 

@@ -100,3 +100,11 @@ def test_key_field_can_still_be_scored(spark):
     rep = review.evaluate_extraction(golden, ai, ["n", "crit"], skip_fields=["crit", "ref"])
     cells = {(r.record, r.field): r.correct for r in rep.cells.collect()}
     assert cells == {("1||a", "n"): True, ("1||a", "v"): True, ("2||b", "n"): False, ("2||b", "v"): False}
+
+
+def test_false_negatives_keep_golden_columns(spark):
+    golden = spark.createDataFrame([(1, "Paper A", 1), (2, "Paper B", 1), (3, "Paper C", 0)],
+                                   "row_id int, title string, relevance int")
+    ai = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "row_id int, relevance int")
+    fn = review.evaluate_by_key(ai, golden, "row_id").false_negatives.collect()
+    assert [(r.row_id, r.human_title) for r in fn] == [(2, "Paper B")]
