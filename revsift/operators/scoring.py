@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.text import error_class
 from .. import defaults as D
 from .ordering import row_index, running_sum
+from .skew import salted_lookup
 
 SCORED_FIELDS = [("output_text", "string"), ("input_tokens", "bigint"), ("output_tokens", "bigint"),
                  ("total_tokens", "bigint"), ("error", "string")]
@@ -106,14 +107,29 @@ def assign_shards(df: DataFrame, order_by: Sequence, k: int, name: str = "shard"
     return idx.withColumn(name, (F.col("_idx") % F.lit(k)).cast("int")).drop("_idx")
 
 
-def running_tokens(scored: DataFrame, order_by: Sequence, block_size: int = 1 << 20) -> DataFrame:
+def running_tokens(scored: DataFrame, order_by: Sequence, block_size: int = 1 << 20,
+                   run_col: str | None = None) -> DataFrame:
     """Cumulative token totals in row order (``completed`` = 1-based position).
 
-    Only the ordering columns and the token counts are sorted and checkpointed."""
+    Only the ordering columns and the token counts are sorted and checkpointed.
+    With ``run_col``, totals and positions restart for every run: rows are
+    ordered by (run, order) globally, and each run's starting offsets (one row
+    per run) are subtracted through a salted lookup, so a run holding most of
+    the rows still spreads over many tasks."""
     cols = ["input_tokens", "output_tokens", "total_tokens"]
-    keys = [c for c in order_by if isinstance(c, str)]
-    idx = row_index(scored.select(*dict.fromkeys(keys + cols)), order_by, "_idx")
+    order = ([run_col] if run_col else []) + list(order_by)
+    keys = [c for c in order if isinstance(c, str)]
+    idx = row_index(scored.select(*dict.fromkeys(keys + cols)), order, "_idx")
     out = running_sum(idx, "_idx", cols, ["cum_" + c for c in cols], block_size)
+    if run_col:
+        starts = out.groupBy(run_col).agg(
+            F.min("_idx").alias("_first"),
+            *[F.min(F.col("cum_" + c) - F.coalesce(F.col(c), F.lit(0))).alias("_base_" + c) for c in cols])
+        out = salted_lookup(out, starts, run_col)
+        for c in cols:
+            out = out.withColumn("cum_" + c, F.col("cum_" + c) - F.col("_base_" + c))
+        out = out.withColumn("_idx", F.col("_idx") - F.col("_first")) \
+            .drop("_first", *["_base_" + c for c in cols])
     return out.withColumn("completed", F.col("_idx") + 1).drop("_idx")
 
 

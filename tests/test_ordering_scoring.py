@@ -73,3 +73,15 @@ def test_scoring_by_shard(spark):
     out = SC.score_rows(sharded, scorer, partitions=4, shard_col="shard")
     rows = out.collect()
     assert len(rows) == 40 and all(r.error is None and r.output_text == f"key{r.shard}" for r in rows)
+
+
+def test_running_tokens_restart_per_run(spark):
+    rows = [(run, i, 10 * run + i) for run in (1, 2) for i in range(5)] + [(3, 0, 7)]
+    df = spark.createDataFrame(rows, "run int, row_id bigint, total_tokens bigint") \
+        .withColumn("input_tokens", F.lit(1).cast("bigint")).withColumn("output_tokens", F.lit(None).cast("bigint"))
+    got = {(r.run, r.row_id): (r.completed, r.cum_total_tokens, r.cum_input_tokens, r.cum_output_tokens)
+           for r in SC.running_tokens(df, ["row_id"], block_size=3, run_col="run").collect()}
+    assert got[(1, 4)] == (5, 10 + 11 + 12 + 13 + 14, 5, 0)
+    assert got[(2, 0)] == (1, 20, 1, 0)
+    assert got[(2, 4)] == (5, 20 + 21 + 22 + 23 + 24, 5, 0)
+    assert got[(3, 0)] == (1, 7, 1, 0)
