@@ -103,3 +103,16 @@ def test_threshold_sweep_equals_single_thresholds(spark):
     for t in (0.25, 0.5, 0.9):
         single = screening_metrics(df.withColumn("y_pred", threshold_label("probability", t))).first()
         assert sweep[t] == (single.tp, single.fp, single.tn, single.fn)
+
+
+def test_metrics_bit_identical_on_random_counts(spark):
+    import random
+    rnd = random.Random(23)
+    quads = [tuple(rnd.choice([0, 0, 1, 2, rnd.randint(0, 50), rnd.randint(0, 10**6)]) for _ in range(4))
+             for _ in range(300)]
+    df = spark.createDataFrame([(i, *q) for i, q in enumerate(quads)], "i int, tp bigint, fp bigint, tn bigint, fn bigint")
+    rows = {r.i: r.asDict() for r in metrics_from_counts(df).collect()}
+    for i, q in enumerate(quads):
+        ref = _python_reference(*q)
+        for k, v in ref.items():
+            assert rows[i][k] == v, (q, k, rows[i][k], v)
