@@ -70,3 +70,26 @@ def test_stream_resumes_with_new_files(spark, tmp_dir):
     batch = QUERIES["screening_metrics"](spark, SF).first()
     assert (second.tp, second.fp, second.tn, second.fn) == (batch.tp, batch.fp, batch.tn, batch.fn)
     assert first.tp + first.fp + first.tn + first.fn < second.tp + second.fp + second.tn + second.fn
+
+
+def test_threshold_dead_letter_and_json_writers(spark, tmp_dir):
+    from revsift.operators.metrics import threshold_label
+    from revsift.plans.inputs import demo_scorer
+    from revsift.operators.scoring import score_rows
+
+    probs = spark.createDataFrame([(i, i / 10.0) for i in range(11)], "row_id int, probability double")
+    stamped = probs.select("row_id", F.explode(F.array(F.lit(0.5), F.lit(0.8))).alias("threshold"), "probability")
+    stamped = stamped.withColumn("relevance", F.when(F.col("probability") >= F.col("threshold"), 1).otherwise(0))
+    sinks.write_by_threshold(stamped, f"{tmp_dir}/thr")
+    back = spark.read.option("header", True).csv(f"{tmp_dir}/thr")
+    assert sorted(r.threshold for r in back.select("threshold").distinct().collect()) == [0.5, 0.8]
+    assert back.where("threshold = 0.5 AND relevance = '1'").count() == 6
+    assert probs.select(threshold_label("probability", 0.8).alias("l")).where("l = 1").count() == 3
+
+    prompts = spark.createDataFrame([(i, "p") for i in range(20)], "row_id bigint, prompt string")
+    scored = score_rows(prompts, demo_scorer)
+    sinks.write_raw_responses(scored, f"{tmp_dir}/raw")
+    sinks.write_dead_letter(spark.read.parquet(f"{tmp_dir}/raw"), f"{tmp_dir}/dead")
+    assert sorted(r.row_id for r in spark.read.parquet(f"{tmp_dir}/dead").collect()) == [7, 13]
+    sinks.write_json(scored.where("error IS NULL"), f"{tmp_dir}/json")
+    assert spark.read.json(f"{tmp_dir}/json").count() == 18
