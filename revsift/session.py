@@ -67,7 +67,16 @@ def ship_package(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    out = tempfile.mkdtemp(prefix="revsift-pkg-")
+    shared = ensure_checkpoint_dir(spark)
+    local_view = shared[len("file:"):] if shared.startswith("file:") else shared
+    if local_view.startswith("/"):
+        # the shared checkpoint folder is mounted here: build the archive there
+        out = os.path.join(local_view, f"revsift-pkg-{app}")
+        os.makedirs(out, exist_ok=True)
+    else:
+        # remote-only storage: build the archive beside the driver; addPyFile then
+        # serves it to the executors from the driver
+        out = tempfile.mkdtemp(prefix="revsift-pkg-")
     archive = shutil.make_archive(os.path.join(out, "revsift"), "zip", root_dir=os.path.dirname(pkg_dir),
                                   base_dir=os.path.basename(pkg_dir))
     sc.addPyFile(archive)
