@@ -93,3 +93,12 @@ def test_threshold_dead_letter_and_json_writers(spark, tmp_dir):
     assert sorted(r.row_id for r in spark.read.parquet(f"{tmp_dir}/dead").collect()) == [7, 13]
     sinks.write_json(scored.where("error IS NULL"), f"{tmp_dir}/json")
     assert spark.read.json(f"{tmp_dir}/json").count() == 18
+
+
+def test_grouped_metric_report(spark, tmp_dir):
+    df = spark.createDataFrame([("a", 1, 1), ("a", 0, 0), ("b", 1, 0)], "g string, y_true int, y_pred int")
+    sinks.write_metric_report(screening_metrics(df, group_by=["g"]), f"{tmp_dir}/rep", group_by=["g"])
+    back = spark.read.text(f"{tmp_dir}/rep")
+    assert back.count() == 44
+    lines_a = [r.value for r in spark.read.text(f"{tmp_dir}/rep/g=a").collect()]
+    assert lines_a[:4] == ["tp: 1", "fp: 0", "tn: 1", "fn: 0"]
