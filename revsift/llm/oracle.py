@@ -17,4 +17,25 @@ SELECT doc_id, count(*) FILTER (norm <> '') AS n_units, count(*) FILTER (gone) A
 FROM ranked GROUP BY doc_id
 """
 
-SQL = {"op10_repeated_lines": REPEATED_LINES}
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+                             lambda w: w <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+         ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s
+  FROM words),
+each AS (SELECT doc_id, unnest(s) AS x FROM sets),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM each a JOIN each b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+  WHERE 100 * n >= 80 * (len(x.s) + len(y.s) - n)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(doc_id, c) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT w.b, r.c FROM reach r JOIN ways w ON w.a = r.doc_id)
+SELECT s.doc_id, CAST(len(any_value(s.s)) AS BIGINT) AS n_shingles, min(c) AS component_id, s.doc_id = min(c) AS kept
+FROM sets s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id
+"""
+
+SQL = {"op4_near_duplicates": NEAR_DUPLICATES, "op10_repeated_lines": REPEATED_LINES}

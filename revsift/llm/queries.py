@@ -15,6 +15,13 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_columns(find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revsift.llm.near_dup import Params, near_duplicates
+
+    prepare(spark)
+    return near_duplicates(table(spark, sf_dir, "documents"), Params(shingle=2))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,4 +51,4 @@ def op10_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_units", "n_removed", spans.alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_personal_data, op5_token_counts, op9_quality, op10_repeated_lines)}
+QUERIES = {f.__name__: f for f in (op1_personal_data, op4_near_duplicates, op5_token_counts, op9_quality, op10_repeated_lines)}
