@@ -15,6 +15,13 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_columns(find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
 
 
+def op3_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revsift.llm.decontam import find_passages
+
+    prepare(spark)
+    return find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from revsift.llm.near_dup import Params, near_duplicates
 
@@ -51,4 +58,4 @@ def op10_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_units", "n_removed", spans.alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_personal_data, op4_near_duplicates, op5_token_counts, op9_quality, op10_repeated_lines)}
+QUERIES = {f.__name__: f for f in (op1_personal_data, op3_benchmark_passages, op4_near_duplicates, op5_token_counts, op9_quality, op10_repeated_lines)}
