@@ -41,6 +41,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, scratch_path(spark, "token-cache"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revsift.llm.repeats import repeated_passages
+
+    prepare(spark)
+    told = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias(c)
+    return repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", told("spans"), told("later_spans"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from revsift.llm.toxicity import held_out, score, train
 
@@ -67,4 +75,4 @@ def op10_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_units", "n_removed", spans.alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_personal_data, op3_benchmark_passages, op4_near_duplicates, op5_token_counts, op7_toxicity, op9_quality, op10_repeated_lines)}
+QUERIES = {f.__name__: f for f in (op1_personal_data, op3_benchmark_passages, op4_near_duplicates, op5_token_counts, op6_repeated_passages, op7_toxicity, op9_quality, op10_repeated_lines)}
