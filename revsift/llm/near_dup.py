@@ -208,3 +208,15 @@ def near_duplicates(docs: DataFrame, p: Params | None = None, id_col: str = "doc
     return (found.withColumn("component_id", component)
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
             .select("doc_id", "n_shingles", "component_id", "kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, p: Params | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group, that of the smallest id; same columns.
+
+    Of rows with one id the one whose text comes first stays. Rows with a null id stay."""
+    found = written(near_duplicates(docs, p, id_col, text_col), "near")
+    gone = found.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(id_col)).distinct()
+    left = docs.join(gone, id_col, "left_anti")
+    again = written(found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(id_col)), "repeated-ids")
+    first = (left.join(again, id_col, "left_semi").groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), F.struct(text_col)).alias("row")).select("row.*"))
+    return left.join(again, id_col, "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))

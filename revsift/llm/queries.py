@@ -15,6 +15,13 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_columns(find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revsift.llm.secrets import digest_columns, find_secrets
+
+    prepare(spark)
+    return digest_columns(find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
+
+
 def op3_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from revsift.llm.decontam import find_passages
 
@@ -58,6 +65,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revsift.llm.mixing import mixture
+
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixture(docs).select("doc_id", "source", "lang", "topic", "tokens", "probability", "weight", "sampled")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from revsift.llm.quality import judge_quality
 
@@ -75,4 +90,4 @@ def op10_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_units", "n_removed", spans.alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_personal_data, op3_benchmark_passages, op4_near_duplicates, op5_token_counts, op6_repeated_passages, op7_toxicity, op9_quality, op10_repeated_lines)}
+QUERIES = {f.__name__: f for f in (op1_personal_data, op2_secrets, op3_benchmark_passages, op4_near_duplicates, op5_token_counts, op6_repeated_passages, op7_toxicity, op8_mixture, op9_quality, op10_repeated_lines)}
