@@ -1,13 +1,66 @@
-"""The corpus pipeline: documents in, a cleaned and balanced sample of them out."""
+"""The corpus pipeline: documents in, a cleaned and balanced sample of them out.
+
+Each stage works on all that the stage before it kept and is written as Parquet
+and read again, so that a lost executor never costs more than the tasks of one
+stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from revsift.llm.common import prepare, table, written
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for toxic go."""
+    from revsift.llm.toxicity import reject_toxic
+
+    prepare(spark)
+    return reject_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays (five-word shingles, similarity 0.8)."""
+    from revsift.llm.near_dup import drop_near_duplicates
+
+    prepare(spark)
+    return drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    from revsift.llm.decontam import decontaminate
+
+    prepare(spark)
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    from revsift.llm.pii import redact
+
+    prepare(spark)
+    clean = redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample that meets the target weights of sources, languages and topics."""
+    from revsift.llm.mixing import sample_mixture
+
+    prepare(spark)
+    return sample_mixture(docs)
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("personal_data", personal_data), ("mixing", mixing)]
+ORACLE_SQL = None  # models, sketches and raking: tested against plain Python instead
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
