@@ -21,6 +21,7 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of ``edges(u, v)``; a component is named by its smallest node.
 
     Null ends and loops are ignored; no edges give an empty table."""
+    # every aggregate is written before it is joined back, so that the join deals both sides anew and can split a hub
     edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                     .where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct(), name)
     before = None
@@ -31,9 +32,10 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
                     .unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
         before = tuple(sums)
         around = _both_ways(edges)
-        least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = written(around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
         large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, name)
+        down = written(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = (large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(down.select("u", F.col("m").alias("v"))).distinct())
         edges = written(small, name)

@@ -167,11 +167,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
 
 def bucket_pairs(members: DataFrame, parts: DataFrame) -> DataFrame:
     """Pairs of a bucket from different components, at least one outside the bucket's largest."""
-    labelled = members.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    labelled = members.select("key", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     sizes = labelled.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
-    most = (sizes.groupBy("key").agg(F.max(F.struct("n", "part"))["part"].alias("most"), F.count(F.lit(1)).alias("parts"))
-            .where("parts > 1").select("key", "most"))
-    mixed_ = labelled.join(most, "key")
+    most = written(sizes.groupBy("key").agg(F.max(F.struct("n", "part"))["part"].alias("most"), F.count(F.lit(1)).alias("parts"))
+                   .where("parts > 1").select("key", "most"), "largest-parts")
+    mixed_ = written(labelled.join(most, "key"), "mixed-buckets")
     minor = mixed_.where("part <> most").select("key", F.col("node").alias("a"), F.col("part").alias("pa"))
     other = mixed_.select("key", F.col("node").alias("b"), F.col("part").alias("pb"), (F.col("part") == F.col("most")).alias("major"))
     return (minor.join(other, "key").where("pa <> pb AND (major OR a < b)")
@@ -184,11 +184,12 @@ def near_duplicates(docs: DataFrame, p: Params | None = None, id_col: str = "doc
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(signatures(docs, p), "signatures")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
+    # written, as is each aggregate that is joined back below: the join then deals both sides anew, and a hot key can be split
+    classes = written(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "classes")
     nodes = written(full.join(classes, ["d1", "d2"]).where("doc_id = node").dropDuplicates(["d1", "d2"])
                     .select("node", "n_shingles", "bands", "sketch"), "nodes")
     keys = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("key", "first")
+    shared = written(keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("key", "first"), "shared")
     members = written(keys.join(shared, "key"), "buckets")
 
     # each member and the first of its buckets that looks most like it

@@ -187,7 +187,7 @@ def kind_name(kind: Column) -> Column:
 def digest_columns(found: DataFrame, keys: list[str]) -> DataFrame:
     """The counts and digests of a result of ``find_personal_data``."""
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kind_name(s["kind"]), s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("pii", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
+    counts = [F.expr(f"cast(size(filter(pii, s -> s.kind = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(BASE)]
     return found.select(*keys, *counts, F.sha2(told(F.filter("pii", lambda s: s["base"])), 256).alias("base_sha256"), told(F.col("pii")).alias("spans"))
 
 
@@ -196,19 +196,16 @@ def redact(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> D
 
     Spans that overlap count as one, named after the first. The text itself
     goes through one written table, beside the spans."""
-    spans = "_pii"
-    both = docs.withColumn(spans, F.struct(F.col(text_col).alias("text")))  # the text rides along under another name
-    found = find_personal_data(both, text_col, threshold)
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
+    found = find_personal_data(docs.select(row, F.col(text_col).alias("text")), "text", threshold)
+    text = F.col("_row")[text_col]
 
     def one(acc: Column, s: Column) -> Column:
-        text = F.col(f"{spans}.text")
         put = F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + F.lit(1), s["start"] - acc["at"]),
                                 F.lit("["), F.upper(kind_name(s["kind"])), F.lit("]")).alias("out"), s["end"].alias("at"))
         longer = F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
         return F.when(s["start"] >= acc["at"], put).otherwise(longer)
 
-    text = F.col(f"{spans}.text")
     clean = F.aggregate("pii", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), one,
                         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + F.lit(1), F.length(text))))
-    done = found.withColumn(text_col, F.when(F.size("pii") == 0, text).otherwise(clean))
-    return done.select(*docs.columns)
+    return found.select(*[F.when(F.size("pii") == 0, text).otherwise(clean).alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
