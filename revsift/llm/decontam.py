@@ -120,7 +120,7 @@ class Index:
 
     def _search(self, c: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         h = gram_hashes(c, self.p.q)
-        hit = np.flatnonzero(self.filter[h >> np.uint64(42)]) if len(h) and len(self.keys) else h
+        hit = np.flatnonzero(self.filter[h >> np.uint64(42)])
         if not len(hit):
             return
         slot = np.minimum(np.searchsorted(self.keys, h[hit]), len(self.keys) - 1)
