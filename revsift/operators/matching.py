@@ -9,26 +9,32 @@ ratio >= t"), done without a cartesian product:
 * ratio = 100 * (1 - indel / S) with S = len1 + len2 and indel = S - 2*LCS, so
   ``ratio >= t  <=>  100 * (S - 2*LCS) <= (100 - t) * S`` (integers only);
 * lengths: LCS <= min(len) gives 200*min >= t*S; for t = 90, 11*min >= 9*max;
-* bigrams: deleting one character destroys at most 2 bigrams, each insertion
-  point at most 1, so two strings share at least ``3*LCS - S - 1`` bigrams
-  (multiset). With the LCS bound this is positive for every qualifying pair
-  with S >= 3, and it gives the overlap ``tau`` used for prefix filtering;
-* prefix filtering: bigram occurrences are ordered globally by document
-  frequency (rarest first); each string keeps ``|bigrams| - tau_min + 1`` of
+* shared grams: LCS <= the number of shared characters (multiset), and deleting
+  one character destroys at most 2 bigrams, each insertion point at most 1, so
+  two strings share at least ``LCS`` characters and ``3*LCS - S - 1`` bigrams.
+  With the LCS bound the second is positive for every qualifying pair with
+  S >= 3 if t >= 89; below that the first one is used, which holds for any t;
+* prefix filtering: gram occurrences are ordered globally by document
+  frequency (rarest first); each string keeps ``|grams| - tau_min + 1`` of
   them, where ``tau_min`` is the smallest overlap any admissible partner
-  length allows. Two qualifying strings then share a prefix bigram, so the
-  equi-join on prefix bigrams finds every candidate; common bigrams fall out
-  of prefixes, which keeps hot join keys rare;
-* candidates are verified with an exact bit-parallel LCS (Arrow pandas UDF).
+  length allows. Two qualifying strings then share a prefix gram, so the
+  equi-join on prefix grams finds every candidate; common grams fall out
+  of prefixes, which keeps hot join keys rare. Candidates travel as pairs of
+  row numbers, and each table that is joined back is written first, so that
+  adaptive execution can split a hot key;
+* candidates are checked by shared characters, then by an exact bit-parallel
+  LCS (Arrow pandas UDF).
 
 Pairs with S < 3 (one-character strings) are found by the exact-equality join
-that runs first. The overlap bound is positive for every S >= 3 only when
-t >= 89, so other thresholds are rejected rather than answered approximately
-(the evaluated workflow uses 90).
+that runs first. How many candidates there are depends on the texts: titles
+made from one template share most of their grams, and thresholds far below 89
+allow so little overlap that most pairs of similar length are candidates.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +43,7 @@ from pyspark.sql.types import IntegerType
 
 from ..functions.text import normalize_doi, normalize_title, token_sort
 from .. import defaults as D
-from .skew import DEFAULT_BUCKETS, salted_lookup
+from ..session import materialise
 
 
 def _lcs_len(a: str, b: str) -> int:
@@ -60,6 +66,12 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_lcs_len(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
+@pandas_udf(IntegerType())
+def lcs_at_least(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """The LCS length, or 0 where the shared characters alone rule out ``least``."""
+    return pd.Series([_lcs_len(x, y) if (Counter(x) & Counter(y)).total() >= n else 0 for x, y, n in zip(a, b, least)], dtype="int32")
+
+
 def ratio_at_least(lcs: Column, s: Column, threshold: int) -> Column:
     """Integer form of ``100 * (1 - (S - 2*LCS) / S) >= threshold``."""
     return F.lit(100) * (s - F.lit(2) * lcs) <= F.lit(100 - threshold) * s
@@ -75,71 +87,69 @@ def _min_partner_len(n: Column, threshold: int) -> Column:
     return F.ceil(F.lit(threshold) * n / F.lit(200 - threshold))
 
 
-def _bigram_tokens(strings: DataFrame) -> DataFrame:
-    """(s, n, bigram, k): every bigram occurrence of each string, the k-th of its kind.
-
-    Numbering is done inside the row on the sorted bigram array (no shuffle);
-    titles are short, so the per-row cost is small."""
+def _grams(strings: DataFrame, size: int) -> DataFrame:
+    """(id, n, gram, k): every occurrence of a string's grams, the k-th of its kind."""
     n = F.length("s")
-    grams = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(F.col("s"), i, 2))) \
-        .otherwise(F.array().cast("array<string>"))
-    staged = strings.select("s", n.alias("n"), F.array_sort(grams).alias("_g"))
-    toks = F.transform("_g", lambda x, i: F.struct(x.alias("bigram"),
-                                                   (i - F.array_position(F.col("_g"), x) + 2).cast("int").alias("k")))
-    return staged.select("s", "n", F.inline(toks))
+    places = F.when(n >= size, F.sequence(F.lit(1), n - (size - 1))).otherwise(F.array().cast("array<int>"))
+    each = strings.select("id", "s", n.alias("n"), F.explode(places).alias("_at")).select("id", "n", F.substring("s", F.col("_at"), F.lit(size)).alias("gram"))
+    return each.groupBy("id", "n", "gram").agg(F.count(F.lit(1)).alias("_c")).select(
+        "id", "n", "gram", F.explode(F.sequence(F.lit(1), F.col("_c").cast("int"))).alias("k"))
 
 
-def _prefixes(tokens: DataFrame, freq: DataFrame, threshold: int) -> DataFrame:
+def _prefixes(grams: DataFrame, freq: DataFrame, threshold: int, size: int) -> DataFrame:
     n = F.col("n")
     s_min = n + _min_partner_len(n, threshold)
-    # overlap lower bound 3*LCS - S - 1 with LCS >= t*S/200, at the smallest S
-    tau = F.ceil((F.lit(3 * threshold) * s_min - F.lit(200) * s_min - F.lit(200)) / F.lit(200))
-    prefix_len = (n - F.lit(1)) - F.greatest(tau, F.lit(1)) + F.lit(1)
-    ranked = tokens.join(freq, ["bigram", "k"]).groupBy("s", "n").agg(
-        F.array_sort(F.collect_list(F.struct("df", "bigram", "k"))).alias("_t"))
+    # the overlap bound with LCS >= t*S/200, at the smallest S
+    tau = F.ceil((F.lit(3 * threshold) * s_min - F.lit(200) * s_min - F.lit(200)) / F.lit(200)) if size == 2 \
+        else F.ceil(F.lit(threshold) * s_min / F.lit(200))
+    prefix_len = (n - F.lit(size - 1)) - F.greatest(tau, F.lit(1)) + F.lit(1)
+    ranked = grams.join(freq, ["gram", "k"]).groupBy("id", "n").agg(
+        F.array_sort(F.collect_list(F.struct("df", "gram", "k"))).alias("_t"))  # one string's grams
     kept = F.slice(F.col("_t"), F.lit(1), F.greatest(prefix_len, F.lit(0)).cast("int"))
-    return ranked.select("s", "n", F.inline(kept)).select("s", "n", "bigram", "k")
+    return ranked.select("id", "n", F.inline(kept)).select("id", "n", "gram", "k")
 
 
 def fuzzy_semi_join(left: DataFrame, right: DataFrame, threshold: int = D.FUZZY_THRESHOLD) -> DataFrame:
     """Distinct strings ``s`` of ``left`` having a ``right`` string with ratio >= threshold.
 
     Both inputs hold one string column ``s`` (already token-sorted). Returns
-    the matching ``s`` values — only existence matters.
+    the matching ``s`` values — only existence matters. Any threshold from 1 to
+    100 gives exact results.
     """
-    # The overlap bound ((3t - 200) * S - 200) / 200 must be positive for every
-    # pair that equality does not cover (S >= 3): that holds for t >= 89.
-    if not 89 <= threshold <= 100:
-        raise ValueError("bigram prefix blocking is lossless for thresholds 89..100 only")
-    L = left.select("s").where(F.col("s").isNotNull()).distinct()
-    R = right.select("s").where(F.col("s").isNotNull()).distinct()
-    exact = L.join(R, "s", "left_semi")
-    lt = _bigram_tokens(L)
-    rt = _bigram_tokens(R)
-    freq = (lt.select("bigram", "k").unionAll(rt.select("bigram", "k"))
-            .groupBy("bigram", "k").agg(F.count(F.lit(1)).alias("df")))
-    lp = _prefixes(lt, freq, threshold).select(F.col("s").alias("ls"), F.col("n").alias("ln"), "bigram", "k")
-    rp = _prefixes(rt, freq, threshold).select(F.col("s").alias("rs"), F.col("n").alias("rn"), "bigram", "k")
-    cand = (lp.join(rp, ["bigram", "k"])
-            .where(_length_ok(F.col("ln"), F.col("rn"), threshold) & (F.col("ls") != F.col("rs")))
-            .select("ls", "ln", "rs", "rn").distinct())
-    verified = (cand.withColumn("_lcs", lcs_length(F.col("ls"), F.col("rs")))
-                .where(ratio_at_least(F.col("_lcs"), F.col("ln") + F.col("rn"), threshold))
+    if not 1 <= threshold <= 100:
+        raise ValueError("the threshold is a percentage from 1 to 100")
+    size = 2 if threshold >= 89 else 1
+    L, R = (materialise(x.select("s").where(F.col("s").isNotNull()).distinct().withColumn("id", F.monotonically_increasing_id()), "titles")
+            for x in (left, right))
+    exact = L.join(R.select("s"), "s", "left_semi").select("s")
+    rest = L.join(R.select("s"), "s", "left_anti")  # what equality has found needs no second partner
+    lg, rg = materialise(_grams(rest, size), "grams"), materialise(_grams(R, size), "grams")
+    freq = materialise(lg.select("gram", "k").unionAll(rg.select("gram", "k"))
+                       .groupBy("gram", "k").agg(F.count(F.lit(1)).alias("df")), "gram-counts")
+    lp = materialise(_prefixes(lg, freq, threshold, size), "prefixes").select(F.col("id").alias("lid"), F.col("n").alias("ln"), "gram", "k")
+    rp = materialise(_prefixes(rg, freq, threshold, size), "prefixes").select(F.col("id").alias("rid"), F.col("n").alias("rn"), "gram", "k")
+    cand = materialise(lp.join(rp, ["gram", "k"]).where(_length_ok(F.col("ln"), F.col("rn"), threshold))
+                       .select("lid", "rid").distinct(), "candidates")
+    pairs = (cand.join(rest.select(F.col("id").alias("lid"), F.col("s").alias("ls")), "lid")
+             .join(R.select(F.col("id").alias("rid"), F.col("s").alias("rs")), "rid"))
+    both = F.length("ls") + F.length("rs")
+    verified = (pairs.withColumn("_lcs", lcs_at_least(F.col("ls"), F.col("rs"), F.ceil(F.lit(threshold) * both / F.lit(200)).cast("int")))
+                .where(ratio_at_least(F.col("_lcs"), both, threshold))
                 .select(F.col("ls").alias("s")))
     return exact.unionAll(verified).distinct()
 
 
 def match_cascade(ai: DataFrame, golden: DataFrame, ai_id: str, ai_title: str, ai_pred: str,
                   golden_title: str, golden_doi: str | None = None, ai_doi: str | None = None,
-                  threshold: int = D.FUZZY_THRESHOLD, salt_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                  threshold: int = D.FUZZY_THRESHOLD, fuzzy: bool = True) -> DataFrame:
     """Per model row: ``match_kind`` (id / exact / fuzzy / none) and ``y_true``.
 
     The model identifier defaults to the title column (file stems are DOIs).
     Every golden row counts as relevant; the golden side is reduced to distinct
     normalised values before any join, so duplicated golden rows cannot skew
-    it. Model rows are attached to those distinct values with salted lookups,
-    so a title shared by a large share of the model rows is spread over
-    ``salt_buckets`` tasks.
+    it. Those values are written before model rows are joined to them, so a
+    title shared by many model rows can be split over tasks. Without ``fuzzy``
+    the cascade ends after the exact titles.
     """
     a = ai.select(F.col(ai_id).alias("ai_id"), F.col(ai_title).alias("title"),
                   F.col(ai_pred).cast("int").alias("y_pred"),
@@ -149,18 +159,22 @@ def match_cascade(ai: DataFrame, golden: DataFrame, ai_id: str, ai_title: str, a
     if golden_doi is not None:
         g_doi = (golden.select(normalize_doi(F.col(golden_doi)).alias("doi_norm"))
                  .where(F.col("doi_norm").isNotNull()).distinct().withColumn("_id_hit", F.lit(True)))
-        a = salted_lookup(a, g_doi, "doi_norm", salt_buckets, ["ai_id"])
+        a = a.join(materialise(g_doi, "golden-ids"), "doi_norm", "left")
         id_hit = F.coalesce(F.col("_id_hit"), F.lit(False)) & (F.length("doi_norm") > 0)
     else:
         id_hit = F.lit(False)
     a = a.withColumn("_id", id_hit)
-    a = salted_lookup(a, g_title.withColumn("_exact", F.lit(True)), "title_norm", salt_buckets, ["ai_id"]) \
+    g_title = materialise(g_title, "golden-titles")
+    a = a.join(g_title.withColumn("_exact", F.lit(True)), "title_norm", "left") \
         .withColumn("_exact", F.coalesce(F.col("_exact"), F.lit(False)))
     a = a.withColumn("_sorted", token_sort(F.col("title_norm")))
-    todo = a.where(~F.col("_id") & ~F.col("_exact")).select(F.col("_sorted").alias("s"))
-    g_sorted = g_title.select(token_sort(F.col("title_norm")).alias("s"))
-    hits = fuzzy_semi_join(todo, g_sorted, threshold).withColumn("_fuzzy", F.lit(True))
-    a = salted_lookup(a, hits.withColumnRenamed("s", "_sorted"), "_sorted", salt_buckets, ["ai_id"])
+    if fuzzy:
+        todo = a.where(~F.col("_id") & ~F.col("_exact")).select(F.col("_sorted").alias("s"))
+        g_sorted = g_title.select(token_sort(F.col("title_norm")).alias("s"))
+        hits = materialise(fuzzy_semi_join(todo, g_sorted, threshold).withColumn("_fuzzy", F.lit(True)), "fuzzy-titles")
+        a = a.join(hits.withColumnRenamed("s", "_sorted"), "_sorted", "left")
+    else:
+        a = a.withColumn("_fuzzy", F.lit(None).cast("boolean"))
     kind = (F.when(F.col("_id"), F.lit("id"))
             .when(F.col("_exact"), F.lit("exact"))
             .when(F.col("_fuzzy").isNotNull(), F.lit("fuzzy"))

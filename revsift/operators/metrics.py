@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
@@ -134,3 +134,18 @@ def threshold_sweep(scored: DataFrame, thresholds: Sequence[float], prob="probab
         F.sum(F.when((t == 1) & (pred == 0), F.col("_n")).otherwise(0)).cast("bigint").alias("fn"),
     )
     return metrics_from_counts(counts)
+
+
+def wss_at_recall(paired: DataFrame, recalls: Sequence[float], probability: str = "probability", y_true: str = "y_true") -> DataFrame:
+    """Work saved over sampling at target recalls: rows are read in the order of their score until the recall is reached.
+
+    Rows are first counted by score, rounded to four places (at most 10,001 values),
+    so that the cumulative sum runs over a bounded table; rows without a score come last."""
+    score = F.when(F.col(probability).isNull() | F.isnan(F.col(probability)), F.lit(-1.0)).otherwise(F.round(F.col(probability).cast("double"), 4))
+    by = paired.groupBy(score.alias("score")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y_true).cast("long")).alias("pos"))
+    w = Window.orderBy(F.desc("score"))
+    cum = by.select(F.sum("n").over(w).alias("read"), F.sum("pos").over(w).alias("found"), F.sum("n").over(Window.partitionBy()).alias("total"),
+                    F.sum("pos").over(Window.partitionBy()).alias("relevant"))
+    each = cum.withColumn("target", F.explode(F.array(*[F.lit(float(r)) for r in recalls]))).where(F.col("found") >= F.col("target") * F.col("relevant"))
+    least = each.groupBy("target", "total", "relevant").agg(F.min("read").alias("read"))
+    return least.select("target", "read", "total", ((F.col("total") - F.col("read")) / F.col("total") - (F.lit(1.0) - F.col("target"))).alias("wss"))

@@ -3,9 +3,8 @@
 Review-specific wording is data: criteria live in a table
 ``(review_id, kind, pos, text)`` with kind ``include`` or ``exclude``, extraction
 fields in ``(review_id, pos, field, type, description)``. Each table is reduced
-to one text block per review (one row per review, a bound set by the user's
-parameter table and checked before it is broadcast), then joined to the rows
-by ``review_id``.
+to one text block per review, then joined to the rows by ``review_id``; adaptive
+execution broadcasts the blocks where their measured size allows.
 """
 
 from __future__ import annotations
@@ -15,22 +14,10 @@ from pyspark.sql import functions as F
 
 from .. import defaults as D
 
-MAX_PARAM_ROWS = 10_000        # parameter tables above these bounds are joined without a broadcast hint
-MAX_PARAM_CHARS = 8 * 1024 * 1024
-
-SCREENING_TASK = ("You are screening a study for a systematic literature review. Decide if the study is "
-                  "potentially relevant, using the inclusion and exclusion criteria below.")
-SCREENING_ANSWER = ("Respond with ONLY a single decimal number between 0.0 and 1.0 representing the "
-                    "probability that the study is relevant.")
-EXTRACTION_TASK = ("Extract the following fields from the study below and answer with a JSON array of "
-                   "objects, one per reported result.")
-
-
-def _bounded_broadcast(df: DataFrame, text_col: str) -> DataFrame:
-    """Broadcast hint only after checking the table's row count and text size."""
-    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(text_col)).alias("chars")).first()
-    ok = size.n <= MAX_PARAM_ROWS and (size.chars or 0) <= MAX_PARAM_CHARS
-    return F.broadcast(df) if ok else df
+# neutral defaults; what a review wants said is its own data
+SCREENING_TASK = "Judge one study against the criteria of a review."
+SCREENING_ANSWER = "Give one number from 0 to 1: how likely the study meets the criteria. Write nothing else."
+EXTRACTION_TASK = "Fill in the fields below from one study. Answer with a JSON array that holds one object for each result."
 
 
 def criteria_blocks(criteria: DataFrame) -> DataFrame:
@@ -53,7 +40,7 @@ def _nan(c: Column) -> Column:
 def screening_prompt(df: DataFrame, criteria: DataFrame, title: str = "title", abstract: str = "abstract",
                      review_id: str = "review_id", out: str = "prompt") -> DataFrame:
     """Title/abstract prompt per row."""
-    blocks = _bounded_broadcast(criteria_blocks(criteria).withColumnRenamed("review_id", review_id), "criteria_block")
+    blocks = criteria_blocks(criteria).withColumnRenamed("review_id", review_id)
     j = df.join(blocks, review_id, "left")
     prompt = F.concat(F.lit(SCREENING_TASK + "\n\n"), F.coalesce(F.col("criteria_block"), F.lit("")),
                       F.lit("\n\nInstructions:\n" + SCREENING_ANSWER + "\n\nTitle:\n"), _nan(F.col(title)),
@@ -65,7 +52,7 @@ def fulltext_prompt(df: DataFrame, criteria: DataFrame, full_text: str = "full_t
                     review_id: str = "review_id", max_chars: int = D.MAX_FULLTEXT_CHARS,
                     out: str = "prompt") -> DataFrame:
     """Full-text prompt; the text is cut to ``max_chars`` characters before it is embedded."""
-    blocks = _bounded_broadcast(criteria_blocks(criteria).withColumnRenamed("review_id", review_id), "criteria_block")
+    blocks = criteria_blocks(criteria).withColumnRenamed("review_id", review_id)
     j = df.join(blocks, review_id, "left")
     prompt = F.concat(F.lit(SCREENING_TASK + "\n\n"), F.coalesce(F.col("criteria_block"), F.lit("")),
                       F.lit("\n\nInstructions:\n" + SCREENING_ANSWER + "\n\nFull text:\n"),
@@ -84,7 +71,7 @@ def field_blocks(fields: DataFrame) -> DataFrame:
 def extraction_prompt(df: DataFrame, fields: DataFrame, example: str, full_text: str = "full_text",
                       review_id: str = "review_id", out: str = "prompt") -> DataFrame:
     """Extraction prompt: field list, one example answer, then the study text (not truncated)."""
-    blocks = _bounded_broadcast(field_blocks(fields).withColumnRenamed("review_id", review_id), "field_block")
+    blocks = field_blocks(fields).withColumnRenamed("review_id", review_id)
     j = df.join(blocks, review_id, "left")
     prompt = F.concat(F.lit(EXTRACTION_TASK + "\n\nFields:\n"), F.coalesce(F.col("field_block"), F.lit("")),
                       F.lit("\n\nExample:\n" + example + "\n\nStudy:\n"), _nan(F.col(full_text)), F.lit("\n"))

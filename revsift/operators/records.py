@@ -124,3 +124,10 @@ __all__ = [
     "parse_json_response", "flatten_records", "records_wide", "response_audit", "record_key",
     "last_wins", "key_union", "key_intersection", "skip_existing", "strip_fences", "col_of",
 ]
+
+
+def concat_rows(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Row concatenation: columns by name, missing ones NULL, no deduplication."""
+    for other in others:
+        first = first.unionByName(other, allowMissingColumns=True)
+    return first

@@ -1,7 +1,7 @@
 """Batch scoring with a user-supplied function, and the bookkeeping around it.
 
 ``score_rows`` runs the scorer inside ``mapInPandas``: Spark partitions the rows
-(``partitions`` sets the parallelism, i.e. the number of concurrent callers),
+(``partitions`` limits the number of concurrent callers; without it the input's own partitions stay),
 each task feeds Arrow batches to the Python worker, and a failing row yields a
 NULL answer, zero tokens and the error text instead of failing the job.
 """
@@ -11,13 +11,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import error_class
 from .. import defaults as D
+from ..session import materialise
 from .ordering import row_index, running_sum
-from .skew import salted_lookup
 
 SCORED_FIELDS = [("output_text", "string"), ("input_tokens", "bigint"), ("output_tokens", "bigint"),
                  ("total_tokens", "bigint"), ("error", "string")]
@@ -81,13 +81,58 @@ def with_error_class(scored: DataFrame, error: str = "error") -> DataFrame:
 
 
 def retry_failed(scored: DataFrame, inputs: DataFrame, scorer: Scorer, id_col: str = "row_id",
-                 prompt: str = "prompt", retryable: Sequence[str] = D.RETRYABLE_CLASSES) -> DataFrame:
-    """Re-submit rows whose error class is retryable; keep every other row as it was."""
-    classed = with_error_class(scored)
-    again_ids = classed.where(F.col("error_class").isin(*retryable)).select(id_col)
-    rescored = score_rows(inputs.join(again_ids, id_col, "left_semi"), scorer, id_col, prompt)
-    kept = scored.join(again_ids, id_col, "left_anti")
-    return kept.unionByName(rescored)
+                 prompt: str = "prompt", retryable: Sequence[str] = D.RETRYABLE_CLASSES, rounds: int = 1) -> DataFrame:
+    """Re-submit rows whose error class is retryable, up to ``rounds`` times; keep every other row as it was.
+
+    ``scored`` and each round's answers are written before anything reads them,
+    so the scorer is called once for every row of ``scored`` and once for each
+    retried row, and an answer that succeeded is never asked for again."""
+    current = materialise(scored, "scored")
+    for _ in range(rounds):
+        again = with_error_class(current).where(F.col("error_class").isin(*retryable)).select(id_col)
+        rescored = materialise(score_rows(inputs.join(again, id_col, "left_semi"), scorer, id_col, prompt,
+                                          keep=[c for c in scored.columns if c not in {id_col, *dict(SCORED_FIELDS)}]), "rescored")
+        current = current.join(again, id_col, "left_anti").unionByName(rescored)
+    return current
+
+
+def _latest(spark: SparkSession, path: str, id_col: str) -> DataFrame | None:
+    """The last answer to each row of a scored table; None if there is no table yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    rows = spark.read.parquet(path)
+    others = [c for c in rows.columns if c != id_col]
+    return rows.groupBy(id_col).agg(F.max_by(F.struct(*others), "attempt").alias("_r")).select(id_col, "_r.*")
+
+
+def score_to_table(inputs: DataFrame, scorer: Scorer, path: str, id_col: str = "row_id", prompt: str = "prompt",
+                   keep: Sequence[str] = (), blocks: int = 1, rounds: int = 0,
+                   retryable: Sequence[str] = D.RETRYABLE_CLASSES) -> DataFrame:
+    """Score into the table at ``path``, which survives a failed run.
+
+    Rows the table holds already are not scored again. The others are scored in
+    ``blocks`` jobs by a hash of the id, each of which appends its answers when
+    it ends: a job that fails loses no more than its block, and the next call goes
+    on from there. Then rows whose last answer failed with a retryable class are
+    asked again, up to ``rounds`` times. Returns the last answer to each row."""
+    spark = inputs.sparkSession
+
+    def put(rows: DataFrame, attempt: int) -> None:
+        scored = score_rows(rows, scorer, id_col, prompt, keep=keep)
+        scored.withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(path)
+
+    have = _latest(spark, path, id_col)
+    todo = inputs if have is None else inputs.join(have.select(id_col), id_col, "left_anti")
+    for k in range(blocks):
+        put(todo if blocks == 1 else todo.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == k), 0)
+    for _ in range(rounds):
+        last = with_error_class(_latest(spark, path, id_col)).where(F.col("error_class").isin(*retryable))
+        attempt = last.agg(F.max("attempt")).first()[0]
+        if attempt is None:
+            break
+        put(inputs.join(last.select(id_col), id_col, "left_semi"), attempt + 1)
+    return _latest(spark, path, id_col).drop("attempt")
 
 
 def dead_letter(scored: DataFrame, id_col: str = "row_id") -> DataFrame:
@@ -114,18 +159,19 @@ def running_tokens(scored: DataFrame, order_by: Sequence, block_size: int = 1 <<
     Only the ordering columns and the token counts are sorted and checkpointed.
     With ``run_col``, totals and positions restart for every run: rows are
     ordered by (run, order) globally, and each run's starting offsets (one row
-    per run) are subtracted through a salted lookup, so a run holding most of
-    the rows still spreads over many tasks."""
+    per run, written first) are subtracted through a join whose hot runs adaptive
+    execution can split."""
     cols = ["input_tokens", "output_tokens", "total_tokens"]
     order = ([run_col] if run_col else []) + list(order_by)
     keys = [c for c in order if isinstance(c, str)]
-    idx = row_index(scored.select(*dict.fromkeys(keys + cols)), order, "_idx")
+    # written first: sorting by range samples its input, which would run the scorer twice
+    idx = row_index(materialise(scored.select(*dict.fromkeys(keys + cols)), "tokens"), order, "_idx")
     out = running_sum(idx, "_idx", cols, ["cum_" + c for c in cols], block_size)
     if run_col:
         starts = out.groupBy(run_col).agg(
             F.min("_idx").alias("_first"),
             *[F.min(F.col("cum_" + c) - F.coalesce(F.col(c), F.lit(0))).alias("_base_" + c) for c in cols])
-        out = salted_lookup(out, starts, run_col)
+        out = out.join(materialise(starts, "run-starts"), run_col, "left")
         for c in cols:
             out = out.withColumn("cum_" + c, F.col("cum_" + c) - F.col("_base_" + c))
         out = out.withColumn("_idx", F.col("_idx") - F.col("_first")) \

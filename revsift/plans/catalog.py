@@ -30,6 +30,7 @@ METRIC_COLS = (["tp", "fp", "tn", "fn"] + MT.POINT_METRICS
                + [f"{n}_{e}" for n in MT.INTERVALS for e in ("low", "high")])
 THRESHOLDS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
 SHARDS = 4
+STAMPS = [0.3, 0.5, 0.8]
 CHECKPOINT_EVERY = D.CHECKPOINT_EVERY_TITLE_ABSTRACT
 FUZZY_THRESHOLD = D.FUZZY_THRESHOLD
 LENIENT = {"type": X.TOKEN_SUBSET}
@@ -37,10 +38,10 @@ KEEP_ROLES = ["assistant", "system"]
 
 # Criteria of the demo review (parameter table of the prompt queries).
 CRITERIA = [
-    ("demo", "include", 1, "Studies that evaluate an intervention with an experimental or quasi-experimental design."),
-    ("demo", "include", 2, "Outcomes include a measured change in behaviour."),
-    ("demo", "exclude", 1, "Descriptive reports without any assessment of change."),
-    ("demo", "exclude", 2, "Modelling or simulation studies."),
+    ("demo", "include", 1, "The text has running sentences."),
+    ("demo", "include", 2, "A part is named together with its type."),
+    ("demo", "exclude", 1, "The text is a list of links."),
+    ("demo", "exclude", 2, "The text repeats one line."),
 ]
 
 
@@ -105,7 +106,7 @@ def q_false_negatives(spark, d):
 
 
 def q_label_domain_check(spark, d):
-    return P.label_domain_check(I.screening_pairs(spark, d), ["y_true", "y_pred"])
+    return P.label_domain_check(I.raw_labels(spark, d), ["y_true", "y_pred"])
 
 
 def q_distinct_labels(spark, d):
@@ -118,8 +119,7 @@ def q_length_parity(spark, d):
 
 def q_positional_pairing(spark, d):
     human = I.table(spark, d, "labels").select("doc_id", F.col("quality").alias("relevance"))
-    ai = I.scored_documents(spark, d).join(human.select("doc_id"), "doc_id", "left_semi") \
-        .select("doc_id", "relevance")
+    ai = I.scored_documents(spark, d).select("doc_id", "relevance")  # more rows than labels: keys part after the first gap
     return P.pair_by_position(human, ai, ["doc_id"], ["doc_id"], keep_human=["doc_id"], keep_ai=["doc_id"])
 
 
@@ -163,7 +163,7 @@ def q_first_n_candidates(spark, d):
 
 
 def q_truncate_text(spark, d):
-    docs = I.table(spark, d, "documents")
+    docs = I.long_texts(spark, d, D.MAX_FULLTEXT_CHARS)
     t = PR.truncate_text("text", D.MAX_FULLTEXT_CHARS)
     return docs.select("doc_id", F.length(t).alias("chars"), F.md5(t).alias("digest"))
 
@@ -186,11 +186,11 @@ def q_render_prompt(spark, d):
 
 # Extraction fields of the demo review (parameter table of the extraction prompt).
 FIELDS = [
-    ("demo", 1, "ref", "string", "identifier of the study"),
-    ("demo", 2, "design", "string", "study design, one of rct / quasi_experiment"),
-    ("demo", 3, "outcomes", "list of strings", "outcomes reported"),
+    ("demo", 1, "part_key", "integer", "number of the part"),
+    ("demo", 2, "brand", "string", "brand as printed"),
+    ("demo", 3, "words", "list of strings", "words of the name"),
 ]
-EXAMPLE = '[{"ref": "Smith 2020", "design": "rct", "outcomes": ["safety"]}]'
+EXAMPLE = '[{"part_key": 12, "brand": "Brand#13", "words": ["blue", "lace"]}]'
 
 
 def fields_table(spark: SparkSession) -> DataFrame:
@@ -217,10 +217,7 @@ def q_render_extraction_prompt(spark, d):
 
 
 def _scored(spark, d):
-    # model calls dominate the cost of a scoring row, so the prompts are spread
-    # over all task slots (round robin) rather than following the scan layout
-    slots = spark.sparkContext.defaultParallelism
-    return SC.score_rows(_prompts(spark, d), I.demo_scorer, "row_id", "prompt", partitions=slots)
+    return SC.score_rows(_prompts(spark, d), I.demo_scorer, "row_id", "prompt")
 
 
 def q_score_batch(spark, d):
@@ -371,17 +368,17 @@ def q_extraction_lenient(spark, d):
 # Match cascade
 # ---------------------------------------------------------------------------
 
-def _cascade(spark, d):
+def _cascade(spark, d, fuzzy=True):
     return M.match_cascade(I.ai_papers(spark, d), I.golden_papers(spark, d), "ai_id", "title", "relevance",
-                           "title", golden_doi="doi", threshold=FUZZY_THRESHOLD)
+                           "title", golden_doi="doi", threshold=FUZZY_THRESHOLD, fuzzy=fuzzy)
 
 
 def q_doi_match(spark, d):
-    return _cascade(spark, d).where(F.col("match_kind") == "id").select("ai_id", "doi_norm")
+    return _cascade(spark, d, fuzzy=False).where(F.col("match_kind") == "id").select("ai_id", "doi_norm")
 
 
 def q_title_match(spark, d):
-    return _cascade(spark, d).where(F.col("match_kind") == "exact").select("ai_id", "title_norm")
+    return _cascade(spark, d, fuzzy=False).where(F.col("match_kind") == "exact").select("ai_id", "title_norm")
 
 
 def q_fuzzy_match(spark, d):
@@ -419,11 +416,11 @@ def q_split_lines(spark, d):
 
 
 def q_detect_headers(spark, d):
-    return SE.header_lines(I.table(spark, d, "documents"), "doc_id", "text")
+    return SE.header_lines(I.papers_markdown(spark, d), "doc_id", "text")
 
 
 def q_drop_sections(spark, d):
-    docs = SE.drop_sections(I.table(spark, d, "documents"), "text", "out")
+    docs = SE.drop_sections(I.papers_markdown(spark, d), "text", "out")
     return docs.select("doc_id", F.length("out").alias("chars"), F.md5("out").alias("digest"))
 
 
@@ -442,6 +439,99 @@ def q_stream_confusion(spark, d):
     return stream_confusion_counts(spark, d)
 
 
+# ---------------------------------------------------------------------------
+# Sources and sinks, written and read back
+# ---------------------------------------------------------------------------
+def _there_and_back(spark, name):
+    from ..session import scratch_path
+    from ..sources import readers, sinks
+    return scratch_path(spark, name), readers, sinks
+
+
+def q_semicolon_csv(spark, d):
+    path, readers, sinks = _there_and_back(spark, "semicolon-csv")
+    sinks.write_semicolon_csv(I.table(spark, d, "conversations").select("conv_id", "turn", "role", "text"), path)
+    back = readers.read_table_csv(spark, path, "conv_id long, turn long, role string, text string", sep=";")
+    return back.select("conv_id", "turn", "role", F.md5("text").alias("digest"))
+
+
+def q_json_records(spark, d):
+    path, readers, sinks = _there_and_back(spark, "json-records")
+    part = I.table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size", F.split("p_type", " ").alias("words"))
+    sinks.write_json_arrays(part, path, "p_partkey", per_file=500)
+    rec = readers.read_json_records(spark, path)
+    get = lambda f, t: F.try_variant_get("record", f"$.{f}", t).alias(f)
+    return rec.select("rec_pos", get("p_partkey", "bigint"), get("p_name", "string"), get("p_size", "int"),
+                      F.try_variant_get("record", "$.words[0]", "string").alias("first_word"))
+
+
+def q_json_lines(spark, d):
+    path, _, sinks = _there_and_back(spark, "json-lines")
+    sinks.write_json(I.table(spark, d, "pages").select("page_id", "url", "html"), path)
+    return spark.read.schema("page_id long, url string, html string").json(path).select("page_id", "url", F.md5("html").alias("digest"))
+
+
+def q_null_columns(spark, d):
+    c = PR.append_null_columns(I.candidates(spark, d).select("row_id"), {"relevance": "int", "probability": "double"})
+    return c.select("row_id", F.col("relevance").isNull().alias("no_relevance"), F.col("probability").isNull().alias("no_probability"))
+
+
+def q_concat_rows(spark, d):
+    parts = I.table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.col("p_size").alias("size"))
+    makers = I.table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    return R.concat_rows(parts, makers).select("key", "name", "size", "balance")
+
+
+def q_threshold_files(spark, d):
+    path, _, sinks = _there_and_back(spark, "by-threshold")
+    scored = I.scored_documents(spark, d).select("doc_id", "probability", F.explode(F.array(*[F.lit(t) for t in STAMPS])).alias("threshold"))
+    stamped = scored.select("doc_id", "threshold", F.when(F.col("probability") >= F.col("threshold"), 1).otherwise(0).alias("relevance"))
+    sinks.write_by_threshold(stamped, path)
+    return spark.read.schema("doc_id long, relevance int, threshold double").option("header", True).csv(path).select("doc_id", "threshold", "relevance")
+
+
+def q_extraction_status(spark, d):
+    _, _, sinks = _there_and_back(spark, "status")
+    found = R.flatten_records(R.parse_json_response(I.json_answers(spark, d)), ["event_id"])
+    none = found.where("rec_pos < 0")
+    return sinks.extraction_status(found).withColumn("run", F.lit("all")).unionByName(sinks.extraction_status(none).withColumn("run", F.lit("none")))
+
+
+def q_raw_responses(spark, d):
+    path, _, sinks = _there_and_back(spark, "raw-responses")
+    sinks.write_raw_responses(_scored(spark, d), path)
+    return spark.read.parquet(path).select("row_id", "output_text", T.parse_probability("output_text").alias("probability"))
+
+
+def q_metric_report_text(spark, d):
+    path, _, sinks = _there_and_back(spark, "report")
+    m = MT.screening_metrics(I.screening_pairs(spark, d))
+    lines = sinks.confusion_lines(m).unionByName(sinks.report_lines(m).where("ord < 12"))
+    lines.repartition(1).sortWithinPartitions("ord").select("line").write.text(path)  # sixteen lines
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def q_extraction_report_text(spark, d):
+    _, _, sinks = _there_and_back(spark, "report")
+    return sinks.extraction_lines(_cells(spark, d)).select("ord", "line")
+
+
+def q_retry_failed(spark, d):
+    return SC.retry_failed(_scored(spark, d), _prompts(spark, d), I.recovered_scorer)
+
+
+def q_score_resume(spark, d):
+    """A run that ended half-way is taken up again: what its table holds is not asked for twice."""
+    path, _, _ = _there_and_back(spark, "scored-table")
+    prompts = _prompts(spark, d)
+    SC.score_to_table(prompts.where("row_id % 2 = 0"), I.demo_scorer, path)
+    return SC.score_to_table(prompts, I.recovered_scorer, path, blocks=2, rounds=1)
+
+
+def q_wss_at_recall(spark, d):
+    return MT.wss_at_recall(I.screening_pairs(spark, d), [0.8, 0.9, 0.95, 1.0])
+
+
 QUERIES: dict[str, QueryFn] = {
     "screening_metrics": q_screening_metrics,
     "screening_metrics_by_lang": q_screening_metrics_by_lang,
@@ -505,4 +595,17 @@ QUERIES: dict[str, QueryFn] = {
     "drop_sections_markdown": q_drop_sections_markdown,
     "keep_sections": q_keep_sections,
     "stream_confusion": q_stream_confusion,
+    "semicolon_csv": q_semicolon_csv,
+    "json_records": q_json_records,
+    "json_lines": q_json_lines,
+    "null_columns": q_null_columns,
+    "concat_rows": q_concat_rows,
+    "threshold_files": q_threshold_files,
+    "extraction_status": q_extraction_status,
+    "raw_responses": q_raw_responses,
+    "metric_report_text": q_metric_report_text,
+    "extraction_report_text": q_extraction_report_text,
+    "retry_failed": q_retry_failed,
+    "score_resume": q_score_resume,
+    "wss_at_recall": q_wss_at_recall,
 }

@@ -147,7 +147,8 @@ def json_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, output_text): fenced, bare, array-wrapped or invalid JSON answers."""
     e = table(spark, sf_dir, "events").select("event_id", "props")
     m = F.col("event_id") % 4
-    text = (F.when(m == 0, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```")))
+    text = (F.when(F.col("event_id") % 40 == 5, F.lit("[]")).when(F.col("event_id") % 40 == 9, F.lit("{}")).when(F.col("event_id") % 40 == 13, F.lit("7"))
+            .when(m == 0, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```")))
             .when(m == 1, F.col("props"))
             .when(m == 2, F.concat(F.lit("["), F.col("props"), F.lit(', {"k": '),
                                    (F.col("event_id") % 7).cast("string"), F.lit("}]")))
@@ -168,3 +169,38 @@ def demo_scorer(row_id, prompt: str) -> dict:
     k = (int(row_id) * 37 + n) % 100
     return {"output_text": f"0.{k:02d}", "input_tokens": n // 4 + 1, "output_tokens": 3,
             "total_tokens": n // 4 + 4}
+
+
+def papers_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): documents laid out as papers, so that every section rule meets its cases.
+
+    By id, the text gets a section that is dropped, one that ends the document, a
+    header in bold, or none."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    m = F.col("doc_id") % 5
+    text = (F.when(m == 0, F.concat(F.lit("# Methods\n"), F.col("text"), F.lit("\n## Funding\nsomebody paid\n\n# Results\nfound")))
+            .when(m == 1, F.concat(F.col("text"), F.lit("\n# References\nfirst\n# Results\nlost")))
+            .when(m == 2, F.concat(F.lit("**Acknowledgements**\nthanks\nfor all\n"), F.col("text"), F.lit("\nDiscussion\nend")))
+            .when(m == 3, F.concat(F.lit("Supplementary\nmore\n#### \nrest\n"), F.col("text")))
+            .otherwise(F.col("text")))
+    return d.select("doc_id", text.alias("text"))
+
+
+def long_texts(spark: SparkSession, sf_dir: str, beyond: int) -> DataFrame:
+    """(doc_id, text): every tenth text repeated until it is longer than ``beyond``."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.select("doc_id", F.when(F.col("doc_id") % 10 == 3, F.expr(f"repeat(text, cast({beyond} div greatest(length(text), 1) as int) + 1)")).otherwise(F.col("text")).alias("text"))
+
+
+def raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as people enter them: a 2, a half and gaps among 0 and 1."""
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("q"), F.col("toxic").cast("double").alias("t"))
+    m = F.col("doc_id") % 8
+    return lab.select("doc_id", F.when(m == 1, F.lit(2.0)).when(m == 2, F.lit(0.5)).when(m == 3, F.lit(None)).otherwise(F.col("q")).alias("y_true"),
+                      F.when(m == 5, F.lit(-1.0)).otherwise(F.col("t")).alias("y_pred"))
+
+
+def recovered_scorer(row_id, prompt: str) -> dict:
+    """The demo scorer when the service is back: only invalid requests still fail."""
+    m = int(row_id) % 50
+    return demo_scorer(row_id + 1 if m in (7, 13) else row_id, prompt)

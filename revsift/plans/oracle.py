@@ -183,16 +183,18 @@ swept AS (SELECT t.threshold, p.y_true,
 SQL["threshold_sweep"] = _sweep()
 SQL["false_negatives"] = (f"WITH {PAIRS}\nSELECT doc_id, lang, probability, y_true, y_pred FROM pairs "
                           f"WHERE y_true = 1 AND y_pred = 0")
-SQL["label_domain_check"] = (f"WITH {PAIRS}\nSELECT "
-                             "COUNT(*) FILTER (WHERE y_true IS NULL OR y_true NOT IN (0, 1)) AS bad_y_true, "
-                             "COUNT(*) FILTER (WHERE y_pred IS NULL OR y_pred NOT IN (0, 1)) AS bad_y_pred FROM pairs")
+SQL["label_domain_check"] = """WITH raw AS (
+  SELECT CASE doc_id % 8 WHEN 1 THEN 2 WHEN 2 THEN 0.5 WHEN 3 THEN NULL ELSE quality END AS y_true,
+         CASE doc_id % 8 WHEN 5 THEN -1 ELSE toxic END AS y_pred FROM labels)
+SELECT COUNT(*) FILTER (WHERE y_true IS NULL OR y_true NOT IN (0, 1)) AS bad_y_true,
+       COUNT(*) FILTER (WHERE y_pred IS NULL OR y_pred NOT IN (0, 1)) AS bad_y_pred FROM raw"""
 SQL["distinct_labels"] = "SELECT DISTINCT quality FROM labels"
 SQL["length_parity"] = ("SELECT (SELECT COUNT(*) FROM labels) AS n_human, (SELECT COUNT(*) FROM documents) AS n_ai, "
                         "(SELECT COUNT(*) FROM labels) = (SELECT COUNT(*) FROM documents) AS equal")
 SQL["positional_pairing"] = f"""WITH {SCORED},
 h AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id, quality AS y_true FROM labels),
 a AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id, relevance AS y_pred
-      FROM scored WHERE doc_id IN (SELECT doc_id FROM labels))
+      FROM scored)
 SELECT h.pos, h.y_true, h.doc_id AS human_doc_id, a.y_pred, a.doc_id AS ai_doc_id FROM h JOIN a ON h.pos = a.pos"""
 SQL["parse_probability"] = f"WITH {SCORED}\nSELECT doc_id, response, probability FROM parsed"
 SQL["parse_binary"] = (f"WITH {RESPONSES}\nSELECT doc_id, response, "
@@ -200,11 +202,11 @@ SQL["parse_binary"] = (f"WITH {RESPONSES}\nSELECT doc_id, response, "
                        "FROM responses")
 
 ANSWERS = f"""answers AS (
-  SELECT event_id, CASE event_id % 4
+  SELECT event_id, CASE WHEN event_id % 40 = 5 THEN '[]' WHEN event_id % 40 = 9 THEN '{{}}' WHEN event_id % 40 = 13 THEN '7' ELSE CASE event_id % 4
     WHEN 0 THEN '```json' || chr(10) || props || chr(10) || '```'
     WHEN 1 THEN props
     WHEN 2 THEN '[' || props || ', {{"k": ' || CAST(event_id % 7 AS VARCHAR) || '}}]'
-    ELSE 'oops ' || props END AS output_text
+    ELSE 'oops ' || props END END AS output_text
   FROM events),
 cleaned AS (
   SELECT event_id, output_text,
@@ -234,8 +236,9 @@ CANDIDATES = """cand AS (SELECT doc_id AS row_id, split_part(text, chr(10), 1) A
 
 SQL["first_n_candidates"] = (f"WITH {CANDIDATES}\nSELECT row_id, title, length(abstract) AS abstract_chars "
                              "FROM cand ORDER BY row_id LIMIT 5")
-SQL["truncate_text"] = ("SELECT doc_id, length(substr(text, 1, 120000)) AS chars, md5(substr(text, 1, 120000)) "
-                        "AS digest FROM documents")
+SQL["truncate_text"] = ("WITH long AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN repeat(text, 120000 // greatest(length(text), 1) + 1) "
+                        "ELSE text END AS text FROM documents)\n"
+                        "SELECT doc_id, length(substr(text, 1, 120000)) AS chars, md5(substr(text, 1, 120000)) AS digest FROM long")
 SQL["length_stats"] = (f"WITH {CANDIDATES}\nSELECT lang, avg(length(title)) AS avg_title_chars, "
                        "avg(length(abstract)) AS avg_abstract_chars FROM cand GROUP BY lang")
 
@@ -505,8 +508,15 @@ _HDR = rf"""lower(COALESCE(
     NULLIF(regexp_extract({trim_ws('line')}, '^\*\*(.+?)\*\*$', 1), ''),
     CASE WHEN regexp_matches({trim_ws('line')}, '^\pL{{1,39}}$') THEN {trim_ws('line')} END))"""
 
+PAPERS = """papers AS (SELECT doc_id, CASE doc_id % 5
+    WHEN 0 THEN '# Methods' || chr(10) || text || chr(10) || '## Funding' || chr(10) || 'somebody paid' || chr(10) || chr(10) || '# Results' || chr(10) || 'found'
+    WHEN 1 THEN text || chr(10) || '# References' || chr(10) || 'first' || chr(10) || '# Results' || chr(10) || 'lost'
+    WHEN 2 THEN '**Acknowledgements**' || chr(10) || 'thanks' || chr(10) || 'for all' || chr(10) || text || chr(10) || 'Discussion' || chr(10) || 'end'
+    WHEN 3 THEN 'Supplementary' || chr(10) || 'more' || chr(10) || '#### ' || chr(10) || 'rest' || chr(10) || text
+    ELSE text END AS text FROM documents)"""
+
 SQL["split_lines"] = f"WITH {_lines('documents', 'doc_id')}\nSELECT id AS doc_id, CAST(i AS INTEGER) AS line_no, length(line) AS chars FROM lines"
-SQL["detect_headers"] = (f"WITH {_lines('documents', 'doc_id')},\nh AS (SELECT id, i, {_HDR} AS header FROM lines)\n"
+SQL["detect_headers"] = (f"WITH {PAPERS},\n{_lines('papers', 'doc_id')},\nh AS (SELECT id, i, {_HDR} AS header FROM lines)\n"
                          "SELECT id AS doc_id, CAST(i AS INTEGER) AS line_no, header FROM h WHERE header IS NOT NULL")
 
 
@@ -527,7 +537,7 @@ FROM allids a LEFT JOIN kept k ON a.id = k.id"""
 CONV_MD = """convmd AS (SELECT conv_id, string_agg('## ' || role || chr(10) || text, chr(10) ORDER BY turn) AS text
   FROM conversations GROUP BY conv_id)"""
 
-SQL["drop_sections"] = _drop("documents", "doc_id", C.SE.DEFAULT_DROP)
+SQL["drop_sections"] = _drop("papers", "doc_id", C.SE.DEFAULT_DROP).replace("WITH ", f"WITH {PAPERS},\n", 1)
 SQL["drop_sections_markdown"] = _drop("convmd", "conv_id", ["system"]).replace("WITH ", f"WITH {CONV_MD},\n", 1)
 
 
@@ -588,3 +598,47 @@ def _int_lengths(sql: str, names=("raw_length", "abstract_chars", "title_chars",
 
 SQL = {k: _int_lengths(v) for k, v in SQL.items()}
 SQL["normalize_list"] = SQL["normalize_list"].replace(") AS tokens FROM part", ")::VARCHAR AS tokens FROM part")
+
+# Sources and sinks: what was written is what is read.
+SQL["semicolon_csv"] = "SELECT conv_id, turn, role, md5(text) AS digest FROM conversations"
+SQL["json_records"] = """SELECT row_number() OVER (PARTITION BY p_partkey // 500 ORDER BY p_partkey) - 1 AS rec_pos, p_partkey, p_name,
+  p_size, split_part(p_type, ' ', 1) AS first_word FROM part"""
+SQL["json_lines"] = "SELECT page_id, url, md5(html) AS digest FROM pages"
+SQL["null_columns"] = "SELECT doc_id AS row_id, true AS no_relevance, true AS no_probability FROM documents"
+SQL["concat_rows"] = """SELECT p_partkey AS key, p_name AS name, p_size AS size, CAST(NULL AS DOUBLE) AS balance FROM part
+UNION ALL SELECT s_suppkey, s_name, NULL, s_acctbal FROM supplier"""
+SQL["threshold_files"] = f"""WITH {SCORED}, t AS (SELECT unnest({C.STAMPS!r}::DOUBLE[]) AS threshold)
+SELECT doc_id, threshold, CASE WHEN probability >= threshold THEN 1 ELSE 0 END AS relevance FROM scored, t"""
+SQL["extraction_status"] = f"""WITH found AS ({SQL["json_flatten"]})
+SELECT count(*) AS records, 'ok' AS status, 'all' AS run FROM found
+UNION ALL SELECT 0, 'no records extracted', 'none'"""
+SQL["raw_responses"] = f"""WITH {SCORES}
+SELECT row_id, output_text, CAST(output_text AS DOUBLE) AS probability FROM scores"""
+SQL["metric_report_text"] = f"""WITH mb AS ({SQL["screening_metrics"]}), long AS ({SQL["metric_report_long"]})
+SELECT unnest(['truth,predicted 0,predicted 1', '0,' || tn || ',' || fp, '1,' || fn || ',' || tp, 'false negatives: ' || fn]) AS line FROM mb
+UNION ALL SELECT CASE WHEN ord < 4 THEN metric || ': ' || CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE printf('%s: %.4f', metric, value) END
+FROM long WHERE ord < 12"""
+SQL["extraction_report_text"] = f"""WITH e AS ({SQL["extraction_errors"]}), f AS ({SQL["field_accuracy"]}), s AS ({SQL["study_accuracy"]})
+SELECT 1000 AS ord, 'errors: ' || (SELECT count(*) FROM e) AS line
+UNION ALL SELECT 2000, printf('%s: %.4f', field, accuracy) FROM f
+UNION ALL SELECT 3000, printf('study accuracy: %.4f', study_accuracy) FROM s"""
+
+
+def _recovered(ids: str) -> str:
+    """Answers when the service is back for the rows ``ids``: the failed ones are scored as their neighbours."""
+    return f"""SELECT row_id, '0.' || lpad(CAST(((row_id + 1) * 37 + L) % 100 AS VARCHAR), 2, '0') AS output_text,
+  CAST(L // 4 + 1 AS BIGINT) AS input_tokens, CAST(3 AS BIGINT) AS output_tokens, CAST(L // 4 + 4 AS BIGINT) AS total_tokens,
+  CAST(NULL AS VARCHAR) AS error FROM s0 WHERE {ids}"""
+
+
+SQL["retry_failed"] = f"""WITH {SCORES}
+SELECT row_id, output_text, input_tokens, output_tokens, total_tokens, error FROM scores WHERE row_id % 50 NOT IN (7, 13)
+UNION ALL {_recovered("row_id % 50 IN (7, 13)")}"""
+SQL["score_resume"] = SQL["retry_failed"]
+SQL["wss_at_recall"] = f"""WITH {PAIRS}, counted AS (
+  SELECT coalesce(round(probability, 4), -1) AS score, count(*) AS n, sum(y_true) AS pos FROM pairs GROUP BY 1),
+cum AS (SELECT sum(n) OVER (ORDER BY score DESC) AS read, sum(pos) OVER (ORDER BY score DESC) AS found, sum(n) OVER () AS total,
+  sum(pos) OVER () AS relevant FROM counted), t AS (SELECT unnest([0.8, 0.9, 0.95, 1.0]::DOUBLE[]) AS target)
+SELECT target, CAST(min(read) AS BIGINT) AS read, CAST(total AS BIGINT) AS total,
+  (CAST(total AS DOUBLE) - CAST(min(read) AS DOUBLE)) / CAST(total AS DOUBLE) - (CAST(1 AS DOUBLE) - target) AS wss
+FROM cum, t WHERE found >= target * relevant GROUP BY target, total, relevant"""

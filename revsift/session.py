@@ -6,11 +6,12 @@ given (for example ``spark.checkpoint.dir``).
 
 from __future__ import annotations
 
+import io
 import os
-import shutil
 import tempfile
+import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at scale: AQE re-plans joins with measured sizes (so a
 # side is broadcast only after its real size is known to be small), coalesces
@@ -60,51 +61,50 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable by the Python workers (pandas UDFs, mapInPandas).
 
-    The package is zipped once per application and added with ``addPyFile``,
-    which distributes it to every executor."""
+    The package is zipped in memory once per application, written to the shared
+    checkpoint folder through Spark's file systems and added with ``addPyFile``."""
     sc = spark.sparkContext
     app = sc.applicationId
     if app in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    shared = ensure_checkpoint_dir(spark)
-    local_view = shared[len("file:"):] if shared.startswith("file:") else shared
-    if local_view.startswith("/"):
-        # the shared checkpoint folder is mounted here: build the archive there
-        out = os.path.join(local_view, f"revsift-pkg-{app}")
-        os.makedirs(out, exist_ok=True)
-    else:
-        # remote-only storage: build the archive beside the driver; addPyFile then
-        # serves it to the executors from the driver
-        out = tempfile.mkdtemp(prefix="revsift-pkg-")
-    archive = shutil.make_archive(os.path.join(out, "revsift"), "zip", root_dir=os.path.dirname(pkg_dir),
-                                  base_dir=os.path.basename(pkg_dir))
-    sc.addPyFile(archive)
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(pkg_dir):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(pkg_dir)))
+    target = sc._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/revsift-pkg-{app}/revsift.zip")
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(packed.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(target.toString())
     _SHIPPED.add(app)
 
 
 def configure_semantics(spark: SparkSession) -> None:
-    """Session settings the parsing semantics depend on (safe to call repeatedly)."""
-    try:
-        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    except Exception:  # a locked-down session keeps Spark's default (duplicate keys → NULL)
-        pass
+    """Session settings the parsing semantics depend on (safe to call repeatedly).
+
+    A session that refuses them gets the refusal: answers with a repeated JSON
+    key would otherwise turn into NULL without notice."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder is set by the deployment and must be shared storage;
-    it is only filled in here when it is unset (local runs and tests).
+    On a cluster the deployment has to set it, to shared storage; a local
+    master, as in tests, gets a temporary folder where it is unset.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
-        current = tempfile.mkdtemp(prefix="revsift-ckpt-")  # only when nothing is configured (tests)
-        try:
-            spark.conf.set("spark.checkpoint.dir", current)
-        except Exception:  # core configs may be read-only at runtime; setCheckpointDir below suffices
-            pass
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a checkpoint folder on shared storage")
+        current = tempfile.mkdtemp(prefix="revsift-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
@@ -115,3 +115,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     import uuid
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` below the shared checkpoint folder and read it back: what it holds is computed once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
