@@ -164,35 +164,6 @@ def clean_array(c) -> Column:
     return F.transform(F.coalesce(fold_ascii_array(F.when(needs, a)), a), clean_ascii)
 
 
-def clean_value_sql(c) -> Column:
-    """Pure-JVM variant of clean_value.
-
-    Accented Latin letters are folded with a translate table derived from NFKD
-    at import time (U+0080..U+024F, single-letter folds only); every other
-    non-ASCII code point is dropped. Equal to clean_value on text whose
-    non-ASCII letters all lie in that range; ligatures and superscripts need
-    the UDF form."""
-    v = F.translate(col_of(c), _FOLD_FROM, _FOLD_TO)
-    v = F.regexp_replace(v, r"[^\x{00}-\x{7f}]", "")
-    v = trim_ws(F.lower(v))
-    v = F.regexp_replace(v, r"[_\-]", " ")
-    return F.regexp_replace(v, WS_CLASS + "+", " ")
-
-
-def _fold_table():
-    src, dst = [], []
-    for cp in range(0x80, 0x250):
-        ch = chr(cp)
-        folded = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode("ascii")
-        if len(folded) == 1:
-            src.append(ch)
-            dst.append(folded)
-    return "".join(src), "".join(dst)
-
-
-_FOLD_FROM, _FOLD_TO = _fold_table()
-
-
 def clean_list(c) -> Column:
     """Each element cleaned (NULL element → ``none`` like Python ``str(None)``), sorted."""
     texts = F.transform(col_of(c), lambda x: F.coalesce(x.cast("string"), F.lit("None")))

@@ -1,9 +1,9 @@
 """Field-by-field agreement between golden and extracted records.
 
-Records are VARIANT objects. Each side is keyed, deduplicated (last row wins),
-exploded to ``(record, field, value)`` and canonicalised; one full outer join on
-``(record, field)`` then yields the union of records *and* the per-record union
-of fields in a single shuffle. Values are compared on a canonical string:
+Records are VARIANT objects. Each side is keyed and deduplicated (last row
+wins); one full outer join on the key yields the union of records, and each
+joined pair is exploded over the union of its fields. Values are compared on a
+canonical string:
 
 * scalar → ``s:`` + cleaned text; missing key and JSON null → ``s:``
 * array → ``a:`` + JSON of the sorted cleaned elements
@@ -35,20 +35,6 @@ def canonical_value(v: Column) -> Column:
     return F.when(arr.isNotNull(), as_list).otherwise(as_scalar)
 
 
-def record_cells(records: DataFrame, key_fields: Sequence[str], pos: str = "rec_pos",
-                 rec: str = "record", ignore: Sequence[str] = ()) -> DataFrame:
-    """Keyed, last-wins, exploded ``(record, field, value)`` table of one side."""
-    keyed = records.select(record_key(F.col(rec), key_fields).alias("record_id"),
-                           F.col(pos).alias("_pos"), F.col(rec).alias("_rec"))
-    latest = last_wins(keyed, "record_id", "_pos")
-    skip = list(key_fields) + list(ignore)
-    fields = latest.select("record_id", F.explode(F.try_variant_get("_rec", "$", "map<string,variant>"))
-                           .alias("field", "_v"))
-    if skip:
-        fields = fields.filter(~F.col("field").isin(*skip))
-    return fields.select("record_id", "field", canonical_value(F.col("_v")).alias("value"))
-
-
 def _tokens(c: Column) -> Column:
     body = F.substring(c, 3, 1 << 30)
     return F.filter(F.split(body, " ", -1), lambda t: t != "")
@@ -64,25 +50,6 @@ def _correct(hv: Column, av: Column, field: Column, comparators: Mapping[str, st
     return correct
 
 
-def compare_cells(human: DataFrame, ai: DataFrame,
-                  comparators: Mapping[str, str] | None = None) -> DataFrame:
-    """Cell table ``(record, field, human, ai, correct)`` from two long cell tables.
-
-    ``comparators`` maps a field to ``token_subset`` (equal, or one side's token
-    set contained in the other's, an empty side counting as contained); every
-    other field is compared exactly.
-    """
-    h = human.select("record_id", "field", F.col("value").alias("h"))
-    a = ai.select("record_id", "field", F.col("value").alias("a"))
-    j = h.join(a, ["record_id", "field"], "full_outer")
-    hv = F.coalesce(F.col("h"), F.lit("s:"))
-    av = F.coalesce(F.col("a"), F.lit("s:"))
-    return j.select(F.col("record_id").alias("record"), "field",
-                    F.substring(hv, 3, 1 << 30).alias("human"),
-                    F.substring(av, 3, 1 << 30).alias("ai"),
-                    _correct(hv, av, F.col("field"), comparators).alias("correct"))
-
-
 def latest_records(records: DataFrame, key_fields: Sequence[str], pos: str = "rec_pos",
                    rec: str = "record") -> DataFrame:
     """(record_id, fields MAP<STRING, VARIANT>): keyed records, last one per key.
@@ -156,23 +123,21 @@ def coverage(human_keys: DataFrame, ai_keys: DataFrame, key: str = "record_id")
 
 def extraction_counts(human_keys: DataFrame, ai_keys: DataFrame, cells: DataFrame,
                       key: str = "record_id") -> DataFrame:
-    """The run's row counts in one row, from one aggregate over the tagged union of
-    the inputs (no join): records loaded per side (one key row per loaded
-    record), distinct entries, union, matched, compared cells and errors."""
-    k = F.col(key).cast("string")
-    tagged = (human_keys.select(F.lit(0).alias("_s"), k.alias("_k"), F.lit(None).cast("boolean").alias("_c"))
-              .unionAll(ai_keys.select(F.lit(1).alias("_s"), k.alias("_k"), F.lit(None).cast("boolean").alias("_c")))
-              .unionAll(cells.select(F.lit(2).alias("_s"), F.lit(None).cast("string").alias("_k"),
-                                     F.col("correct").alias("_c"))))
-    s, kk = F.col("_s"), F.col("_k")
-    counts = tagged.agg(
-        F.count_if(s == 0).alias("human_loaded"), F.count_if(s == 1).alias("ai_loaded"),
-        F.count_distinct(F.when(s == 0, kk)).alias("human_records"),
-        F.count_distinct(F.when(s == 1, kk)).alias("ai_records"),
-        F.count_distinct(F.when(s < 2, kk)).alias("union_records"),
-        F.count_if(s == 2).alias("cells"), F.count_if((s == 2) & ~F.col("_c")).alias("errors"))
-    return counts.withColumn("matched_records",
-                             F.col("human_records") + F.col("ai_records") - F.col("union_records"))
+    """The run's row counts in one row: records loaded per side (one key row per
+    loaded record), distinct entries, union, matched, compared cells and errors.
+
+    Keys are aggregated once, by key with a count for each side, and cells on
+    their own; two single rows are put together."""
+    tagged = human_keys.select(F.col(key).cast("string").alias("_k"), F.lit(1).alias("_h"), F.lit(0).alias("_a")).unionAll(
+        ai_keys.select(F.col(key).cast("string").alias("_k"), F.lit(0).alias("_h"), F.lit(1).alias("_a")))
+    per_key = tagged.groupBy("_k").agg(F.sum("_h").alias("h"), F.sum("_a").alias("a"))
+    known = F.col("_k").isNotNull()
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    keys = per_key.agg(zero(F.sum("h")).alias("human_loaded"), zero(F.sum("a")).alias("ai_loaded"),
+                       F.count_if(known & (F.col("h") > 0)).alias("human_records"), F.count_if(known & (F.col("a") > 0)).alias("ai_records"),
+                       F.count_if(known).alias("union_records"), F.count_if(known & (F.col("h") > 0) & (F.col("a") > 0)).alias("matched_records"))
+    compared = cells.agg(F.count(F.lit(1)).alias("cells"), F.count_if(~F.col("correct")).alias("errors"))
+    return keys.withColumn("_one", F.lit(1)).join(compared.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
 def extraction_errors(cells: DataFrame) -> DataFrame:

@@ -114,25 +114,20 @@ def threshold_sweep(scored: DataFrame, thresholds: Sequence[float], prob="probab
                     y_true="y_true", group_by: Sequence[str] = ()) -> DataFrame:
     """Confusion counts and metrics for several thresholds in one pass.
 
-    Rows are first reduced to counts per (group, probability, truth) — bounded
-    by the distinct probability values, with map-side partial aggregation — and
-    only those rows are replicated once per threshold (a literal array, so no
-    join), then summed per threshold.
+    Each row is mapped to the number of thresholds its score reaches, so that one
+    aggregation leaves at most (thresholds + 1) x 2 counts for each group, however
+    many different scores there are. Those few rows are then spread over the
+    thresholds and summed.
     """
-    p = col_of(prob)
-    pre = (scored.groupBy(*group_by, p.alias("_p"), col_of(y_true).alias("_t"))
-           .agg(F.count(F.lit(1)).alias("_n")))
-    ts = F.array(*[F.lit(float(t)) for t in thresholds])
-    fanned = pre.select("*", F.explode(ts).alias("threshold"))
-    pred = F.when(F.col("_p").isNotNull() & ~F.isnan(F.col("_p")) & (F.col("_p") >= F.col("threshold")),
-                  F.lit(1)).otherwise(F.lit(0))
-    t = F.col("_t")
-    counts = fanned.groupBy(*group_by, "threshold").agg(
-        F.sum(F.when((t == 1) & (pred == 1), F.col("_n")).otherwise(0)).cast("bigint").alias("tp"),
-        F.sum(F.when((t == 0) & (pred == 1), F.col("_n")).otherwise(0)).cast("bigint").alias("fp"),
-        F.sum(F.when((t == 0) & (pred == 0), F.col("_n")).otherwise(0)).cast("bigint").alias("tn"),
-        F.sum(F.when((t == 1) & (pred == 0), F.col("_n")).otherwise(0)).cast("bigint").alias("fn"),
-    )
+    p, ts = col_of(prob), sorted({float(t) for t in thresholds})
+    scored_ = p.isNotNull() & ~F.isnan(p)
+    reached = sum((F.when(scored_ & (p >= F.lit(t)), 1).otherwise(0) for t in ts), F.lit(0))
+    pre = scored.groupBy(*group_by, reached.alias("_b"), col_of(y_true).alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+    each = F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(i).alias("_i")) for i, t in enumerate(ts)])
+    fanned = pre.select(*group_by, "_b", "_t", "_n", F.inline(each))
+    pred, t = F.when(F.col("_b") > F.col("_i"), 1).otherwise(0), F.col("_t")
+    sum_if = lambda truth, said: F.sum(F.when((t == truth) & (pred == said), F.col("_n")).otherwise(0)).cast("bigint")
+    counts = fanned.groupBy(*group_by, "threshold").agg(sum_if(1, 1).alias("tp"), sum_if(0, 1).alias("fp"), sum_if(0, 0).alias("tn"), sum_if(1, 0).alias("fn"))
     return metrics_from_counts(counts)
 
 

@@ -61,7 +61,10 @@ def length_parity(human: DataFrame, ai: DataFrame) -> DataFrame:
 
 
 def label_domain_check(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Per label column, how many values fall outside {0, 1} (NULL counts as bad)."""
+    """Per label column, how many values fall outside {0, 1} (NULL counts as bad).
+
+    The values are checked as they are, before any cast to an integer: 0.7 is
+    reported, not read as 0."""
     aggs = []
     for c in cols:
         bad = F.col(c).isNull() | ~F.col(c).isin(0, 1)

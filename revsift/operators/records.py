@@ -40,15 +40,12 @@ def flatten_records(parsed: DataFrame, id_cols: Sequence[str], v: str = "parsed"
 
 def records_wide(records: DataFrame, fields: Sequence[tuple[str, str]] | None = None,
                  id_cols: Sequence[str] = (), rec: str = "record") -> DataFrame:
-    """Records to a wide table: one column per field; missing keys are NULL.
+    """Records to a wide table: one column per declared field; missing keys are NULL.
 
-    Without ``fields``, the field names are the distinct keys of all records
-    (one small aggregate; its size is the schema width, not the data size) and
-    every column is a VARIANT."""
+    Without ``fields`` the record stays one VARIANT column: which keys occur is
+    data, and may grow with it."""
     if fields is None:
-        keys = (records.select(F.explode(F.map_keys(F.try_variant_get(F.col(rec), "$", "map<string,variant>")))
-                               .alias("k")).distinct().orderBy("k").collect())
-        fields = [(r.k, "variant") for r in keys]
+        return records.select(*id_cols, F.col(rec))
     return records.select(*id_cols, *[F.try_variant_get(F.col(rec), f"$.{_path_key(name)}", typ).alias(name)
                                       for name, typ in fields])
 

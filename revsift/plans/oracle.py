@@ -16,6 +16,7 @@ Z = "CAST(1.96 AS DOUBLE)"
 Z2 = f"CAST('{repr(stats.Z95 * stats.Z95)}' AS DOUBLE)"
 Z2H = f"CAST('{repr(stats.Z95 * stats.Z95 / 2)}' AS DOUBLE)"
 D0, D1, D2 = "CAST(0.0 AS DOUBLE)", "CAST(1.0 AS DOUBLE)", "CAST(2.0 AS DOUBLE)"
+# The patterns of the answer parser and of trimming.
 WS = r"'^\s+|\s+$'"
 PROB = r"'\b0\.\d+|1\.0|0|1\b'"
 

@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.records import skip_existing
@@ -25,14 +25,22 @@ def read_table_csv(spark: SparkSession, path: str, schema: str | None = None, se
 def read_candidates(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """Title/abstract candidates: the first two columns by position, renamed, plus ``row_id``.
 
-    ``row_id`` follows the file order (file path, then position inside the
-    file), which is what the row index of a single CSV means."""
+    ``row_id`` follows the file order, which is what the row index of a single
+    CSV means: files by the numbers in their names (part-99999 before
+    part-100000), then the position inside the file. A multi-line CSV file is read by one task, in
+    order, so its rows need no sorting: positions come from the reader, and only
+    the files' row counts are added up."""
+    from ..session import materialise
+
     raw = read_table_csv(spark, path, sep=sep)
     cols = raw.columns
-    df = raw.select(F.col(f"`{cols[0]}`").alias("title"), F.col(f"`{cols[1]}`").alias("abstract"),
-                    F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_fpos"))
-    from ..operators.ordering import row_index
-    return row_index(df, ["_file", "_fpos"], "row_id").drop("_file", "_fpos")
+    read = materialise(raw.select(F.col(f"`{cols[0]}`").alias("title"), F.col(f"`{cols[1]}`").alias("abstract"),
+                                  F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_at")), "candidates")
+    files = read.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    padded = F.regexp_replace(F.regexp_replace("_file", "([0-9]+)", "00000000000000000000$1"), "0*([0-9]{20})", "$1")
+    before = F.sum("_n").over(Window.orderBy(padded, "_file").rowsBetween(Window.unboundedPreceding, -1))  # one row a file
+    starts = materialise(files.select("_file", "_first", F.coalesce(before, F.lit(0)).alias("_before")), "candidate-files")
+    return read.join(starts, "_file").select("title", "abstract", (F.col("_before") + F.col("_at") - F.col("_first")).alias("row_id"))
 
 
 def read_golden_screening(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
@@ -46,8 +54,9 @@ def read_json_records(spark: SparkSession, path: str) -> DataFrame:
     The array is decoded element by element, so that no record set has to fit
     into one VARIANT; a single object counts as one record. A file that is not
     such an array, is cut short or goes on after it raises, as does a record
-    that VARIANT refuses."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    that VARIANT refuses. Files of zero bytes are passed over, as by all of
+    Spark's readers."""
+    whole = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("content").cast("string").alias("value"))
     texts = whole.mapInPandas(_array_elements, "file string, rec_pos bigint, text string")
     return texts.select("file", "rec_pos", F.parse_json("text").alias("record"))
 

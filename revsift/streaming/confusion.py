@@ -36,35 +36,42 @@ def confusion_stream(answers: DataFrame, golden: DataFrame, key: str = "doc_id",
 
 
 def run_available(stream: DataFrame, out_path: str, checkpoint: str) -> None:
-    """Process everything available now; each batch replaces the result table."""
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+    """Process everything available now. Each micro-batch writes the totals so far into
+    a folder of its own (``epoch=N``), so a failure between two of them never leaves
+    readers without a complete result; a repeated epoch replaces only itself."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
 
     q = (stream.writeStream.outputMode("complete").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def current_counts(spark: SparkSession, out_path: str) -> DataFrame:
+    """The totals of the last epoch (one row an epoch)."""
+    rows = spark.read.option("basePath", out_path).parquet(out_path)
+    return rows.agg(F.max_by(F.struct("tp", "fp", "tn", "fn"), F.col("epoch")).alias("c")).select("c.*")
+
+
 def update_confusion_counts(spark: SparkSession, incoming: str, golden: DataFrame, out_path: str,
                             checkpoint: str, key: str = "doc_id", truth: str = "quality",
-                            threshold: float = 0.5) -> DataFrame:
+                            threshold: float = 0.5, bytes_per_trigger: int = 1 << 30) -> DataFrame:
     """Process the answer files that arrived in ``incoming`` since the last call.
 
     Call it again after new files land: the checkpoint remembers which files
-    were read and the running counts, so each file is counted exactly once and
-    the table at ``out_path`` always holds the totals so far."""
-    answers = spark.readStream.schema(ANSWER_SCHEMA).option("maxFilesPerTrigger", 1).parquet(incoming)
+    were read and the running counts, so each file is counted exactly once.
+    ``bytes_per_trigger`` bounds a micro-batch."""
+    answers = spark.readStream.schema(ANSWER_SCHEMA).option("maxBytesPerTrigger", str(bytes_per_trigger)).parquet(incoming)
     run_available(confusion_stream(answers, golden, key, truth, threshold), out_path, checkpoint)
-    return spark.read.parquet(out_path)
+    return current_counts(spark, out_path)
 
 
-def stream_confusion_counts(spark: SparkSession, sf_dir: str, files: int = 4) -> DataFrame:
-    """Stage the derived answers as ``files`` files, stream them, return the final counts."""
+def stream_confusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage the derived answers, one file a scan task, stream them, return the final counts."""
     from ..plans.inputs import screening_responses, table
 
     base = scratch_path(spark, "stream-confusion")
     incoming = f"{base}/incoming"
-    (screening_responses(spark, sf_dir).select("doc_id", "response")
-     .repartition(files, F.col("doc_id") % files).write.parquet(incoming))
+    screening_responses(spark, sf_dir).select("doc_id", "response").write.parquet(incoming)
     return update_confusion_counts(spark, incoming, table(spark, sf_dir, "labels"), f"{base}/counts",
                                    f"{base}/checkpoint")

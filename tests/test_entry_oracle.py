@@ -6,12 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from revsift.plans.catalog import QUERIES
 from revsift.plans.inputs import TABLES
+from revsift.plans.oracle import SQL
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["screening_metrics_by_lang", "threshold_sweep", "json_flatten", "extraction_cells", "match_cascade",
-          "drop_sections", "keep_sections", "token_running", "positional_pairing", "clean_values"]
-
 
 def _norm(v):
     if isinstance(v, float):
@@ -38,10 +37,10 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(QUERIES) == set(SQL) and set(QUERIES) <= set(E.queries()) and set(SQL) <= set(E.oracle_sql())
 
 
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF)
     cur = duck.execute(E.oracle_sql()[name])

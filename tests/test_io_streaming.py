@@ -42,6 +42,36 @@ def test_json_records_and_markdown(spark, tmp_dir):
     assert readers.pending_documents(listed, done).count() == 0
 
 
+def test_json_arrays_of_any_size_and_broken_ones(spark, tmp_dir):
+    import pytest
+
+    big = os.path.join(tmp_dir, "big")
+    os.makedirs(big)
+    rec = json.dumps({"ref": "x" * 300, "a": [1, {"b": "}],["}], "n": None})
+    n = 60_000
+    with open(os.path.join(big, "a.json"), "w") as f:
+        f.write("\ufeff [" + " ,\n".join([rec] * n) + "]\n")
+    with open(os.path.join(big, "b.json"), "w") as f:
+        f.write(" [ ] ")
+    got = readers.read_json_records(spark, big).agg(F.count("record").alias("n"), F.max("rec_pos").alias("last")).first()
+    assert (got.n, got.last) == (n, n - 1)
+    for k, text in enumerate(["[" + rec + ",", "[" + rec, "[1, 2", rec + " tail", "[" + rec + "] x", " ", "7", '[{"a": }]']):
+        path = os.path.join(tmp_dir, f"bad{k}.json")
+        with open(path, "w") as f:
+            f.write(text)
+        with pytest.raises(Exception):
+            readers.read_json_records(spark, path).collect()
+
+
+def test_candidates_of_many_files_keep_their_order(spark, tmp_dir):
+    for k in (9, 10, 100):
+        with open(os.path.join(tmp_dir, f"part-{k}.csv"), "w") as f:
+            f.write("Title,Abstract\n" + "".join(f"t{k}-{j},a\n" for j in range(k % 7 + 2)))
+    rows = readers.read_candidates(spark, tmp_dir).orderBy("row_id").collect()
+    assert [r.title for r in rows] == [f"t{k}-{j}" for k in (9, 10, 100) for j in range(k % 7 + 2)]
+    assert [r.row_id for r in rows] == list(range(len(rows)))
+
+
 def test_metric_report_lines(spark, tmp_dir):
     df = spark.createDataFrame([(1, 1), (0, 0), (1, 0)], "y_true int, y_pred int")
     lines = [r.line for r in sinks.report_lines(screening_metrics(df)).orderBy("ord").collect()]

@@ -50,10 +50,18 @@ def test_fuzzy_semi_join_equals_brute_force(spark):
     right = sorted(set(base) | {"a"})
     L = spark.createDataFrame([(s,) for s in left], "s string")
     R = spark.createDataFrame([(s,) for s in right], "s string")
-    got = {r.s for r in M.fuzzy_semi_join(L, R, 90).collect()}
-    want = {a for a in left if any(ratio_ok(a, b) for b in right)}
-    assert got == want
-    assert len(want) > 20
+    for t in (60, 75, 90, 100):
+        got = {r.s for r in M.fuzzy_semi_join(L, R, t).collect()}
+        want = {a for a in left if any(ratio_ok(a, b, t) for b in right)}
+        assert got == want, t
+        assert len(want) > 20
+
+
+def test_long_titles_stay_cheap(spark):
+    long_ = " ".join(f"word{i % 50}" for i in range(6000))
+    L = spark.createDataFrame([(long_,), ("short",)], "s string")
+    R = spark.createDataFrame([(long_ + "x",), ("other",)], "s string")
+    assert [r.s for r in M.fuzzy_semi_join(L, R, 90).collect()] == [long_]
 
 
 def test_match_cascade_fixture(spark):

@@ -56,6 +56,54 @@ def test_retry_keeps_one_row_per_input(spark):
     assert again.count() == 50
 
 
+def _counting(folder, fails):
+    """A scorer that notes each call as a file and fails as told by (row id, calls so far)."""
+    def scorer(rid, prompt):
+        import os
+        import uuid
+        n = len([f for f in os.listdir(folder) if f.startswith(f"{rid}-")])
+        open(os.path.join(folder, f"{rid}-{uuid.uuid4().hex}"), "w").close()
+        if fails(int(rid), n):
+            raise RuntimeError("Error code: 429 - rate_limit_exceeded")
+        return {"output_text": f"0.{n}", "input_tokens": 1, "output_tokens": 1, "total_tokens": 2}
+    return scorer
+
+
+def test_every_row_is_scored_once_and_failures_again(spark, tmp_dir):
+    import os
+    df = spark.createDataFrame([(i, "abc") for i in range(500)], "row_id bigint, prompt string")
+    _fails = lambda rid, n: (rid * 7919 + n * 104729) % 97 < 48  # noqa: E731 - about half of all calls
+    scorer = _counting(tmp_dir, _fails)
+    again = SC.retry_failed(SC.score_rows(df, scorer), df, scorer)
+    rows = again.collect()
+    first = [i for i in range(500) if _fails(i, 0)]
+    left = [i for i in first if _fails(i, 1)]
+    assert len(rows) == 500 and len(os.listdir(tmp_dir)) == 500 + len(first)
+    assert sorted(r.row_id for r in rows if r.error) == left
+    assert {r.row_id: r.output_text for r in rows if not r.error} == {i: "0.0" if i not in first else "0.1" for i in range(500) if i not in left}
+
+
+def test_running_tokens_score_each_row_once(spark, tmp_dir):
+    import os
+    df = spark.createDataFrame([(i, "abc") for i in range(200)], "row_id bigint, prompt string")
+    assert SC.running_tokens(SC.score_rows(df, _counting(tmp_dir, lambda r, n: False)), ["row_id"]).count() == 200
+    assert len(os.listdir(tmp_dir)) == 200
+
+
+def test_scoring_goes_on_where_it_ended(spark, tmp_dir):
+    import os
+    calls, table = os.path.join(tmp_dir, "calls"), os.path.join(tmp_dir, "table")
+    os.makedirs(calls)
+    df = spark.createDataFrame([(i, "abc") for i in range(100)], "row_id bigint, prompt string")
+    never = _counting(calls, lambda r, n: False)
+    SC.score_to_table(df.where("row_id < 40"), never, table)
+    assert SC.score_to_table(df, never, table, blocks=3).count() == 100 and len(os.listdir(calls)) == 100
+    assert SC.score_to_table(df, never, table).count() == 100 and len(os.listdir(calls)) == 100
+    more = df.selectExpr("row_id + 1000 AS row_id", "prompt")
+    out = SC.score_to_table(more, _counting(calls, lambda r, n: n < 2), table, rounds=5).where("row_id >= 1000")
+    assert out.where("error IS NULL").count() == 100 and len(os.listdir(calls)) == 100 + 300
+
+
 def test_shards_round_robin(spark):
     df = spark.createDataFrame([(i,) for i in (5, 1, 9, 3)], "row_id int")
     got = {r.row_id: r.shard for r in SC.assign_shards(df, ["row_id"], 2).collect()}

@@ -81,7 +81,7 @@ def test_extraction_evaluation_and_wide_table(spark, tmp_dir):
     assert (m.tp, m.fn) == (3, 2)  # b.phases: [] vs missing; c.type
     assert rep.coverage.first().coverage == 1.0
     assert rep.study_accuracy.first().study_accuracy == 1 / 3
-    wide = records_wide(ai)
+    wide = records_wide(ai, [("phases", "variant"), ("tool", "string"), ("type", "string")])
     assert wide.columns == ["phases", "tool", "type"] and wide.count() == 3
     sinks.write_semicolon_csv(rep.errors, f"{tmp_dir}/errors")
     assert spark.read.option("header", True).option("sep", ";").csv(f"{tmp_dir}/errors").count() == 2
