@@ -35,7 +35,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revsift.llm.common import whole_text
+from revsift.llm.common import whole_text, written
 
 FEATURES = ["strong_density", "mild_density", "strong_count", "strong_kinds", "second_person", "near_second_person",
             "capitals", "exclamations", "questions", "punctuation", "digits", "masked_hits", "masked_rate", "spaced_rate", "stretched_rate", "length"]
@@ -108,8 +108,9 @@ def train(docs: DataFrame, labels: DataFrame, p: Params | None = None, id_col: s
     if n > p.max_rows:
         given = given.where(spread("rows", 1_000_000) < int(1_000_000 * p.max_rows / n))
     given = given.withColumn("part", F.when(spread("part", 5) < 2, "words").when(spread("part", 5) < 4, "trees").otherwise("scale"))
-    # of bounded size, by max_rows
-    rows = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text")).join(F.broadcast(given), "_id")
+    # of bounded size, by max_rows; written, since several jobs read it
+    rows = written(docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text")).join(F.broadcast(given), "_id")
+                   .select("part", "label", "_text"), "labelled")
     prior = toxic / n if n else 0.0
 
     seen = rows.where("part = 'words'").dropDuplicates(["_text"]).select("label", F.explode(F.array_distinct(
