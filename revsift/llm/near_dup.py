@@ -8,13 +8,15 @@ similarity; only pairs whose estimate comes near the threshold are checked on
 their full shingle sets.
 
 Candidates never become all pairs of a bucket. First each member is compared
-with a bucket's first member, by its best estimate; the links found give
-components. Then, in each bucket, only members outside the bucket's largest
-component are compared with those of other components. A pair inside one
-component needs no check, so no link that would join two texts is lost.
+with one other: of the first members of its buckets the one it meets most
+often. The links found give components. Then buckets that still hold several
+components are gone through in blocks of bounded size, sketches against
+sketches, and only pairs from different components whose sketches come near
+enough leave a task. A pair inside one component needs no check, so no link that
+would join two texts is lost.
 
 A pair at the threshold of 0.8 shares no band with probability
-(1 - 0.8^rows)^bands, about 2e-6 for the default 8 rows and 72 bands, and far
+(1 - 0.8^rows)^bands, about 2e-6 for the default 7 rows and 56 bands, and far
 less above it.
 
 Defined cases: a text without words (or null) has an empty set and is linked
@@ -25,6 +27,7 @@ read. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,9 +48,10 @@ SIGNATURE = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array
 class Params:
     shingle: int = 5
     similarity: float = 0.8  # whole per cent
-    bands: int = 72
-    rows: int = 8
+    bands: int = 56
+    rows: int = 7
     bits: int = 1024
+    block: int = 512
     margin: float = 0.14  # an estimate so far below the threshold still is checked: about five deviations
 
     @property
@@ -165,17 +169,46 @@ def confirmed(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").mapInPandas(check, "u bigint, v bigint")
 
 
-def bucket_pairs(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs of a bucket from different components, at least one outside the bucket's largest."""
+def bucket_pairs(members: DataFrame, parts: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
+    """Pairs (a, b) of a bucket from different components that sizes and sketches allow.
+
+    A bucket's members are dealt to blocks of about ``p.block``; a task sees two
+    blocks at a time and compares them in memory."""
     labelled = members.select("key", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    sizes = labelled.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
-    most = written(sizes.groupBy("key").agg(F.max(F.struct("n", "part"))["part"].alias("most"), F.count(F.lit(1)).alias("parts"))
-                   .where("parts > 1").select("key", "most"), "largest-parts")
-    mixed_ = written(labelled.join(most, "key"), "mixed-buckets")
-    minor = mixed_.where("part <> most").select("key", F.col("node").alias("a"), F.col("part").alias("pa"))
-    other = mixed_.select("key", F.col("node").alias("b"), F.col("part").alias("pb"), (F.col("part") == F.col("most")).alias("major"))
-    return (minor.join(other, "key").where("pa <> pb AND (major OR a < b)")
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    several = written(labelled.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
+                      .select("key", F.ceil(F.col("n") / p.block).cast("int").alias("blocks")), "mixed-buckets")
+    each = labelled.join(several, "key").join(nodes.select("node", "n_shingles", "sketch"), "node")
+    item = F.struct("node", "part", "n_shingles", "sketch")
+    blocks = written(each.groupBy("key", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")).agg(F.collect_list(item).alias("x"))
+                     .select("key", "blocks", "block", F.col("x.node").alias("node"), F.col("x.part").alias("part"), F.col("x.n_shingles").alias("n"),
+                             F.flatten("x.sketch").alias("sketch")), "bucket-blocks")
+    columns = ["node", "part", "n", "sketch"]
+    same = blocks.select(*columns, *[F.lit(None).cast(blocks.schema[c].dataType).alias(f"{c}2") for c in columns])
+    left = blocks.where("blocks > 1").select("key", F.col("block").alias("i"), *columns)
+    right = blocks.where("blocks > 1").select("key", F.col("block").alias("j"), *[F.col(c).alias(f"{c}2") for c in columns])
+    both = left.join(right, "key").where("i < j").drop("key", "i", "j")
+    apart = 2 * p.samples * (1 - p.similarity + p.margin)
+    most = int(p.bits / 2 * (1 - math.exp(-2 * apart / p.bits)))
+    percent, longs = round(100 * p.similarity), p.bits // 64
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [np.empty((0, 2), np.int64)]
+            for node, part, n, sketch, node2, part2, n2, sketch2 in batch.itertuples(index=False):
+                own = node2 is None
+                node2, part2, n2, sketch2 = (node, part, n, sketch) if own else (node2, part2, n2, sketch2)
+                s, s2 = np.asarray(sketch).reshape(-1, longs), np.asarray(sketch2).reshape(-1, longs)
+                for k in range(0, len(node), 64):
+                    z = np.bitwise_count(s[k : k + 64, None] ^ s2[None]).sum(axis=2, dtype=np.int64)
+                    a, b = n[k : k + 64, None], n2[None]
+                    good = (z <= most) & (part[k : k + 64, None] != part2[None]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+                    i, j = np.nonzero(good)
+                    pair = np.stack([node[k + i], node2[j]], axis=1)
+                    found.append(np.sort(pair[pair[:, 0] < pair[:, 1]] if own else pair, axis=1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return same.unionByName(both).mapInPandas(compare, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, p: Params | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,13 +225,13 @@ def near_duplicates(docs: DataFrame, p: Params | None = None, id_col: str = "doc
     shared = written(keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("key", "first"), "shared")
     members = written(keys.join(shared, "key"), "buckets")
 
-    # each member and the first of its buckets that looks most like it
-    firsts = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    best = near_enough(firsts, nodes, p).groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
-    links = written(confirmed(best, docs, p), "links")
+    # each member and, of the first ones of its buckets, the one it shares most bands with
+    met = members.where("node <> first").groupBy("node", "first").agg(F.count(F.lit(1)).alias("n"))
+    best = met.groupBy(F.col("node").alias("b")).agg(F.max_by("first", F.struct("n", -F.col("first"))).alias("a"))
+    links = written(confirmed(near_enough(best, nodes, p), docs, p), "links")
     parts = connected(links)
     # what may still join two components
-    more = written(near_enough(bucket_pairs(members, parts), nodes, p), "more-pairs")
+    more = written(bucket_pairs(members, parts, nodes, p), "more-pairs")
     again = written(confirmed(more, docs, p), "more-links")
     parts = connected(links.unionByName(again))
 
