@@ -43,7 +43,7 @@ FEATURES = ["strong_density", "mild_density", "strong_count", "strong_kinds", "s
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos usted tú ti tus vosotros".split())
 SIGNS = str.maketrans("013457@$!|", "oleastasil")
 WORD = re.compile(r"[^\W\d_]+")
-MASKED = re.compile(r"[A-Za-z]+[0134578@$!|*][0134578@$!|*A-Za-z]*[A-Za-z]")
+MASKED = re.compile(r"(?<![A-Za-z])[A-Za-z]*+[0134578@$!|*]+[A-Za-z][0134578@$!|*A-Za-z]*+")
 SPACED = re.compile(r"\b[a-z](?:[ .*_-][a-z]){3,}\b")
 STRETCHED = re.compile(r"([a-z])\1\1")
 
