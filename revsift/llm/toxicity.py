@@ -41,7 +41,7 @@ FEATURES = ["strong_density", "mild_density", "strong_count", "strong_kinds", "s
             "capitals", "exclamations", "questions", "punctuation", "digits", "masked_hits", "masked_rate", "spaced_rate", "stretched_rate", "length"]
 # Second-person words of the languages in the corpus, and letters by the signs that stand for them.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos usted tú ti tus vosotros".split())
-SIGNS = str.maketrans("013457@$!|", "oleastasil")
+SIGNS = [str.maketrans("013457@$!|*", x) for x in ("oleastasil ", "oieastasii ")]  # 1 and | stand for l or i
 WORD = re.compile(r"[^\W\d_]+")
 MASKED = re.compile(r"(?<![A-Za-z])[A-Za-z]*+[0134578@$!|*]+[A-Za-z][0134578@$!|*A-Za-z]*+")
 SPACED = re.compile(r"\b[a-z](?:[ .*_-][a-z]){3,}\b")
@@ -76,13 +76,12 @@ def features(text: str, strong: frozenset[str], mild: frozenset[str]) -> list[fl
     letters, chars = max(1, int(hist[65:91].sum() + hist[97:123].sum())), max(1, int(hist.sum()))
     hits = [i for i, w in enumerate(words) if w in strong]
     near = sum(any(w in SECOND_PERSON for w in words[max(0, i - 4) : i + 5]) for i in hits)
-    masked = [m.translate(SIGNS).replace("*", "") for m in MASKED.findall(low)]
-    spaced = SPACED.findall(low)
-    plain = masked + [re.sub("[^a-z]", "", s) for s in spaced]
+    masked, spaced = MASKED.findall(low), SPACED.findall(low)
+    plain = [{m.translate(t).replace(" ", "") for t in SIGNS} for m in masked] + [{re.sub("[^a-z]", "", s)} for s in spaced]
     return [100 * len(hits) / n, 100 * sum(w in mild for w in words) / n, float(len(hits)), float(len({words[i] for i in hits})),
             100 * sum(w in SECOND_PERSON for w in words) / n, near / max(1, len(hits)), hist[65:91].sum() / letters,
             100 * hist[33] / n, 100 * hist[63] / n, (hist[33:48].sum() + hist[58:65].sum() + hist[91:97].sum()) / chars, hist[48:58].sum() / chars,
-            float(sum(w in strong for w in plain)), 100 * len(masked) / n, 100 * len(spaced) / n, 100 * sum(1 for _ in STRETCHED.finditer(low)) / n,
+            float(sum(not strong.isdisjoint(x) for x in plain)), 100 * len(masked) / n, 100 * len(spaced) / n, 100 * sum(1 for _ in STRETCHED.finditer(low)) / n,
             float(np.log1p(len(words)))]
 
 
