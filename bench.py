@@ -34,6 +34,11 @@ HEADLINE = [
     "drop_sections",
     "keep_sections",
     "stream_confusion",
+    "csv_candidates",
+    "extraction_counts",
+    "render_prompt",
+    "json_records",
+    "score_resume",
 ]
 
 
