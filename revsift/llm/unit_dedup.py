@@ -44,8 +44,9 @@ def remove_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str
         i.alias("place"), F.get(at, i).alias("start"), (F.get(at, i) + F.length(u)).alias("end"),
         (n == "").alias("blank"), F.xxhash64(n).alias("d1"), F.xxhash64(F.lit("second"), n).alias("d2"))))))
     each = written(docs.select(F.col(id_col).isNull().alias("_last"), F.col(id_col).alias("_rank"), *key, F.inline(units)).where("NOT blank").drop("blank"), "units")
-    first = (each.groupBy("d1", "d2").agg(F.min(F.struct("_last", "_rank", "_text", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
-             .where("n > 1").select("d1", "d2", "first"))
+    # written before it is joined back: the join then deals both sides anew, and a hot line can be split
+    first = written(each.groupBy("d1", "d2").agg(F.min(F.struct("_last", "_rank", "_text", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
+                    .where("n > 1").select("d1", "d2", "first"), "first-units")
     mine = F.struct("_last", "_rank", "_text", "place")
     gone = (each.join(first, ["d1", "d2"]).where(~mine.eqNullSafe(F.col("first")))
             .groupBy("_id", "_text").agg(F.sort_array(F.collect_set(F.struct("place", "start", "end"))).alias("_gone")))  # at most a document's lines
