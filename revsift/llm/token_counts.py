@@ -74,10 +74,9 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, text_col
     cache = read_cache(spark, cache_path)
     known = cache.where(F.col("tokenizer") == mark).select("content", "n_tokens")
     keyed = docs.select(F.sha2(whole_text(text_col), 256).alias("content"), whole_text(text_col).alias("body"))
-    missed = keyed.join(known, "content", "left_anti")
     # partial aggregation leaves one text per task and digest before anything is shuffled
-    distinct = missed.groupBy("content").agg(F.any_value("body").alias("body"))
-    distinct.mapInPandas(encode, CACHE).write.mode("append").parquet(cache_path)
+    distinct = keyed.groupBy("content").agg(F.any_value("body").alias("body"))
+    distinct.join(known, "content", "left_anti").mapInPandas(encode, CACHE).write.mode("append").parquet(cache_path)
     counts = read_cache(spark, cache_path).where(F.col("tokenizer") == mark).select(F.col("content").alias("_content"), "n_tokens")
     rest = [c for c in docs.columns if c not in {text_col, "n_bytes", "n_tokens", "over_limit", "_content"}]
     lean = docs.select(*rest, F.octet_length(whole_text(text_col)).cast("long").alias("n_bytes"), F.sha2(whole_text(text_col), 256).alias("_content"))
