@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revsift.llm.common import let, total, whole_text, written
+from revsift.llm.common import let, scratch, total, whole_text, written
 from revsift.llm.em import Votes, fit_votes
 
 # The base kinds in their order, then the looser ones. A possessive quantifier, a
@@ -159,19 +159,22 @@ def probability(fitted: dict[str, dict], of: str) -> str:
     return f"(1 / (1 + exp(-double({' + '.join(odds)}))))"
 
 
-def find_personal_data(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the text column, with ``pii``: an array, by start and kind, of
-    (start, kind, end, value, base, p). The places are code points, the end exclusive;
-    ``kind`` is an index of KINDS; ``p`` is the classifier's probability. All spans of
-    the base kinds are there, those of other kinds from ``threshold`` on."""
-    rest = [c for c in docs.columns if c not in {text_col, "pii"}]
-    found = let(whole_text(text_col), lambda t: F.concat(*[find_spans(t, k) for k in KINDS]))
-    seen = F.transform(F.col("_spans"), lambda s: F.struct(s["start"], s["kind"], s["end"], s["value"],
+def seen_spans(text: Column) -> Column:
+    """All proposed spans of a text with their votes and features."""
+    found = let(text, lambda t: F.concat(*[find_spans(t, k) for k in KINDS]))
+    return F.transform(found, lambda s: F.struct(s["start"], s["kind"], s["end"], s["value"],
                        *[v.alias(k) for k, v in {**votes(s), **features(s)}.items()]))
-    spans = written(docs.select(*rest, found.alias("_spans")).withColumn("_spans", seen), "pii")
+
+
+def fit(spans: DataFrame) -> dict[str, dict]:
+    """The span classifier, from a table with the column ``_spans``."""
     each = spans.where(F.size("_spans") > 0).select(F.inline("_spans"))
-    model = fit_votes(each, VOTERS, prior=0.7)
-    fitted = train_span_classifier(each, model)
+    return train_span_classifier(each, fit_votes(each, VOTERS, prior=0.7))
+
+
+def with_personal_data(spans: DataFrame, fitted: dict[str, dict], threshold: float) -> DataFrame:
+    """``spans`` with ``pii`` in place of ``_spans``."""
+    rest = [c for c in spans.columns if c != "_spans"]
     judged = F.expr(f"transform(_spans, s -> struct(s.start, s.kind, s.end, s.value, s.kind < {len(BASE)} AS base, {probability(fitted, 's')} AS p))")
     base = F.filter("_judged", lambda s: s["base"])
     # a looser span that only repeats part of a base span says nothing new
@@ -180,6 +183,16 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", threshold: float
             .select(*rest, F.sort_array(F.concat("_base", loose)).alias("pii")))
 
 
+def find_personal_data(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """``docs`` without the text column, with ``pii``: an array, by start and kind, of
+    (start, kind, end, value, base, p). The places are code points, the end exclusive;
+    ``kind`` is an index of KINDS; ``p`` is the classifier's probability. All spans of
+    the base kinds are there, those of other kinds from ``threshold`` on."""
+    rest = [c for c in docs.columns if c not in {text_col, "pii"}]
+    spans = written(docs.select(*rest, seen_spans(whole_text(text_col)).alias("_spans")), "pii")
+    return with_personal_data(spans, fit(spans), threshold)
+
+
 def kind_name(kind: Column) -> Column:
     return F.get(F.array(*[F.lit(k) for k in KINDS]), kind)
 
@@ -194,10 +207,13 @@ def digest_columns(found: DataFrame, keys: list[str]) -> DataFrame:
 def redact(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` with every span of personal data replaced by its kind in brackets.
 
-    Spans that overlap count as one, named after the first. The text itself
-    goes through one written table, beside the spans."""
+    Spans that overlap count as one, named after the first. Spans are proposed
+    twice, to fit the classifier and to redact, so that no text is written."""
+    seen = seen_spans(whole_text(text_col)).alias("_spans")
+    with scratch(docs.sparkSession):
+        fitted = fit(written(docs.select(seen), "pii"))
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
-    found = find_personal_data(docs.select(row, F.col(text_col).alias("text")), "text", threshold)
+    found = with_personal_data(docs.select(row, seen), fitted, threshold)
     text = F.col("_row")[text_col]
 
     def one(acc: Column, s: Column) -> Column:
