@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revsift.llm.common import written
+from revsift.llm.common import scratch, written
 from revsift.llm.components import connected
 
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -177,16 +177,16 @@ def bucket_pairs(members: DataFrame, parts: DataFrame, nodes: DataFrame, p: Para
     labelled = members.select("key", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     several = written(labelled.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
                       .select("key", F.ceil(F.col("n") / p.block).cast("int").alias("blocks")), "mixed-buckets")
-    each = labelled.join(several, "key").join(nodes.select("node", "n_shingles", "sketch"), "node")
-    item = F.struct("node", "part", "n_shingles", "sketch")
+    each = labelled.join(several, "key").join(nodes.select("node", "n_shingles", "sketch", "bands"), "node")
+    item = F.struct("node", "part", "n_shingles", "sketch", "bands")
     blocks = written(each.groupBy("key", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")).agg(F.collect_list(item).alias("x"))
                      .select("key", "blocks", "block", F.col("x.node").alias("node"), F.col("x.part").alias("part"), F.col("x.n_shingles").alias("n"),
-                             F.flatten("x.sketch").alias("sketch")), "bucket-blocks")
-    columns = ["node", "part", "n", "sketch"]
-    same = blocks.select(*columns, *[F.lit(None).cast(blocks.schema[c].dataType).alias(f"{c}2") for c in columns])
+                             F.flatten("x.sketch").alias("sketch"), F.flatten("x.bands").alias("bands")), "bucket-blocks")
+    columns = ["node", "part", "n", "sketch", "bands"]
+    same = blocks.select("key", *columns, *[F.lit(None).cast(blocks.schema[c].dataType).alias(f"{c}2") for c in columns])
     left = blocks.where("blocks > 1").select("key", F.col("block").alias("i"), *columns)
     right = blocks.where("blocks > 1").select("key", F.col("block").alias("j"), *[F.col(c).alias(f"{c}2") for c in columns])
-    both = left.join(right, "key").where("i < j").drop("key", "i", "j")
+    both = left.join(right, "key").where("i < j").drop("i", "j")
     apart = 2 * p.samples * (1 - p.similarity + p.margin)
     most = int(p.bits / 2 * (1 - math.exp(-2 * apart / p.bits)))
     percent, longs = round(100 * p.similarity), p.bits // 64
@@ -194,15 +194,20 @@ def bucket_pairs(members: DataFrame, parts: DataFrame, nodes: DataFrame, p: Para
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [np.empty((0, 2), np.int64)]
-            for node, part, n, sketch, node2, part2, n2, sketch2 in batch.itertuples(index=False):
+            for key, node, part, n, sketch, bands, node2, part2, n2, sketch2, bands2 in batch.itertuples(index=False):
                 own = node2 is None
-                node2, part2, n2, sketch2 = (node, part, n, sketch) if own else (node2, part2, n2, sketch2)
+                node2, part2, n2, sketch2, bands2 = (node, part, n, sketch, bands) if own else (node2, part2, n2, sketch2, bands2)
                 s, s2 = np.asarray(sketch).reshape(-1, longs), np.asarray(sketch2).reshape(-1, longs)
+                keys, keys2 = np.asarray(bands).reshape(-1, p.bands), np.asarray(bands2).reshape(-1, p.bands)
                 for k in range(0, len(node), 64):
                     z = np.bitwise_count(s[k : k + 64, None] ^ s2[None]).sum(axis=2, dtype=np.int64)
                     a, b = n[k : k + 64, None], n2[None]
                     good = (z <= most) & (part[k : k + 64, None] != part2[None]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
                     i, j = np.nonzero(good)
+                    # a pair that meets in several buckets leaves only that of its first common band
+                    common = keys[k + i] == keys2[j]
+                    first = keys[k + i, common.argmax(axis=1)] == key
+                    i, j = i[first], j[first]
                     pair = np.stack([node[k + i], node2[j]], axis=1)
                     found.append(np.sort(pair[pair[:, 0] < pair[:, 1]] if own else pair, axis=1))
             pairs = np.unique(np.concatenate(found), axis=0)
@@ -233,7 +238,8 @@ def near_duplicates(docs: DataFrame, p: Params | None = None, id_col: str = "doc
     # what may still join two components
     more = written(bucket_pairs(members, parts, nodes, p), "more-pairs")
     again = written(confirmed(more, docs, p), "more-links")
-    parts = connected(links.unionByName(again))
+    if not again.isEmpty():
+        parts = connected(links.unionByName(again))
 
     found = (signed.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
              .join(parts, "node", "left"))
@@ -248,9 +254,12 @@ def drop_near_duplicates(docs: DataFrame, p: Params | None = None, id_col: str =
     """One document of each group, that of the smallest id; same columns.
 
     Of rows with one id the one whose text comes first stays. Rows with a null id stay."""
-    found = written(near_duplicates(docs, p, id_col, text_col), "near")
+    with scratch(docs.sparkSession):
+        found = written(near_duplicates(docs, p, id_col, text_col), "near", keep=True)
     gone = found.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(id_col)).distinct()
     left = docs.join(gone, id_col, "left_anti")
     again = written(found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(id_col)), "repeated-ids")
+    if again.isEmpty():
+        return left.select(*docs.columns)
     first = (left.join(again, id_col, "left_semi").groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), F.struct(text_col)).alias("row")).select("row.*"))
     return left.join(again, id_col, "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
