@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,23 +91,39 @@ def suffixes(docs: DataFrame, p: Params) -> DataFrame:
 
 def neighbours(kept: DataFrame, order: list[str]) -> DataFrame:
     """Document pairs (a, ua, b, ub) of neighbours in ``order`` that share k1."""
-    def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = last = None
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+        """The small batches in which whole texts travel, put together."""
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            if not len(batch):
-                continue
-            rows = batch if last is None else pd.concat([last, batch], ignore_index=True)
-            first = batch.iloc[:1] if first is None else first
-            last = batch.iloc[-1:]
-            x, y = rows.iloc[:-1].reset_index(drop=True), rows.iloc[1:].reset_index(drop=True)
-            hit = (x["k1"] == y["k1"]) & ((x["doc_id"] != y["doc_id"]) | (x["uid"] != y["uid"]))
-            yield pd.DataFrame({"a": x["doc_id"][hit], "ua": x["uid"][hit], "b": y["doc_id"][hit], "ub": y["uid"][hit]}).drop_duplicates().assign(edge=False, k1=0, k2=0)
+            held.append(batch)
+            if sum(len(b) for b in held) >= 20_000:
+                yield {c: np.concatenate([b.column(c).to_numpy() for b in held]) for c in batch.schema.names}
+                held = []
+        if held and sum(len(b) for b in held):
+            yield {c: np.concatenate([b.column(c).to_numpy() for b in held]) for c in held[0].schema.names}
+
+    def rows(a, ua, b, ub, edge: bool, k1, k2) -> pa.RecordBatch:
+        n = len(a)
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (a, ua, b, ub)] + [pa.array(np.full(n, edge))]
+                                          + [pa.array(np.asarray(x, np.int64)) for x in (k1, k2)], ["a", "ua", "b", "ub", "edge", "k1", "k2"])
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        for chunk in gathered(batches):
+            first = {c: v[:1] for c, v in chunk.items()} if first is None else first
+            x = chunk if last is None else {c: np.concatenate([last[c], v]) for c, v in chunk.items()}
+            last = {c: v[-1:] for c, v in chunk.items()}
+            doc, uid = x["doc_id"], x["uid"]
+            hit = np.flatnonzero((x["k1"][1:] == x["k1"][:-1]) & ((doc[1:] != doc[:-1]) | (uid[1:] != uid[:-1])))
+            found = np.unique(np.stack([doc[hit], uid[hit], doc[hit + 1], uid[hit + 1]]), axis=1)
+            zero = np.zeros(found.shape[1], np.int64)
+            yield rows(*found, False, zero, zero)
         for end in (first, last):
             if end is not None:
-                yield pd.DataFrame({"a": end["doc_id"], "ua": end["uid"], "b": 0, "ub": 0, "edge": True, "k1": end["k1"], "k2": end["k2"]})
+                yield rows(end["doc_id"], end["uid"], [0], [0], True, end["k1"], end["k2"])
 
     ordered = kept.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = written(ordered.mapInPandas(pair, "a bigint, ua bigint, b bigint, ub bigint, edge boolean, k1 bigint, k2 bigint"), "neighbours")
+    found = written(ordered.mapInArrow(pair, "a bigint, ua bigint, b bigint, ub bigint, edge boolean, k1 bigint, k2 bigint"), "neighbours")
     # two rows for each partition
     in_order = Window.orderBy(*[{"doc_id": "a", "uid": "ua"}.get(c, c) for c in order])
     before = lambda c: F.lag(c).over(in_order)
@@ -142,24 +159,37 @@ def extend(x: np.ndarray, y: np.ndarray, i: int, j: int) -> tuple[int, int]:
         step *= 2
 
 
-def common_stretches(x: np.ndarray, y: np.ndarray, p: Params) -> list[tuple[int, int]]:
+@dataclass(frozen=True)
+class Prepared:
+    """A text's word hashes, its kept positions and their fingerprints."""
+
+    words: np.ndarray
+    at: np.ndarray
+    keys: np.ndarray
+
+
+def prepared(text: str, p: Params) -> Prepared:
+    h = word_hashes(text)
+    at = selected(h, p)
+    return Prepared(h, at, gram_hashes(h, p.seed)[at])
+
+
+def common_stretches(x: Prepared, y: Prepared, p: Params) -> list[tuple[int, int]]:
     """Stretches of at least ``least`` words of x that y holds too, merged where they overlap.
 
     Each kept seed of x is extended against the first place of it in y, so the
     work is in proportion to the two texts."""
-    at, there = selected(x, p), selected(y, p)
-    if not len(at) or not len(there):
+    if not len(x.at) or not len(y.at):
         return []
-    kx, ky = gram_hashes(x, p.seed)[at], gram_hashes(y, p.seed)[there]
-    keys, first = np.unique(ky, return_index=True)
-    slot = np.minimum(np.searchsorted(keys, kx), len(keys) - 1)
+    keys, first = np.unique(y.keys, return_index=True)
+    slot = np.minimum(np.searchsorted(keys, x.keys), len(keys) - 1)
     out: list[tuple[int, int]] = []
     reach: dict[int, int] = {}  # by diagonal: how far it has been extended
-    for k in np.flatnonzero(keys[slot] == kx):
-        i, j = int(at[k]), int(there[first[slot[k]]])
+    for k in np.flatnonzero(keys[slot] == x.keys):
+        i, j = int(x.at[k]), int(y.at[first[slot[k]]])
         if reach.get(i - j, -1) > i:
             continue
-        lo, hi = extend(x, y, i, j)
+        lo, hi = extend(x.words, y.words, i, j)
         reach[i - j] = hi
         if hi - lo >= p.least:
             if out and lo <= out[-1][1] and lo >= out[-1][0]:
@@ -187,10 +217,19 @@ def compared(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     right = texts.select(F.col("doc_id").alias("b"), F.col("uid").alias("ub"), F.col("text").alias("tb"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple[int, int], Prepared] = {}  # the texts seen last; a document is in several pairs
+
+        def of(doc: int, uid: int, text: str) -> Prepared:
+            if (doc, uid) not in known:
+                if len(known) >= 64:
+                    known.pop(next(iter(known)))
+                known[doc, uid] = prepared(text, p)
+            return known[doc, uid]
+
         for batch in batches:
             rows = []
             for a, ua, ta, b, ub, tb in batch[["a", "ua", "ta", "b", "ub", "tb"]].itertuples(index=False):
-                x, y = word_hashes(ta), word_hashes(tb)
+                x, y = of(a, ua, ta), of(b, ub, tb)
                 for doc, uid, text, other, h, g in ((a, ua, ta, (b, ub), x, y), (b, ub, tb, (a, ua), y, x)):
                     if found := common_stretches(h, g, p):
                         rows += [(doc, uid, s, e, hi - lo, other < (doc, uid)) for (s, e), (lo, hi) in zip(places(text, found), found, strict=True)]
