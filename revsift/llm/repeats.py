@@ -26,7 +26,6 @@ tables give empty results.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,7 +41,6 @@ from revsift.llm.decontam import gram_hashes
 
 SUFFIX = "k1 bigint, k2 bigint, doc_id bigint, uid bigint"
 SPAN = "doc_id bigint, uid bigint, start int, end int, words int, later boolean"
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 @dataclass(frozen=True)
@@ -135,28 +133,23 @@ def neighbours(kept: DataFrame, order: list[str]) -> DataFrame:
 
 def extend(x: np.ndarray, y: np.ndarray, i: int, j: int) -> tuple[int, int]:
     """The ends, in x, of the longest common stretch around places i of x and j of y."""
-    lo, hi, step = i, i, 64
-    while True:  # to the left
-        n = min(step, lo, j - (i - lo))
-        a, b = x[lo - n : lo], y[j - (i - lo) - n : j - (i - lo)]
-        differ = np.flatnonzero(a != b)
-        if len(differ):
-            lo -= n - 1 - int(differ[-1])
+    lo, hi, shift, step = i, i, j - i, 64
+    while n := min(step, lo, lo + shift):  # to the left
+        differ = x[lo - n : lo][::-1] != y[lo + shift - n : lo + shift][::-1]
+        at = int(differ.argmax())
+        if differ[at]:
+            lo -= at
             break
-        lo -= n
-        if not n:
-            break
-        step *= 2
+        lo, step = lo - n, step * 2
     step = 64
-    while True:  # to the right
-        n = min(step, len(x) - hi, len(y) - (j + hi - i))
-        differ = np.flatnonzero(x[hi : hi + n] != y[j + hi - i : j + hi - i + n])
-        if len(differ):
-            return lo, hi + int(differ[0])
-        hi += n
-        if not n:
-            return lo, hi
-        step *= 2
+    while n := min(step, len(x) - hi, len(y) - hi - shift):  # to the right
+        differ = x[hi : hi + n] != y[hi + shift : hi + shift + n]
+        at = int(differ.argmax())
+        if differ[at]:
+            hi += at
+            break
+        hi, step = hi + n, step * 2
+    return lo, hi
 
 
 @dataclass(frozen=True)
@@ -201,12 +194,13 @@ def common_stretches(x: Prepared, y: Prepared, p: Params) -> list[tuple[int, int
 
 def places(text: str, stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Word places as code points of the text."""
-    raw = text.encode("utf-8", "surrogatepass")
-    spots = [m.span() for m in WORD.finditer(raw)]
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    word = np.r_[False, ~((raw == 32) | ((raw >= 9) & (raw <= 13))), False]
+    first, last = np.flatnonzero(word[1:-1] & ~word[:-2]), np.flatnonzero(word[1:-1] & ~word[2:]) + 1
     if len(raw) == len(text):
-        return [(spots[a][0], spots[b - 1][1]) for a, b in stretches]
-    before = np.r_[0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)]  # code points before each byte
-    return [(int(before[spots[a][0]]), int(before[spots[b - 1][1]])) for a, b in stretches]
+        return [(int(first[a]), int(last[b - 1])) for a, b in stretches]
+    before = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]  # code points before each byte
+    return [(int(before[first[a]]), int(before[last[b - 1]])) for a, b in stretches]
 
 
 def compared(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
