@@ -1,18 +1,16 @@
-"""Passages that repeat across documents, by a sparse suffix array (operator 6).
-
-Suffixes are kept only at minimisers: in each run of ``window`` word positions
-the one whose next ``gram`` words hash lowest. A passage of ``least`` words
-holds such a position early enough for ``seed`` words of it to follow, so both
-of its copies keep the same suffixes. Spark sorts all kept suffixes by the
-fingerprints of their next words, twice: by content, where neighbours share
-most, and by document, where the earlier holder precedes. Neighbours from
-different documents that agree on ``seed`` words give document pairs; each pair's
-texts are then compared at all common seeds, which are extended left and
-right to the whole common passage.
-
-A class of m equal suffixes gives m - 1 neighbour pairs, never all. Range
-partitioning sorts by key and document, so a frequent passage is spread over
-tasks; the ends of the partitions are compared in a table of two rows each.
+"""Passages that repeat across documents, by minimisers and exact windows (operator 6).
+
+Every window of ``least`` words is told by one position, its minimiser: of the
+first ``window`` word positions the one whose next ``gram`` words hash lowest.
+The ``seed`` words from there lie in the window, so two copies of a window have
+the same seed. Seeds that only one document holds rule their windows out. All
+other windows are fingerprinted whole, by 96 bits of their words, and those
+that two documents hold are the result: a span is the union of such windows
+that overlap. Nothing rests on which documents are compared, as none are.
+
+A seed or window that m documents hold gives m rows, never pairs. Its holders
+are counted by a partial aggregation; the keys that stay are written, so that
+the join back to the holders can be split where a passage is frequent.
 
 Words are compared in lower case (A-Z). Places are code points, the end
 exclusive. A span is ``later`` if it repeats a document of a smaller id.
@@ -30,17 +28,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revsift.llm.common import whole_text, written
+from revsift.llm.common import scratch, whole_text, written
 from revsift.llm.decontam import gram_hashes
 
-SUFFIX = "k1 bigint, k2 bigint, doc_id bigint, uid bigint"
-SPAN = "doc_id bigint, uid bigint, start int, end int, words int, later boolean"
+SEED = "k bigint, at int, doc_id bigint, uid bigint"
+WINDOW = "w bigint, v int, doc_id bigint, uid bigint, start int, end int"
+SPANS = "array<struct<start:int,end:int>>"
+ROWS = 200_000  # windows that leave a task at once
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @dataclass(frozen=True)
@@ -59,191 +59,120 @@ def word_hashes(text: str) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def selected(h: np.ndarray, p: Params) -> np.ndarray:
-    """The minimisers that have ``seed`` words from them on."""
-    grams = gram_hashes(h, p.gram)
-    if len(h) < p.least or len(grams) < p.window:
+def minimisers(h: np.ndarray, p: Params) -> np.ndarray:
+    """For each window of ``least`` words the place of its seed."""
+    n = len(h) - p.least + 1
+    if n <= 0:
         return np.empty(0, np.int64)
-    windows = np.lib.stride_tricks.sliding_window_view(grams, p.window)
-    at = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
-    return at[at + p.seed <= len(h)]
+    grams = np.lib.stride_tricks.sliding_window_view(gram_hashes(h, p.gram), p.window)[:n]
+    return grams.argmin(axis=1) + np.arange(n)
 
 
-def suffixes(docs: DataFrame, p: Params) -> DataFrame:
-    """The kept suffixes: fingerprints of the next ``seed`` words and of as many after them."""
+def seeds(docs: DataFrame, p: Params) -> DataFrame:
+    """The seeds of each document: place and fingerprint."""
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, uid, text in zip(batch["doc_id"], batch["uid"], batch["text"], strict=True):
+            out = [np.empty((4, 0), np.int64)]
+            for doc, uid, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "uid", "text")), strict=True):
                 h = word_hashes(text)
-                at = selected(h, p)
+                at = np.unique(minimisers(h, p))
                 if len(at):
-                    keys = gram_hashes(h, p.seed).view(np.int64)
-                    after = np.r_[keys, np.zeros(p.seed, np.int64)]  # 0: the text ends within the next words
-                    out.append(pd.DataFrame({"k1": keys[at], "k2": after[at + p.seed], "doc_id": doc, "uid": uid}))
-            yield pd.concat(out) if out else pd.DataFrame({c.split()[0]: pd.Series(dtype="int64") for c in SUFFIX.split(", ")})
-
-    return docs.mapInPandas(keep, SUFFIX)
+                    out.append(np.stack([gram_hashes(h, p.seed).view(np.int64)[at], at, np.full(len(at), doc), np.full(len(at), uid)]))
+            k, at, doc, uid = np.concatenate(out, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, at.astype(np.int32), doc, uid)], ["k", "at", "doc_id", "uid"])
 
-
-def neighbours(kept: DataFrame, order: list[str]) -> DataFrame:
-    """Document pairs (a, ua, b, ub) of neighbours in ``order`` that share k1."""
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-        """The small batches in which whole texts travel, put together."""
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(len(b) for b in held) >= 20_000:
-                yield {c: np.concatenate([b.column(c).to_numpy() for b in held]) for c in batch.schema.names}
-                held = []
-        if held and sum(len(b) for b in held):
-            yield {c: np.concatenate([b.column(c).to_numpy() for b in held]) for c in held[0].schema.names}
-
-    def rows(a, ua, b, ub, edge: bool, k1, k2) -> pa.RecordBatch:
-        n = len(a)
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (a, ua, b, ub)] + [pa.array(np.full(n, edge))]
-                                          + [pa.array(np.asarray(x, np.int64)) for x in (k1, k2)], ["a", "ua", "b", "ub", "edge", "k1", "k2"])
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = last = None
-        for chunk in gathered(batches):
-            first = {c: v[:1] for c, v in chunk.items()} if first is None else first
-            x = chunk if last is None else {c: np.concatenate([last[c], v]) for c, v in chunk.items()}
-            last = {c: v[-1:] for c, v in chunk.items()}
-            doc, uid = x["doc_id"], x["uid"]
-            hit = np.flatnonzero((x["k1"][1:] == x["k1"][:-1]) & ((doc[1:] != doc[:-1]) | (uid[1:] != uid[:-1])))
-            found = np.unique(np.stack([doc[hit], uid[hit], doc[hit + 1], uid[hit + 1]]), axis=1)
-            zero = np.zeros(found.shape[1], np.int64)
-            yield rows(*found, False, zero, zero)
-        for end in (first, last):
-            if end is not None:
-                yield rows(end["doc_id"], end["uid"], [0], [0], True, end["k1"], end["k2"])
-
-    ordered = kept.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = written(ordered.mapInArrow(pair, "a bigint, ua bigint, b bigint, ub bigint, edge boolean, k1 bigint, k2 bigint"), "neighbours")
-    # two rows for each partition
-    in_order = Window.orderBy(*[{"doc_id": "a", "uid": "ua"}.get(c, c) for c in order])
-    before = lambda c: F.lag(c).over(in_order)
-    edges = (found.where("edge").select(before("a").alias("a"), before("ua").alias("ua"), F.col("a").alias("b"), F.col("ua").alias("ub"),
-                                        (before("k1") == F.col("k1")).alias("same"))
-             .where("same AND (a <> b OR ua <> ub)").drop("same"))
-    return found.where("NOT edge").select("a", "ua", "b", "ub").unionByName(edges)
-
-
-def extend(x: np.ndarray, y: np.ndarray, i: int, j: int) -> tuple[int, int]:
-    """The ends, in x, of the longest common stretch around places i of x and j of y."""
-    lo, hi, shift, step = i, i, j - i, 64
-    while n := min(step, lo, lo + shift):  # to the left
-        differ = x[lo - n : lo][::-1] != y[lo + shift - n : lo + shift][::-1]
-        at = int(differ.argmax())
-        if differ[at]:
-            lo -= at
-            break
-        lo, step = lo - n, step * 2
-    step = 64
-    while n := min(step, len(x) - hi, len(y) - hi - shift):  # to the right
-        differ = x[hi : hi + n] != y[hi + shift : hi + shift + n]
-        at = int(differ.argmax())
-        if differ[at]:
-            hi += at
-            break
-        hi, step = hi + n, step * 2
-    return lo, hi
+    return docs.mapInArrow(keep, SEED)
 
 
-@dataclass(frozen=True)
-class Prepared:
-    """A text's word hashes, its kept positions and their fingerprints."""
-
-    words: np.ndarray
-    at: np.ndarray
-    keys: np.ndarray
-
-
-def prepared(text: str, p: Params) -> Prepared:
-    h = word_hashes(text)
-    at = selected(h, p)
-    return Prepared(h, at, gram_hashes(h, p.seed)[at])
-
-
-def common_stretches(x: Prepared, y: Prepared, p: Params) -> list[tuple[int, int]]:
-    """Stretches of at least ``least`` words of x that y holds too, merged where they overlap.
-
-    Each kept seed of x is extended against the first place of it in y, so the
-    work is in proportion to the two texts."""
-    if not len(x.at) or not len(y.at):
-        return []
-    keys, first = np.unique(y.keys, return_index=True)
-    slot = np.minimum(np.searchsorted(keys, x.keys), len(keys) - 1)
-    out: list[tuple[int, int]] = []
-    reach: dict[int, int] = {}  # by diagonal: how far it has been extended
-    for k in np.flatnonzero(keys[slot] == x.keys):
-        i, j = int(x.at[k]), int(y.at[first[slot[k]]])
-        if reach.get(i - j, -1) > i:
-            continue
-        lo, hi = extend(x.words, y.words, i, j)
-        reach[i - j] = hi
-        if hi - lo >= p.least:
-            if out and lo <= out[-1][1] and lo >= out[-1][0]:
-                out[-1] = (out[-1][0], max(hi, out[-1][1]))
-            else:
-                out.append((lo, hi))
-    return out
-
-
-def places(text: str, stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Word places as code points of the text."""
+def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The start and end of each word, in code points."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     word = np.r_[False, ~((raw == 32) | ((raw >= 9) & (raw <= 13))), False]
     first, last = np.flatnonzero(word[1:-1] & ~word[:-2]), np.flatnonzero(word[1:-1] & ~word[2:]) + 1
     if len(raw) == len(text):
-        return [(int(first[a]), int(last[b - 1])) for a, b in stretches]
+        return first, last
     before = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]  # code points before each byte
-    return [(int(before[first[a]]), int(before[last[b - 1]])) for a, b in stretches]
+    return before[first], before[last]
 
 
-def compared(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
-    """SPAN rows for both sides of each pair."""
-    needed = pairs.selectExpr("inline(array(struct(a AS doc_id, ua AS uid), struct(b AS doc_id, ub AS uid)))").distinct()
-    texts = docs.join(needed, ["doc_id", "uid"], "left_semi").dropDuplicates(["doc_id", "uid"])
-    left = texts.select(F.col("doc_id").alias("a"), F.col("uid").alias("ua"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("uid").alias("ub"), F.col("text").alias("tb"))
+def windows(docs: DataFrame, hits: DataFrame, p: Params) -> DataFrame:
+    """The windows whose seed is among ``hits``: two fingerprints and the place in the text."""
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[tuple[int, int], Prepared] = {}  # the texts seen last; a document is in several pairs
+    def of(text: str, ats: list[int]) -> list[np.ndarray]:
+        h = word_hashes(text)
+        s = np.flatnonzero(np.isin(minimisers(h, p), ats))
+        mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        first, last = word_places(text)
+        return [gram_hashes(h, p.least).view(np.int64)[s], (gram_hashes(mixed ^ (mixed >> np.uint64(32)), p.least)[s] >> np.uint64(32)).astype(np.uint32).view(np.int32),
+                first[s].astype(np.int32), last[s + p.least - 1].astype(np.int32)]
 
-        def of(doc: int, uid: int, text: str) -> Prepared:
-            if (doc, uid) not in known:
-                if len(known) >= 64:
-                    known.pop(next(iter(known)))
-                known[doc, uid] = prepared(text, p)
-            return known[doc, uid]
+    def put(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        w, v, start, end, doc, uid = (np.concatenate(x) for x in zip(*held, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (w, v, doc, uid, start, end)], ["w", "v", "doc_id", "uid", "start", "end"])
 
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            rows = []
-            for a, ua, ta, b, ub, tb in batch[["a", "ua", "ta", "b", "ub", "tb"]].itertuples(index=False):
-                x, y = of(a, ua, ta), of(b, ub, tb)
-                for doc, uid, text, other, h, g in ((a, ua, ta, (b, ub), x, y), (b, ub, tb, (a, ua), y, x)):
-                    if found := common_stretches(h, g, p):
-                        rows += [(doc, uid, s, e, hi - lo, other < (doc, uid)) for (s, e), (lo, hi) in zip(places(text, found), found, strict=True)]
-            yield pd.DataFrame(rows, columns=["doc_id", "uid", "start", "end", "words", "later"])
-
-    return pairs.join(left, ["a", "ua"]).join(right, ["b", "ub"]).mapInPandas(compare, SPAN)
-
-
-def merged(spans: DataFrame) -> DataFrame:
-    """Per document: ``spans`` and ``later_spans``, each merged where they overlap, in order."""
-
-    def union(name: str) -> str:
-        step = ("CASE WHEN size(acc) > 0 AND s.start <= element_at(acc, -1).end "
-                "THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, s.end)))) "
-                "ELSE concat(acc, array(named_struct('start', s.start, 'end', s.end))) END")
-        return f"aggregate(sort_array({name}), cast(array() AS array<struct<start:int,end:int>>), (acc, s) -> {step}) AS {name}"
+            for doc, uid, text, ats in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "uid", "text", "ats")), strict=True):
+                found = of(text, ats)
+                held.append([*found, np.full(len(found[0]), doc, np.int64), np.full(len(found[0]), uid, np.int64)])
+                n += len(found[0])
+                if n >= ROWS:
+                    yield put(held)
+                    held, n = [], 0
+        if held:
+            yield put(held)
+
+    return docs.join(hits, ["doc_id", "uid"]).select("doc_id", "uid", "text", "ats").mapInArrow(keep, WINDOW)
+
+
+def held_twice(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys that two documents hold, with the first of them."""
+    holder = F.struct("doc_id", "uid")
+    return rows.groupBy(*keys).agg(F.min(holder).alias("first"), F.max(holder).alias("last")).where("first <> last").drop("last")
+
+
+def shared_seeds(kept: DataFrame) -> DataFrame:
+    """The seeds that two documents hold."""
+    ends = [f(c).alias(f.__name__ + c) for c in ("doc_id", "uid") for f in (F.min, F.max)]
+    return kept.groupBy("k").agg(*ends).where("mindoc_id <> maxdoc_id OR minuid <> maxuid").select("k")
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """``written``, and the shuffles that led to the table are freed at once: nothing reads them again."""
+    conf = df.sparkSession.conf
+    before = conf.get(FREE)
+    conf.set(FREE, "true")
+    try:
+        return written(df, name, keep)
+    finally:
+        conf.set(FREE, before)
+
+
+def united(marks: DataFrame) -> DataFrame:
+    """Per document: ``spans`` and ``later_spans``, the windows merged where they overlap, in order."""
+
+    def union(start: np.ndarray, end: np.ndarray) -> list[dict[str, int]]:
+        if not len(start):
+            return []
+        order = np.argsort(start)
+        start, end = start[order], end[order]  # the windows of a text start and end in the same order
+        new = np.flatnonzero(start[1:] > end[:-1])
+        return [{"start": a, "end": b} for a, b in zip(start[np.r_[0, new + 1]].tolist(), end[np.r_[new, len(end) - 1]].tolist(), strict=True)]
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        for batch in batches:
+            found: tuple[list, list] = ([], [])
+            for marks in batch.column("marks"):
+                start, end, later = (np.asarray(marks.values.field(c).to_numpy(zero_copy_only=False)) for c in ("start", "end", "later"))
+                found[0].append(union(start, end))
+                found[1].append(union(start[later], end[later]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, kind) for x in found)], ["doc_id", "spans", "later_spans"])
 
-    held = F.collect_set(F.struct("start", "end"))
-    late = F.collect_set(F.when(F.col("later"), F.struct("start", "end")))
-    return spans.groupBy("doc_id", "uid").agg(held.alias("spans"), late.alias("later_spans")).selectExpr("doc_id", "uid", union("spans"), union("later_spans"))
+    each = marks.groupBy("doc_id", "uid").agg(F.collect_list(F.struct("start", "end", "later")).alias("marks"))
+    return each.select("doc_id", "marks").mapInArrow(merge, f"doc_id bigint, spans {SPANS}, later_spans {SPANS}")
 
 
 def repeated_passages(docs: DataFrame, p: Params | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,12 +180,13 @@ def repeated_passages(docs: DataFrame, p: Params | None = None, id_col: str = "d
     p = p or Params()
     docs = (docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).where("doc_id IS NOT NULL")
             .withColumn("uid", F.xxhash64("text")))
-    kept = written(suffixes(docs, p), "suffixes")
-    both = neighbours(kept, ["k1", "k2", "doc_id", "uid"]).unionByName(neighbours(kept, ["k1", "doc_id", "uid", "k2"]))
-    small, large = F.struct(F.col("a").alias("d"), F.col("ua").alias("u")), F.struct(F.col("b").alias("d"), F.col("ub").alias("u"))
-    pairs = written(both.select(F.least(small, large).alias("x"), F.greatest(small, large).alias("y")).select(
-        F.col("x.d").alias("a"), F.col("x.u").alias("ua"), F.col("y.d").alias("b"), F.col("y.u").alias("ub")).distinct(), "pairs")
-    return merged(compared(pairs, docs, p)).drop("uid")
+    with scratch(docs.sparkSession):
+        kept = stored(seeds(docs, p), "seeds")
+        shared = stored(shared_seeds(kept), "shared-seeds")
+        hits = stored(kept.join(shared, "k").groupBy("doc_id", "uid").agg(F.collect_set("at").alias("ats")), "hits")
+        found = stored(windows(docs, hits, p), "windows", keep=True)
+    repeated = stored(held_twice(found, ["w", "v"]), "repeated-windows", keep=True)
+    return united(found.join(repeated, ["w", "v"]).select("doc_id", "uid", "start", "end", (F.struct("doc_id", "uid") != F.col("first")).alias("later")))
 
 
 def remove_later(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -186,3 +186,55 @@ def test_every_repeated_passage_is_found(spark):
         ends = [0, *(x for s in spans for x in s), len(t)]
         assert cut[d] == "".join(t[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
     assert repeats.repeated_passages(docs.where("false")).count() == 0
+
+
+def window_spans(texts, least):
+    """All spans by brute force: the windows that another document holds, merged where they overlap."""
+    at, out = {}, {}
+    for d, t in texts:
+        ws = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        for i in range(len(ws) - least + 1):
+            at.setdefault(tuple(w for w, _, _ in ws[i : i + least]), []).append((d, ws[i][1], ws[i + least - 1][2]))
+    for holders in at.values():
+        if len({d for d, _, _ in holders}) > 1:
+            for d, a, b in holders:
+                out.setdefault(d, ([], []))[0].append((a, b))
+                if d > min(x for x, _, _ in holders):
+                    out[d][1].append((a, b))
+
+    def union(found):
+        done = []
+        for a, b in sorted(found):
+            if done and a <= done[-1][1]:
+                done[-1] = (done[-1][0], max(b, done[-1][1]))
+            else:
+                done.append((a, b))
+        return done
+
+    return {d: tuple(map(union, x)) for d, x in out.items()}
+
+
+def spans_of(spark, texts):
+    rows = repeats.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    return {x["doc_id"]: ([tuple(s) for s in x["spans"]], [tuple(s) for s in x["later_spans"]]) for x in rows}
+
+
+def test_passages_around_a_frequent_core_are_found(spark):
+    """Many documents hold a core of 30 to 49 words; only two of them also share the words beside it."""
+    r, texts, n = random.Random(11), [], 0
+    for size in (30, 35, 40, 45, 49):
+        core = words(r, size, 10**6)
+        for _ in range(6):
+            before = r.randint(0, 50 - size)
+            sides = words(r, before, 10**6), words(r, 50 - size - before + r.randint(0, 3), 10**6)
+            for _ in range(2):
+                texts.append((n, " ".join([*words(r, 60, 10**6), *sides[0], *core, *sides[1], *words(r, 60, 10**6)])))
+                n += 1
+        for _ in range(25):
+            texts.append((n, " ".join([*words(r, 60, 10**6), *core, *words(r, 60, 10**6)])))
+            n += 1
+    order = [k for k in range(n)]
+    r.shuffle(order)
+    texts = [(order[d], t) for d, t in texts]
+    want = window_spans(texts, 50)
+    assert len(want) == 60 and spans_of(spark, texts) == want
