@@ -238,3 +238,17 @@ def test_passages_around_a_frequent_core_are_found(spark):
     texts = [(order[d], t) for d, t in texts]
     want = window_spans(texts, 50)
     assert len(want) == 60 and spans_of(spark, texts) == want
+
+
+def test_passages_that_go_on_from_a_later_place_are_found(spark):
+    """One document holds a line several times; only its last place goes on as the other document does."""
+    r, texts = random.Random(12), []
+    for k in range(24):
+        line = words(r, 30 + k % 20, 10**6)
+        beside = words(r, 50 - len(line), 10**6)
+        whole = [*line, *beside] if k % 2 else [*beside, *line]
+        many = [w for _ in range(4) for w in [*line, *words(r, 5, 10**6)]]
+        texts.append((2 * k, " ".join([*words(r, 40, 10**6), *whole, *words(r, 40, 10**6)])))
+        texts.append((2 * k + 1, " ".join([*words(r, 40, 10**6), *many, *words(r, 9, 10**6), *whole, *words(r, 40, 10**6)])))
+    want = window_spans(texts, 50)
+    assert len(want) == 48 and spans_of(spark, texts) == want
