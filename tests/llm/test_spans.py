@@ -144,3 +144,33 @@ def test_gradients_agree_with_differences():
             down = loss()
             net.w[name].ravel()[k] = old
             assert g.ravel()[k] == pytest.approx((up - down) / 2e-6, abs=1e-5)
+
+
+def some_key(r):
+    return "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(32))
+
+
+def test_parts_of_runs_beside_base_spans_are_candidates():
+    key = some_key(random.Random(6))
+    for text in (f"a/0123456789abcdef/{key} x", f"{key}/0123456789abcdef/b", f"0123456789abcdef/{key}/fedcba9876543210", f"{key}/0123456789abcdef/{key}1"):
+        found = [text[a:b] for a, _, b in secrets.loose_spans(text, secrets.base_spans(text))]
+        assert key in found and len(found) == text.count(key)
+
+
+def test_keys_anywhere_in_a_long_value_are_found(spark):
+    r = random.Random(7)
+    path = lambda: "/".join(r.choice(["release", "notes", "build", "2024", "version", "data"]) for _ in range(16))
+    findings = [("key is ", some_key(r), " ", 1) for _ in range(300)] + [("key is ", path()[:40], " ", 0) for _ in range(300)] + [("see ", path(), " ", 0) for _ in range(100)]
+    findings += [("see ", f"{path()}/{some_key(r)}/{path()}", " there", 1) for _ in range(200)] + [("see ", f"{path()}/{path()}/2024", " there", 0) for _ in range(200)]
+    texts = [(k, f"see {path()}/{some_key(r)}/{path()} there" if k % 2 else f"see {path()}/{path()}/2024 there") for k in range(60)]
+    given = spark.createDataFrame(findings, "before string, value string, after string, label int")
+    rows = secrets.find_secrets(spark.createDataFrame(texts, "doc_id long, text string"), given, secrets.Params(epochs=12)).collect()
+    right = [bool(x["secrets"]) == bool(x["doc_id"] % 2) for x in rows]
+    assert sum(right) >= 54
+
+
+def test_rules_label_keys_beyond_the_base_kinds(spark):
+    key = some_key(random.Random(8))
+    rows = [("b", key, "a", 3), ("b", f"data/notes/{key}/build", "a", 3), ("b", "release/notes/2024/version", "a", 3), ("b", "0123456789abcdef", "a", 2)]
+    found = secrets.rule_findings(spark.createDataFrame(rows, "before string, value string, after string, kind int")).collect()
+    assert {x["value"]: x["label"] for x in found} == {rows[0][1]: 1, rows[1][1]: 1, rows[2][1]: 0, rows[3][1]: 1}
