@@ -39,8 +39,8 @@ class Params:
 
 
 def n_tokens(text: Column) -> Column:
-    """A token estimate that needs no splitting: blanks and line ends, and one."""
-    return (F.length(text) - F.length(F.replace(F.replace(text, F.lit(" ")), F.lit("\n"))) + 1).cast("long")
+    """The words of a text; one without words counts as one."""
+    return F.greatest(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1)).cast("long")
 
 
 def form_topic(text: Column) -> Column:

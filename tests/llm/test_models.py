@@ -86,3 +86,9 @@ def test_pipeline_is_registered(spark):
 
     assert [f"op{n}_" for n in range(1, 11)] == sorted({q.split("_")[0] + "_" for q in E.queries() if q.startswith("op")}, key=lambda x: int(x[2:-1]))
     assert E.queries()["pipeline"] is corpus_pipeline.run
+
+
+def test_tokens_are_words_however_parted(spark):
+    texts = ["one two three", "one\ttwo\r\nthree", "one  two \n\n three ", "\x0bone\x0ctwo\u00a0same", "", " \t\n ", None]
+    rows = mixing.mixture(spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")).collect()
+    assert [x["tokens"] for x in sorted(rows, key=lambda x: x["doc_id"])] == [3, 3, 3, 2, 1, 1, 1]
