@@ -90,4 +90,27 @@ def op10_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_units", "n_removed", spans.alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_personal_data, op2_secrets, op3_benchmark_passages, op4_near_duplicates, op5_token_counts, op6_repeated_passages, op7_toxicity, op8_mixture, op9_quality, op10_repeated_lines)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revsift.llm.turns import damage, repair_conversations
+
+    prepare(spark)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair_conversations(damage(rows), rows)
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revsift.llm.near_vectors import near_vectors
+
+    prepare(spark)
+    return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revsift.llm.runs import digest_columns, periodic_runs, repeat_tails
+
+    prepare(spark)
+    return digest_columns(periodic_runs(repeat_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_personal_data, op2_secrets, op3_benchmark_passages, op4_near_duplicates, op5_token_counts, op6_repeated_passages, op7_toxicity, op8_mixture, op9_quality, op10_repeated_lines,
+                                    op11_conversation_repair, op12_near_vectors, op13_periodic_runs)}
