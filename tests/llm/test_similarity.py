@@ -68,7 +68,8 @@ def test_query_equals_its_sql(spark):
     import __spark_entry__ as E
 
     con, sf = duckdb.connect(), "/root/testdata/sf0.001"
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for name in ("documents", "conversations", "embeddings"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     for name, text in SQL.items():
         df = E.queries()[name](spark, sf)
         assert sorted(map(str, df.select(*sorted(df.columns)).toPandas().itertuples(index=False, name=None))) == sorted(
