@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revsift.llm.common import written
+
 SMOOTH = 2.0  # pseudo-votes for each cell, so that no estimate reaches 0 or 1
 
 
@@ -37,12 +39,14 @@ class Votes:
         return f"(1 / (1 + exp(-({self.log_odds(of)}))))"
 
 
-def fit_votes(rows: DataFrame, voters: list[str], prior: float = 0.8, accuracy: float = 0.8, steps: int = 12) -> Votes:
+def fit_votes(rows: DataFrame, voters: list[str], prior: float = 0.8, accuracy: float = 0.8, steps: int = 12, floor: float = 0.0) -> Votes:
     """Estimate each voter's reliability from agreement alone.
 
     An empty table returns the starting values. The start says that voters are
-    right with ``accuracy``; it decides which of the two classes is called 1."""
-    patterns = rows.groupBy(*voters).agg(F.count(F.lit(1)).cast("double").alias("n")).coalesce(1).checkpoint()
+    right with ``accuracy``; it decides which of the two classes is called 1.
+    ``floor``: a voter that votes is taken to be right at least so often in either
+    class, so that it is never estimated to say nothing, or the opposite."""
+    patterns = written(rows.groupBy(*voters).agg(F.count(F.lit(1)).cast("double").alias("n")), "vote-patterns")
     given = {"one": "p", "zero": "1 - p"}
     sums = ["sum(n) AS n", "sum(p * n) AS one"] + [
         f"sum(CASE WHEN {v} = {said} THEN ({q}) * n ELSE 0 END) AS `{v} {c} {said}`" for v in voters for said in (1, -1) for c, q in given.items()]
@@ -54,9 +58,10 @@ def fit_votes(rows: DataFrame, voters: list[str], prior: float = 0.8, accuracy:
         rates = {}
         for v in voters:
             start = dict(zip(("one", "zero"), (accuracy, 1 - accuracy), strict=True))
-            rates[v] = tuple(
+            one, zero = (
                 (s[f"{v} {c} 1"] + 2 * SMOOTH * start[c]) / (s[f"{v} {c} 1"] + s[f"{v} {c} -1"] + 2 * SMOOTH)
                 for c in ("one", "zero"))
+            rates[v] = max(one, floor), min(zero, 1 - floor)
         new = Votes((s["one"] + SMOOTH) / (s["n"] + 2 * SMOOTH), rates)
         moved = max([abs(new.prior - model.prior), *(abs(a - b) for v in voters for a, b in zip(new.rates[v], model.rates[v], strict=True))])
         model = new
