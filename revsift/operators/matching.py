@@ -3,43 +3,33 @@
 The cascade (identifier, then exact title, then fuzzy title) runs on distinct
 normalised values, and each stage only sees what the previous one left over.
 
-Fuzzy title matching is a theta semi-join ("some golden title has token-sort
-ratio >= t"), done without a cartesian product:
+Fuzzy title matching asks for each string whether the other side holds one with
+token-sort ratio >= t:
 
 * ratio = 100 * (1 - indel / S) with S = len1 + len2 and indel = S - 2*LCS, so
-  ``ratio >= t  <=>  100 * (S - 2*LCS) <= (100 - t) * S`` (integers only);
-* lengths: LCS <= min(len) gives 200*min >= t*S; for t = 90, 11*min >= 9*max;
-* shared grams: LCS <= the number of shared characters (multiset), and deleting
-  one character destroys at most 2 bigrams, each insertion point at most 1, so
-  two strings share at least ``LCS`` characters and ``3*LCS - S - 1`` bigrams.
-  With the LCS bound the second is positive for every qualifying pair with
-  S >= 3 if t >= 89; below that the first one is used, which holds for any t;
-* prefix filtering: gram occurrences are ordered globally by document
-  frequency (rarest first); each string keeps ``|grams| - tau_min + 1`` of
-  them, where ``tau_min`` is the smallest overlap any admissible partner
-  length allows. Two qualifying strings then share a prefix gram, so the
-  equi-join on prefix grams finds every candidate; common grams fall out
-  of prefixes, which keeps hot join keys rare. Candidates travel as pairs of
-  row numbers, and each table that is joined back is written first, so that
-  adaptive execution can split a hot key;
-* candidates are checked by shared characters, then by an exact bit-parallel
-  LCS (Arrow pandas UDF).
-
-Pairs with S < 3 (one-character strings) are found by the exact-equality join
-that runs first. How many candidates there are depends on the texts: titles
-made from one template share most of their grams, and thresholds far below 89
-allow so little overlap that most pairs of similar length are candidates.
+  ``ratio >= t  <=>  100 * indel <= (100 - t) * S`` (integers only);
+* lengths: LCS <= min(len) gives 200*min >= t*S, so lengths differ by the factor
+  (200 - t) / t at most. Strings are dealt to bands of lengths by that factor and
+  meet only those of their own and the two next bands;
+* characters: an insertion or deletion changes one character count by one, so the
+  counts of two strings differ by no more than their indel distance;
+* what is left is checked by an exact bit-parallel LCS, for one string against
+  many at a time.
+
+A band is cut into blocks by a hash of the string, and a task compares one block
+of either side in memory. Blocks are even whatever the texts look like: titles
+made from one template share nearly all of their grams, and any index by grams or
+segments has hot keys there. No pair leaves a task, only the strings that have a
+partner, and a string that has one needs no second: partners whose characters are
+nearest are tried first. Every threshold gives exact results.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import IntegerType
 
 from ..functions.text import normalize_doi, normalize_title, token_sort
 from .. import defaults as D
@@ -61,82 +51,170 @@ def _lcs_len(a: str, b: str) -> int:
     return len(a) - bin(v).count("1")
 
 
-@pandas_udf(IntegerType())
-def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_lcs_len(x, y) for x, y in zip(a, b)], dtype="int32")
-
-
-@pandas_udf(IntegerType())
-def lcs_at_least(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
-    """The LCS length, or 0 where the shared characters alone rule out ``least``."""
-    return pd.Series([_lcs_len(x, y) if (Counter(x) & Counter(y)).total() >= n else 0 for x, y, n in zip(a, b, least)], dtype="int32")
-
-
-def ratio_at_least(lcs: Column, s: Column, threshold: int) -> Column:
-    """Integer form of ``100 * (1 - (S - 2*LCS) / S) >= threshold``."""
-    return F.lit(100) * (s - F.lit(2) * lcs) <= F.lit(100 - threshold) * s
-
-
-def _length_ok(n: Column, m: Column, threshold: int) -> Column:
-    # LCS <= min(n, m) and LCS >= t * S / 200  =>  200 * min >= t * (n + m)
-    return F.lit(200) * F.least(n, m) >= F.lit(threshold) * (n + m)
-
-
-def _min_partner_len(n: Column, threshold: int) -> Column:
-    # smallest m with 200 * m >= t * (n + m)  =>  m >= t * n / (200 - t)
-    return F.ceil(F.lit(threshold) * n / F.lit(200 - threshold))
-
-
-def _grams(strings: DataFrame, size: int) -> DataFrame:
-    """(id, n, gram, k): every occurrence of a string's grams, the k-th of its kind."""
-    n = F.length("s")
-    places = F.when(n >= size, F.sequence(F.lit(1), n - (size - 1))).otherwise(F.array().cast("array<int>"))
-    each = strings.select("id", "s", n.alias("n"), F.explode(places).alias("_at")).select("id", "n", F.substring("s", F.col("_at"), F.lit(size)).alias("gram"))
-    return each.groupBy("id", "n", "gram").agg(F.count(F.lit(1)).alias("_c")).select(
-        "id", "n", "gram", F.explode(F.sequence(F.lit(1), F.col("_c").cast("int"))).alias("k"))
-
-
-def _prefixes(grams: DataFrame, freq: DataFrame, threshold: int, size: int) -> DataFrame:
-    n = F.col("n")
-    s_min = n + _min_partner_len(n, threshold)
-    # the overlap bound with LCS >= t*S/200, at the smallest S
-    tau = F.ceil((F.lit(3 * threshold) * s_min - F.lit(200) * s_min - F.lit(200)) / F.lit(200)) if size == 2 \
-        else F.ceil(F.lit(threshold) * s_min / F.lit(200))
-    prefix_len = (n - F.lit(size - 1)) - F.greatest(tau, F.lit(1)) + F.lit(1)
-    ranked = grams.join(freq, ["gram", "k"]).groupBy("id", "n").agg(
-        F.array_sort(F.collect_list(F.struct("df", "gram", "k"))).alias("_t"))  # one string's grams
-    kept = F.slice(F.col("_t"), F.lit(1), F.greatest(prefix_len, F.lit(0)).cast("int"))
-    return ranked.select("id", "n", F.inline(kept)).select("id", "n", "gram", "k")
+BLOCK = 2048  # strings of either side that a task compares
+COUNTED = 48  # character counts of a string: the most frequent characters of a block, others share the last
+FIRST = 8  # partners that are tried before the rest
+TOGETHER = 1 << 14  # pairs whose LCS is computed at a time
+LONG = 512  # from here on the LCS is computed pair by pair
+FULL = np.uint64(2**64 - 1)
+
+
+class _Side:
+    """The strings of one side of a block: lengths, places of their characters in the block's alphabet, character counts."""
+
+    def __init__(self, strings: list[str], alphabet: np.ndarray, place: np.ndarray):
+        self.strings, self.n = strings, np.array([len(s) for s in strings], np.int64)
+        self.letters = np.searchsorted(alphabet, np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32)).astype(np.int32)
+        self.rows = np.repeat(np.arange(len(strings)), self.n)
+        self.at = np.arange(len(self.letters)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
+        self.counts = np.bincount(self.rows * COUNTED + place[self.letters], minlength=len(strings) * COUNTED).reshape(-1, COUNTED)
+        self.short, self.size = self.n <= LONG, len(alphabet)
+
+    def columns(self) -> np.ndarray:
+        """Row k: the k-th characters of all short strings; the alphabet's size where one has ended."""
+        out = np.full((int(self.n[self.short].max(initial=0)), len(self.n)), self.size, np.int32)
+        short = self.short[self.rows]
+        out[self.at[short], self.rows[short]] = self.letters[short]
+        return out
+
+    def masks(self, first: int, last: int) -> np.ndarray:
+        """[word, string, character]: the bits of the places where short strings hold the character."""
+        inside = (self.rows >= first) & (self.rows < last) & self.short[self.rows]
+        rows, at, words = self.rows[inside] - first, self.at[inside], int(-(-self.n[first:last][self.short[first:last]].max(initial=0) // 64))
+        out = np.zeros((words, last - first, self.size + 1), np.uint64)
+        np.bitwise_or.at(out, (at // 64, rows, self.letters[inside]), np.left_shift(np.uint64(1), (at % 64).astype(np.uint64)))
+        return out
+
+
+def _lcs_of_pairs(masks: np.ndarray, columns: np.ndarray, i: np.ndarray, j: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """LCS lengths of the pairs (i, j) of short strings of lengths n and m, bit-parallel over all pairs."""
+    size = masks.shape[2]
+    flat = masks.reshape(len(masks), -1)
+    words = int(-(-n.max() // 64))
+    state = np.full((words, len(i)), FULL)
+    base = i * size
+    for column in columns[: int(m.max())]:
+        at, carry = base + column[j], None
+        for v, mask in zip(state, flat, strict=False):
+            met = mask[at]
+            total = v + (v & met)
+            if words > 1:
+                over = total < v
+                if carry is not None:
+                    total += carry
+                    over |= total < carry
+                carry = over.astype(np.uint64)
+            np.bitwise_and(v, ~met, out=v)
+            np.bitwise_or(total, v, out=v)
+    left = np.clip(n - 64 * np.arange(words)[:, None], 0, 64).astype(np.uint64)
+    inside = np.where(left == 64, FULL, np.left_shift(np.uint64(1), left % np.uint64(64)) - np.uint64(1))
+    return np.bitwise_count(~state & inside).sum(axis=0, dtype=np.int64)
+
+
+def _overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each row of counts of a and b how many characters they share: the sum of the least counts."""
+    most = np.minimum(a.max(axis=0, initial=0), b.max(axis=0, initial=0))
+    if most.sum() > 4096:  # long texts
+        return np.stack([np.minimum(x, b).sum(axis=1) for x in a]) if len(a) else np.zeros((0, len(b)), np.int64)
+    levels = [(c, k) for c in range(COUNTED) for k in range(int(most[c]))]
+    dims, least = (np.array(x, np.int64) for x in (zip(*levels, strict=True) if levels else ((), ())))
+    coded = [(x[:, dims] > least).astype(np.float32) for x in (a, b)]
+    return (coded[0] @ coded[1].T).astype(np.int64)
+
+
+def matched_strings(left: list[str], right: list[str], threshold: int, both: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
+    """Which strings of a block have a partner on the other side, and how many pairs had their LCS computed.
+
+    Without ``both`` a pair is not looked at once its left string has a partner, and the marks of the right side are not complete."""
+    alphabet, often = np.unique(np.frombuffer("".join([*left, *right]).encode("utf-32-le"), np.uint32), return_counts=True)
+    place = np.empty(len(alphabet), np.int64)
+    place[np.argsort(-often, kind="stable")] = np.minimum(np.arange(len(alphabet)), COUNTED - 1)
+    a, b = _Side(left, alphabet, place), _Side(right, alphabet, place)
+    columns, step = b.columns(), max(1, min(256, (1 << 21) // (len(alphabet) + 1)))
+    found_a, found_b, looked = np.zeros(len(left), bool), np.zeros(len(right), bool), 0
+    for first in range(0, len(left), step):
+        last = min(first + step, len(left))
+        total = a.n[first:last, None] + b.n
+        shared = _overlaps(a.counts[first:last], b.counts)
+        near = (100 * (total - 2 * shared) <= (100 - threshold) * total) & (200 * np.minimum(a.n[first:last, None], b.n) >= threshold * total) & (total > 0)
+        i, j = np.nonzero(near)
+        order = np.lexsort((-shared[i, j] / total[i, j], i))  # of each left string the nearest first
+        i, j = i[order], j[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        masks = a.masks(first, last)
+        # the pairs of the first rank of every string, then others of strings that still look for a partner
+        for some in [np.flatnonzero(rank < FIRST), *np.array_split(np.flatnonzero(rank >= FIRST), max(1, len(i) // TOGETHER))]:
+            open_ = ~found_a[first + i[some]]
+            some = some[open_ | ~found_b[j[some]] if both else open_]
+            looked += len(some)
+            quick = some[a.short[first + i[some]] & b.short[j[some]]] if len(some) >= 64 else some[:0]
+            slow = np.setdiff1d(some, quick, assume_unique=True)
+            lcs = np.zeros(len(i), np.int64)
+            for k in range(0, len(quick), TOGETHER):
+                part = quick[k : k + TOGETHER]
+                lcs[part] = _lcs_of_pairs(masks, columns, i[part], j[part], a.n[first + i[part]], b.n[j[part]])
+            for k in slow.tolist():
+                if both or not found_a[first + i[k]]:
+                    lcs[k] = _lcs_len(left[first + i[k]], right[j[k]])
+                    found_a[first + i[k]] |= 100 * (total[i[k], j[k]] - 2 * lcs[k]) <= (100 - threshold) * total[i[k], j[k]]
+            good = some[100 * (total[i[some], j[some]] - 2 * lcs[some]) <= (100 - threshold) * total[i[some], j[some]]]
+            found_a[first + i[good]] = True
+            found_b[j[good]] = True
+    return found_a, found_b, looked
+
+
+def _distinct(strings: DataFrame) -> DataFrame:
+    return materialise(strings.select("s").where(F.col("s").isNotNull()).distinct(), "titles")
+
+
+def fuzzy_matches(left: DataFrame, right: DataFrame, threshold: int = D.FUZZY_THRESHOLD, both: bool = True) -> DataFrame:
+    """(side, s): the distinct strings of ``left`` (side 0) and ``right`` (side 1) that have a partner on the other side.
+
+    Both inputs hold one string column ``s`` (already token-sorted). Without
+    ``both`` only the left side is told, and a string is done with once it has a
+    partner. Any threshold from 1 to 100 gives exact results."""
+    if not 1 <= threshold <= 100:
+        raise ValueError("the threshold is a percentage from 1 to 100")
+    sides = [_distinct(left), _distinct(right)]
+    equal = materialise(sides[0].join(sides[1], "s", "left_semi"), "equal-titles")
+    told = equal.select(F.lit(0).alias("side"), "s")
+    if both:
+        told = told.unionAll(equal.select(F.lit(1).alias("side"), "s"))
+    else:
+        sides[0] = sides[0].join(equal, "s", "left_anti")  # what equality has found needs no second partner
+    if threshold == 100:
+        return told
+    # a little wider than the factor, so that no rounding moves two strings that may match further apart than one band
+    band = F.floor(F.log(F.length("s")) / float(np.log((200 - threshold) / threshold * (1 + 1e-6)))).cast("int")
+    sides = [x.where("s <> ''").select("s", band.alias("band")) for x in sides]
+    # left strings go to the right side's bands that they may match
+    sides[0] = sides[0].select("s", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"))
+    sizes = [x.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(c)) for x, c in zip(sides, ("lefts", "rights"), strict=True)]
+    blocks = materialise(sizes[0].join(sizes[1], "band"), "title-bands")  # one row a band
+
+    def dealt(side: int, own: str, other: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("s"), F.col(own)).cast("int")
+        return (sides[side].join(blocks, "band").select("band", "s", block.alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
+                .select("band", "lefts", "rights", F.lit(side).alias("side"), "s"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        a, b = (group.loc[group["side"] == side, "s"].tolist() for side in (0, 1))
+        marks = matched_strings(a, b, threshold, both) if a and b else (np.zeros(len(a), bool), np.zeros(len(b), bool), 0)
+        found = [(0, s) for s, m in zip(a, marks[0], strict=True) if m] + [(1, s) for s, m in zip(b, marks[1], strict=True) if m and both]
+        return pd.DataFrame(found, columns=["side", "s"])
+
+    # a number of tasks by the work, which is far more than the few bytes of a block say
+    spark = left.sparkSession
+    groups = blocks.agg(F.sum(F.col("lefts").cast("long") * F.col("rights"))).first()[0] or 1
+    tasks = min(groups, max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows = dealt(0, "lefts", "rights").unionByName(dealt(1, "rights", "lefts")).repartition(tasks, "band", "lefts", "rights")
+    near = rows.groupBy("band", "lefts", "rights").applyInPandas(compare, "side int, s string")
+    return told.unionAll(near).distinct()
 
 
 def fuzzy_semi_join(left: DataFrame, right: DataFrame, threshold: int = D.FUZZY_THRESHOLD) -> DataFrame:
-    """Distinct strings ``s`` of ``left`` having a ``right`` string with ratio >= threshold.
-
-    Both inputs hold one string column ``s`` (already token-sorted). Returns
-    the matching ``s`` values — only existence matters. Any threshold from 1 to
-    100 gives exact results.
-    """
-    if not 1 <= threshold <= 100:
-        raise ValueError("the threshold is a percentage from 1 to 100")
-    size = 2 if threshold >= 89 else 1
-    L, R = (materialise(x.select("s").where(F.col("s").isNotNull()).distinct().withColumn("id", F.monotonically_increasing_id()), "titles")
-            for x in (left, right))
-    exact = L.join(R.select("s"), "s", "left_semi").select("s")
-    rest = L.join(R.select("s"), "s", "left_anti")  # what equality has found needs no second partner
-    lg, rg = materialise(_grams(rest, size), "grams"), materialise(_grams(R, size), "grams")
-    freq = materialise(lg.select("gram", "k").unionAll(rg.select("gram", "k"))
-                       .groupBy("gram", "k").agg(F.count(F.lit(1)).alias("df")), "gram-counts")
-    lp = materialise(_prefixes(lg, freq, threshold, size), "prefixes").select(F.col("id").alias("lid"), F.col("n").alias("ln"), "gram", "k")
-    rp = materialise(_prefixes(rg, freq, threshold, size), "prefixes").select(F.col("id").alias("rid"), F.col("n").alias("rn"), "gram", "k")
-    cand = materialise(lp.join(rp, ["gram", "k"]).where(_length_ok(F.col("ln"), F.col("rn"), threshold))
-                       .select("lid", "rid").distinct(), "candidates")
-    pairs = (cand.join(rest.select(F.col("id").alias("lid"), F.col("s").alias("ls")), "lid")
-             .join(R.select(F.col("id").alias("rid"), F.col("s").alias("rs")), "rid"))
-    both = F.length("ls") + F.length("rs")
-    verified = (pairs.withColumn("_lcs", lcs_at_least(F.col("ls"), F.col("rs"), F.ceil(F.lit(threshold) * both / F.lit(200)).cast("int")))
-                .where(ratio_at_least(F.col("_lcs"), both, threshold))
-                .select(F.col("ls").alias("s")))
-    return exact.unionAll(verified).distinct()
+    """Distinct strings ``s`` of ``left`` having a ``right`` string with ratio >= threshold."""
+    return fuzzy_matches(left, right, threshold, both=False).select("s")
 
 
 def match_cascade(ai: DataFrame, golden: DataFrame, ai_id: str, ai_title: str, ai_pred: str,
@@ -151,6 +229,19 @@ def match_cascade(ai: DataFrame, golden: DataFrame, ai_id: str, ai_title: str, a
     title shared by many model rows can be split over tasks. Without ``fuzzy``
     the cascade ends after the exact titles.
     """
+    return _cascade(ai, golden, ai_id, ai_title, ai_pred, golden_title, golden_doi, ai_doi, threshold, fuzzy, False)[0]
+
+
+def match_both(ai: DataFrame, golden: DataFrame, ai_id: str, ai_title: str, ai_pred: str, golden_title: str,
+               golden_doi: str | None = None, ai_doi: str | None = None, threshold: int = D.FUZZY_THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``match_cascade``, written, and the golden rows that none of them matched, from one fuzzy join."""
+    matched, hits = _cascade(ai, golden, ai_id, ai_title, ai_pred, golden_title, golden_doi, ai_doi, threshold, True, True)
+    matched = materialise(matched, "matched-rows")
+    return matched, unmatched_golden(matched, golden, golden_title, golden_doi, threshold, hits)
+
+
+def _cascade(ai, golden, ai_id, ai_title, ai_pred, golden_title, golden_doi, ai_doi, threshold, fuzzy, both) -> tuple[DataFrame, DataFrame | None]:
+    """The matched rows, and the golden token-sorted titles that have a fuzzy partner (``both``)."""
     a = ai.select(F.col(ai_id).alias("ai_id"), F.col(ai_title).alias("title"),
                   F.col(ai_pred).cast("int").alias("y_pred"),
                   normalize_doi(F.col(ai_doi or ai_title)).alias("doi_norm"),
@@ -171,17 +262,20 @@ def match_cascade(ai: DataFrame, golden: DataFrame, ai_id: str, ai_title: str, a
     if fuzzy:
         todo = a.where(~F.col("_id") & ~F.col("_exact")).select(F.col("_sorted").alias("s"))
         g_sorted = g_title.select(token_sort(F.col("title_norm")).alias("s"))
-        hits = materialise(fuzzy_semi_join(todo, g_sorted, threshold).withColumn("_fuzzy", F.lit(True)), "fuzzy-titles")
-        a = a.join(hits.withColumnRenamed("s", "_sorted"), "_sorted", "left")
+        told = materialise(fuzzy_matches(todo, g_sorted, threshold, both), "fuzzy-titles")
+        hits = told.where("side = 0").select(F.col("s").alias("_sorted"), F.lit(True).alias("_fuzzy"))
+        a = a.join(hits, "_sorted", "left")
     else:
+        told = None
         a = a.withColumn("_fuzzy", F.lit(None).cast("boolean"))
     kind = (F.when(F.col("_id"), F.lit("id"))
             .when(F.col("_exact"), F.lit("exact"))
             .when(F.col("_fuzzy").isNotNull(), F.lit("fuzzy"))
             .otherwise(F.lit("none")))
-    return a.select("ai_id", "title", "y_pred", "doi_norm", "title_norm",
+    rows = a.select("ai_id", "title", "y_pred", "doi_norm", "title_norm",
                     F.col("_sorted").alias("title_sorted"), kind.alias("match_kind"),
                     F.when(kind != "none", F.lit(1)).otherwise(F.lit(0)).alias("y_true"))
+    return rows, told.where("side = 1").select("s") if both else None
 
 
 def cascade_counts(matched: DataFrame, golden: DataFrame, unmatched: DataFrame | None = None) -> DataFrame:
@@ -218,15 +312,19 @@ def cascade_counts(matched: DataFrame, golden: DataFrame, unmatched: DataFrame |
 
 
 def unmatched_golden(matched: DataFrame, golden: DataFrame, golden_title: str,
-                     golden_doi: str | None = None, threshold: int = D.FUZZY_THRESHOLD) -> DataFrame:
-    """Golden rows that no model row matched by identifier, exact or fuzzy title."""
+                     golden_doi: str | None = None, threshold: int = D.FUZZY_THRESHOLD, fuzzy_hits: DataFrame | None = None) -> DataFrame:
+    """Golden rows that no model row matched by identifier, exact or fuzzy title.
+
+    ``fuzzy_hits``: the token-sorted golden titles with a fuzzy partner, where they
+    are known (``match_both``); without them they are looked for."""
     g = golden.select("*", normalize_title(F.col(golden_title)).alias("_tn"),
                       (normalize_doi(F.col(golden_doi)) if golden_doi else F.lit(None).cast("string")).alias("_dn"))
     g = g.withColumn("_ts", token_sort(F.col("_tn")))
     by_id = matched.where(F.col("match_kind") == "id").select(F.col("doi_norm").alias("_dn")).distinct()
     by_exact = matched.where(F.col("match_kind") == "exact").select(F.col("title_norm").alias("_tn")).distinct()
-    fuzzy_ai = matched.where(F.col("match_kind") == "fuzzy").select(F.col("title_sorted").alias("s"))
-    by_fuzzy = fuzzy_semi_join(g.select(F.col("_ts").alias("s")), fuzzy_ai, threshold) \
-        .select(F.col("s").alias("_ts"))
+    if fuzzy_hits is None:
+        fuzzy_ai = matched.where(F.col("match_kind") == "fuzzy").select(F.col("title_sorted").alias("s"))
+        fuzzy_hits = fuzzy_semi_join(g.select(F.col("_ts").alias("s")), fuzzy_ai, threshold)
+    by_fuzzy = fuzzy_hits.select(F.col("s").alias("_ts")).distinct()
     left = g.join(by_id, "_dn", "left_anti").join(by_exact, "_tn", "left_anti").join(by_fuzzy, "_ts", "left_anti")
     return left.drop("_tn", "_dn", "_ts")

@@ -396,8 +396,7 @@ def q_fuzzy_metrics(spark, d):
 
 def q_unmatched_padding(spark, d):
     g = I.golden_papers(spark, d)
-    m = _cascade(spark, d).checkpoint(eager=True)  # read four times below: materialise once
-    un = M.unmatched_golden(m, g, "title", "doi", FUZZY_THRESHOLD)
+    m, un = M.match_both(I.ai_papers(spark, d), g, "ai_id", "title", "relevance", "title", golden_doi="doi", threshold=FUZZY_THRESHOLD)
     return M.cascade_counts(m, g, un).select("padding", "matched", "n_golden", "unmatched_human")
 
 

@@ -111,11 +111,15 @@ def ai_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Full-text screening rows for the match cascade, from `part`
 # ---------------------------------------------------------------------------
 
+def _paper_title(name: Column) -> Column:
+    """Name, type and a word of the paper's own, so that there are as many titles as papers."""
+    return F.concat_ws(" ", name, "p_type", F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 14))
+
+
 def golden_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Golden (all relevant) papers, one per part: title = name + type, DOI from the key."""
+    """Golden (all relevant) papers, one per part: title = name + type + a word, DOI from the key."""
     p = table(spark, sf_dir, "part")
-    return p.select(F.col("p_partkey").alias("paper_id"),
-                    F.concat_ws(" ", "p_name", "p_type").alias("title"),
+    return p.select(F.col("p_partkey").alias("paper_id"), _paper_title(F.col("p_name")).alias("title"),
                     F.concat(F.lit("10."), F.col("p_partkey").cast("string"), F.lit("/x")).alias("doi"))
 
 
@@ -124,8 +128,8 @@ def ai_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     key = F.col("p_partkey")
     m = key % 4
-    title = (F.when(m == 0, F.concat(F.lit("  "), F.upper(F.concat_ws(" ", "p_name", "p_type")), F.lit(" ")))
-             .when(m == 1, F.concat_ws(" ", "p_type", F.substring("p_name", 2, 1 << 20)))
+    title = (F.when(m == 0, F.concat(F.lit("  "), F.upper(_paper_title(F.col("p_name"))), F.lit(" ")))
+             .when(m == 1, _paper_title(F.substring("p_name", 2, 1 << 20)))
              .when(m == 2, F.concat(F.lit("10_"), key.cast("string"), F.lit("_x")))
              .otherwise(F.concat(F.lit("unrelated "), key.cast("string"))))
     return p.select(key.alias("ai_id"), title.alias("title"), (F.col("p_size") % 2).alias("relevance"))

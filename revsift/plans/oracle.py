@@ -446,11 +446,12 @@ def _fuzzy_hits(left: str, right: str, name: str) -> str:
   UNION SELECT s FROM {name}_l WHERE s IN (SELECT s FROM {name}_r))"""
 
 
-CASCADE = f"""g AS (SELECT p_partkey AS paper_id, p_name || ' ' || p_type AS title, '10.' || CAST(p_partkey AS VARCHAR) || '/x' AS doi
+_OWN = "p_type || ' ' || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 14)"
+CASCADE = f"""g AS (SELECT p_partkey AS paper_id, p_name || ' ' || {_OWN} AS title, '10.' || CAST(p_partkey AS VARCHAR) || '/x' AS doi
       FROM part),
 a AS (SELECT p_partkey AS ai_id, CASE p_partkey % 4
-        WHEN 0 THEN '  ' || upper(p_name || ' ' || p_type) || ' '
-        WHEN 1 THEN p_type || ' ' || substr(p_name, 2)
+        WHEN 0 THEN '  ' || upper(p_name || ' ' || {_OWN}) || ' '
+        WHEN 1 THEN substr(p_name, 2) || ' ' || {_OWN}
         WHEN 2 THEN '10_' || CAST(p_partkey AS VARCHAR) || '_x'
         ELSE 'unrelated ' || CAST(p_partkey AS VARCHAR) END AS title,
       CAST(p_size % 2 AS INTEGER) AS y_pred FROM part),

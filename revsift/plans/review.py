@@ -89,9 +89,7 @@ def evaluate_with_cascade(ai: DataFrame, golden: DataFrame, ai_id: str = "row_id
                           ai_pred: str = "relevance", golden_title: str = "title",
                           golden_doi: str | None = None, threshold: int = D.FUZZY_THRESHOLD) -> ScreeningReport:
     """Full-text evaluation against an all-relevant golden list (id → exact → fuzzy title)."""
-    matched = M.match_cascade(ai, golden, ai_id, ai_title, ai_pred, golden_title, golden_doi, threshold=threshold)
-    matched = matched.checkpoint(eager=True)  # read by three outputs: materialise once
-    unmatched = M.unmatched_golden(matched, golden, golden_title, golden_doi, threshold)
+    matched, unmatched = M.match_both(ai, golden, ai_id, ai_title, ai_pred, golden_title, golden_doi, threshold=threshold)
     counts = M.cascade_counts(matched, golden, unmatched)
     return ScreeningReport(matched, MT.metrics_from_counts(counts), P.false_negatives(matched))
 

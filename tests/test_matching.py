@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from revsift.operators import matching as M
@@ -57,6 +58,77 @@ def test_fuzzy_semi_join_equals_brute_force(spark):
         assert len(want) > 20
 
 
+def titles(rnd, n, template="effect of {} and {} on {} in {}: a review of trials"):
+    word = lambda: "".join(rnd.choice("etaoinshrdlcumwfgypbvk") for _ in range(rnd.randint(6, 12)))
+    return [" ".join(sorted(template.format(*(word() for _ in range(4))).split())) for _ in range(n)]
+
+
+def nearly(rnd, s, edits):
+    s = list(s)
+    for _ in range(edits):
+        i = rnd.randrange(len(s))
+        s[i : i + 1] = rnd.choice([[], [s[i], rnd.choice("abc")]])
+    return "".join(s)
+
+
+def test_template_titles_have_few_candidates():
+    """Titles of one template with unlike words: at 90 few pairs reach the LCS, and the marks are exact at any threshold."""
+    rnd = random.Random(8)
+    for n in (150, 1200):
+        right = titles(rnd, n)
+        left = titles(rnd, n - n // 10) + [nearly(rnd, s, rnd.randint(1, 5)) for s in right[: n // 10]]
+        for t in (75, 90):
+            a, b, looked = M.matched_strings(left, right, t)
+            both = M.matched_strings(left, right, t, both=True)
+            assert (both[0] == a).all()
+            # at 75 the template alone is nearly enough, and no bound short of the LCS tells the titles apart
+            assert t < 90 or max(looked, both[2]) < 0.01 * n * n
+            assert (M.matched_strings(right, left, t)[0] == both[1]).all()
+            if n == 150:
+                for x, y, marks in ((left, right, a), (right, left, both[1])):
+                    assert marks.tolist() == [any(200 * M._lcs_len(s, r) >= t * (len(s) + len(r)) for r in y) for s in x]
+            else:  # some rows against all
+                assert a.tolist()[::60] == [any(200 * M._lcs_len(s, r) >= t * (len(s) + len(r)) for r in right) for s in left[::60]]
+
+
+def test_lcs_of_pairs_equals_dp():
+    rnd = random.Random(5)
+    some = ["".join(rnd.choice("abé😀 ") for _ in range(n)) for n in (1, 5, 63, 64, 65, 128, 130, 200)]
+    others = ["".join(rnd.choice("abé😀 z") for _ in range(rnd.randint(1, 260))) for _ in range(20)] + some
+    alphabet = np.unique(np.frombuffer("".join(some + others).encode("utf-32-le"), np.uint32))
+    a, b = (M._Side(x, alphabet, np.zeros(len(alphabet), np.int64)) for x in (some, others))
+    i, j = (x.ravel() for x in np.indices((len(some), len(others))))
+    got = M._lcs_of_pairs(a.masks(0, len(some)), b.columns(), i, j, a.n[i], b.n[j])
+    assert got.tolist() == [lcs_dp(x, y) for x in some for y in others]
+
+
+def test_marks_of_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 40)
+    rnd = random.Random(6)
+    right = titles(rnd, 70) + ["", "a", "ab", "same"]
+    left = [nearly(rnd, s, rnd.randint(0, 9)) for s in right[:30]] + titles(rnd, 40) + ["", "b", "ab", "abc", "same", None]
+    L, R = (spark.createDataFrame([(s,) for s in x], "s string") for x in (left, right))
+    ok = lambda a, b, t: a == b or ratio_ok(a, b, t)
+    for t in (75, 90, 100):
+        got = {(r.side, r.s) for r in M.fuzzy_matches(L, R, t).collect()}
+        some = [s for s in left if s is not None]
+        assert got == {(0, a) for a in some if any(ok(a, b, t) for b in right)} | {(1, b) for b in right if any(ok(a, b, t) for a in some)}, t
+        assert {r.s for r in M.fuzzy_semi_join(L, R, t).collect()} == {s for side, s in got if side == 0}
+    empty = L.where("false")
+    assert M.fuzzy_matches(empty, R).count() == 0 == M.fuzzy_matches(L, empty).count()
+
+
+def test_matched_and_unmatched_from_one_join(spark):
+    golden = spark.createDataFrame([("10.1/a.b", "Walk to Work"), (None, "Bike Lanes and Health"), (None, "Cities, Cycling and Care"), ("10.9/z", "Unseen Paper")], "doi string, title string")
+    ai = spark.createDataFrame([(1, "10_1_a_b", 1), (2, "walk to work ", 0), (3, "Health and Bike Lane", 1), (5, "Health and Bike Lane", 1), (4, "Something else", 1)],
+                               "row_id int, title string, relevance int")
+    matched, unmatched = M.match_both(ai, golden, "row_id", "title", "relevance", "title", golden_doi="doi")
+    apart = M.match_cascade(ai, golden, "row_id", "title", "relevance", "title", golden_doi="doi")
+    assert sorted(map(tuple, matched.collect())) == sorted(map(tuple, apart.collect()))
+    want = {r.title for r in M.unmatched_golden(apart, golden, "title", "doi").collect()}
+    assert {r.title for r in unmatched.collect()} == want == {"Unseen Paper", "Cities, Cycling and Care"}
+
+
 def test_long_titles_stay_cheap(spark):
     long_ = " ".join(f"word{i % 50}" for i in range(6000))
     L = spark.createDataFrame([(long_,), ("short",)], "s string")
