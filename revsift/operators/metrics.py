@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 from .. import defaults as D
 from ..functions.text import col_of
+from ..session import materialise
+from .ordering import row_index
 
 # Metric columns of the bundle, in report order.
 POINT_METRICS = ["recall", "precision", "specificity", "accuracy", "balanced_accuracy",
@@ -131,16 +133,28 @@ def threshold_sweep(scored: DataFrame, thresholds: Sequence[float], prob="probab
     return metrics_from_counts(counts)
 
 
-def wss_at_recall(paired: DataFrame, recalls: Sequence[float], probability: str = "probability", y_true: str = "y_true") -> DataFrame:
+def wss_at_recall(paired: DataFrame, recalls: Sequence[float], probability: str = "probability", y_true: str = "y_true",
+                  block: int = 1 << 20) -> DataFrame:
     """Work saved over sampling at target recalls: rows are read in the order of their score until the recall is reached.
 
-    Rows are first counted by score, rounded to four places (at most 10,001 values),
-    so that the cumulative sum runs over a bounded table; rows without a score come last."""
-    score = F.when(F.col(probability).isNull() | F.isnan(F.col(probability)), F.lit(-1.0)).otherwise(F.round(F.col(probability).cast("double"), 4))
-    by = paired.groupBy(score.alias("score")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y_true).cast("long")).alias("pos"))
-    w = Window.orderBy(F.desc("score"))
-    cum = by.select(F.sum("n").over(w).alias("read"), F.sum("pos").over(w).alias("found"), F.sum("n").over(Window.partitionBy()).alias("total"),
-                    F.sum("pos").over(Window.partitionBy()).alias("relevant"))
-    each = cum.withColumn("target", F.explode(F.array(*[F.lit(float(r)) for r in recalls]))).where(F.col("found") >= F.col("target") * F.col("relevant"))
-    least = each.groupBy("target", "total", "relevant").agg(F.min("read").alias("read"))
+    Rows are counted by their exact score; those of one score are read together, those
+    without one last. The counts are sorted over the cluster and cut into blocks of
+    ``block`` scores. The sums of the blocks, one row each, tell in which block each
+    recall is reached, and only the rows of those blocks are summed one by one."""
+    p = F.col(probability).cast("double")
+    score = F.when(p.isNotNull() & ~F.isnan(p), p)
+    by = materialise(paired.groupBy(score.alias("score")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col(y_true).cast("long")), F.lit(0)).alias("pos")), "score-counts")
+    placed = row_index(by, [F.desc_nulls_last("score")], "_i").withColumn("_blk", F.floor(F.col("_i") / block))
+    earlier = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("_blk").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    starts = sums.select("_blk", "n", "pos", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in ("n", "pos")])
+    totals = by.agg(F.sum("n").alias("total"), F.sum("pos").alias("relevant"))
+    reached = lambda pos: pos >= F.col("target") * F.col("relevant")
+    targets = F.explode(F.array(*[F.lit(float(r)) for r in dict.fromkeys(recalls)]))
+    cut = (starts.join(totals, F.lit(True)).withColumn("target", targets).where(reached(F.col("_pos") + F.col("pos")))
+           .groupBy("target", "total", "relevant").agg(F.min(F.struct("_blk", "_n", "_pos")).alias("b")).select("target", "total", "relevant", "b.*"))
+    cut = materialise(cut, "recall-blocks")  # one row a target
+    upto = Window.partitionBy("target").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = placed.join(F.broadcast(cut), "_blk").select("target", "total", "relevant", (F.col("_n") + F.sum("n").over(upto)).alias("read"), (F.col("_pos") + F.sum("pos").over(upto)).alias("found"))
+    least = rows.where(reached(F.col("found"))).groupBy("target", "total", "relevant").agg(F.min("read").alias("read"))
     return least.select("target", "read", "total", ((F.col("total") - F.col("read")) / F.col("total") - (F.lit(1.0) - F.col("target"))).alias("wss"))

@@ -8,15 +8,16 @@ NULL answer, zero tokens and the error text instead of failing the job.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import error_class
 from .. import defaults as D
-from ..session import materialise
+from ..session import materialise, scratch_path
 from .ordering import row_index, running_sum
 
 SCORED_FIELDS = [("output_text", "string"), ("input_tokens", "bigint"), ("output_tokens", "bigint"),
@@ -96,43 +97,81 @@ def retry_failed(scored: DataFrame, inputs: DataFrame, scorer: Scorer, id_col: s
     return current
 
 
-def _latest(spark: SparkSession, path: str, id_col: str) -> DataFrame | None:
-    """The last answer to each row of a scored table; None if there is no table yet."""
+LEDGER = "block string, attempt int, rows bigint, failed bigint, finished timestamp"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return None
-    rows = spark.read.parquet(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows of a table that may be absent or hold no file yet; its schema is known, not looked for."""
+    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def _last_answers(rows: DataFrame, id_col: str) -> DataFrame:
     others = [c for c in rows.columns if c != id_col]
     return rows.groupBy(id_col).agg(F.max_by(F.struct(*others), "attempt").alias("_r")).select(id_col, "_r.*")
 
 
+def scoring_progress(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger of a scored table: each finished block, and how many rows were done and had failed by then."""
+    done = Window.orderBy("finished", "block").rowsBetween(Window.unboundedPreceding, 0)  # one row a block
+    return _stored(spark, f"{path}/ledger", LEDGER).select("*", F.sum("rows").over(done).alias("rows_done"), F.sum("failed").over(done).alias("failed_so_far"))
+
+
 def score_to_table(inputs: DataFrame, scorer: Scorer, path: str, id_col: str = "row_id", prompt: str = "prompt",
-                   keep: Sequence[str] = (), blocks: int = 1, rounds: int = 0,
-                   retryable: Sequence[str] = D.RETRYABLE_CLASSES) -> DataFrame:
+                   keep: Sequence[str] = (), blocks: int | None = None, rounds: int = 0,
+                   retryable: Sequence[str] = D.RETRYABLE_CLASSES, block_rows: int = 100_000,
+                   on_block: Callable[[str, int, int], None] | None = None) -> DataFrame:
     """Score into the table at ``path``, which survives a failed run.
 
-    Rows the table holds already are not scored again. The others are scored in
-    ``blocks`` jobs by a hash of the id, each of which appends its answers when
-    it ends: a job that fails loses no more than its block, and the next call goes
-    on from there. Then rows whose last answer failed with a retryable class are
-    asked again, up to ``rounds`` times. Returns the last answer to each row."""
+    Rows the table holds already are not scored again. The others are written once,
+    cut into ``blocks`` by a hash of the id (or blocks of about ``block_rows``), and
+    scored block by block. Each block's answers become a folder of the table when all its
+    tasks have ended, and then a row of the ledger (``scoring_progress``); ``on_block`` is told
+    its name, its rows and how many of them failed. A run that is killed loses the
+    answers of the block it was in, and the next call asks only for what the table
+    lacks, also where the folder is absent, empty or half written. Then rows whose
+    last answer failed with a retryable class are asked again, up to ``rounds``
+    times, as blocks of their own. Returns the last answer to each row."""
     spark = inputs.sparkSession
-
-    def put(rows: DataFrame, attempt: int) -> None:
-        scored = score_rows(rows, scorer, id_col, prompt, keep=keep)
-        scored.withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(path)
-
-    have = _latest(spark, path, id_col)
-    todo = inputs if have is None else inputs.join(have.select(id_col), id_col, "left_anti")
-    for k in range(blocks):
-        put(todo if blocks == 1 else todo.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == k), 0)
+    types = dict(inputs.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in (id_col, *keep)), *(f"{n} {t}" for n, t in SCORED_FIELDS), "attempt int"])
+    answers = lambda: _stored(spark, f"{path}/answers", schema).drop("block")
+    tasks = spark.sparkContext.defaultParallelism
+
+    def put(rows: DataFrame, name: str, attempt: int, partitions: int | None) -> None:
+        part = f"{path}/answers/block={name}-{uuid.uuid4().hex[:8]}"
+        score_rows(rows, scorer, id_col, prompt, partitions, keep=keep).withColumn("attempt", F.lit(attempt)).write.parquet(part)
+        done = spark.read.schema(schema).parquet(part)
+        n, failed = done.agg(F.count(F.lit(1)), F.count_if(F.col("error").isNotNull())).first()
+        entry = spark.createDataFrame([(name, attempt, n, failed)], "block string, attempt int, rows bigint, failed bigint")
+        entry.withColumn("finished", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{path}/ledger")
+        if on_block:
+            on_block(name, n, failed)
+
+    todo = inputs.join(answers().select(id_col).distinct(), id_col, "left_anti").select(id_col, *keep, prompt)
+    if blocks == 1:
+        put(todo, "0-of-1", 0, None)
+    else:
+        if blocks is None:
+            todo = materialise(todo, "to-score")
+            blocks = max(1, -(-todo.count() // block_rows))
+        where = scratch_path(spark, "score-blocks")
+        todo.withColumn("_block", F.pmod(F.xxhash64(id_col), F.lit(blocks))).repartition("_block").write.partitionBy("_block").parquet(where)
+        rest = todo.schema
+        for k in range(blocks):
+            if _exists(spark, f"{where}/_block={k}"):  # else no row of this block is left
+                put(_stored(spark, f"{where}/_block={k}", rest), f"{k}-of-{blocks}", 0, tasks)
     for _ in range(rounds):
-        last = with_error_class(_latest(spark, path, id_col)).where(F.col("error_class").isin(*retryable))
+        last = with_error_class(_last_answers(answers(), id_col)).where(F.col("error_class").isin(*retryable))
         attempt = last.agg(F.max("attempt")).first()[0]
         if attempt is None:
             break
-        put(inputs.join(last.select(id_col), id_col, "left_semi"), attempt + 1)
-    return _latest(spark, path, id_col).drop("attempt")
+        put(inputs.join(materialise(last.select(id_col), "to-retry"), id_col, "left_semi"), f"retry-{attempt + 1}", attempt + 1, None)
+    return _last_answers(answers(), id_col).drop("attempt")
 
 
 def dead_letter(scored: DataFrame, id_col: str = "row_id") -> DataFrame:

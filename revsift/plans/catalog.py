@@ -505,8 +505,8 @@ def q_raw_responses(spark, d):
 def q_metric_report_text(spark, d):
     path, _, sinks = _there_and_back(spark, "report")
     m = MT.screening_metrics(I.screening_pairs(spark, d))
-    lines = sinks.confusion_lines(m).unionByName(sinks.report_lines(m).where("ord < 12"))
-    lines.repartition(1).sortWithinPartitions("ord").select("line").write.text(path)  # sixteen lines
+    lines = sinks.confusion_lines(m).unionByName(sinks.report_lines(m))
+    lines.repartition(1).sortWithinPartitions("ord").select("line").write.text(path)  # twenty-six lines
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 

@@ -25,18 +25,25 @@ def _k(doc_id: Column, n_chars: Column) -> Column:
     return (doc_id * 37 + n_chars) % 100
 
 
+# fixed values: answers at the edges of the parsing rules
+EDGE_ANSWERS = ["10", "100%", ".85", ".05", "1.5", "0,85", "-0.5", "x0.9", "00.85", "about 2 of 10: 0.9", "2", "", "0.", "11", "21", "1 of 2", "0.5/1.0", "A1", "1st", "N/A", " 0.7\n", "1.00"]
+
+
 def screening_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, n_chars, response): a model answer per document."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    k = _k(F.col("doc_id"), F.col("n_chars"))
-    kk = F.lpad(k.cast("string"), 2, "0")
-    m = F.col("doc_id") % 6
-    resp = (F.when(m == 0, F.concat(F.lit("0."), kk))
-            .when(m == 1, F.concat(F.lit("Confidence: 0."), kk))
-            .when(m == 2, F.when(k % 2 == 0, F.lit("1")).otherwise(F.lit("0")))
-            .when(m == 3, F.lit("1.0"))
-            .when(m == 4, F.lit("N/A"))
-            .otherwise(F.lit("10")))
+    """(doc_id, lang, n_chars, response): a model answer per document.
+
+    Answers are a bare score, a score before or behind the text that was judged, one
+    with nothing but that text, or one at the edge of the parsing rules."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text")
+    score = F.lpad(((F.col("doc_id") * 7919 + F.col("n_chars") * 104729) % 1000000).cast("string"), 6, "0")
+    m, text = F.col("doc_id") % 6, F.coalesce("text", F.lit(""))
+    edge = F.get(F.array(*[F.lit(x) for x in EDGE_ANSWERS]), (F.floor(F.col("doc_id") / 6) % len(EDGE_ANSWERS)).cast("int"))
+    resp = (F.when(m == 0, F.concat(F.lit("0."), score))
+            .when(m == 1, F.concat(F.lit("Confidence: 0."), score, F.lit("\n"), text))
+            .when(m == 2, F.when(_k(F.col("doc_id"), F.col("n_chars")) % 2 == 0, F.lit("1")).otherwise(F.lit("0")))
+            .when(m == 3, F.concat(text, F.lit("\nProbability: 0."), score))
+            .when(m == 4, F.concat(text, F.lit("\n"), edge))
+            .otherwise(edge))
     return d.select("doc_id", "lang", "n_chars", resp.alias("response"))
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from ..functions import stats
 from . import catalog as C
+from .inputs import EDGE_ANSWERS
 
 Z = "CAST(1.96 AS DOUBLE)"
 Z2 = f"CAST('{repr(stats.Z95 * stats.Z95)}' AS DOUBLE)"
@@ -36,15 +37,17 @@ def clean(x: str) -> str:
     return f"regexp_replace({v}, '\\s+', ' ', 'g')"
 
 
-RESPONSES = """responses AS (
-  SELECT doc_id, lang, n_chars, (doc_id * 37 + n_chars) % 100 AS k,
+_SCORE = "lpad(CAST((doc_id * 7919 + n_chars * 104729) % 1000000 AS VARCHAR), 6, '0')"
+_EDGE = f"[{', '.join(lit(x) for x in EDGE_ANSWERS)}][CAST((doc_id // 6) % {len(EDGE_ANSWERS)} AS INTEGER) + 1]"
+RESPONSES = f"""responses AS (
+  SELECT doc_id, lang, n_chars,
     CASE doc_id % 6
-      WHEN 0 THEN '0.' || lpad(CAST((doc_id * 37 + n_chars) % 100 AS VARCHAR), 2, '0')
-      WHEN 1 THEN 'Confidence: 0.' || lpad(CAST((doc_id * 37 + n_chars) % 100 AS VARCHAR), 2, '0')
+      WHEN 0 THEN '0.' || {_SCORE}
+      WHEN 1 THEN 'Confidence: 0.' || {_SCORE} || chr(10) || coalesce(text, '')
       WHEN 2 THEN CASE WHEN ((doc_id * 37 + n_chars) % 100) % 2 = 0 THEN '1' ELSE '0' END
-      WHEN 3 THEN '1.0'
-      WHEN 4 THEN 'N/A'
-      ELSE '10' END AS response
+      WHEN 3 THEN coalesce(text, '') || chr(10) || 'Probability: 0.' || {_SCORE}
+      WHEN 4 THEN coalesce(text, '') || chr(10) || {_EDGE}
+      ELSE {_EDGE} END AS response
   FROM documents)"""
 
 SCORED = RESPONSES + f""",
@@ -618,8 +621,9 @@ SQL["raw_responses"] = f"""WITH {SCORES}
 SELECT row_id, output_text, CAST(output_text AS DOUBLE) AS probability FROM scores"""
 SQL["metric_report_text"] = f"""WITH mb AS ({SQL["screening_metrics"]}), long AS ({SQL["metric_report_long"]})
 SELECT unnest(['truth,predicted 0,predicted 1', '0,' || tn || ',' || fp, '1,' || fn || ',' || tp, 'false negatives: ' || fn]) AS line FROM mb
-UNION ALL SELECT CASE WHEN ord < 4 THEN metric || ': ' || CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE printf('%s: %.4f', metric, value) END
-FROM long WHERE ord < 12"""
+UNION ALL SELECT CASE WHEN ord < 4 THEN metric || ': ' || CAST(CAST(value AS BIGINT) AS VARCHAR) 
+  WHEN ord < 12 THEN printf('%s: %.4f', metric, value) ELSE printf('%s: (%.6f, %.6f)', metric, ci_low, ci_high) END
+FROM long"""
 SQL["extraction_report_text"] = f"""WITH e AS ({SQL["extraction_errors"]}), f AS ({SQL["field_accuracy"]}), s AS ({SQL["study_accuracy"]})
 SELECT 1000 AS ord, 'errors: ' || (SELECT count(*) FROM e) AS line
 UNION ALL SELECT 2000, printf('%s: %.4f', field, accuracy) FROM f
@@ -638,7 +642,7 @@ SELECT row_id, output_text, input_tokens, output_tokens, total_tokens, error FRO
 UNION ALL {_recovered("row_id % 50 IN (7, 13)")}"""
 SQL["score_resume"] = SQL["retry_failed"]
 SQL["wss_at_recall"] = f"""WITH {PAIRS}, counted AS (
-  SELECT coalesce(round(probability, 4), -1) AS score, count(*) AS n, sum(y_true) AS pos FROM pairs GROUP BY 1),
+  SELECT coalesce(probability, -1) AS score, count(*) AS n, sum(y_true) AS pos FROM pairs GROUP BY 1),
 cum AS (SELECT sum(n) OVER (ORDER BY score DESC) AS read, sum(pos) OVER (ORDER BY score DESC) AS found, sum(n) OVER () AS total,
   sum(pos) OVER () AS relevant FROM counted), t AS (SELECT unnest([0.8, 0.9, 0.95, 1.0]::DOUBLE[]) AS target)
 SELECT target, CAST(min(read) AS BIGINT) AS read, CAST(total AS BIGINT) AS total,

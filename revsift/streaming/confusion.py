@@ -1,56 +1,92 @@
 """Continuous scoring evaluation with Structured Streaming.
 
 New answer files arrive in a folder; each micro-batch parses and thresholds the
-answers, joins them with the (static) golden labels and updates running
-confusion counts. Progress lives in ``checkpointLocation`` (shared storage), so
-a restarted query resumes where it stopped and never scores a file twice — the
-streaming form of "skip what is already done". The final counts equal the
-batch result over the same files.
+answers and hands them to a state keyed by id, which holds the last answer to each
+id. An answer that comes again replaces the earlier one, as the last of repeated
+rows does in batch: the state gives out the new label once with +1 and the replaced
+one with -1, and only if the label has changed. The changes are joined with the
+golden labels and summed, one row an epoch, and the counts are the sums of all
+epochs. "Last" goes by the time of the file, its name and the row in it, so that
+the counts equal those of a batch over the same files, in whatever batches they
+came. Progress lives in ``checkpointLocation`` (shared storage): a restarted query
+goes on where it stopped and reads no file twice.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import parse_probability
 from ..operators.metrics import threshold_label
 from ..session import scratch_path
 
 ANSWER_SCHEMA = "doc_id bigint, response string"
+COUNTS = ["tp", "fp", "tn", "fn"]
+PLACE = ["at", "file", "row"]  # where an answer stands among all answers
 
 
-def confusion_stream(answers: DataFrame, golden: DataFrame, key: str = "doc_id", truth: str = "quality",
-                     threshold: float = 0.5) -> DataFrame:
-    """Streaming DataFrame of running (tp, fp, tn, fn) over answers joined with golden labels."""
+def placed_answers(answers: DataFrame, key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
+    """(key, y_pred, at, file, row): labels with the place of their answer, of a batch or a stream over Parquet files."""
     p = parse_probability(F.col("response"))
-    scored = answers.select(key, threshold_label(p, threshold).alias("y_pred"))
-    joined = scored.join(golden.select(key, F.col(truth).alias("y_true")), key)
+    return answers.where(F.col(key).isNotNull()).select(
+        key, threshold_label(p, threshold).cast("int").alias("y_pred"), F.unix_micros("_metadata.file_modification_time").alias("at"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").cast("bigint").alias("row"))
+
+
+def label_changes(placed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Streaming (key, y_pred, change): +1 for the label that now holds, -1 for the one it replaces."""
+
+    def follow(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        old = last = tuple(state.get) if state.exists else None
+        for frame in frames:
+            newest = max(zip(*(frame[c].tolist() for c in (*PLACE, "y_pred")), strict=True))
+            last = newest if last is None else max(last, newest)
+        if last != old:
+            state.update(last)
+        if old is None or last[3] != old[3]:
+            rows = [(name[0], int(last[3]), 1)] + ([] if old is None else [(name[0], int(old[3]), -1)])
+            yield pd.DataFrame(rows, columns=[key, "y_pred", "change"])
+
+    kind = dict(placed.dtypes)[key]
+    return placed.groupBy(key).applyInPandasWithState(follow, f"{key} {kind}, y_pred int, change int", "at bigint, file string, row bigint, y_pred int",
+                                                      "update", GroupStateTimeout.NoTimeout)
+
+
+def confusion_changes(changes: DataFrame, golden: DataFrame, key: str = "doc_id", truth: str = "quality") -> DataFrame:
+    """One row: by how much each count changes. A label that stands several times in ``golden`` counts once, the greatest."""
+    labels = golden.where(F.col(truth).isNotNull()).groupBy(key).agg(F.max(truth).alias("y_true"))
     t, q = F.col("y_true"), F.col("y_pred")
-    return joined.groupBy().agg(
-        F.count_if((t == 1) & (q == 1)).alias("tp"),
-        F.count_if((t == 0) & (q == 1)).alias("fp"),
-        F.count_if((t == 0) & (q == 0)).alias("tn"),
-        F.count_if((t == 1) & (q == 0)).alias("fn"),
-    )
-
-
-def run_available(stream: DataFrame, out_path: str, checkpoint: str) -> None:
-    """Process everything available now. Each micro-batch writes the totals so far into
-    a folder of its own (``epoch=N``), so a failure between two of them never leaves
-    readers without a complete result; a repeated epoch replaces only itself."""
+    cells = {"tp": (1, 1), "fp": (0, 1), "tn": (0, 0), "fn": (1, 0)}
+    return changes.join(labels, key).agg(*[F.coalesce(F.sum(F.when((t == a) & (q == b), F.col("change"))), F.lit(0)).cast("bigint").alias(c) for c, (a, b) in cells.items()])
+
+
+def run_available(changes: DataFrame, golden: DataFrame, out_path: str, checkpoint: str, key: str = "doc_id", truth: str = "quality") -> None:
+    """Process everything available now. Each micro-batch writes its changes into a folder of
+    its own (``epoch=N``); an epoch that is repeated after a failure replaces only itself."""
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+        confusion_changes(batch, golden, key, truth).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
 
-    q = (stream.writeStream.outputMode("complete").foreachBatch(write)
+    q = (changes.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def _matches(spark: SparkSession, pattern: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return found is not None and len(found) > 0
+
+
 def current_counts(spark: SparkSession, out_path: str) -> DataFrame:
-    """The totals of the last epoch (one row an epoch)."""
-    rows = spark.read.option("basePath", out_path).parquet(out_path)
-    return rows.agg(F.max_by(F.struct("tp", "fp", "tn", "fn"), F.col("epoch")).alias("c")).select("c.*")
+    """The sums of all epochs (one row an epoch); zeros where there is none yet."""
+    schema = ", ".join(f"{c} bigint" for c in COUNTS)
+    rows = spark.read.schema(schema).parquet(f"{out_path}/epoch=*") if _matches(spark, f"{out_path}/epoch=*") else spark.createDataFrame([], schema)
+    return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in COUNTS])
 
 
 def update_confusion_counts(spark: SparkSession, incoming: str, golden: DataFrame, out_path: str,
@@ -58,11 +94,12 @@ def update_confusion_counts(spark: SparkSession, incoming: str, golden: DataFram
                             threshold: float = 0.5, bytes_per_trigger: int = 1 << 30) -> DataFrame:
     """Process the answer files that arrived in ``incoming`` since the last call.
 
-    Call it again after new files land: the checkpoint remembers which files
-    were read and the running counts, so each file is counted exactly once.
+    Call it again after new files land: the checkpoint remembers which files were
+    read and the last answer to each id. Without any file the counts are zeros.
     ``bytes_per_trigger`` bounds a micro-batch."""
-    answers = spark.readStream.schema(ANSWER_SCHEMA).option("maxBytesPerTrigger", str(bytes_per_trigger)).parquet(incoming)
-    run_available(confusion_stream(answers, golden, key, truth, threshold), out_path, checkpoint)
+    if _matches(spark, incoming):
+        answers = spark.readStream.schema(ANSWER_SCHEMA).option("maxBytesPerTrigger", str(bytes_per_trigger)).parquet(incoming)
+        run_available(label_changes(placed_answers(answers, key, threshold), key), golden, out_path, checkpoint, key, truth)
     return current_counts(spark, out_path)
 
 

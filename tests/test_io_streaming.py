@@ -102,6 +102,43 @@ def test_stream_resumes_with_new_files(spark, tmp_dir):
     assert first.tp + first.fp + first.tn + first.fn < second.tp + second.fp + second.tn + second.fn
 
 
+def batch_counts(spark, pattern, golden):
+    """Last answer wins over all files, in batch."""
+    from revsift.streaming.confusion import ANSWER_SCHEMA, placed_answers
+
+    rows = sorted(tuple(r) for r in placed_answers(spark.read.schema(ANSWER_SCHEMA).parquet(pattern)).select("at", "file", "row", "doc_id", "y_pred").collect())
+    last = {r[3]: r[4] for r in rows}
+    truth = {}
+    for r in golden.collect():
+        truth[r.doc_id] = max(truth.get(r.doc_id, 0), r.quality)
+    pairs = [(truth[d], p) for d, p in last.items() if d in truth]
+    return tuple(pairs.count(x) for x in ((1, 1), (0, 1), (0, 0), (1, 0)))
+
+
+def test_later_answers_replace_earlier_ones(spark, tmp_dir):
+    import random
+    import time
+
+    from revsift.streaming.confusion import update_confusion_counts
+
+    rnd = random.Random(2)
+    golden = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(5, 1), (5, 0), (4, 1)], "doc_id long, quality int")
+    incoming, out, ckpt = f"{tmp_dir}/in", f"{tmp_dir}/out", f"{tmp_dir}/ckpt"
+    zeros = update_confusion_counts(spark, f"{incoming}/*", golden, out, ckpt).first()
+    assert tuple(zeros) == (0, 0, 0, 0)
+    os.makedirs(incoming)
+    assert tuple(update_confusion_counts(spark, f"{incoming}/*", golden, out, ckpt).first()) == (0, 0, 0, 0)
+    for k in range(3):
+        rows = [(rnd.randrange(70), rnd.choice(["0.9", "0.1", "N/A", "1"])) for _ in range(80)] + [(None, "0.9")]
+        spark.createDataFrame(rows, "doc_id long, response string").repartition(2).write.parquet(f"{incoming}/b{k}")
+        if k != 1:  # two of the folders are read in one call, by small batches
+            got = update_confusion_counts(spark, f"{incoming}/*", golden, out, ckpt, bytes_per_trigger=1000)
+            assert tuple(got.first()) == batch_counts(spark, f"{incoming}/*", golden)
+        time.sleep(0.05)
+    again = update_confusion_counts(spark, f"{incoming}/*", golden, out, ckpt)
+    assert tuple(again.first()) == batch_counts(spark, f"{incoming}/*", golden)
+
+
 def test_threshold_dead_letter_and_json_writers(spark, tmp_dir):
     from revsift.operators.metrics import threshold_label
     from revsift.plans.inputs import demo_scorer

@@ -1,3 +1,4 @@
+import random
 import math
 
 import pytest
@@ -116,3 +117,29 @@ def test_metrics_bit_identical_on_random_counts(spark):
         ref = _python_reference(*q)
         for k, v in ref.items():
             assert rows[i][k] == v, (q, k, rows[i][k], v)
+
+
+def read_until(rows, target):
+    """Rows read, by score, until the target recall is reached; equal scores are read together, those without one last."""
+    rows = [(None if p is None or p != p else p, y) for p, y in rows]
+    need, total = target * sum(y or 0 for _, y in rows), 0
+    for score in sorted({p for p, _ in rows}, key=lambda p: (p is None, -(p or 0))):
+        total += sum(p == score for p, _ in rows)
+        if sum(y or 0 for p, y in rows if p is not None and (score is None or p >= score) or p == score) >= need:
+            return total
+    return None
+
+
+def test_wss_at_recall_is_exact(spark):
+    from revsift.operators.metrics import wss_at_recall
+
+    frame = lambda rows: spark.createDataFrame(rows, "probability double, y_true int")
+    near = [(0.90004, 1), (0.90003, 0), (0.90002, 0), (0.90001, 0)]
+    row = wss_at_recall(frame(near), [0.95]).first()
+    assert row.read == 1 and row.wss == pytest.approx(0.70)
+    rnd = random.Random(4)
+    rows = [(rnd.choice([0.5 + rnd.randrange(60) * 1e-6, rnd.random(), None, float("nan"), 1e-300, -2.5]), rnd.choice([0, 0, 0, 1, None])) for _ in range(700)]
+    for block in (1, 7, 1 << 20):
+        got = {r.target: r.read for r in wss_at_recall(frame(rows), [0.5, 0.9, 0.95, 1.0, 0.9], block=block).collect()}
+        assert got == {t: read_until(rows, t) for t in (0.5, 0.9, 0.95, 1.0)}
+    assert wss_at_recall(frame([]), [0.9]).count() == 0

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from revsift.operators import pairing as P
@@ -104,6 +105,55 @@ def test_scoring_goes_on_where_it_ended(spark, tmp_dir):
     assert out.where("error IS NULL").count() == 100 and len(os.listdir(calls)) == 100 + 300
 
 
+def test_scoring_into_absent_empty_and_half_written_folders(spark, tmp_dir):
+    import os
+    df = spark.createDataFrame([(i, "abc") for i in range(30)], "row_id bigint, prompt string")
+    for k, there in enumerate(([], ["table"], ["table/answers"], ["table/answers/block=0-of-2-dead/_temporary/0", "table/ledger/_temporary"])):
+        home = os.path.join(tmp_dir, str(k))
+        calls, table = os.path.join(home, "calls"), os.path.join(home, "table")
+        for folder in ("calls", *there):
+            os.makedirs(os.path.join(home, folder))
+        assert SC.scoring_progress(spark, table).count() == 0
+        assert SC.score_to_table(df, _counting(calls, lambda r, n: False), table, blocks=2).count() == 30 and len(os.listdir(calls)) == 30
+    assert SC.score_to_table(df.where("false"), _counting(calls, lambda r, n: False), table).count() == 30
+
+
+def test_a_killed_block_is_all_that_is_asked_again(spark, tmp_dir):
+    """The second of four blocks is killed; the next run calls the scorer for the rows that have no answer, and for no others."""
+    import os
+    calls, table, told = os.path.join(tmp_dir, "calls"), os.path.join(tmp_dir, "table"), []
+    os.makedirs(calls)
+    df = spark.createDataFrame([(i, "abc") for i in range(200)], "row_id bigint, prompt string")
+
+    def stop(name, rows, failed):
+        told.append((rows, failed))
+        if len(told) == 1:
+            raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        SC.score_to_table(df, _counting(calls, lambda r, n: False), table, blocks=4, on_block=stop)
+    first = len(os.listdir(calls))
+    assert 0 < first == told[0][0] < 200
+
+    def dies(rid, prompt):  # not a failed row: the task itself ends
+        raise SystemExit(1)
+
+    with pytest.raises(Exception):
+        SC.score_to_table(df, dies, table, blocks=4)
+    assert [r.rows_done for r in SC.scoring_progress(spark, table).collect()] == [first]
+    out = SC.score_to_table(df, _counting(calls, lambda r, n: False), table, blocks=4, on_block=lambda *x: told.append(x[1:]))
+    assert sorted(r.row_id for r in out.collect()) == list(range(200)) and len(os.listdir(calls)) == 200
+    progress = SC.scoring_progress(spark, table).orderBy("rows_done").collect()
+    assert progress[-1].rows_done == 200 == sum(r.rows for r in progress) and sum(n for n, _ in told) == 200
+
+
+def test_blocks_of_rows_and_kept_columns(spark, tmp_dir):
+    df = spark.createDataFrame([(str(i), "abc", i % 3, i) for i in range(90)], "row_id string, prompt string, lang int, attempt_of int")
+    out = SC.score_to_table(df, lambda rid, p: {"output_text": p + rid}, f"{tmp_dir}/t", keep=["lang"], block_rows=25)
+    assert {(r.row_id, r.lang, r.output_text) for r in out.collect()} == {(str(i), i % 3, f"abc{i}") for i in range(90)}
+    assert SC.scoring_progress(spark, f"{tmp_dir}/t").count() == 4
+
+
 def test_shards_round_robin(spark):
     df = spark.createDataFrame([(i,) for i in (5, 1, 9, 3)], "row_id int")
     got = {r.row_id: r.shard for r in SC.assign_shards(df, ["row_id"], 2).collect()}
