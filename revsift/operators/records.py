@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, NullType, StructType, VariantType
 
 from ..functions.text import clean_value, col_of, safe_parse_json, strip_fences
 
@@ -38,23 +40,44 @@ def flatten_records(parsed: DataFrame, id_cols: Sequence[str], v: str = "parsed"
     return parsed.select(*id_cols, F.posexplode(items).alias("rec_pos", "record"))
 
 
+def discovered_fields(records: DataFrame, rec: str = "record", most: int = 1000) -> list[tuple[str, str]]:
+    """(name, type) of every key that occurs in an object of ``rec``, by name.
+
+    The types of all records are merged by one aggregation. A key whose values are
+    all of one kind of scalar gets its type, numbers the wider one; lists, objects
+    and mixed values stay VARIANT, and a key that only holds nulls is a string.
+    Keys are data: more than ``most`` raise, as one row with all of them comes to
+    the driver."""
+    objects = records.where(F.try_variant_get(F.col(rec), "$", "map<string,variant>").isNotNull())
+    told = objects.agg(F.schema_of_variant_agg(F.col(rec))).first()[0]
+    if not told or not told.startswith("OBJECT<"):
+        return []
+    kinds = DataType.fromDDL(re.sub(r"\bOBJECT<", "STRUCT<", told))
+    if len(kinds) > most:
+        raise ValueError(f"{len(kinds)} different keys, more than {most}")
+    nested = (ArrayType, StructType, VariantType)
+    return sorted((f.name, "variant" if isinstance(f.dataType, nested) else "string" if isinstance(f.dataType, NullType) else f.dataType.simpleString()) for f in kinds)
+
+
 def records_wide(records: DataFrame, fields: Sequence[tuple[str, str]] | None = None,
                  id_cols: Sequence[str] = (), rec: str = "record") -> DataFrame:
-    """Records to a wide table: one column per declared field; missing keys are NULL.
+    """Records to a wide table: one column per field; missing keys are NULL.
 
-    Without ``fields`` the record stays one VARIANT column: which keys occur is
-    data, and may grow with it."""
+    Fields are declared, or else those that occur (``discovered_fields``)."""
     if fields is None:
-        return records.select(*id_cols, F.col(rec))
-    return records.select(*id_cols, *[F.try_variant_get(F.col(rec), f"$.{_path_key(name)}", typ).alias(name)
+        fields = discovered_fields(records, rec)
+    return records.select(*id_cols, *[F.try_variant_get(F.col(rec), f"${_path_key(name)}", typ).alias(name)
                                       for name, typ in fields])
 
 
 def _path_key(name: str) -> str:
-    # JSON path member: plain names as is, others bracket-quoted
-    if name.replace("_", "a").isalnum():
-        return name
-    return "[\'" + name.replace("\'", "\\\'") + "\']"
+    """The step to a member in a JSON path."""
+    if name and not set(name) & set(".["):
+        return f".{name}"
+    for quote in "'\"":
+        if quote not in name:
+            return f"[{quote}{name}{quote}]"
+    raise ValueError(f"no path leads to a key with both kinds of quotes: {name}")
 
 
 def response_audit(df: DataFrame, id_col: str, text: str = "output_text") -> DataFrame:
@@ -86,7 +109,7 @@ def variant_text(v: Column) -> Column:
 
 def record_key(rec: Column, key_fields: Sequence[str], sep: str = "||") -> Column:
     """Cleaned key field(s) of a VARIANT record; missing or null key → ``""``."""
-    parts = [clean_value(F.coalesce(variant_text(F.try_variant_get(rec, f"$.{_path_key(k)}", "variant")), F.lit("")))
+    parts = [clean_value(F.coalesce(variant_text(F.try_variant_get(rec, f"${_path_key(k)}", "variant")), F.lit("")))
              for k in key_fields]
     return parts[0] if len(parts) == 1 else F.concat_ws(sep, *parts)
 

@@ -531,7 +531,48 @@ def q_wss_at_recall(spark, d):
     return MT.wss_at_recall(I.screening_pairs(spark, d), [0.8, 0.9, 0.95, 1.0])
 
 
+def _document_folder(spark, d):
+    from ..sources.files import write_named_files
+    path, readers, _ = _there_and_back(spark, "document-folder")
+    write_named_files(I.document_files(spark, d), path)
+    return path, readers
+
+
+def q_markdown_folder(spark, d):
+    """Documents written as files, UTF-8 or Latin-1, and read back as (title, text)."""
+    path, readers = _document_folder(spark, d)
+    docs = readers.read_markdown_dir(spark, path)
+    return docs.select("title", F.length("full_text").cast("long").alias("chars"), F.md5(F.encode("full_text", "UTF-8")).alias("digest"))
+
+
+def q_latin1_documents(spark, d):
+    """Of the documents read back, those that hold other than ASCII characters."""
+    path, readers = _document_folder(spark, d)
+    other = F.regexp_replace("full_text", r"[\x00-\x7F]", "")
+    docs = readers.read_markdown_dir(spark, path).select("title", other.alias("other")).where("other <> ''")
+    return docs.select("title", F.length("other").cast("long").alias("n_other"), F.md5(F.encode("other", "UTF-8")).alias("digest"))
+
+
+def q_document_listing(spark, d):
+    """The files as a listing: stem and length, without those done already; files of no bytes are passed over."""
+    path, readers = _document_folder(spark, d)
+    listed = readers.list_documents(spark, path, "*.[mM][dD]")
+    done = I.table(spark, d, "labels").where("toxic = 1").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("stem"))
+    return readers.pending_documents(listed, done).select("stem", "length")
+
+
+def q_records_wide(spark, d):
+    """Records as a wide table whose fields are found in them."""
+    wide = R.records_wide(I.ai_records(spark, d), id_cols=["rec_pos"])
+    words = F.array_join(F.try_variant_get("words", "$", "array<string>"), " ")
+    return wide.select("rec_pos", "p_partkey", "name", "brand", "type", "size", words.alias("words"))
+
+
 QUERIES: dict[str, QueryFn] = {
+    "markdown_folder": q_markdown_folder,
+    "latin1_documents": q_latin1_documents,
+    "document_listing": q_document_listing,
+    "records_wide": q_records_wide,
     "screening_metrics": q_screening_metrics,
     "screening_metrics_by_lang": q_screening_metrics_by_lang,
     "confusion_counts": q_confusion_counts,

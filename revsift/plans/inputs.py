@@ -197,6 +197,16 @@ def papers_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", text.alias("text"))
 
 
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, content): each document as a Markdown file; by id the ending is in capitals, the text Latin-1 where it can be, or the file empty."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    m = F.col("doc_id") % 7
+    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.when(m == 2, ".MD").otherwise(".md"))
+    western = F.col("text").rlike(r"^[\x00-\x7F\x{A0}-\x{FF}]*$")
+    content = (F.when((m == 3) & western, F.encode("text", "ISO-8859-1")).when(m == 5, F.lit("").cast("binary")).otherwise(F.encode("text", "UTF-8")))
+    return d.select(name.alias("name"), content.alias("content"))
+
+
 def long_texts(spark: SparkSession, sf_dir: str, beyond: int) -> DataFrame:
     """(doc_id, text): every tenth text repeated until it is longer than ``beyond``."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")

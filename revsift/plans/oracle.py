@@ -648,3 +648,18 @@ cum AS (SELECT sum(n) OVER (ORDER BY score DESC) AS read, sum(pos) OVER (ORDER B
 SELECT target, CAST(min(read) AS BIGINT) AS read, CAST(total AS BIGINT) AS total,
   (CAST(total AS DOUBLE) - CAST(min(read) AS DOUBLE)) / CAST(total AS DOUBLE) - (CAST(1 AS DOUBLE) - target) AS wss
 FROM cum, t WHERE found >= target * relevant GROUP BY target, total, relevant"""
+
+# --- documents as files, records without declared fields -------------------------
+_FOLDER = r"""files AS (
+  SELECT doc_id, 'doc_' || doc_id AS title, CASE WHEN doc_id % 7 = 5 THEN '' ELSE coalesce(text, '') END AS body,
+         doc_id % 7 = 3 AND regexp_full_match(coalesce(text, ''), '[\x00-\x7F\x{A0}-\x{FF}]*') AS latin FROM documents)"""
+SQL["markdown_folder"] = f"WITH {_FOLDER} SELECT title, length(body) AS chars, md5(body) AS digest FROM files WHERE body <> ''"  # files of no bytes are passed over
+SQL["latin1_documents"] = rf"""WITH {_FOLDER}, others AS (SELECT title, regexp_replace(body, '[\x00-\x7F]', '', 'g') AS other FROM files)
+SELECT title, length(other) AS n_other, md5(other) AS digest FROM others WHERE other <> ''"""
+SQL["document_listing"] = f"""WITH {_FOLDER} SELECT title AS stem, CASE WHEN latin THEN length(body) ELSE octet_length(encode(body)) END AS length
+FROM files WHERE body <> '' AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"""
+SQL["records_wide"] = f"""WITH a_key AS (SELECT *, CASE WHEN p_partkey % 11 = 0 THEN -2 * p_partkey - 2 ELSE p_partkey END AS key_ai FROM part)
+SELECT p_partkey * 4 + 1 AS rec_pos, key_ai AS p_partkey, {_NAME_AI} AS name, {_BRAND_AI} AS brand, {_TYPE_AI} AS type, CAST({_SIZE_AI} AS BIGINT) AS size,
+  array_to_string({_WORDS_AI}, ' ') AS words FROM a_key
+UNION ALL SELECT p_partkey * 4, key_ai, {_NAME_AI}, {_BRAND_AI}, 'WRONG', CAST({_SIZE_AI} AS BIGINT), array_to_string({_WORDS_AI}, ' ') FROM a_key WHERE p_partkey % 13 = 0
+UNION ALL SELECT p_partkey * 4 + 2, -2 * p_partkey - 1, p_name, p_brand, p_type, CAST(p_size AS BIGINT), array_to_string(string_split(p_name, ' '), ' ') FROM part WHERE p_partkey % 17 = 0"""

@@ -98,7 +98,9 @@ def _array_elements(batches: Iterator[pd.DataFrame], chunk: int = 1000) -> Itera
 
 
 def read_markdown_dir(spark: SparkSession, path: str) -> DataFrame:
-    """``*.md`` files (any case) → (title = file stem, full_text); UTF-8, Latin-1 when not valid UTF-8."""
+    """``*.md`` files (any case) → (title = file stem, full_text); UTF-8, Latin-1 when not valid UTF-8.
+
+    Files of zero bytes are passed over, as by all of Spark's readers."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.[mM][dD]").load(path)
     content = F.col("content")
     text = F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")) \

@@ -1,6 +1,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from revsift.plans.catalog import QUERIES
@@ -43,8 +44,6 @@ def test_json_records_and_markdown(spark, tmp_dir):
 
 
 def test_json_arrays_of_any_size_and_broken_ones(spark, tmp_dir):
-    import pytest
-
     big = os.path.join(tmp_dir, "big")
     os.makedirs(big)
     rec = json.dumps({"ref": "x" * 300, "a": [1, {"b": "}],["}], "n": None})
@@ -139,6 +138,23 @@ def test_later_answers_replace_earlier_ones(spark, tmp_dir):
     assert tuple(again.first()) == batch_counts(spark, f"{incoming}/*", golden)
 
 
+def test_named_files_round_trip(spark, tmp_dir):
+    from revsift.sources.files import write_named_files
+
+    rows = [("a.md", b"plain"), ("b.MD", "é".encode()), ("c.md", "é".encode("latin-1")), ("d.pdf", bytes(range(256))), ("e.md", None)]
+    files = spark.createDataFrame(rows, "name string, content binary")
+    for path in (f"{tmp_dir}/docs", f"file:{tmp_dir}/docs", f"file://{tmp_dir}/docs"):  # again: the same files
+        write_named_files(files.repartition(3), path)
+    assert sorted(f for f in os.listdir(f"{tmp_dir}/docs") if not f.startswith(".")) == ["_SUCCESS", "a.md", "b.MD", "c.md", "d.pdf", "e.md"]
+    assert {r.title: r.full_text for r in readers.read_markdown_dir(spark, f"{tmp_dir}/docs").collect()} == {"a": "plain", "b": "é", "c": "é"}  # files of no bytes are passed over
+    assert {(r.stem, r.length) for r in readers.list_documents(spark, f"{tmp_dir}/docs").collect()} == {("d", 256)}
+    write_named_files(files.where("false"), f"{tmp_dir}/none")
+    assert readers.list_documents(spark, f"{tmp_dir}/none").count() == 0
+    for bad in ("x/y.md", "", "_hidden", None):
+        with pytest.raises(Exception):
+            write_named_files(spark.createDataFrame([(bad, b"")], "name string, content binary"), f"{tmp_dir}/bad")
+
+
 def test_threshold_dead_letter_and_json_writers(spark, tmp_dir):
     from revsift.operators.metrics import threshold_label
     from revsift.plans.inputs import demo_scorer

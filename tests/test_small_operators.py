@@ -1,3 +1,4 @@
+import pytest
 import os
 
 from pyspark.sql import functions as F
@@ -41,3 +42,23 @@ def test_semicolon_golden_csv(spark, tmp_dir):
     rows = sorted((r.title, r.doi_adjusted, r.relevance) for r in g.collect())
     assert rows == [("A", " 10_1 ", 1), ("B; quoted", None, 0)]
     assert g.select(F.sum("relevance")).first()[0] == 1
+
+
+def test_fields_are_found_in_the_records(spark):
+    from revsift.operators.records import discovered_fields, records_wide
+
+    texts = ['{"a": 1, "odd.key": "x", "n": null, "l": [1, 2]}', '{"a": 2.5, "b": true, "o": {"p": 1}, "m": 1}', '{"m": "text", "A": 3}', "[1]", "7", "{}"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", F.parse_json("t").alias("record"))
+    kinds = dict(discovered_fields(rows))
+    assert sorted(kinds) == ["A", "a", "b", "l", "m", "n", "o", "odd.key"]
+    assert kinds["odd.key"] == "string" and kinds["b"] == "boolean" and kinds["n"] == "string" and kinds["A"] == "bigint"
+    assert kinds["l"] == kinds["o"] == kinds["m"] == "variant" and kinds["a"].startswith("decimal")
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        wide = {r["id"]: r for r in records_wide(rows, id_cols=["id"]).select("id", "`odd.key`", "a", "b", "A").collect()}
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+    assert wide[0]["odd.key"] == "x" and float(wide[1]["a"]) == 2.5 and wide[1]["b"] is True and wide[2]["A"] == 3 and wide[3]["a"] is None
+    assert discovered_fields(rows.where("false")) == [] and records_wide(rows.where("false"), id_cols=["id"]).columns == ["id"]
+    with pytest.raises(ValueError):
+        discovered_fields(rows, most=3)
