@@ -13,8 +13,8 @@ which what a task holds of the benchmark is bounded; each block reads the
 documents once.
 
 Texts are compared in lower case (by characters whose lower case is one
-character) with every white space as a blank; places are code points, the end
-exclusive. An item's edit budget is ``rate`` of its length, or what the lemma
+character) and with every run of white space, of any script, as one blank; places
+are code points of the text as it is, the end exclusive. An item's edit budget is ``rate`` of its length, or what the lemma
 allows if that is less. Items shorter than q must occur as they are.
 
 Defined cases: null or blank items match nothing; a null or empty text holds
@@ -26,9 +26,10 @@ passed on. Empty tables give empty results.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FOUND = "doc_id bigint, item_id bigint, start bigint, end bigint, edits int"
-SMALL = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(0x250)], np.uint32)
-SMALL[9:14] = 32
+BLANK = 32
 
 
 @dataclass(frozen=True)
@@ -48,10 +48,21 @@ class Params:
     piece: int = 32_768  # long texts are searched in overlapping pieces of so many characters
 
 
-def codes(text: str | None) -> np.ndarray:
-    """Code points in lower case, one for one."""
+@cache
+def _small() -> np.ndarray:
+    """For each code point its lower case, or the blank for white space. Beyond its end there is neither."""
+    low = (BLANK if x.isspace() else ord(x.lower()) if len(x.lower()) == 1 else ord(x) for x in map(chr, range(0x20000)))
+    return np.fromiter(low, np.uint32, 0x20000)
+
+
+def codes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Code points in lower case, runs of white space as one blank, and the place of each in the text."""
     c = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(c < len(SMALL), SMALL[np.minimum(c, len(SMALL) - 1)], c)
+    small = _small()
+    c = small[c] if c.max(initial=0) < len(small) else np.where(c < len(small), small[np.minimum(c, len(small) - 1)], c)
+    blank = c == BLANK
+    places = np.flatnonzero(~(blank & np.r_[False, blank[:-1]]))
+    return c[places], places
 
 
 def gram_hashes(c: np.ndarray, q: int) -> np.ndarray:
@@ -82,7 +93,7 @@ class Index:
     def __init__(self, items: list[tuple[int | None, str]], p: Params):
         self.p, q = p, p.q
         self.ids = [k for k, _ in items]
-        self.items = [c[np.flatnonzero(c != 32)[0] : np.flatnonzero(c != 32)[-1] + 1] for c in (codes(t) for _, t in items)]
+        self.items = [c[int(c[0] == BLANK) : len(c) - int(c[-1] == BLANK)] for c, _ in (codes(t) for _, t in items)]
         sizes = np.array([len(c) for c in self.items], np.int64)
         self.budget = np.where(sizes >= q, np.minimum((sizes * p.rate).astype(np.int64), (sizes - q) // q), 0)
         self.bound = sizes - q + 1 - q * self.budget
@@ -99,15 +110,20 @@ class Index:
 
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item, start, end, edits) for each find."""
-        c, step = codes(text), max(self.p.piece, 4 * self.overlap)
+        (c, places), step = codes(text), max(self.p.piece, 4 * self.overlap)
         found = set()
         for k in range(0, max(1, len(c) - self.overlap), step - self.overlap):
             piece = c[k : k + step]
             found |= {(i, k + a, k + b, e) for i, a, b, e in [*self._search(piece), *self._short(piece)]}
         best: list[tuple[int, int, int, int]] = []
+        item, taken = None, []  # the places that are taken of one item, in order, none over another
         for f in sorted(found, key=lambda f: (f[0], f[3], f[1], f[2])):
-            if not any(g[0] == f[0] and g[1] < f[2] and f[1] < g[2] for g in reversed(best) if g[0] == f[0]):
-                best.append(f)
+            if f[0] != item:
+                item, taken = f[0], []
+            at = bisect_left(taken, f[1:3])
+            if (at == 0 or taken[at - 1][1] <= f[1]) and (at == len(taken) or f[2] <= taken[at][0]):
+                taken.insert(at, f[1:3])
+                best.append((f[0], int(places[f[1]]), int(places[f[2] - 1]) + 1, f[3]))
         return sorted(best, key=lambda f: (f[1], f[2], f[0]))
 
     def _short(self, c: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -183,7 +199,7 @@ def align(item: np.ndarray, c: np.ndarray, lo: int, wide: int, row: np.ndarray)
 
 
 def _blocks(benchmark: DataFrame, p: Params, id_col: str, text_col: str) -> Iterator[list[tuple[int | None, str]]]:
-    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where(F.col("text").rlike(r"(?U)[^\s\x1C-\x1F]"))
     n = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // p.block_chars))
     for k in range(n):
         block = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)

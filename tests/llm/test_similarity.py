@@ -118,6 +118,25 @@ def distance(item, text):
     return min(row)
 
 
+def plain(text):
+    return re.sub(r"\s+", " ", text.lower())
+
+
+def test_other_scripts_and_white_space(spark):
+    item = "Съешь же ещё этих мягких французских булок, да выпей чаю. Ünïcode Ärger Ωmega"
+    items = spark.createDataFrame([(1, item), (2, "\u00a0\u2003"), (3, "ab")], "item_id long, text string")
+    texts = [(1, "до " + item.upper() + " после"), (2, item.replace(" ", "\u00a0")), (3, "x\r\n" + item.replace(" ", "  \r\n\t") + "\n"), (4, item.replace(" ", "\u3000 ")),
+             (5, item[: len(item) // 2]), (6, "\u00a0 \u00a0"), (7, "AB ab"), (8, "ab" * 30_000)]
+    got = {}
+    for r in decontam.find_passages(spark.createDataFrame(texts, "doc_id long, text string"), items).collect():
+        got.setdefault((r["doc_id"], r["item_id"]), []).append((r["start"], r["end"], r["edits"]))
+    of = dict(texts)
+    assert {k: [of[k[0]][a:b] for a, b, _ in v] for k, v in got.items() if k[1] == 1} == {
+        (1, 1): [item.upper()], (2, 1): [of[2]], (3, 1): [of[3][3:-1]], (4, 1): [of[4]]}
+    assert all(e == 0 for v in got.values() for _, _, e in v)
+    assert got[7, 3] == [(0, 2, 0), (3, 5, 0)] and got[8, 3] == [(k, k + 2, 0) for k in range(0, 60_000, 2)] and all(k[1] != 2 for k in got)
+
+
 def test_passages_within_the_budget_are_found(spark):
     r = random.Random(5)
     letters = "abcdefghij klmnop"
@@ -137,11 +156,11 @@ def test_passages_within_the_budget_are_found(spark):
     index = decontam.Index([i for i in items if (i[1] or "").strip()], p)
     for d, t in texts:
         for n, (k, item) in enumerate(items[:8]):
-            best = distance(item.lower(), (t or "").lower())
+            best = distance(plain(item), plain(t or ""))
             assert (best <= index.budget[n]) == ((d, k) in got), (d, k, best)
             if (d, k) in got:
                 assert min(e for _, _, e in got[d, k]) == best
-                assert all(distance(item.lower(), t[a:b].lower()) <= e for a, b, e in got[d, k])
+                assert all(distance(plain(item), plain(t[a:b])) <= e for a, b, e in got[d, k])
 
 
 def test_blocks_of_the_benchmark_give_the_same(spark, documents):
