@@ -20,7 +20,7 @@ A pair at the threshold of 0.8 shares no band with probability
 less above it.
 
 Defined cases: a text without words (or null) has an empty set and is linked
-with nothing. Rows with the same id are one node. A null id has a null
+with nothing. Rows with the same id are one node, whatever their texts. A null id has a null
 component and is not kept. Repeated rows each get a row; other columns are not
 read. An empty table gives an empty result.
 """
@@ -216,6 +216,13 @@ def bucket_pairs(members: DataFrame, parts: DataFrame, nodes: DataFrame, p: Para
     return same.unionByName(both).mapInPandas(compare, "a bigint, b bigint").distinct()
 
 
+def _same_id(full: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of classes that hold rows of one id."""
+    placed = full.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "node")
+    several = written(placed.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("most")).where("u < most").select("doc_id", "u"), "ids-of-classes")
+    return placed.join(several, "doc_id").where("node <> u").select("u", F.col("node").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, p: Params | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable) and kept for each row."""
     p = p or Params()
@@ -233,7 +240,7 @@ def near_duplicates(docs: DataFrame, p: Params | None = None, id_col: str = "doc
     # each member and, of the first ones of its buckets, the one it shares most bands with
     met = members.where("node <> first").groupBy("node", "first").agg(F.count(F.lit(1)).alias("n"))
     best = met.groupBy(F.col("node").alias("b")).agg(F.max_by("first", F.struct("n", -F.col("first"))).alias("a"))
-    links = written(confirmed(near_enough(best, nodes, p), docs, p), "links")
+    links = written(confirmed(near_enough(best, nodes, p), docs, p).unionByName(_same_id(full, classes)), "links")
     parts = connected(links)
     # what may still join two components
     more = written(bucket_pairs(members, parts, nodes, p), "more-pairs")

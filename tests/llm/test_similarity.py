@@ -64,6 +64,16 @@ def test_groups_equal_brute_force(spark, width):
     assert sorted(x["n_shingles"] for x in rows) == sorted(len(sets(t, width)) for _, t in texts)
 
 
+def test_rows_of_one_id_are_one_node(spark):
+    r = random.Random(4)
+    t, u, w, x = (" ".join(words(r, 40, 10**6)) for _ in range(4))
+    texts = [(1, t), (5, t), (5, u), (2, u), (7, w), (7, x), (9, x), (6, w + " more"), (8, None), (8, w), (3, "alone")]
+    rows = near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), Params(shingle=2)).collect()
+    assert {q["doc_id"]: q["component_id"] for q in rows if q["n_shingles"]} == {1: 1, 5: 1, 2: 1, 7: 6, 9: 6, 6: 6, 8: 6, 3: 3}
+    left = near_dup.drop_near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), Params(shingle=2))
+    assert {q["doc_id"] for q in left.collect()} >= {1, 6, 3} and not {2, 5, 7, 9} & {q["doc_id"] for q in left.collect()}
+
+
 def test_query_equals_its_sql(spark):
     import __spark_entry__ as E
 
