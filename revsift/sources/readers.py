@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.records import skip_existing
+from .json_arrays import read_array_elements
 
 
 def read_table_csv(spark: SparkSession, path: str, schema: str | None = None, sep: str = ",") -> DataFrame:
@@ -51,50 +49,13 @@ def read_golden_screening(spark: SparkSession, path: str, sep: str = ",") -> Dat
 def read_json_records(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of objects per file → (file, rec_pos, record VARIANT), order kept for last-wins.
 
-    The array is decoded element by element, so that no record set has to fit
-    into one VARIANT; a single object counts as one record. A file that is not
-    such an array, is cut short or goes on after it raises, as does a record
-    that VARIANT refuses. Files of zero bytes are passed over, as by all of
-    Spark's readers."""
-    whole = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("content").cast("string").alias("value"))
-    texts = whole.mapInPandas(_array_elements, "file string, rec_pos bigint, text string")
-    return texts.select("file", "rec_pos", F.parse_json("text").alias("record"))
-
-
-def _array_elements(batches: Iterator[pd.DataFrame], chunk: int = 1000) -> Iterator[pd.DataFrame]:
-    """(file, rec_pos, text) of every element, ``chunk`` at a time."""
-    decoder, blank = json.JSONDecoder(), re.compile(r"[ \t\r\n]*")
-    skip = lambda text, at: blank.match(text, at).end()
-    for batch in batches:
-        for file, text in zip(batch["file"], batch["value"], strict=True):
-            text = text.removeprefix("\ufeff")
-            at, rows = skip(text, 0), []
-            single = text[at : at + 1] == "{"
-            if not single and text[at : at + 1] != "[":
-                raise ValueError(f"{file}: not a JSON array of records")
-            at = at if single else skip(text, at + 1)
-            more = single or text[at : at + 1] != "]"
-            n = 0
-            while more:
-                try:
-                    value, end = decoder.raw_decode(text, at)
-                except ValueError as e:
-                    raise ValueError(f"{file}: {e}") from None
-                rows.append((file, n, text[at:end]))
-                n += 1
-                at = skip(text, end)
-                more = not single and text[at : at + 1] == ","
-                at = skip(text, at + 1) if more else at
-                if len(rows) == chunk:
-                    yield pd.DataFrame(rows, columns=["file", "rec_pos", "text"])
-                    rows = []
-            if not single:
-                if text[at : at + 1] != "]":
-                    raise ValueError(f"{file}: the JSON array does not end")
-                at += 1
-            if skip(text, at) != len(text):
-                raise ValueError(f"{file}: text after the JSON array")
-            yield pd.DataFrame(rows, columns=["file", "rec_pos", "text"])
+    A file is read by as many tasks as it has splits, and decoded record by
+    record (``json_arrays``); a single object counts as one record. What a task
+    holds is about a chunk of a megabyte, or one record, if that is longer. A file that is
+    not such an array, is cut short or goes on after it raises, as does a record
+    that VARIANT refuses, and a compressed file. Files of zero bytes are passed
+    over, as by all of Spark's readers."""
+    return read_array_elements(spark, path).select("file", "rec_pos", F.parse_json("text").alias("record"))
 
 
 def read_markdown_dir(spark: SparkSession, path: str) -> DataFrame:

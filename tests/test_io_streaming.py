@@ -1,11 +1,13 @@
 import json
 import os
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from revsift.plans.catalog import QUERIES
-from revsift.sources import readers, sinks
+from revsift.sources import json_arrays, readers, sinks
 from revsift.streaming.confusion import stream_confusion_counts
 from revsift.operators.metrics import screening_metrics
 
@@ -62,6 +64,88 @@ def test_json_arrays_of_any_size_and_broken_ones(spark, tmp_dir):
             readers.read_json_records(spark, path).collect()
 
 
+def _random_json(rng, deep):
+    words = ["}", "{", "[", "]", ",", '"', "\\", "\\\\", "é", "\u2028", "a", "\n", "}" * 40, "x" * 90, "\\}", '"}', ":"]
+    kind = rng.randrange(6 if deep else 3)
+    if kind < 2:
+        return "".join(rng.choices(words, k=rng.randrange(6)))
+    if kind == 2:
+        return rng.choice([None, True, 1, -2.5, 10**12])
+    if kind == 3:
+        return [_random_json(rng, deep - 1) for _ in range(rng.randrange(4))]
+    return {"".join(rng.choices(words, k=2)): _random_json(rng, deep - 1) for _ in range(rng.randrange(4))}
+
+
+def _random_file(rng, single):
+    records = {"only": _random_json(rng, 3), "r": [_random_json(rng, 2) for _ in range(20)]} if single else [_random_json(rng, 3) for _ in range(rng.randrange(60))]
+    text = json.dumps(records, indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5)
+    text = rng.choice(["", " ", "\ufeff", "\ufeff\r\n"]) + text + rng.choice(["", "\n", "  "])
+    return [records] if single else records, text.encode()
+
+
+def _by_chunks(data, chunk):
+    """What the steps of the array reader make of one file, without Spark."""
+    pieces = data.split(b"}")
+    pieces = pieces[:-1] if data.endswith(b"}") else pieces
+    texts, held = [], b""
+    for p in pieces:
+        held += p + b"}"
+        if len(held) >= chunk:
+            texts, held = [*texts, held], b""
+    texts = [*texts, held] if held else texts
+    names = [c.split()[0] for c in json_arrays.CHUNKS.split(", ")]
+    rows = []
+    for k, t in enumerate(texts):
+        body = t.removeprefix(json_arrays.BOM) if k == 0 else t
+        rows.append(("f", 0, k, len(data), len(t), body, *json_arrays._noted(body)))
+    chunks = pd.DataFrame(rows, columns=names)
+    states = json_arrays._states(chunks.drop(columns="text")).merge(chunks[["seq", "text"]], on="seq")
+    found, last_of = {}, {}
+    for r in states.itertuples(index=False):
+        for at, text, _, last in json_arrays._parts(r):
+            found[at] = found.get(at, b"") + text
+            last_of[at] = last_of.get(at, False) or last
+    out = [json_arrays._decoded("f", at, found[at], last_of[at]) for at in sorted(found)]
+    return [json.loads(x) for x in out if x is not None]
+
+
+def test_json_arrays_by_chunks_of_any_size():
+    rng = random.Random(5)
+    for k in range(60):
+        records, data = _random_file(rng, k % 6 == 0)
+        for chunk in (1, 97, 500, 10**6):
+            assert _by_chunks(data, chunk) == records
+    rec = json.dumps({"a": "}", "b": [{}, {}]})
+    for text in [f"[{rec},", f"[{rec}", f"[{rec},]", f"[,{rec}]", f"[{rec}}}", f"[{rec}] x", f"[{rec}]]", rec[:-1], rec + rec, f"[{rec} {rec}]",
+                 f'[{rec}, "', "{}]", "]", "{" * 30, f'[{rec}, {{"a": }}]', " ", "7", "[1, 2", f"[{rec}] }}", f'[{rec}] "']:
+        for chunk in (1, 10**6):
+            with pytest.raises(ValueError):
+                _by_chunks(text.encode(), chunk)
+
+
+def test_json_arrays_in_small_splits(spark, tmp_dir):
+    rng, folder, wanted = random.Random(6), os.path.join(tmp_dir, "arrays"), {}
+    os.makedirs(folder)
+    for k in range(4):
+        wanted[f"{k}.json"], data = _random_file(rng, k == 3)
+        with open(os.path.join(folder, f"{k}.json"), "wb") as f:
+            f.write(data)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for c in before:
+            spark.conf.set(c, "701")
+        rows = json_arrays.read_array_elements(spark, folder, 300).collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    got = {name: [] for name in wanted}
+    for r in sorted(rows, key=lambda r: (r.file, r.rec_pos)):
+        at = got[r.file.rsplit("/", 1)[1]]
+        assert r.rec_pos == len(at)
+        at.append(json.loads(r.text))
+    assert got == wanted
+
+
 def test_candidates_of_many_files_keep_their_order(spark, tmp_dir):
     for k in (9, 10, 100):
         with open(os.path.join(tmp_dir, f"part-{k}.csv"), "w") as f:
