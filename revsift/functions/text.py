@@ -1,20 +1,18 @@
 """Column expressions for parsing and normalising text.
 
-Everything here returns a Column built from Spark built-ins, except
-``fold_ascii`` which needs Unicode NFKD (Spark has no normalise function) and is
-an Arrow-batched pandas UDF that returns pure-ASCII input unchanged.
+Everything here returns a Column built from Spark built-ins. ``fold_ascii`` needs
+Unicode NFKD, for which Spark has no function: it goes by tables that the driver
+makes from Python's Unicode data.
 """
 
 from __future__ import annotations
 
 import functools
+import sys
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
 
 from .. import defaults as D
 
@@ -117,24 +115,35 @@ def split_lines(c) -> Column:
     return F.when(F.length(norm) == 0, F.array().cast("array<string>")).otherwise(F.split(body, "\n", -1))
 
 
-def _fold_one(v):
-    if v is None:
-        return None
-    if v.isascii():
-        return v
-    return unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode("ascii")
+@functools.cache
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Characters that fold to one ASCII character, these, and those that fold to several."""
+    folds = {}
+    for point in range(0x80, sys.maxunicode + 1):
+        if not 0xD800 <= point < 0xE000:
+            folded = unicodedata.normalize("NFKD", chr(point)).encode("ascii", "ignore").decode("ascii")
+            if folded:
+                folds[chr(point)] = folded
+    one = {c: f for c, f in folds.items() if len(f) == 1}
+    return "".join(one), "".join(one.values()), {c: f for c, f in folds.items() if len(f) > 1}
 
 
-@pandas_udf(StringType())
-def fold_ascii(s: pd.Series) -> pd.Series:
-    """NFKD decomposition, then every non-ASCII code point dropped."""
-    return s.map(_fold_one)
+def fold_ascii(c) -> Column:
+    """NFKD decomposition, then every non-ASCII code point dropped.
 
-
-@pandas_udf(ArrayType(StringType()))
-def fold_ascii_array(s: pd.Series) -> pd.Series:
-    """fold_ascii applied to every element of an ARRAY<STRING>."""
-    return s.map(lambda a: None if a is None else [_fold_one(x) for x in a])
+    What a character leaves does not depend on its neighbours, so that folding
+    goes character by character: ``translate`` for those that leave one, a map
+    for the few that leave several, where a value holds any. ASCII values pass."""
+    x = col_of(c)
+    one, ascii_one, several = _folds()
+    table = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in several.items())), F.lit("\x01"), F.lit("\x02"))
+    single = F.translate(x, one, ascii_one)
+    # tested first for not being ASCII: a class of many characters is slow
+    some = r"[\x{80}-\x{10ffff}&&[" + "".join(several) + "]]"
+    parts = F.split(single, f"(?={some})|(?<={some})", -1)  # such characters, and what is between them
+    long = F.array_join(F.transform(parts, lambda e: F.coalesce(F.try_element_at(table, e), e)), "")
+    opened = F.when(x.rlike(some), long).otherwise(single)
+    return F.when(x.rlike(_NON_ASCII), F.regexp_replace(opened, _NON_ASCII, "")).otherwise(x)
 
 
 def clean_ascii(c) -> Column:
@@ -151,17 +160,12 @@ def clean_value(c) -> Column:
     white-space runs. The strip happens before the replacement, so ``_a``
     becomes ``" a"``.
     """
-    x = col_of(c)
-    # only non-ASCII values travel to the Python worker; the rest pass as NULL
-    folded = F.coalesce(fold_ascii(F.when(x.rlike(_NON_ASCII), x)), x)
-    return clean_ascii(folded)
+    return clean_ascii(fold_ascii(c))
 
 
 def clean_array(c) -> Column:
     """clean_value of every element of an ARRAY<STRING> (order kept)."""
-    a = col_of(c)
-    needs = F.exists(a, lambda e: e.rlike(_NON_ASCII))
-    return F.transform(F.coalesce(fold_ascii_array(F.when(needs, a)), a), clean_ascii)
+    return F.transform(col_of(c), clean_value)
 
 
 def clean_list(c) -> Column:

@@ -1,7 +1,10 @@
 import math
+import random
+import unicodedata
 
+from pyspark.sql import functions as F
 
-from revsift.functions.text import clean_list, clean_value, normalize_doi, normalize_title, parse_binary, \
+from revsift.functions.text import clean_list, clean_value, fold_ascii, normalize_doi, normalize_title, parse_binary, \
     parse_probability, split_lines, strip_fences, token_sort
 
 # (text, X1 probability, X2 label) — expected values of the answer parsers.
@@ -71,3 +74,16 @@ def test_strip_fences(spark):
 
 def test_probability_nan_free():
     assert not any(isinstance(p, float) and math.isnan(p) for _, p, _ in PARSE_CASES)
+
+
+def test_folding_equals_nfkd_over_all_of_unicode(spark):
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["a".join(map(chr, points[i : i + 64])) for i in range(0, len(points), 64)]
+    rng = random.Random(3)
+    folding = [c for c in map(chr, points[127:0x2FFFF]) if unicodedata.normalize("NFKD", c).encode("ascii", "ignore")]
+    texts += ["".join(rng.choices(folding + ["x", "́", "漢", "😀"] * 200, k=12)) for _ in range(2000)] + ["", None, "plain"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", fold_ascii("t").alias("c"), F.transform(F.array("t"), fold_ascii)[0].alias("d"))
+    assert "ArrowEvalPython" not in df._jdf.queryExecution().executedPlan().toString()
+    for r in df.collect():
+        wanted = None if texts[r.i] is None else unicodedata.normalize("NFKD", texts[r.i]).encode("ascii", "ignore").decode()
+        assert r.c == r.d == wanted, r.i
