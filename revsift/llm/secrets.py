@@ -4,9 +4,14 @@ Patterns find the base spans and, more loosely, further candidates: runs of
 token characters that mix classes. A small convolutional network, written and
 trained in numpy, reads every candidate together with the characters around
 it. It learns from labelled findings; part of them is set aside to scale its
-output to a probability (Platt) and to choose the highest threshold that still
-finds the required share of the secrets. Base spans are always reported;
-further candidates from the threshold on.
+output to a probability (Platt) and to choose the highest threshold, at most one
+half, that still finds the required share of the secrets. Base spans are always
+reported; further candidates from the threshold on.
+
+Where a table has no labelled findings they are made from it: rules label some
+candidates, and random keys in shapes that vendors use are planted between
+words of the texts, beside slugs and paths of the texts' own words with a number,
+so that the shape of a run alone does not tell its label.
 
 Training uses at most ``max_findings`` findings of each class, chosen by hash,
 and of those that are not secrets the first ``longest`` characters; longer
@@ -16,7 +21,8 @@ ones in overlapping views whose best score counts.
 Defined cases: a null or empty text has no spans; each row gets a row, repeated
 ones and null ids too; other columns pass through, but for those named like the
 results. If the findings lack one of the classes, only base spans are reported.
-Empty tables give empty results.
+Empty tables give empty results. Found values are written nowhere but for the
+findings, whose table is deleted once the network is fitted.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revsift.llm.common import whole_text, written
+from revsift.llm.common import scratch, whole_text, written
 
 # The base kinds in their order.
 BASE = ["assign", "access", "hex"]
@@ -44,6 +50,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # of the runs only those of 16 or more count, and a run is one match
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 SPANS = "array<struct<start:int,kind:int,end:int,value:string,before:string,after:string>>"
+# How keys of common services begin, and the length of their random part.
+SHAPES = [("ghp_", 36), ("glpat-", 20), ("sk_live_", 24), ("AIza", 35), ("npm_", 36), ("xoxb-", 24), ("SG.", 22), ("", 24), ("", 32), ("", 40)]
 
 
 @dataclass(frozen=True)
@@ -98,18 +106,24 @@ def views(before: str, value: str, after: str, p: Params) -> list[tuple[str, str
     return [(whole[max(0, k - p.context) : k], whole[k : k + p.value], whole[k + p.value : k + p.value + p.after]) for k in at]
 
 
+def all_spans(text: str) -> list[tuple[int, int, int]]:
+    base = base_spans(text)
+    return sorted([*base, *loose_spans(text, base)])
+
+
+def seen(text: str, a: int, b: int, p: Params) -> tuple[str, str, str]:
+    """What stands before a span, its value, and what stands after it."""
+    return text[max(0, a - p.context) : a], text[a:b], text[b : b + p.after]
+
+
 def find_candidates(text: Column, p: Params) -> Column:
     """The base and looser spans of a text, with what stands around them."""
 
     @F.pandas_udf(SPANS)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            out = []
-            for t in batch:
-                base = base_spans(t)
-                out.append([{"start": a, "kind": k, "end": b, "value": t[a:b],
-                             "before": t[max(0, a - p.context) : a], "after": t[b : b + p.after]} for a, k, b in sorted([*base, *loose_spans(t, base)])])
-            yield pd.Series(out)
+            yield pd.Series([[{"start": a, "kind": k, "end": b, **dict(zip(("before", "value", "after"), seen(t, a, b, p), strict=True))}
+                              for a, k, b in all_spans(t)] for t in batch])
 
     return of(text)
 
@@ -177,7 +191,7 @@ class Network:
                 self.w[k] = self.w[k] - 0.01 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, first: np.ndarray | None = None, decided: np.ndarray | None = None) -> None:
-        """Platt scaling by Newton steps, then the highest threshold that keeps the recall.
+        """Platt scaling by Newton steps, then the highest threshold up to one half that keeps the recall.
 
         ``first``: where the views of each finding begin. ``decided``: the findings that the
         threshold decides on; where there are secrets among them, their recall counts."""
@@ -199,7 +213,7 @@ class Network:
         self.scale, self.shift = float(max(a, 1e-3)), float(b)
         one = y == 1 if decided is None or not (decided & (y == 1)).any() else decided & (y == 1)
         found = np.sort(self.scaled(s[one]))
-        self.threshold = float(found[int((1 - self.p.recall) * len(found))])
+        self.threshold = min(0.5, float(found[int((1 - self.p.recall) * len(found))]))
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([np.empty(0), *(self.forward(x[k : k + 512])[0] for k in range(0, len(x), 512))])
@@ -232,18 +246,25 @@ class Network:
 def fit_network(findings: DataFrame, p: Params) -> Network | None:
     """A network from ``findings(before, value, after, label)``; None if a class is missing.
 
-    Only the sample comes to the driver: at most about 2 * ``max_findings`` short strings."""
-    distinct = findings.select("before", "value", "after", F.col("label").cast("int").alias("label")).where("label IS NOT NULL").distinct()
-    distinct = distinct.where((F.col("label") == 0) | (F.length("value") <= p.longest))
-    sizes = {r["label"]: r["count"] for r in distinct.groupBy("label").count().collect()}
-    if set(sizes) != {0, 1}:
+    A column ``origin`` tells findings of different making apart: those of one class
+    share its sample evenly. Only the sample comes to the driver: at most about
+    2 * ``max_findings`` strings of at most ``longest`` characters."""
+    origin = F.col("origin") if "origin" in findings.columns else F.lit("")
+    value = F.when(F.col("label") == 1, F.col("value")).otherwise(F.left("value", F.lit(p.longest))).alias("value")
+    distinct = (findings.where("label IN (0, 1)").where((F.col("label") == 0) | (F.length("value") <= p.longest))
+                .select("before", value, "after", F.col("label").cast("int").alias("label"), origin.alias("origin")).distinct())
+    sizes = {(r["label"], r["origin"]): r["count"] for r in distinct.groupBy("label", "origin").count().collect()}
+    if {label for label, _ in sizes} != {0, 1}:
         return None
-    share = F.when(F.col("label") == 1, min(1.0, p.max_findings / sizes[1])).otherwise(min(1.0, p.max_findings / sizes[0]))
+    share = F.lit(0.0)
+    for (label, made), n in sizes.items():
+        each = p.max_findings / sum(label == other for other, _ in sizes)
+        share = F.when((F.col("label") == label) & F.col("origin").eqNullSafe(F.lit(made)), min(1.0, each / n)).otherwise(share)
     u = F.pmod(F.xxhash64("before", "value", "after"), F.lit(1_000_003)) / 1_000_003
     rows = distinct.withColumn("u", u).where(F.col("u") < share).orderBy("u", "before", "value", "after", "label").toPandas()
-    seen = [views(b, v[: p.longest], a, p) for b, v, a in rows[["before", "value", "after"]].itertuples(index=False)]
-    first = np.cumsum([0, *map(len, seen)])
-    x = encoded(*(list(c) for c in zip(*(v for each in seen for v in each), strict=True)), p)
+    cut = [views(b, v, a, p) for b, v, a in rows[["before", "value", "after"]].itertuples(index=False)]
+    first = np.cumsum([0, *map(len, cut)])
+    x = encoded(*(list(c) for c in zip(*(v for each in cut for v in each), strict=True)), p)
     y = rows["label"].to_numpy(float)
     decided = np.array([not any(a == 0 and b == len(v) for a, _, b in base_spans(v)) for v in rows["value"]])
     aside = np.arange(len(y)) % 4 == 3
@@ -301,32 +322,57 @@ def plain_runs(docs: DataFrame, p: Params, text_col: str = "text") -> DataFrame:
                     F.right("s", F.lit(p.after)).alias("after"), F.lit(0).alias("label")))
 
 
+def planted_findings(docs: DataFrame, p: Params, text_col: str = "text") -> DataFrame:
+    """Findings put between words of the texts: one key of SHAPES, a secret, and one slug or path that is none for each document.
+
+    A key's random part is a digest of the text in base 64, without its signs. The
+    slug joins the words around the place by one sign, with a number of one to four
+    digits; both stand between the same words."""
+    text = whole_text(text_col)
+    at = (F.pmod(F.xxhash64(text, F.lit(1)), F.greatest(F.length(text) - 120, F.lit(1))) + 1).cast("int")
+    around = F.regexp_extract_all(F.substring(text, at, F.lit(120)), F.lit(r"(?<=\s)[A-Za-z]+(?=\s)"), F.lit(0))
+    code = F.translate(F.concat(*[F.base64(F.unhex(F.sha2(F.concat(F.lit(salt), text), 256))) for salt in ("one ", "two ")]), "+/=", "")
+    of = lambda choices, salt: F.get(F.array(*choices), F.pmod(F.xxhash64(text, F.lit(salt)), F.lit(len(choices))).cast("int"))
+    shape = of([F.struct(F.lit(a).alias("head"), F.lit(n).alias("n")) for a, n in SHAPES], 2)
+    put = docs.select(around.alias("w"), code.alias("code"), shape.alias("shape"), of([F.lit(c) for c in "-_/."], 3).alias("sign"),
+                      F.pmod(F.xxhash64(text, F.lit(4)), F.pow(F.lit(10), of([F.lit(k) for k in (1, 2, 3, 4)], 5)).cast("long")).alias("number"),
+                      of([F.lit(" "), F.lit(": "), F.lit("=")], 6).alias("by")).where(F.size("w") >= 10)
+    words = lambda a, n: F.slice("w", a, n)
+    before = F.right(F.concat(F.concat_ws(" ", words(1, 4)), F.col("by")), F.lit(p.context))
+    after = F.left(F.concat(F.lit(" "), F.concat_ws(" ", words(9, 2))), F.lit(p.after))
+    key = F.concat("shape.head", F.substring("code", F.lit(1), F.col("shape.n")))
+    slug = F.array_join(F.concat(words(5, 2), F.array(F.col("number").cast("string")), words(7, 2)), "\x01")
+    row = lambda value, label: F.struct(before.alias("before"), value.alias("value"), after.alias("after"), F.lit(label).alias("label"))
+    return put.select(F.inline(F.array(row(key, 1), row(F.replace(slug, F.lit("\x01"), F.col("sign")), 0)))).where(F.length("value") >= 16)
+
+
+def made_findings(docs: DataFrame, p: Params, text_col: str = "text") -> DataFrame:
+    """Labelled findings of a table that has none, with their ``origin``."""
+    each = docs.select(find_candidates(whole_text(text_col), p).alias("_spans")).where(F.size("_spans") > 0).select(F.inline("_spans"))
+    parts = {"rules": rule_findings(each), "plain": plain_runs(docs, p, text_col), "planted": planted_findings(docs, p, text_col)}
+    rows = [df.withColumn("origin", F.lit(name)) for name, df in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 def find_secrets(docs: DataFrame, findings: DataFrame | None = None, p: Params | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` without the text column, with ``secrets``: an array, by start and kind, of
     (start, kind, end, p), where p is the network's probability (null without a network)."""
     p = p or Params()
     rest = [c for c in docs.columns if c not in {text_col, "secrets"}]
-    found = written(docs.select(*rest, find_candidates(whole_text(text_col), p).alias("_spans")), "secrets")
-    each = found.where(F.size("_spans") > 0).select(F.inline("_spans"))
-    given = findings if findings is not None else rule_findings(each).unionByName(plain_runs(docs, p, text_col))
-    network = fit_network(given, p)
-    if network is None:
-        judged = F.transform("_spans", lambda s: F.struct(s["start"], s["kind"], s["end"], F.lit(None).cast("double").alias("p")))
-        return found.select(*rest, F.filter(judged, lambda s: s["kind"] < len(BASE)).alias("secrets"))
-    shipped = found.sparkSession.sparkContext.broadcast(network)  # some thousand numbers
-
-    @F.pandas_udf("array<double>")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    with scratch(docs.sparkSession):
+        network = fit_network(findings if findings is not None else written(made_findings(docs, p, text_col), "findings"), p)
+    shipped = docs.sparkSession.sparkContext.broadcast(network)  # some thousand numbers
+
+    @F.pandas_udf("array<struct<start:int,kind:int,end:int,p:double>>")
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         net = shipped.value
         for batch in batches:
-            flat = [s for row in batch for s in row]
-            at = np.cumsum([0, *(len(row) for row in batch)])
-            q = net.best([(s["before"], s["value"], s["after"]) for s in flat])
-            yield pd.Series([q[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
-
-    judged = F.transform("_spans", lambda s, i: F.struct(s["start"], s["kind"], s["end"], F.get("_p", i).alias("p")))
-    return (found.withColumn("_p", F.when(F.size("_spans") > 0, scores("_spans")))
-            .select(*rest, F.filter(judged, lambda s: (s["kind"] < len(BASE)) | (s["p"] >= network.threshold)).alias("secrets")))
+            each = [all_spans(t) for t in batch]
+            q = iter([None] * sum(map(len, each)) if net is None else net.best([seen(t, a, b, p) for t, spans in zip(batch, each, strict=True) for a, _, b in spans]).tolist())
+            scored = [[{"start": a, "kind": k, "end": b, "p": next(q)} for a, k, b in spans] for spans in each]
+            yield pd.Series([[s for s in spans if s["kind"] < len(BASE) or (net is not None and s["p"] >= net.threshold)] for spans in scored])
+
+    return docs.select(*rest, judged(whole_text(text_col)).alias("secrets"))
 
 
 def digest_columns(found: DataFrame, keys: list[str]) -> DataFrame:
