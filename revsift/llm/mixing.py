@@ -14,11 +14,14 @@ Defined cases: null margins form a value of their own; a null or empty text has
 one token, so that it can be sampled; rows with the same id, source and text
 are sampled alike; other columns pass through, but for those named like the
 results. Target values that no document has are left out, values without a
-target keep their share of the tokens. An empty table gives an empty result.
+target keep their share of the tokens. Targets that clash, as no weights can meet
+them all, give the weights of the last round and a warning that names the gap.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -77,11 +80,12 @@ def given_targets(cells: DataFrame, margin: str, targets: DataFrame, total: floa
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], p: Params) -> DataFrame:
-    """``cells`` with ``w``, so that the sums of w * tokens meet the target shares of every margin."""
+    """``cells`` with ``w``, so that the sums of w * tokens meet the target shares of every margin.
+
+    Warns if some margin's last factor still was further from 1 than ``tolerance``."""
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    cells = cells.withColumn("w", F.lit(1.0))
+    cells, off = cells.withColumn("w", F.lit(1.0)), None
     for _ in range(p.rounds):
-        off = None
         for k, (margin, target) in enumerate(targets.items()):
             sums = cells.groupBy(margin).agg(F.sum(F.col("w") * F.col("tokens")).alias("have")).join(target, margin)
             factors = sums.select(margin, (F.col("share") * total / F.col("have")).alias("factor"))
@@ -92,6 +96,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], p: Params) -> DataFram
         cells = cells.drop("off")
         if off is None or off < p.tolerance:
             break
+    if off is not None and off >= p.tolerance:
+        warnings.warn(f"after {p.rounds} rounds a margin is off its target by a factor of {1 + off:.6g}", stacklevel=2)
     return cells
 
 
