@@ -151,5 +151,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, p: Params | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those predicted toxic; same columns."""
-    return score(docs, train(docs, labels, p, id_col, text_col), text_col).where("predicted = 0").select(*docs.columns)
+    """``docs`` without those predicted toxic; same columns, also those named like the results of ``score``."""
+    model = train(docs, labels, p, id_col, text_col)
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_whole"), F.col(text_col).alias("_text"))
+    return score(rows, model, "_text").where("predicted = 0").select("_whole.*")
