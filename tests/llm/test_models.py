@@ -81,10 +81,45 @@ def test_pipeline_stages(spark):
     assert docs.select("doc_id").distinct().count() == before
 
 
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
+def test_stages_on_hard_rows_and_empty_tables(spark, documents, tmp_dir, stage):
+    """Null ids and texts, empty, repeated and long rows, extra columns named like the operators' own."""
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_dir}/{t}.parquet")
+    names = ["component_id", "kept", "score", "predicted", "pii", "topic", "tokens", "weight", "sampled", "spans", "node", "key"]
+    docs = documents.withColumn("n_chars", F.length("text").cast("long")).withColumns({c: F.lit("mine") for c in names})
+    name, apply = stage
+    out = apply(spark, docs, tmp_dir).collect()
+    before = {r["doc_id"] for r in documents.collect()}
+    assert 0 < len(out) <= documents.count() and {r["doc_id"] for r in out} <= before
+    if name != "mixing":
+        assert out[0].asDict().keys() == dict.fromkeys(docs.columns).keys()
+        assert {900_001, 900_002, 900_003, 900_005, None} <= {r["doc_id"] for r in out}
+        assert {r[c] for r in out for c in names} == {"mine"}
+    none = apply(spark, docs.where("false"), tmp_dir)
+    assert none.count() == 0 and (name == "mixing" or none.columns == docs.columns)
+
+
+def test_stages_with_empty_side_tables(spark, documents, tmp_dir):
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").where("false").write.parquet(f"{tmp_dir}/{t}.parquet")
+    docs = documents.withColumn("n_chars", F.length("text").cast("long"))
+    for name in ("toxicity", "decontamination"):
+        assert dict(corpus_pipeline.STAGES)[name](spark, docs, tmp_dir).count() == documents.count()
+
+
+def test_margins_that_clash_are_told(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "x"), (2, "c d", "de", "y")], "doc_id long, text string, lang string, source string")
+    share = lambda a, b: spark.createDataFrame([(a, 0.9), (b, 0.1)], "value string, share double")
+    with pytest.warns(UserWarning, match="off its target"):
+        rows = mixing.mixture(docs, mixing.Params(rounds=3), {"lang": share("en", "de"), "source": share("y", "x")}).collect()
+    assert len(rows) == 2 and all(0 < r["probability"] <= 1 for r in rows)
+
+
 def test_pipeline_is_registered(spark):
     import __spark_entry__ as E
 
-    assert [f"op{n}_" for n in range(1, 11)] == sorted({q.split("_")[0] + "_" for q in E.queries() if q.startswith("op")}, key=lambda x: int(x[2:-1]))
+    assert [f"op{n}_" for n in range(1, 14)] == sorted({q.split("_")[0] + "_" for q in E.queries() if q.startswith("op")}, key=lambda x: int(x[2:-1]))
     assert E.queries()["pipeline"] is corpus_pipeline.run
 
 

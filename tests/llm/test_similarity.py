@@ -282,3 +282,15 @@ def test_passages_that_go_on_from_a_later_place_are_found(spark):
         texts.append((2 * k + 1, " ".join([*words(r, 40, 10**6), *many, *words(r, 9, 10**6), *whole, *words(r, 40, 10**6)])))
     want = window_spans(texts, 50)
     assert len(want) == 48 and spans_of(spark, texts) == want
+
+
+def test_repeats_in_long_texts_with_clashing_columns(spark):
+    r = random.Random(21)
+    long_one, shared = words(r, 60_000, 10**6), words(r, 80, 10**6)
+    texts = [(1, " ".join(long_one[:40_000] + shared + long_one[40_000:])), (2, " ".join(words(r, 300, 10**6) + shared)), (2, " ".join(words(r, 100, 10**6))), (3, None), (4, ""), (None, " ".join(shared))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumns({c: F.lit("mine") for c in ("spans", "later_spans", "start", "end", "uid", "k", "w", "v", "first")})
+    found = {x["doc_id"]: x for x in repeats.repeated_passages(docs).collect()}
+    cut = lambda d, t, c: [t[s["start"] : s["end"]] for s in found[d][c]]
+    assert set(found) == {1, 2} and cut(1, texts[0][1], "spans") == cut(2, texts[1][1], "later_spans") == [" ".join(shared)] and not found[1]["later_spans"]
+    left = repeats.remove_later(docs.where("doc_id = 1 OR length(text) > 1500 AND doc_id = 2"), repeats.repeated_passages(docs))
+    assert left.columns == docs.columns and {x["spans"] for x in left.collect()} == {"mine"}

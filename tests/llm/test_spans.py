@@ -174,3 +174,31 @@ def test_rules_label_keys_beyond_the_base_kinds(spark):
     rows = [("b", key, "a", 3), ("b", f"data/notes/{key}/build", "a", 3), ("b", "release/notes/2024/version", "a", 3), ("b", "0123456789abcdef", "a", 2)]
     found = secrets.rule_findings(spark.createDataFrame(rows, "before string, value string, after string, kind int")).collect()
     assert {x["value"]: x["label"] for x in found} == {rows[0][1]: 1, rows[1][1]: 1, rows[2][1]: 0, rows[3][1]: 1}
+
+
+def test_planted_keys_are_found_held_out(spark):
+    docs, p = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"), secrets.Params()
+    side = lambda k: docs.where(F.crc32(F.col("text").cast("binary")) % 2 == k)
+    network = secrets.fit_network(secrets.made_findings(side(0), p), p)
+    rows = secrets.planted_findings(side(1), p).collect()
+    found = network.best([(x["before"], x["value"], x["after"]) for x in rows]) >= network.threshold
+    keys = [bool(f) for f, x in zip(found, rows, strict=True) if x["label"]]
+    slugs = [bool(f) for f, x in zip(found, rows, strict=True) if not x["label"]]
+    assert len(keys) > 300 and len(slugs) > 300
+    assert sum(keys) >= 0.95 * len(keys) and sum(slugs) <= 0.02 * len(slugs)
+    assert all(not secrets.HEX.fullmatch(x["value"]) for x in rows)
+
+
+def test_a_key_in_a_text_is_reported_and_a_slug_is_not(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    key, slug = "ghp_" + some_key(random.Random(9)) + "a1B2", "notes-of-2024-on-the-release"
+    more = spark.createDataFrame([(-1, f"he sent {key} to the others"), (-2, f"he sent {slug} to the others"), (-3, None), (-4, "")], docs.schema)
+    found = {r["doc_id"]: r["secrets"] for r in secrets.find_secrets(docs.unionByName(more)).where("doc_id < 0").collect()}
+    assert [(s["start"], s["end"]) for s in found[-1]] == [(8, 8 + len(key))] and found[-1][0]["p"] >= 0.5
+    assert found[-2] == found[-3] == found[-4] == []
+
+
+def test_without_a_class_only_base_spans_are_reported(spark):
+    docs = spark.createDataFrame([(1, f"0123456789abcdef {some_key(random.Random(1))}")], "doc_id long, text string")
+    none = spark.createDataFrame([("a", "b", "c", 0)], "before string, value string, after string, label int")
+    assert [(s["kind"], s["p"]) for s in secrets.find_secrets(docs, none).first()["secrets"]] == [(2, None)]
