@@ -17,7 +17,8 @@ token-sort ratio >= t:
   many at a time.
 
 A band is cut into blocks by a hash of the string, and a task compares one block
-of either side in memory. Blocks are even whatever the texts look like: titles
+of either side in memory: larger blocks for shorter strings, as a row goes to every
+block of the other side. Blocks are even whatever the texts look like: titles
 made from one template share nearly all of their grams, and any index by grams or
 segments has hot keys there. No pair leaves a task, only the strings that have a
 partner, and a string that has one needs no second: partners whose characters are
@@ -51,7 +52,8 @@ def _lcs_len(a: str, b: str) -> int:
     return len(a) - bin(v).count("1")
 
 
-BLOCK = 2048  # strings of either side that a task compares
+BLOCK = 2048  # strings of either side that a task compares, and up to eight times as many short ones
+LETTERS = 1 << 20  # characters of either side that a larger block may hold
 COUNTED = 48  # character counts of a string: the most frequent characters of a block, others share the last
 FIRST = 8  # partners that are tried before the rest
 TOGETHER = 1 << 14  # pairs whose LCS is computed at a time
@@ -111,15 +113,35 @@ def _lcs_of_pairs(masks: np.ndarray, columns: np.ndarray, i: np.ndarray, j: np.n
     return np.bitwise_count(~state & inside).sum(axis=0, dtype=np.int64)
 
 
-def _overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each row of counts of a and b how many characters they share: the sum of the least counts."""
-    most = np.minimum(a.max(axis=0, initial=0), b.max(axis=0, initial=0))
-    if most.sum() > 4096:  # long texts
-        return np.stack([np.minimum(x, b).sum(axis=1) for x in a]) if len(a) else np.zeros((0, len(b)), np.int64)
-    levels = [(c, k) for c in range(COUNTED) for k in range(int(most[c]))]
-    dims, least = (np.array(x, np.int64) for x in (zip(*levels, strict=True) if levels else ((), ())))
-    coded = [(x[:, dims] > least).astype(np.float32) for x in (a, b)]
-    return (coded[0] @ coded[1].T).astype(np.int64)
+class _Near:
+    """The pairs of a block that share enough characters: the sum of the least counts bounds the LCS from above."""
+
+    def __init__(self, a: _Side, b: _Side, threshold: int):
+        self.a, self.b, self.threshold = a, b, threshold
+        most = np.minimum(a.counts.max(axis=0, initial=0), b.counts.max(axis=0, initial=0))
+        self.long = most.sum() > 4096  # long texts
+        self.least = -0.05 - 1e-6 * float(a.n.max(initial=0) + b.n.max(initial=0))  # a little less than nothing, for rounding
+        if not self.long:
+            levels = [(c, k) for c in range(COUNTED) for k in range(int(most[c]))]
+            dims, least = (np.array(x, np.int64) for x in (zip(*levels, strict=True) if levels else ((), ())))
+            # two more columns subtract what a pair of these lengths must share
+            need = [np.stack([-threshold * x.n / 200, np.ones(len(x.n))], axis=1).astype(np.float32) for x in (a, b)]
+            self.coded = [np.hstack([x.counts[:, dims] > least, n]).astype(np.float32) for x, n in ((a, need[0]), (b, need[1][:, ::-1]))]
+
+    def pairs(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, shared) of the strings from ``first`` to ``last`` of the left side, i counted from ``first``."""
+        if self.long:
+            counts = np.stack([np.minimum(x, self.b.counts).sum(axis=1) for x in self.a.counts[first:last]])
+            i, j = (x.ravel() for x in np.indices(counts.shape))
+            shared = counts.ravel()
+        else:
+            excess = self.coded[0][first:last] @ self.coded[1].T
+            at = np.flatnonzero(excess.ravel() >= self.least)
+            i, j = np.divmod(at, len(self.b.n))
+            shared = np.rint(excess.ravel()[at] + self.threshold * (self.a.n[first + i] + self.b.n[j]) / 200).astype(np.int64)
+        total = self.a.n[first + i] + self.b.n[j]
+        good = (200 * shared >= self.threshold * total) & (total > 0)
+        return i[good], j[good], shared[good]
 
 
 def matched_strings(left: list[str], right: list[str], threshold: int, both: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
@@ -130,16 +152,16 @@ def matched_strings(left: list[str], right: list[str], threshold: int, both: boo
     place = np.empty(len(alphabet), np.int64)
     place[np.argsort(-often, kind="stable")] = np.minimum(np.arange(len(alphabet)), COUNTED - 1)
     a, b = _Side(left, alphabet, place), _Side(right, alphabet, place)
-    columns, step = b.columns(), max(1, min(256, (1 << 21) // (len(alphabet) + 1)))
+    columns, step, close = b.columns(), max(1, min(256, (1 << 21) // (len(alphabet) + 1), (1 << 21) // (len(right) + 1))), _Near(a, b, threshold)
     found_a, found_b, looked = np.zeros(len(left), bool), np.zeros(len(right), bool), 0
     for first in range(0, len(left), step):
         last = min(first + step, len(left))
-        total = a.n[first:last, None] + b.n
-        shared = _overlaps(a.counts[first:last], b.counts)
-        near = (100 * (total - 2 * shared) <= (100 - threshold) * total) & (200 * np.minimum(a.n[first:last, None], b.n) >= threshold * total) & (total > 0)
-        i, j = np.nonzero(near)
-        order = np.lexsort((-shared[i, j] / total[i, j], i))  # of each left string the nearest first
-        i, j = i[order], j[order]
+        i, j, shared = close.pairs(first, last)
+        if not len(i):
+            continue
+        total = a.n[first + i] + b.n[j]
+        order = np.lexsort((-shared / total, i))  # of each left string the nearest first
+        i, j, total = i[order], j[order], total[order]
         rank = np.arange(len(i)) - np.searchsorted(i, i)
         masks = a.masks(first, last)
         # the pairs of the first rank of every string, then others of strings that still look for a partner
@@ -156,8 +178,8 @@ def matched_strings(left: list[str], right: list[str], threshold: int, both: boo
             for k in slow.tolist():
                 if both or not found_a[first + i[k]]:
                     lcs[k] = _lcs_len(left[first + i[k]], right[j[k]])
-                    found_a[first + i[k]] |= 100 * (total[i[k], j[k]] - 2 * lcs[k]) <= (100 - threshold) * total[i[k], j[k]]
-            good = some[100 * (total[i[some], j[some]] - 2 * lcs[some]) <= (100 - threshold) * total[i[some], j[some]]]
+                    found_a[first + i[k]] |= 100 * (total[k] - 2 * lcs[k]) <= (100 - threshold) * total[k]
+            good = some[100 * (total[some] - 2 * lcs[some]) <= (100 - threshold) * total[some]]
             found_a[first + i[good]] = True
             found_b[j[good]] = True
     return found_a, found_b, looked
@@ -189,8 +211,9 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, threshold: int = D.FUZZY_TH
     sides = [x.where("s <> ''").select("s", band.alias("band")) for x in sides]
     # left strings go to the right side's bands that they may match
     sides[0] = sides[0].select("s", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"))
-    sizes = [x.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(c)) for x, c in zip(sides, ("lefts", "rights"), strict=True)]
-    blocks = materialise(sizes[0].join(sizes[1], "band"), "title-bands")  # one row a band
+    sizes = [x.groupBy("band").agg(F.count(F.lit(1)).alias(c), F.max(F.length("s")).alias(f"{c}_top")) for x, c in zip(sides, ("lefts", "rights"), strict=True)]
+    size = F.greatest(F.lit(BLOCK), F.least(F.lit(8 * BLOCK), F.floor(F.lit(LETTERS) / F.greatest("lefts_top", "rights_top"))))
+    blocks = materialise(sizes[0].join(sizes[1], "band").select("band", *[F.ceil(F.col(c) / size).cast("int").alias(c) for c in ("lefts", "rights")]), "title-bands")  # one row a band
 
     def dealt(side: int, own: str, other: str) -> DataFrame:
         block = F.pmod(F.xxhash64("s"), F.col(own)).cast("int")

@@ -149,3 +149,17 @@ def test_match_cascade_fixture(spark):
     assert (c.tp, c.fn, c.fp, c.tn, c.padding, c.unmatched_human) == (2, 1, 1, 0, 0, 1)
     assert [r.title for r in un.collect()] == ["Unseen Paper"]
     assert m.where(F.col("y_true") == 1).count() == 3
+
+
+def test_near_pairs_are_those_that_share_enough_characters():
+    """Short and long strings: a pair stays exactly when the sum of the least counts reaches the threshold."""
+    rnd = random.Random(11)
+    for width in (30, 9000):
+        left = [nearly(rnd, "abcdefgh" * (width // 8), rnd.randint(0, width // 4)) for _ in range(20)] + [""]
+        right = [nearly(rnd, s, rnd.randint(0, width // 8)) for s in left[:-1]] + ["", "a"]
+        alphabet, place = np.unique(np.frombuffer("".join(left + right).encode("utf-32-le"), np.uint32)), np.arange(8)
+        a, b = (M._Side(x, alphabet, place[: len(alphabet)]) for x in (left, right))
+        i, j, shared = M._Near(a, b, 90).pairs(5, len(left))
+        least = {(x, y): sum(min(left[x + 5].count(c), right[y].count(c)) for c in "abcdefgh") for x in range(len(left) - 5) for y in range(len(right))}
+        enough = {(x, y): n for (x, y), n in least.items() if left[x + 5] + right[y] and 200 * n >= 90 * len(left[x + 5] + right[y])}
+        assert dict(zip(zip(i.tolist(), j.tolist()), shared.tolist())) == enough and enough
