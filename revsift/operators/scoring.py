@@ -1,9 +1,11 @@
 """Batch scoring with a user-supplied function, and the bookkeeping around it.
 
-``score_rows`` runs the scorer inside ``mapInPandas``: Spark partitions the rows
+``score_rows`` runs the scorer inside ``mapInArrow``: Spark partitions the rows
 (``partitions`` limits the number of concurrent callers; without it the input's own partitions stay),
 each task feeds Arrow batches to the Python worker, and a failing row yields a
-NULL answer, zero tokens and the error text instead of failing the job.
+NULL answer, zero tokens and the error text instead of failing the job. However many
+rows a batch of the session holds, the worker makes Python strings of ``SCORED_ROWS`` prompts
+at a time; kept columns stay as they are in Arrow.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from .ordering import row_index, running_sum
 SCORED_FIELDS = [("output_text", "string"), ("input_tokens", "bigint"), ("output_tokens", "bigint"),
                  ("total_tokens", "bigint"), ("error", "string")]
 
+SCORED_ROWS = 256  # rows whose prompts and answers a worker holds as Python values
+
 # A scorer takes (row id, prompt) and returns
 # {"output_text": str, "input_tokens": int, "output_tokens": int, "total_tokens": int};
 # it raises on failure.
@@ -49,32 +53,27 @@ def score_rows(df: DataFrame, scorer: Scorer, id_col: str = "row_id", prompt: st
     elif partitions:
         src = src.repartition(partitions)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = {id_col: b[id_col].tolist()}
-            for c in keep:
-                out[c] = b[c].tolist()
-            texts, ins, outs, tots, errs = [], [], [], [], []
-            shards = b[shard_col] if shard_col else [None] * len(b)
-            for rid, p, sh in zip(b[id_col], b[prompt], shards):
-                try:
-                    r = scorer(rid, p, sh) if shard_col else scorer(rid, p)
-                    texts.append(r.get("output_text"))
-                    ins.append(int(r.get("input_tokens", 0) or 0))
-                    outs.append(int(r.get("output_tokens", 0) or 0))
-                    tots.append(int(r.get("total_tokens", 0) or 0))
-                    errs.append(None)
-                except Exception as e:  # row-level isolation: the job goes on
-                    texts.append(None)
-                    ins.append(0)
-                    outs.append(0)
-                    tots.append(0)
-                    errs.append(str(e))
-            out.update(output_text=texts, input_tokens=ins, output_tokens=outs,
-                       total_tokens=tots, error=errs)
-            yield pd.DataFrame(out)
-
-    return src.mapInPandas(run, schema)
+    def scored(part: pa.RecordBatch) -> pa.RecordBatch:
+        texts, ins, outs, tots, errs = [], [], [], [], []
+        ids, prompts = (part.column(c).to_pandas() for c in (id_col, prompt))
+        shards = part.column(shard_col).to_pandas() if shard_col else [None] * len(part)
+        for rid, p, sh in zip(ids, prompts, shards):
+            try:
+                r = scorer(rid, p, sh) if shard_col else scorer(rid, p)
+                answer = (r.get("output_text"), *(int(r.get(c, 0) or 0) for c in ("input_tokens", "output_tokens", "total_tokens")), None)
+            except Exception as e:  # row-level isolation: the job goes on
+                answer = (None, 0, 0, 0, str(e))
+            for column, value in zip((texts, ins, outs, tots, errs), answer, strict=True):
+                column.append(value)
+        told = [pa.array(x, t) for x, t in zip((texts, ins, outs, tots, errs), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in (id_col, *keep)), *told], [id_col, *keep, *(n for n, _ in SCORED_FIELDS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, SCORED_ROWS):
+                yield scored(batch.slice(first, SCORED_ROWS))
+
+    return src.mapInArrow(run, schema)
 
 
 def with_error_class(scored: DataFrame, error: str = "error") -> DataFrame:

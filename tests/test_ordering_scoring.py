@@ -183,3 +183,28 @@ def test_running_tokens_restart_per_run(spark):
     assert got[(2, 0)] == (1, 20, 1, 0)
     assert got[(2, 4)] == (5, 20 + 21 + 22 + 23 + 24, 5, 0)
     assert got[(3, 0)] == (1, 7, 1, 0)
+
+
+def test_scoring_holds_few_rows_as_python_values(spark):
+    """Batches of the session may be large; the worker takes SCORED_ROWS rows at a time, and kept columns keep their values."""
+    from pyspark.sql import functions as F
+
+    from revsift.operators import scoring as S
+
+    def scorer(row_id, prompt):
+        if row_id % 5 == 0:
+            return {"output_text": "half", "input_tokens": "many"}  # fails after the text was read
+        return {"output_text": prompt, "input_tokens": 1, "output_tokens": 2, "total_tokens": 3}
+
+    rows = spark.range(0, 1000, 1, 1).select(F.col("id").alias("row_id"), F.concat(F.lit("p"), F.col("id")).alias("prompt"),
+                                             F.when(F.col("id") % 2 == 0, F.lit(2**60 + 1)).alias("kept"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    try:
+        scored = S.score_rows(rows, scorer, keep=["kept"])
+        got = {r.row_id: r for r in scored.collect()}
+        assert "MapInArrow" in scored._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert all(got[i].kept == (2**60 + 1 if i % 2 == 0 else None) for i in range(1000))
+    assert all((got[i].output_text, got[i].total_tokens, got[i].error is None) == ((None, 0, False) if i % 5 == 0 else (f"p{i}", 3, True)) for i in range(1000))
