@@ -58,11 +58,22 @@ def read_json_records(spark: SparkSession, path: str) -> DataFrame:
     return read_array_elements(spark, path).select("file", "rec_pos", F.parse_json("text").alias("record"))
 
 
+TOGETHER = 16  # partitions of a folder of files that one task reads
+
+
+def _in_fewer_tasks(files: DataFrame) -> DataFrame:
+    """Files read by fewer tasks, at least sixteen a core: Spark counts each file as some megabytes
+    more than it holds and gives a task a few dozen small files, so that starting tasks takes longer than reading."""
+    planned = files.select("length").rdd.getNumPartitions()
+    wanted = max(16 * files.sparkSession.sparkContext.defaultParallelism, planned // TOGETHER)
+    return files.coalesce(wanted) if wanted < planned else files
+
+
 def read_markdown_dir(spark: SparkSession, path: str) -> DataFrame:
     """``*.md`` files (any case) → (title = file stem, full_text); UTF-8, Latin-1 when not valid UTF-8.
 
     Files of zero bytes are passed over, as by all of Spark's readers."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.[mM][dD]").load(path)
+    raw = _in_fewer_tasks(spark.read.format("binaryFile").option("pathGlobFilter", "*.[mM][dD]").load(path))
     content = F.col("content")
     text = F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")) \
         .otherwise(F.decode(content, "ISO-8859-1"))

@@ -269,3 +269,21 @@ def test_grouped_metric_report(spark, tmp_dir):
     assert back.count() == 44
     lines_a = [r.value for r in spark.read.text(f"{tmp_dir}/rep/g=a").collect()]
     assert lines_a[:4] == ["tp: 1", "fp: 0", "tn: 1", "fn: 0"]
+
+
+def test_a_folder_of_small_files_is_read_by_few_tasks(spark, tmp_dir):
+    """Spark gives a task a few dozen small files; tasks are put together, and every file is read once."""
+    from revsift.sources import readers
+
+    for i in range(700):
+        with open(f"{tmp_dir}/doc_{i}.md", "w") as f:
+            f.write(f"text {i}")
+    most = 16 * spark.sparkContext.defaultParallelism
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 20))  # a file a task
+    try:
+        docs = readers.read_markdown_dir(spark, tmp_dir)
+        assert docs.rdd.getNumPartitions() <= most
+        assert sorted((r.title, r.full_text) for r in docs.collect()) == sorted((f"doc_{i}", f"text {i}") for i in range(700))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
