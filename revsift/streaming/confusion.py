@@ -1,32 +1,27 @@
 """Continuous scoring evaluation with Structured Streaming.
 
 New answer files arrive in a folder; each micro-batch parses and thresholds the
-answers and hands them to a state keyed by id, which holds the last answer to each
-id. An answer that comes again replaces the earlier one, as the last of repeated
-rows does in batch: the state gives out the new label once with +1 and the replaced
-one with -1, and only if the label has changed. The changes are joined with the
-golden labels and summed, one row an epoch, and the counts are the sums of all
-epochs. "Last" goes by the time of the file, its name and the row in it, so that
-the counts equal those of a batch over the same files, in whatever batches they
-came. Progress lives in ``checkpointLocation`` (shared storage): a restarted query
-goes on where it stopped and reads no file twice.
+answers and hands them to a streaming aggregate keyed by id, whose state holds the
+last answer to each id. An answer that comes again replaces the earlier one, as the
+last of repeated rows does in batch: every epoch writes the label that now holds for
+each id it has met, and of an id that several epochs have met the last one counts.
+Those labels are joined with the golden ones and counted. "Last" goes by the time of
+the file, its name and the row in it, so that the counts equal those of a batch over
+the same files, in whatever batches they came. Progress lives in
+``checkpointLocation`` (shared storage): a restarted query goes on where it stopped
+and reads no file twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import parse_probability
 from ..operators.metrics import threshold_label
 from ..session import scratch_path
 
 ANSWER_SCHEMA = "doc_id bigint, response string"
-COUNTS = ["tp", "fp", "tn", "fn"]
 PLACE = ["at", "file", "row"]  # where an answer stands among all answers
 
 
@@ -38,40 +33,26 @@ def placed_answers(answers: DataFrame, key: str = "doc_id", threshold: float = 0
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").cast("bigint").alias("row"))
 
 
-def label_changes(placed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Streaming (key, y_pred, change): +1 for the label that now holds, -1 for the one it replaces."""
-
-    def follow(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = last = tuple(state.get) if state.exists else None
-        for frame in frames:
-            newest = max(zip(*(frame[c].tolist() for c in (*PLACE, "y_pred")), strict=True))
-            last = newest if last is None else max(last, newest)
-        if last != old:
-            state.update(last)
-        if old is None or last[3] != old[3]:
-            rows = [(name[0], int(last[3]), 1)] + ([] if old is None else [(name[0], int(old[3]), -1)])
-            yield pd.DataFrame(rows, columns=[key, "y_pred", "change"])
-
-    kind = dict(placed.dtypes)[key]
-    return placed.groupBy(key).applyInPandasWithState(follow, f"{key} {kind}, y_pred int, change int", "at bigint, file string, row bigint, y_pred int",
-                                                      "update", GroupStateTimeout.NoTimeout)
+def last_labels(placed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, y_pred): the label of the last answer to each id; as a stream, of the ids that a micro-batch has met."""
+    return placed.groupBy(key).agg(F.max(F.struct(*PLACE, "y_pred")).alias("last")).select(key, "last.y_pred")
 
 
-def confusion_changes(changes: DataFrame, golden: DataFrame, key: str = "doc_id", truth: str = "quality") -> DataFrame:
-    """One row: by how much each count changes. A label that stands several times in ``golden`` counts once, the greatest."""
-    labels = golden.where(F.col(truth).isNotNull()).groupBy(key).agg(F.max(truth).alias("y_true"))
+def confusion_of_labels(labels: DataFrame, golden: DataFrame, key: str = "doc_id", truth: str = "quality") -> DataFrame:
+    """One row: the four counts. A label that stands several times in ``golden`` counts once, the greatest."""
+    truths = golden.where(F.col(truth).isNotNull()).groupBy(key).agg(F.max(truth).alias("y_true"))
     t, q = F.col("y_true"), F.col("y_pred")
     cells = {"tp": (1, 1), "fp": (0, 1), "tn": (0, 0), "fn": (1, 0)}
-    return changes.join(labels, key).agg(*[F.coalesce(F.sum(F.when((t == a) & (q == b), F.col("change"))), F.lit(0)).cast("bigint").alias(c) for c, (a, b) in cells.items()])
+    return labels.join(truths, key).agg(*[F.count_if((t == a) & (q == b)).alias(c) for c, (a, b) in cells.items()])
 
 
-def run_available(changes: DataFrame, golden: DataFrame, out_path: str, checkpoint: str, key: str = "doc_id", truth: str = "quality") -> None:
-    """Process everything available now. Each micro-batch writes its changes into a folder of
+def run_available(labels: DataFrame, out_path: str, checkpoint: str) -> None:
+    """Process everything available now. Each micro-batch writes its labels into a folder of
     its own (``epoch=N``); an epoch that is repeated after a failure replaces only itself."""
     def write(batch: DataFrame, epoch: int) -> None:
-        confusion_changes(batch, golden, key, truth).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+        batch.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
 
-    q = (changes.writeStream.outputMode("update").foreachBatch(write)
+    q = (labels.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
@@ -82,11 +63,11 @@ def _matches(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def current_counts(spark: SparkSession, out_path: str) -> DataFrame:
-    """The sums of all epochs (one row an epoch); zeros where there is none yet."""
-    schema = ", ".join(f"{c} bigint" for c in COUNTS)
-    rows = spark.read.schema(schema).parquet(f"{out_path}/epoch=*") if _matches(spark, f"{out_path}/epoch=*") else spark.createDataFrame([], schema)
-    return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in COUNTS])
+def current_counts(spark: SparkSession, out_path: str, golden: DataFrame, key: str = "doc_id", truth: str = "quality") -> DataFrame:
+    """The counts of the labels that hold after all epochs; zeros where there is none yet."""
+    schema = f"{key} bigint, y_pred int, epoch bigint"
+    rows = spark.read.schema(schema).option("basePath", out_path).parquet(f"{out_path}/epoch=*") if _matches(spark, f"{out_path}/epoch=*") else spark.createDataFrame([], schema)
+    return confusion_of_labels(rows.groupBy(key).agg(F.max_by("y_pred", "epoch").alias("y_pred")), golden, key, truth)
 
 
 def update_confusion_counts(spark: SparkSession, incoming: str, golden: DataFrame, out_path: str,
@@ -99,8 +80,8 @@ def update_confusion_counts(spark: SparkSession, incoming: str, golden: DataFram
     ``bytes_per_trigger`` bounds a micro-batch."""
     if _matches(spark, incoming):
         answers = spark.readStream.schema(ANSWER_SCHEMA).option("maxBytesPerTrigger", str(bytes_per_trigger)).parquet(incoming)
-        run_available(label_changes(placed_answers(answers, key, threshold), key), golden, out_path, checkpoint, key, truth)
-    return current_counts(spark, out_path)
+        run_available(last_labels(placed_answers(answers, key, threshold), key), out_path, checkpoint)
+    return current_counts(spark, out_path, golden, key, truth)
 
 
 def stream_confusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

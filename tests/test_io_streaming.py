@@ -222,6 +222,23 @@ def test_later_answers_replace_earlier_ones(spark, tmp_dir):
     assert tuple(again.first()) == batch_counts(spark, f"{incoming}/*", golden)
 
 
+def test_last_labels_without_a_python_call_for_each_id(spark, tmp_dir):
+    """The state of a stream is an aggregate of the JVM: no id is handed to a Python worker."""
+    from revsift.streaming.confusion import ANSWER_SCHEMA, confusion_of_labels, last_labels, placed_answers
+
+    rnd = random.Random(4)
+    for k in range(3):
+        rows = [(rnd.randrange(40), rnd.choice(["0.9", "0.1", "N/A", "1"])) for _ in range(60)] + [(None, "0.9")]
+        spark.createDataFrame(rows, ANSWER_SCHEMA).repartition(2).write.parquet(f"{tmp_dir}/in/b{k}")
+    golden = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(3, 0), (None, 1)], "doc_id long, quality int")
+    labels = last_labels(placed_answers(spark.read.schema(ANSWER_SCHEMA).parquet(f"{tmp_dir}/in/*")))
+    assert labels.count() == labels.select("doc_id").distinct().count() <= 40
+    assert tuple(confusion_of_labels(labels, golden).first()) == batch_counts(spark, f"{tmp_dir}/in/*", golden.where("doc_id IS NOT NULL"))
+    stream = last_labels(placed_answers(spark.readStream.schema(ANSWER_SCHEMA).parquet(f"{tmp_dir}/in/*")))
+    plan = stream._jdf.queryExecution().toString()
+    assert stream.isStreaming and "Aggregate" in plan and "Python" not in plan and "Pandas" not in plan
+
+
 def test_named_files_round_trip(spark, tmp_dir):
     from revsift.sources.files import write_named_files
 
