@@ -67,7 +67,7 @@ class _Side:
     def __init__(self, strings: list[str], alphabet: np.ndarray, place: np.ndarray):
         self.strings, self.n = strings, np.array([len(s) for s in strings], np.int64)
         self.letters = np.searchsorted(alphabet, np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32)).astype(np.int32)
-        self.rows = np.repeat(np.arange(len(strings)), self.n)
+        self.rows, self.ends = np.repeat(np.arange(len(strings)), self.n), np.r_[0, np.cumsum(self.n)]
         self.at = np.arange(len(self.letters)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
         self.counts = np.bincount(self.rows * COUNTED + place[self.letters], minlength=len(strings) * COUNTED).reshape(-1, COUNTED)
         self.short, self.size = self.n <= LONG, len(alphabet)
@@ -81,7 +81,8 @@ class _Side:
 
     def masks(self, first: int, last: int) -> np.ndarray:
         """[word, string, character]: the bits of the places where short strings hold the character."""
-        inside = (self.rows >= first) & (self.rows < last) & self.short[self.rows]
+        inside = np.arange(self.ends[first], self.ends[last])
+        inside = inside[self.short[self.rows[inside]]]
         rows, at, words = self.rows[inside] - first, self.at[inside], int(-(-self.n[first:last][self.short[first:last]].max(initial=0) // 64))
         out = np.zeros((words, last - first, self.size + 1), np.uint64)
         np.bitwise_or.at(out, (at // 64, rows, self.letters[inside]), np.left_shift(np.uint64(1), (at % 64).astype(np.uint64)))
@@ -114,19 +115,67 @@ def _lcs_of_pairs(masks: np.ndarray, columns: np.ndarray, i: np.ndarray, j: np.n
 
 
 class _Near:
-    """The pairs of a block that share enough characters: the sum of the least counts bounds the LCS from above."""
+    """The pairs of a block whose character counts differ by no more than strings of these lengths may.
+
+    A string's counts are written as bits, one for each level of a character, the most telling ones first: the bits in
+    which two strings differ are the difference of their counts. All pairs are compared by the first words, and those that
+    stay by the rest."""
 
     def __init__(self, a: _Side, b: _Side, threshold: int):
         self.a, self.b, self.threshold = a, b, threshold
         most = np.minimum(a.counts.max(axis=0, initial=0), b.counts.max(axis=0, initial=0))
         self.long = most.sum() > 4096  # long texts
-        self.least = -0.05 - 1e-6 * float(a.n.max(initial=0) + b.n.max(initial=0))  # a little less than nothing, for rounding
         if not self.long:
-            levels = [(c, k) for c in range(COUNTED) for k in range(int(most[c]))]
-            dims, least = (np.array(x, np.int64) for x in (zip(*levels, strict=True) if levels else ((), ())))
-            # two more columns subtract what a pair of these lengths must share
-            need = [np.stack([-threshold * x.n / 200, np.ones(len(x.n))], axis=1).astype(np.float32) for x in (a, b)]
-            self.coded = [np.hstack([x.counts[:, dims] > least, n]).astype(np.float32) for x, n in ((a, need[0]), (b, need[1][:, ::-1]))]
+            place, level = np.repeat(np.arange(COUNTED), most), np.concatenate([np.arange(k) for k in most])
+            bits = [x.counts[:, place] > level for x in (a, b)]
+            share = sum(x.mean(axis=0) if len(x) else np.zeros(len(place)) for x in bits) / 2
+            order = np.argsort(share * (share - 1), kind="stable")
+            self.words = [self._packed(x[:, order]) for x in bits]
+            self.over = [np.maximum(x.counts - most, 0).sum(axis=1) for x in (a, b)]  # levels that the other side has nowhere
+            # a pair may differ in as many bits as the hundredth part of both strings' room
+            self.room = [(100 - threshold) * x.n - 100 * over for x, over in zip((a, b), self.over, strict=True)]
+            self.limits: dict[int, np.ndarray] = {}
+            self.first = self._first_words()
+            self.kind = np.uint8 if self.first <= 3 else np.uint16
+
+    @staticmethod
+    def _packed(bits: np.ndarray) -> np.ndarray:
+        """[word, string]: 64 bits a word."""
+        words = max(1, -(-bits.shape[1] // 64))
+        padded = np.zeros((len(bits), 64 * words), bool)
+        padded[:, : bits.shape[1]] = bits
+        return np.ascontiguousarray(np.packbits(padded, axis=1).view(np.uint64).T)
+
+    def _first_words(self) -> int:
+        """How many words all pairs are compared by, so that on some pairs of the block the work is least."""
+        i, j = (np.linspace(0, len(x.n) - 1, min(n, len(x.n))).astype(int) for x, n in ((self.a, 64), (self.b, 256)))
+        differ = np.bitwise_count(self.words[0][:, i, None] ^ self.words[1][:, None, j]).cumsum(axis=0, dtype=np.int64)
+        stay = (100 * differ <= self.room[0][i, None] + self.room[1][j]).mean(axis=(1, 2)) if differ.size else np.zeros(len(differ))
+        done = np.arange(1, len(differ) + 1)
+        return int(np.argmin(done + 15 * stay * (len(differ) - done))) + 1  # a pair that stays is looked up, word by word
+
+    def _limit(self, room: int) -> np.ndarray:
+        """For each right string the number of bits from which on it differs too much from a left string with this room."""
+        if room not in self.limits:
+            if len(self.limits) >= 1024:
+                self.limits.clear()
+            self.limits[room] = np.clip((room + self.room[1]) // 100 + 1, 0, np.iinfo(self.kind).max).astype(self.kind)
+        return self.limits[room]
+
+    def _compared(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs (i, j) that stay by the first words."""
+        bits = np.empty(len(self.b.n), np.uint64)
+        differ, more = np.empty(len(bits), self.kind), np.empty(len(bits), np.uint8)
+        near = np.zeros((last - first, 8 * max(1, -(-len(bits) // 8))), bool)  # eight pairs a word
+        for i, out in zip(range(first, last), near[:, : len(bits)], strict=True):
+            np.bitwise_count(np.bitwise_xor(self.words[1][0], self.words[0][0, i], out=bits), out=differ)
+            for k in range(1, self.first):
+                np.bitwise_count(np.bitwise_xor(self.words[1][k], self.words[0][k, i], out=bits), out=more)
+                np.add(differ, more, out=differ)
+            np.less(differ, self._limit(int(self.room[0][i])), out=out)
+        some = np.flatnonzero(near.view(np.uint64))
+        at, k = np.nonzero(near.reshape(-1, 8)[some])
+        return np.divmod(8 * some[at] + k, near.shape[1])
 
     def pairs(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(i, j, shared) of the strings from ``first`` to ``last`` of the left side, i counted from ``first``."""
@@ -135,10 +184,14 @@ class _Near:
             i, j = (x.ravel() for x in np.indices(counts.shape))
             shared = counts.ravel()
         else:
-            excess = self.coded[0][first:last] @ self.coded[1].T
-            at = np.flatnonzero(excess.ravel() >= self.least)
-            i, j = np.divmod(at, len(self.b.n))
-            shared = np.rint(excess.ravel()[at] + self.threshold * (self.a.n[first + i] + self.b.n[j]) / 200).astype(np.int64)
+            i, j = self._compared(first, last)
+            apart = np.zeros(len(i), np.int64)
+            for k, (x, y) in enumerate(zip(*self.words, strict=True)):
+                apart += np.bitwise_count(x[first + i] ^ y[j])
+                if k >= self.first:
+                    stay = 100 * apart <= self.room[0][first + i] + self.room[1][j]
+                    i, j, apart = i[stay], j[stay], apart[stay]
+            shared = (self.a.n[first + i] + self.b.n[j] - self.over[0][first + i] - self.over[1][j] - apart) // 2
         total = self.a.n[first + i] + self.b.n[j]
         good = (200 * shared >= self.threshold * total) & (total > 0)
         return i[good], j[good], shared[good]

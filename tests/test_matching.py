@@ -163,3 +163,27 @@ def test_near_pairs_are_those_that_share_enough_characters():
         least = {(x, y): sum(min(left[x + 5].count(c), right[y].count(c)) for c in "abcdefgh") for x in range(len(left) - 5) for y in range(len(right))}
         enough = {(x, y): n for (x, y), n in least.items() if left[x + 5] + right[y] and 200 * n >= 90 * len(left[x + 5] + right[y])}
         assert dict(zip(zip(i.tolist(), j.tolist()), shared.tolist())) == enough and enough
+
+
+def test_counts_are_compared_as_bits():
+    """One word of bits for 64 levels; the pairs that stay are those of the plain counts, also where many words are needed."""
+    from collections import Counter
+
+    rnd = random.Random(12)
+    for width, letters in ((30, 16), (150, 20), (700, 26)):
+        chars = "abcdefghijklmnopqrstuvwxyz"[:letters]
+        right = ["".join(rnd.choice(chars) for _ in range(rnd.randint(width // 2, width))) for _ in range(70)] + ["", "a" * width, "é😀"]
+        left = [nearly(rnd, s, rnd.randint(0, width // 6)) for s in right[:40]] + ["", "b" * width, "z", "é"]
+        alphabet, often = np.unique(np.frombuffer("".join(left + right).encode("utf-32-le"), np.uint32), return_counts=True)
+        a, b = (M._Side(x, alphabet, np.arange(len(alphabet))) for x in (left, right))
+        counts = [[Counter(s) for s in x] for x in (left, right)]
+        for t in (60, 75, 90, 99):
+            near = M._Near(a, b, t)
+            levels = int(np.minimum(a.counts.max(axis=0), b.counts.max(axis=0)).sum())
+            assert sum(w.nbytes for w in near.words) == 8 * max(1, -(-levels // 64)) * (len(left) + len(right))
+            want = {(i, j): n for i, x in enumerate(counts[0]) for j, y in enumerate(counts[1])
+                    if left[i] + right[j] and 200 * (n := (x & y).total()) >= t * (len(left[i]) + len(right[j]))}
+            for words in {1, near.first, len(near.words[0])}:  # whatever is compared first
+                near.first, near.kind, near.limits = words, np.uint16, {}
+                i, j, shared = near.pairs(0, len(left))
+                assert dict(zip(zip(i.tolist(), j.tolist()), shared.tolist())) == want and want
