@@ -9,20 +9,24 @@ token-sort ratio >= t:
 * ratio = 100 * (1 - indel / S) with S = len1 + len2 and indel = S - 2*LCS, so
   ``ratio >= t  <=>  100 * indel <= (100 - t) * S`` (integers only);
 * lengths: LCS <= min(len) gives 200*min >= t*S, so lengths differ by the factor
-  (200 - t) / t at most. Strings are dealt to bands of lengths by that factor and
-  meet only those of their own and the two next bands;
+  (200 - t) / t at most;
 * characters: an insertion or deletion changes one character count by one, so the
   counts of two strings differ by no more than their indel distance;
 * what is left is checked by an exact bit-parallel LCS, for one string against
   many at a time.
 
-A band is cut into blocks by a hash of the string, and a task compares one block
-of either side in memory: larger blocks for shorter strings, as a row goes to every
-block of the other side. Blocks are even whatever the texts look like: titles
-made from one template share nearly all of their grams, and any index by grams or
-segments has hot keys there. No pair leaves a task, only the strings that have a
-partner, and a string that has one needs no second: partners whose characters are
-nearest are tried first. Every threshold gives exact results.
+Without some of their characters two strings are no further apart. Strings of like length
+that are equal then are a cell (the words of a title without the letters that its numbers
+and codes hold too, say), and cells that are too far apart have no pair. A bounded sample
+of the strings tells which characters are left out and which cells there are; all strings
+that fall into none of them are a cell that meets every other: the sample decides how fast
+the job is, not what it finds. Cells are packed into blocks, a large cell is cut by a hash
+of the string, and a task compares one block of either side in memory, if any of their
+cells may meet. There cells are cut finer, by counts of more characters, and only strings
+of near cells are compared. No index by grams or segments is used: titles made from one
+template share nearly all of theirs, and such keys are hot. No pair leaves a task, only
+the strings that have a partner, and a string that has one needs no second: partners whose
+characters are nearest are tried first. Every threshold gives exact results.
 """
 
 from __future__ import annotations
@@ -52,8 +56,12 @@ def _lcs_len(a: str, b: str) -> int:
     return len(a) - bin(v).count("1")
 
 
-BLOCK = 2048  # strings of either side that a task compares, and up to eight times as many short ones
-LETTERS = 1 << 20  # characters of either side that a larger block may hold
+BLOCK = 2048  # strings of either side that a task compares; of short ones 8 times as many, and up to 64 times where there is work for all
+LETTERS = 1 << 22  # characters of either side that a larger block may hold
+SAMPLE = 1 << 14  # strings that tell which cells there are
+CELLS = 1 << 10  # cells that strings are dealt by
+WIDE, FINE = 1 << 11, 1 << 10  # pairs of strings for a pair of wide and of fine cells, by and large
+PAIRS = 1 << 21  # pairs that are compared at a time
 COUNTED = 48  # character counts of a string: the most frequent characters of a block, others share the last
 FIRST = 8  # partners that are tried before the rest
 TOGETHER = 1 << 14  # pairs whose LCS is computed at a time
@@ -61,16 +69,94 @@ LONG = 512  # from here on the LCS is computed pair by pair
 FULL = np.uint64(2**64 - 1)
 
 
+def _letters(strings: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32)
+
+
+def _alphabet(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of the strings, and the count that each goes to: the most frequent have one of their own."""
+    often = np.bincount(_letters(strings))
+    alphabet = np.flatnonzero(often).astype(np.uint32)
+    place = np.empty(len(alphabet), np.int64)
+    place[np.argsort(-often[alphabet], kind="stable")] = np.minimum(np.arange(len(alphabet)), COUNTED - 1)
+    return alphabet, place
+
+
+def _without(letters: np.ndarray, n: np.ndarray, left_out: np.ndarray) -> list[str]:
+    """The strings of these lengths without some characters."""
+    table = np.ones(int(max(letters.max(initial=0), left_out.max(initial=0))) + 1, bool)
+    table[left_out] = False
+    stay = table[letters]
+    ends = np.cumsum(np.bincount(np.repeat(np.arange(len(n)), n)[stay], minlength=len(n))).tolist()
+    text = letters[stay].tobytes().decode("utf-32-le")
+    return [text[start:end] for start, end in zip([0, *ends], ends, strict=False)]
+
+
+def _telling(counts: np.ndarray) -> list[int]:
+    """The counts that differ, in the order by which rows are to fall into cells: first those that others tell most of, as the
+    letters of the words of a template, which make few cells that are far apart; by their mutual information."""
+    rows, top = len(counts), np.minimum(counts.max(axis=0, initial=0), 15)
+    each = np.concatenate([np.minimum(counts[:, [c]], n) == np.arange(n + 1) for c, n in enumerate(top)], axis=1).astype(np.float32)
+    joint = each.T @ each / max(rows, 1)
+    share, starts = np.diag(joint), np.cumsum(top + 1) - top - 1
+    terms = joint * np.log(np.where(joint > 0, joint, 1) / np.where(joint > 0, np.outer(share, share), 1))
+    known = np.add.reduceat(np.add.reduceat(terms, starts, axis=0), starts, axis=1)
+    entropy = np.diag(known).copy()
+    known = np.maximum(known - np.outer(top, top) / (2 * max(rows, 1)), 0)  # without what chance gives
+    np.fill_diagonal(known, 0)
+    some = np.flatnonzero(entropy > 1e-6)
+    return some[np.argsort(-known.sum(axis=1)[some] / entropy[some], kind="stable")].tolist()
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of the ranges, one range after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """[word, row]: 64 bits a word."""
+    words = max(1, -(-bits.shape[1] // 64))
+    padded = np.zeros((len(bits), 64 * words), bool)
+    padded[:, : bits.shape[1]] = bits
+    return np.ascontiguousarray(np.packbits(padded, axis=1).view(np.uint64).T)
+
+
+class _Cells:
+    """Groups of strings: some counts that all strings of a group share, and the lengths of its shortest and longest. Two groups
+    have a pair only if their lengths are near enough and their counts differ by no more than strings of these lengths may."""
+
+    def __init__(self, counts: np.ndarray, shortest: np.ndarray, longest: np.ndarray, most: np.ndarray):
+        """``most``: counts are cut to it, which sets no two further apart than they are."""
+        place, level = np.repeat(np.arange(len(most)), most), np.concatenate([np.zeros(0, np.int64), *(np.arange(k) for k in most)])
+        self.words, self.shortest, self.longest = _packed(counts[:, place] > level), shortest, longest
+
+    def near(self, some: slice | np.ndarray, other: _Cells, of: slice | np.ndarray, threshold: int) -> np.ndarray:
+        """[cell, cell of the other]"""
+        apart = sum(np.bitwise_count(x[some, None] ^ y[of]).astype(np.int32) for x, y in zip(self.words, other.words, strict=True))
+        near = 100 * apart <= (100 - threshold) * np.add.outer(self.longest[some], other.longest[of])
+        near &= np.less_equal.outer(threshold * self.shortest[some], (200 - threshold) * other.longest[of])
+        return near & np.greater_equal.outer((200 - threshold) * self.longest[some], threshold * other.shortest[of])
+
+
 class _Side:
     """The strings of one side of a block: lengths, places of their characters in the block's alphabet, character counts."""
 
     def __init__(self, strings: list[str], alphabet: np.ndarray, place: np.ndarray):
         self.strings, self.n = strings, np.array([len(s) for s in strings], np.int64)
-        self.letters = np.searchsorted(alphabet, np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32)).astype(np.int32)
-        self.rows, self.ends = np.repeat(np.arange(len(strings)), self.n), np.r_[0, np.cumsum(self.n)]
-        self.at = np.arange(len(self.letters)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
-        self.counts = np.bincount(self.rows * COUNTED + place[self.letters], minlength=len(strings) * COUNTED).reshape(-1, COUNTED)
-        self.short, self.size = self.n <= LONG, len(alphabet)
+        number = np.zeros(int(alphabet.max(initial=0)) + 1, np.int32)
+        number[alphabet] = np.arange(len(alphabet))
+        self.letters, self.size = number[_letters(strings)], len(alphabet)
+        self._place()
+        self.counts = np.bincount(self.rows * np.int64(COUNTED) + place[self.letters], minlength=len(strings) * COUNTED).reshape(-1, COUNTED).astype(np.int32)
+
+    def _place(self) -> None:
+        self.rows, self.ends, self.short = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n), np.r_[0, np.cumsum(self.n)], self.n <= LONG
+        self.at = np.arange(len(self.letters), dtype=np.int32) - np.repeat(self.ends[:-1].astype(np.int32), self.n)
+
+    def sort(self, order: np.ndarray) -> None:
+        self.letters = self.letters[_ranges(self.ends[order], self.n[order])]
+        self.strings, self.n, self.counts = [self.strings[k] for k in order.tolist()], self.n[order], self.counts[order]
+        self._place()
 
     def columns(self) -> np.ndarray:
         """Row k: the k-th characters of all short strings; the alphabet's size where one has ended."""
@@ -114,23 +200,52 @@ def _lcs_of_pairs(masks: np.ndarray, columns: np.ndarray, i: np.ndarray, j: np.n
     return np.bitwise_count(~state & inside).sum(axis=0, dtype=np.int64)
 
 
+def _meeting(lefts: tuple, rights: tuple, threshold: int) -> np.ndarray:
+    """[cell, cell of the other side]: whether cells may hold a pair. Of either side: what the strings of each cell are without
+    some characters (None: not known), and the lengths of its shortest and longest string."""
+    open_ = [np.array([x is None or len(x) > LONG for x in side[0]]) for side in (lefts, rights)]
+    known = [["" if x is None or len(x) > LONG else x for x in side[0]] for side in (lefts, rights)]
+    alphabet, place = _alphabet([*known[0], *known[1], " "])
+    a, b = (_Side(x, alphabet, place) for x in known)
+    most = np.minimum(a.counts.max(axis=0, initial=0), b.counts.max(axis=0, initial=0))
+    cells = [_Cells(x.counts, *side[1:], most) for x, side in zip((a, b), (lefts, rights), strict=True)]
+    nothing = [_Cells(x.counts[:, :0], *side[1:], most[:0]) for x, side in zip((a, b), (lefts, rights), strict=True)]
+    columns, out = b.columns(), np.zeros((len(a.n), len(b.n)), bool)
+    for k in range(0, len(a.n), 64):
+        part = slice(k, k + 64)
+        near = cells[0].near(part, cells[1], slice(None), threshold) & ~open_[0][part, None] & ~open_[1]
+        i, j = near.nonzero()
+        masks = a.masks(k, min(k + 64, len(a.n)))
+        for start in range(0, len(i), TOGETHER):
+            x, y = i[start : start + TOGETHER], j[start : start + TOGETHER]
+            n, m = a.n[k + x], b.n[y]
+            lcs = _lcs_of_pairs(masks, columns, x, y, n, m) if n.max() else 0
+            near[x, y] = 100 * (n + m - 2 * lcs) <= (100 - threshold) * (lefts[2][k + x] + rights[2][y])
+        unknown = nothing[0].near(part, nothing[1], slice(None), threshold) & (open_[0][part, None] | open_[1])
+        out[part] = near | unknown
+    return out
+
+
 class _Near:
     """The pairs of a block whose character counts differ by no more than strings of these lengths may.
 
-    A string's counts are written as bits, one for each level of a character, the most telling ones first: the bits in
-    which two strings differ are the difference of their counts. All pairs are compared by the first words, and those that
-    stay by the rest."""
+    ``wide``: numbers of the wide cells of the strings of either side, and which of them may meet; ``counts``: the counts by
+    which the strings of a wide cell are sorted, so that those with equal first ones are a fine cell. Fine cells within near wide
+    cells are compared, and strings within near fine cells. A string's counts are written as bits, one for each level of a
+    character, the most telling ones first: the bits in which two strings differ are the difference of their counts. Pairs are
+    compared by the first words, and those that stay by the rest."""
 
-    def __init__(self, a: _Side, b: _Side, threshold: int):
+    def __init__(self, a: _Side, b: _Side, threshold: int, counts: list[int] | None = None, wide: tuple | None = None):
         self.a, self.b, self.threshold = a, b, threshold
         most = np.minimum(a.counts.max(axis=0, initial=0), b.counts.max(axis=0, initial=0))
         self.long = most.sum() > 4096  # long texts
+        self._cells(counts or [], most, wide or (np.zeros(len(a.n), np.int64), np.zeros(len(b.n), np.int64), np.ones((1, 1), bool)))
         if not self.long:
             place, level = np.repeat(np.arange(COUNTED), most), np.concatenate([np.arange(k) for k in most])
             bits = [x.counts[:, place] > level for x in (a, b)]
             share = sum(x.mean(axis=0) if len(x) else np.zeros(len(place)) for x in bits) / 2
             order = np.argsort(share * (share - 1), kind="stable")
-            self.words = [self._packed(x[:, order]) for x in bits]
+            self.words = [_packed(x[:, order]) for x in bits]
             self.over = [np.maximum(x.counts - most, 0).sum(axis=1) for x in (a, b)]  # levels that the other side has nowhere
             # a pair may differ in as many bits as the hundredth part of both strings' room
             self.room = [(100 - threshold) * x.n - 100 * over for x, over in zip((a, b), self.over, strict=True)]
@@ -138,14 +253,6 @@ class _Near:
             self.first = self._first_words()
             self.kind = np.uint8 if self.first <= 3 else np.uint16
 
-    @staticmethod
-    def _packed(bits: np.ndarray) -> np.ndarray:
-        """[word, string]: 64 bits a word."""
-        words = max(1, -(-bits.shape[1] // 64))
-        padded = np.zeros((len(bits), 64 * words), bool)
-        padded[:, : bits.shape[1]] = bits
-        return np.ascontiguousarray(np.packbits(padded, axis=1).view(np.uint64).T)
-
     def _first_words(self) -> int:
         """How many words all pairs are compared by, so that on some pairs of the block the work is least."""
         i, j = (np.linspace(0, len(x.n) - 1, min(n, len(x.n))).astype(int) for x, n in ((self.a, 64), (self.b, 256)))
@@ -162,29 +269,79 @@ class _Near:
             self.limits[room] = np.clip((room + self.room[1]) // 100 + 1, 0, np.iinfo(self.kind).max).astype(self.kind)
         return self.limits[room]
 
-    def _compared(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs (i, j) that stay by the first words."""
-        bits = np.empty(len(self.b.n), np.uint64)
-        differ, more = np.empty(len(bits), self.kind), np.empty(len(bits), np.uint8)
-        near = np.zeros((last - first, 8 * max(1, -(-len(bits) // 8))), bool)  # eight pairs a word
-        for i, out in zip(range(first, last), near[:, : len(bits)], strict=True):
-            np.bitwise_count(np.bitwise_xor(self.words[1][0], self.words[0][0, i], out=bits), out=differ)
-            for k in range(1, self.first):
-                np.bitwise_count(np.bitwise_xor(self.words[1][k], self.words[0][k, i], out=bits), out=more)
-                np.add(differ, more, out=differ)
-            np.less(differ, self._limit(int(self.room[0][i])), out=out)
-        some = np.flatnonzero(near.view(np.uint64))
-        at, k = np.nonzero(near.reshape(-1, 8)[some])
-        return np.divmod(8 * some[at] + k, near.shape[1])
-
-    def pairs(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(i, j, shared) of the strings from ``first`` to ``last`` of the left side, i counted from ``first``."""
+    def _cells(self, counts: list[int], most: np.ndarray, wide: tuple) -> None:
+        # of each side the first of the counts in which a string differs from the one before it; -1: another wide cell
+        sorted_, new = [x.counts[:, counts] for x in (self.a, self.b)], []
+        for x, cell in zip(sorted_, wide[:2], strict=True):
+            unlike = np.concatenate([cell[1:, None] != cell[:-1, None], x[1:] != x[:-1]], axis=1)
+            new.append(np.r_[-1, np.where(unlike.any(axis=1), unlike.argmax(axis=1) - 1, len(counts))])
+        held = [np.cumsum(np.bincount(x + 1, minlength=len(counts) + 2))[:-1] for x in new]  # cells by the first k counts
+        depth = max(np.flatnonzero(held[0] * held[1] <= len(self.a.n) * len(self.b.n) // FINE).tolist(), default=0)
+        self.meet, self.starts, self.cells, self.inside = wide[2], [], [], []
+        for x, side, rows, cell in zip(new, (self.a, self.b), sorted_, wide, strict=False):
+            fine, outer = np.flatnonzero(x < depth), np.flatnonzero(x < 0)
+            self.starts.append(np.r_[fine, len(x)])
+            self.cells.append(_Cells(rows[fine][:, :depth], np.minimum.reduceat(side.n, fine), np.maximum.reduceat(side.n, fine), most[counts[:depth]]))
+            inside = np.zeros(self.meet.shape[len(self.inside)] + 1, np.int64)  # fine cells of a wide one
+            inside[cell[outer]] = np.diff(np.r_[np.searchsorted(fine, outer), len(fine)])
+            self.inside.append(np.r_[0, np.cumsum(inside[:-1])])
+
+    def steps(self, most: int):
+        """(first, last, right strings): left strings of one cell in turn, ``most`` at a time, with those of the near cells."""
+        fine, right = self.starts
+        if self.long:
+            step = max(1, min(most, PAIRS // len(self.b.n)))
+            yield from ((k, min(k + step, len(self.a.n)), np.arange(len(self.b.n))) for k in range(0, len(self.a.n), step))
+            return
+        sizes = np.diff(right)
+        for wide, meet in enumerate(self.meet):
+            near = np.flatnonzero(meet)
+            near = _ranges(self.inside[1][near], np.diff(self.inside[1])[near])
+            start, end = self.inside[0][wide : wide + 2].tolist()
+            for part in range(start, end, step := max(1, PAIRS // (len(near) + 1))):
+                met = self.cells[0].near(slice(part, min(part + step, end)), self.cells[1], near, self.threshold)
+                for cell, meet in enumerate(met, part):
+                    some = near[meet]
+                    if not len(some):
+                        continue
+                    some, (first, last) = _ranges(right[some], sizes[some]), fine[cell : cell + 2].tolist()
+                    rows = max(1, min(most, PAIRS // len(some)))
+                    yield from ((k, min(k + rows, last), some) for k in range(first, last, rows))
+
+    def _compared(self, first: int, last: int, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs (i, j) of left strings with the right strings ``near`` that stay by the first words."""
+        if not len(near):
+            return near, near
+        some = np.concatenate([near, np.zeros(-len(near) % 8, near.dtype)])  # eight pairs a word
+        words = [x[some] for x in self.words[1][: self.first]]
+        room = self.room[0][first:last].tolist()
+        rooms = {r: k for k, r in enumerate(dict.fromkeys(room))}
+        limits = np.stack([self._limit(r)[some] for r in rooms])
+        limits[:, len(near) :] = 0
+        room, found, rows = np.array([rooms[r] for r in room]), [], max(1, (1 << 15) // len(some))
+        for start in range(first, last, rows):
+            end = min(start + rows, last)
+            differ = np.bitwise_count(self.words[0][0, start:end, None] ^ words[0]).astype(self.kind, copy=False)
+            for left, right in zip(self.words[0][1 : self.first], words[1:], strict=True):
+                differ += np.bitwise_count(left[start:end, None] ^ right)
+            stay = (differ < limits[room[start - first : end - first]]).ravel()
+            eight = stay.view(np.uint64).nonzero()[0]
+            if len(eight):
+                at, k = np.nonzero(stay.reshape(-1, 8)[eight])
+                found.append((start - first) * len(some) + 8 * eight[at] + k)
+        if not found:
+            return near[:0], near[:0]
+        i, j = np.divmod(np.concatenate(found), len(some))
+        return i, some[j]
+
+    def pairs(self, first: int, last: int, some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, shared) of the strings from ``first`` to ``last`` of the left side, i counted from ``first``, with all or some of the right."""
         if self.long:
             counts = np.stack([np.minimum(x, self.b.counts).sum(axis=1) for x in self.a.counts[first:last]])
             i, j = (x.ravel() for x in np.indices(counts.shape))
             shared = counts.ravel()
         else:
-            i, j = self._compared(first, last)
+            i, j = self._compared(first, last, np.arange(len(self.b.n)) if some is None else some)
             apart = np.zeros(len(i), np.int64)
             for k, (x, y) in enumerate(zip(*self.words, strict=True)):
                 apart += np.bitwise_count(x[first + i] ^ y[j])
@@ -197,22 +354,60 @@ class _Near:
         return i[good], j[good], shared[good]
 
 
-def matched_strings(left: list[str], right: list[str], threshold: int, both: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
+def _characters(strings: list[str], most: int) -> tuple[list[int], list[int], list[str]]:
+    """The characters without which the strings fall into ``most`` cells at most, the characters by whose counts these are best
+    cut finer, the first ones first, and the cells."""
+    alphabet, place = _alphabet(strings)
+    side = _Side(strings, alphabet, place)
+    order = _telling(side.counts)
+    everywhere = [c for c in np.flatnonzero(side.counts.min(axis=0, initial=1)).tolist() if c not in order]  # in all strings alike
+    chars = [alphabet[place == c].tolist() for c in [*everywhere, *order]]
+    letters, left_out, cells = alphabet[side.letters], set(alphabet.tolist()), {""}
+    for some in chars:
+        fewer = left_out.difference(some)
+        found = set(_without(letters, side.n, np.array(sorted(fewer), np.int64)))
+        if len(found) <= most:
+            left_out, cells = fewer, found
+    return sorted(left_out), [c for some in chars for c in some], sorted(cells)
+
+
+def matched_strings(left: list[str], right: list[str], threshold: int, both: bool = False,
+                    known: tuple[list[int], list[int]] | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """Which strings of a block have a partner on the other side, and how many pairs had their LCS computed.
 
+    ``known``: the characters that are left out where wide cells are made, and those by whose counts strings fall into fine
+    cells, the first ones first, where a sample has told them; any are right.
+
     Without ``both`` a pair is not looked at once its left string has a partner, and the marks of the right side are not complete."""
-    alphabet, often = np.unique(np.frombuffer("".join([*left, *right]).encode("utf-32-le"), np.uint32), return_counts=True)
-    place = np.empty(len(alphabet), np.int64)
-    place[np.argsort(-often, kind="stable")] = np.minimum(np.arange(len(alphabet)), COUNTED - 1)
+    if not left or not right:
+        return np.zeros(len(left), bool), np.zeros(len(right), bool), 0
+    alphabet, place = _alphabet([*left, *right])
     a, b = _Side(left, alphabet, place), _Side(right, alphabet, place)
-    columns, step, close = b.columns(), max(1, min(256, (1 << 21) // (len(alphabet) + 1), (1 << 21) // (len(right) + 1))), _Near(a, b, threshold)
+    left_out, letters = known or _characters([*left[:: -(-len(left) // 512)], *right[:: -(-len(right) // 512)]], len(left) * len(right) // WIDE)[:2]
+    own = dict(zip(alphabet.tolist(), place.tolist(), strict=True))
+    counts = list(dict.fromkeys(own[c] for c in letters if c in own))
+    cells, wide = [], []
+    for side in (a, b):
+        number: dict[str, int] = {}
+        cells.append(np.array([number.setdefault(s, len(number)) for s in _without(alphabet[side.letters], side.n, np.array(left_out, np.int64))]))
+        lengths = [f(len(number), x, np.int64) for f, x in ((np.full, side.n.max()), (np.full, 0))]
+        np.minimum.at(lengths[0], cells[-1], side.n)
+        np.maximum.at(lengths[1], cells[-1], side.n)
+        wide.append((list(number), *lengths))
+    if len(wide[0][0]) * len(wide[1][0]) * WIDE <= max(len(left) * len(right), WIDE):
+        meet = _meeting(*wide, threshold)
+    else:  # more cells than are worth it
+        cells, meet = [np.zeros_like(x) for x in cells], np.ones((1, 1), bool)
+    orders = [np.lexsort([*x.counts[:, counts[::-1]].T, cell]) for x, cell in zip((a, b), cells, strict=True)]
+    for x, order in zip((a, b), orders, strict=True):
+        x.sort(order)
+    left, right = a.strings, b.strings
+    columns, close = b.columns(), _Near(a, b, threshold, counts, (cells[0][orders[0]], cells[1][orders[1]], meet))
     found_a, found_b, looked = np.zeros(len(left), bool), np.zeros(len(right), bool), 0
-    for first in range(0, len(left), step):
-        last = min(first + step, len(left))
-        i, j, shared = close.pairs(first, last)
-        if not len(i):
-            continue
-        total = a.n[first + i] + b.n[j]
+
+    def checked(first: int, last: int, i: np.ndarray, j: np.ndarray, shared: np.ndarray) -> int:
+        """Marks the strings of the pairs that match; how many were looked at."""
+        looked, total = 0, a.n[first + i] + b.n[j]
         order = np.lexsort((-shared / total, i))  # of each left string the nearest first
         i, j, total = i[order], j[order], total[order]
         rank = np.arange(len(i)) - np.searchsorted(i, i)
@@ -235,13 +430,71 @@ def matched_strings(left: list[str], right: list[str], threshold: int, both: boo
             good = some[100 * (total[some] - 2 * lcs[some]) <= (100 - threshold) * total[some]]
             found_a[first + i[good]] = True
             found_b[j[good]] = True
-    return found_a, found_b, looked
+        return looked
+
+    # the pairs of some steps are checked together
+    held, size, begin, most = [], 0, 0, max(1, min(LETTERS // 256, (1 << 21) // (len(alphabet) + 1)))
+    for first, last, some in close.steps(most):
+        if held and (last - begin > most or size >= TOGETHER):
+            looked += checked(begin, first, *map(np.concatenate, zip(*held, strict=True)))
+            held, size = [], 0
+        i, j, shared = close.pairs(first, last, some)
+        if len(i):
+            begin = begin if held else first
+            held.append((i + first - begin, j, shared))
+            size += len(i)
+    if held:
+        looked += checked(begin, min(begin + most, len(left)), *map(np.concatenate, zip(*held, strict=True)))
+    return *(x[np.argsort(order)] for x, order in zip((found_a, found_b), orders, strict=True)), looked
 
 
 def _distinct(strings: DataFrame) -> DataFrame:
     return materialise(strings.select("s").where(F.col("s").isNotNull()).distinct(), "titles")
 
 
+def _sampled(sides: list[DataFrame]) -> tuple[list[int], list[int], list[str]] | None:
+    """What about ``SAMPLE`` strings tell by their first characters; None where the strings are few."""
+    strings = sides[0].unionAll(sides[1])
+    total = strings.count()
+    if total <= 16 * BLOCK:
+        return None
+    some = strings.where(F.pmod(F.xxhash64("s"), F.lit(max(1, total // SAMPLE))) == 0).select(F.substring("s", 1, LONG).alias("s")).collect()
+    return _characters([r.s for r in some], CELLS) if some else None
+
+
+def _dealt(lefts: list, rights: list, names: list[str], threshold: int, workers: int) -> tuple[list, list]:
+    """For the cells of either side, given as (band, cell or -1, strings, shortest, longest): (band, cell, its blocks), of each block
+    its number and the blocks of the other side that it is compared with. Large blocks save copies, as long as there is work for all."""
+    sides = [sorted(map(tuple, rows)) for rows in (lefts, rights)]
+    if not all(sides):
+        return [], []
+    n, shortest, longest = ([np.array([r[k] for r in rows], np.int64) for rows in sides] for k in (2, 3, 4))
+    near = _meeting(*(([names[r[1]] if r[1] >= 0 else None for r in rows], *x) for rows, *x in zip(sides, shortest, longest, strict=True)), threshold)
+    near = [np.flatnonzero(x) for x in near]
+    met = [np.array([len(x) > 0 for x in near]), np.bincount(np.concatenate(near), minlength=len(n[1])) > 0]
+    pairs = np.prod([float(k[x].sum()) for k, x in zip(n, met, strict=True)])
+    size = min(64 * BLOCK, max(8 * BLOCK, int((pairs / (8 * workers)) ** 0.5)))
+    first, blocks = [], []
+    for rows, strings, top in zip(sides, n, longest, strict=True):
+        begin, number, last, held, room = [], [], -1, 0, 0
+        for (in_band, *_), k, most in zip(rows, strings.tolist(), np.maximum(BLOCK, np.minimum(size, LETTERS // top)).tolist(), strict=True):
+            if last < 0 or held + k > min(room, most) or in_band != band:
+                last, held, room, band = last + 1, 0, most, in_band
+            begin.append(last)
+            number.append(-(-k // most))
+            last, held, room = last + number[-1] - 1, held + k, min(room, most)
+        first.append(np.array(begin))
+        blocks.append(np.array(number))
+    meet = np.zeros([int((x + k).max()) for x, k in zip(first, blocks, strict=True)], bool)
+    for x, k, some in zip(first[0], blocks[0], near, strict=True):
+        meet[x : x + k, _ranges(first[1][some], blocks[1][some])] = True
+    out = []
+    for rows, x, k, others in zip(sides, first, blocks, (meet, meet.T), strict=True):
+        others = [np.flatnonzero(m).tolist() for m in others]
+        out.append([(r[0], r[1], [(own, others[own]) for own in range(b, b + c)]) for r, b, c in zip(rows, x.tolist(), k.tolist(), strict=True) if any(others[b : b + c])])
+    return tuple(out)
+
+
 def fuzzy_matches(left: DataFrame, right: DataFrame, threshold: int = D.FUZZY_THRESHOLD, both: bool = True) -> DataFrame:
     """(side, s): the distinct strings of ``left`` (side 0) and ``right`` (side 1) that have a partner on the other side.
 
@@ -259,32 +512,39 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, threshold: int = D.FUZZY_TH
         sides[0] = sides[0].join(equal, "s", "left_anti")  # what equality has found needs no second partner
     if threshold == 100:
         return told
-    # a little wider than the factor, so that no rounding moves two strings that may match further apart than one band
-    band = F.floor(F.log(F.length("s")) / float(np.log((200 - threshold) / threshold * (1 + 1e-6)))).cast("int")
-    sides = [x.where("s <> ''").select("s", band.alias("band")) for x in sides]
-    # left strings go to the right side's bands that they may match
-    sides[0] = sides[0].select("s", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"))
-    sizes = [x.groupBy("band").agg(F.count(F.lit(1)).alias(c), F.max(F.length("s")).alias(f"{c}_top")) for x, c in zip(sides, ("lefts", "rights"), strict=True)]
-    size = F.greatest(F.lit(BLOCK), F.least(F.lit(8 * BLOCK), F.floor(F.lit(LETTERS) / F.greatest("lefts_top", "rights_top"))))
-    blocks = materialise(sizes[0].join(sizes[1], "band").select("band", *[F.ceil(F.col(c) / size).cast("int").alias(c) for c in ("lefts", "rights")]), "title-bands")  # one row a band
+    sides = [x.where("s <> ''") for x in sides]
+    spark = left.sparkSession
+    told_by = _sampled(sides)
+    left_out, letters, names = told_by or ([], [], [])
+    # bands of lengths: only the least and greatest length of a cell tell what it may meet
+    band = F.floor(F.log(F.length("s")) / float(np.log((200 - threshold) / threshold))).cast("int")
+    known = F.broadcast(spark.createDataFrame(list(enumerate(names)), "cell int, name string"))
+    without = F.translate("s", "".join(map(chr, left_out)), "")
+    sides = [materialise(x.select("s", band.alias("band"), F.when(F.length("s") <= LONG, without).alias("name")).join(known, "name", "left")
+                         .select("s", "band", F.coalesce("cell", F.lit(-1)).alias("cell")), "title-cells") for x in sides]
+    # one row a band and cell
+    cells = [x.groupBy("band", "cell").agg(F.count(F.lit(1)), F.min(F.length("s")), F.max(F.length("s"))).collect() for x in sides]
+    dealing = _dealt(*cells, names, threshold, spark.sparkContext.defaultParallelism)
 
     def dealt(side: int, own: str, other: str) -> DataFrame:
-        block = F.pmod(F.xxhash64("s"), F.col(own)).cast("int")
-        return (sides[side].join(blocks, "band").select("band", "s", block.alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
-                .select("band", "lefts", "rights", F.lit(side).alias("side"), "s"))
+        blocks = spark.createDataFrame(dealing[side], "band int, cell int, blocks array<struct<own: int, others: array<int>>>")
+        block = F.element_at("blocks", (F.pmod(F.xxhash64("s"), F.size("blocks")) + 1).cast("int"))
+        return (sides[side].join(F.broadcast(blocks), ["band", "cell"]).select("s", block.alias("block"))
+                .select(F.col("block.own").alias(own), F.explode("block.others").alias(other), F.lit(side).alias("side"), "s"))
+
+    characters = told_by and told_by[:2]
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         a, b = (group.loc[group["side"] == side, "s"].tolist() for side in (0, 1))
-        marks = matched_strings(a, b, threshold, both) if a and b else (np.zeros(len(a), bool), np.zeros(len(b), bool), 0)
+        marks = matched_strings(a, b, threshold, both, characters) if a and b else (np.zeros(len(a), bool), np.zeros(len(b), bool), 0)
         found = [(0, s) for s, m in zip(a, marks[0], strict=True) if m] + [(1, s) for s, m in zip(b, marks[1], strict=True) if m and both]
         return pd.DataFrame(found, columns=["side", "s"])
 
-    # a number of tasks by the work, which is far more than the few bytes of a block say
-    spark = left.sparkSession
-    groups = blocks.agg(F.sum(F.col("lefts").cast("long") * F.col("rights"))).first()[0] or 1
-    tasks = min(groups, max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    rows = dealt(0, "lefts", "rights").unionByName(dealt(1, "rights", "lefts")).repartition(tasks, "band", "lefts", "rights")
-    near = rows.groupBy("band", "lefts", "rights").applyInPandas(compare, "side int, s string")
+    # a number of tasks by the work, which is far more than the few bytes of a block say; some get two blocks by chance, so more than blocks
+    groups = sum(len(others) for others in {own: others for *_, blocks in dealing[0] for own, others in blocks}.values())
+    tasks = max(1, min(3 * groups, max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    rows = dealt(0, "lefts", "rights").unionByName(dealt(1, "rights", "lefts")).repartition(tasks, "lefts", "rights")
+    near = rows.groupBy("lefts", "rights").applyInPandas(compare, "side int, s string")
     return told.unionAll(near).distinct()
 
 

@@ -187,3 +187,47 @@ def test_counts_are_compared_as_bits():
                 near.first, near.kind, near.limits = words, np.uint16, {}
                 i, j, shared = near.pairs(0, len(left))
                 assert dict(zip(zip(i.tolist(), j.tolist()), shared.tolist())) == want and want
+
+
+def coded(rnd, n, words=("small lamp metric", "hot gizmo promo", "blue ring story", "old plate union", "large bolt visit")):
+    """Titles of some templates, each with a code of its own."""
+    return [" ".join(sorted(f"{rnd.choice(words)} {rnd.getrandbits(56):014x}".split())) for _ in range(n)]
+
+
+def test_only_strings_of_near_cells_are_compared(monkeypatch):
+    rnd, compared = random.Random(21), []
+    whole = M._Near._compared
+    monkeypatch.setattr(M._Near, "_compared", lambda self, first, last, *some: compared.append((last - first) * len(some[0] if some else self.b.n)) or whole(self, first, last, *some))
+    right = coded(rnd, 1500)
+    left = [nearly(rnd, s, rnd.randint(1, 5)) for s in right[:200]] + coded(rnd, 1300)
+    a, b, _ = M.matched_strings(left, right, 90, both=True)
+    assert sum(compared) < len(left) * len(right) / 4
+    ok = lambda x, y: 200 * M._lcs_len(x, y) >= 90 * (len(x) + len(y))
+    assert a.tolist()[::10] == [any(ok(s, r) for r in right) for s in left[::10]] and 100 < a.sum() < 400
+    assert b.tolist()[::10] == [any(ok(s, r) for s in left) for r in right[::10]]
+    # whatever a sample has told
+    for known in (([], []), (list(range(32, 127)), [97, 48]), ([ord(c) for c in "0123456789abcdef"], [ord("z"), ord("\u00e9")])):
+        got = M.matched_strings(left, right, 90, True, known)
+        assert (got[0] == a).all() and (got[1] == b).all()
+
+
+def test_cells_and_blocks_lose_no_pair(spark, monkeypatch):
+    """Strings are dealt to blocks by cells of a sample, others go to the cell that meets all; far blocks are not compared."""
+    monkeypatch.setattr(M, "BLOCK", 4)
+    monkeypatch.setattr(M, "CELLS", 9)
+    monkeypatch.setattr(M, "SAMPLE", 40)
+    dealings, whole = [], M._dealt
+    monkeypatch.setattr(M, "_dealt", lambda *args: dealings.append(whole(*args)) or dealings[-1])
+    rnd = random.Random(22)
+    right = coded(rnd, 110) + ["", "a", "ab", "zz zz", "\u00e9\U0001f600 x", "same", "q" * 600, "pq" * 40]
+    left = [nearly(rnd, s, rnd.randint(0, 9)) for s in right[:40]] + coded(rnd, 60) + ["", "b", "abc", "zz z", "\u00e9\U0001f600  x", "same", "q" * 590, "pq" * 38, None]
+    L, R = (spark.createDataFrame([(s,) for s in x], "s string") for x in (left, right))
+    ok = lambda a, b, t: a == b or ratio_ok(a, b, t)
+    some = [s for s in left if s is not None]
+    for t in (75, 90):
+        got = {(r.side, r.s) for r in M.fuzzy_matches(L, R, t).collect()}
+        assert got == {(0, a) for a in some if any(ok(a, b, t) for b in right)} | {(1, b) for b in right if any(ok(a, b, t) for a in some)}, t
+    met = {own: others for *_, blocks in dealings[-1][0] for own, others in blocks}
+    back = {own: others for *_, blocks in dealings[-1][1] for own, others in blocks}
+    assert {(a, b) for a, x in met.items() for b in x} == {(a, b) for b, x in back.items() for a in x}
+    assert len(met) > 3 and len(back) > 3 and sum(map(len, met.values())) < 0.8 * len(met) * len(back)
