@@ -470,9 +470,7 @@ def _dealt(lefts: list, rights: list, names: list[str], threshold: int, workers:
         return [], []
     n, shortest, longest = ([np.array([r[k] for r in rows], np.int64) for rows in sides] for k in (2, 3, 4))
     near = _meeting(*(([names[r[1]] if r[1] >= 0 else None for r in rows], *x) for rows, *x in zip(sides, shortest, longest, strict=True)), threshold)
-    near = [np.flatnonzero(x) for x in near]
-    met = [np.array([len(x) > 0 for x in near]), np.bincount(np.concatenate(near), minlength=len(n[1])) > 0]
-    pairs = np.prod([float(k[x].sum()) for k, x in zip(n, met, strict=True)])
+    pairs = np.prod([float(k[near.any(axis=other)].sum()) for k, other in zip(n, (1, 0), strict=True)])
     size = min(64 * BLOCK, max(8 * BLOCK, int((pairs / (8 * workers)) ** 0.5)))
     first, blocks = [], []
     for rows, strings, top in zip(sides, n, longest, strict=True):
@@ -485,13 +483,11 @@ def _dealt(lefts: list, rights: list, names: list[str], threshold: int, workers:
             last, held, room = last + number[-1] - 1, held + k, min(room, most)
         first.append(np.array(begin))
         blocks.append(np.array(number))
-    meet = np.zeros([int((x + k).max()) for x, k in zip(first, blocks, strict=True)], bool)
-    for x, k, some in zip(first[0], blocks[0], near, strict=True):
-        meet[x : x + k, _ranges(first[1][some], blocks[1][some])] = True
+    # a cell goes to the blocks of the other side that hold a cell it may meet
     out = []
-    for rows, x, k, others in zip(sides, first, blocks, (meet, meet.T), strict=True):
-        others = [np.flatnonzero(m).tolist() for m in others]
-        out.append([(r[0], r[1], [(own, others[own]) for own in range(b, b + c)]) for r, b, c in zip(rows, x.tolist(), k.tolist(), strict=True) if any(others[b : b + c])])
+    for rows, x, k, side, other in ((sides[0], first[0], blocks[0], near, 1), (sides[1], first[1], blocks[1], near.T, 0)):
+        meets = [np.unique(_ranges(first[other][some], blocks[other][some])).tolist() for some in map(np.flatnonzero, side)]
+        out.append([(r[0], r[1], [(own, some) for own in range(b, b + c)]) for r, b, c, some in zip(rows, x.tolist(), k.tolist(), meets, strict=True) if some])
     return tuple(out)
 
 
@@ -541,7 +537,7 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, threshold: int = D.FUZZY_TH
         return pd.DataFrame(found, columns=["side", "s"])
 
     # a number of tasks by the work, which is far more than the few bytes of a block say; some get two blocks by chance, so more than blocks
-    groups = sum(len(others) for others in {own: others for *_, blocks in dealing[0] for own, others in blocks}.values())
+    groups = len({(own, other) for *_, blocks in dealing[0] for own, others in blocks for other in others})
     tasks = max(1, min(3 * groups, max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     rows = dealt(0, "lefts", "rights").unionByName(dealt(1, "rights", "lefts")).repartition(tasks, "lefts", "rights")
     near = rows.groupBy("lefts", "rights").applyInPandas(compare, "side int, s string")
